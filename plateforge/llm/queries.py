@@ -7,6 +7,7 @@ import importlib
 #: query name -> module; each module defines a function of the query's name.
 MODULES = {
     "op8_near_dedup": "near_dedup",
+    "op10_suffix_dedup": "suffix_dedup",
 }
 
 
