@@ -120,8 +120,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs:
     """Fit on at most train_docs documents that labels marks, first in hash order. Null labels and texts count as none."""
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # at most train_docs rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
-    fitted = rows.coalesce(1).mapInArrow(_train, "weights binary, bias double").collect()[0]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    # At most train_docs rows meet in one task, in one order whatever the partitions.
+    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text").select("text", "y").mapInArrow(_train, "weights binary, bias double").collect()[0]
     return np.frombuffer(fitted["weights"], np.float32), fitted["bias"]
 
 
