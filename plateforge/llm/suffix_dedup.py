@@ -24,9 +24,10 @@ LENGTH = 200
 ANCHOR = 40
 #: Bytes of pieces that one suffix array covers (buckets are never cut).
 ARRAY_BYTES = 1 << 20
-#: Distinct pieces of one anchor beyond which its windows are compared by 128-bit
-#: hashes in a combining aggregation instead of in one task.
-HOT_PIECES = 2000
+#: Distinct pieces of one anchor (about 280 bytes each, so some 2 MB and 0.2 GB of
+#: ranks in a task) beyond which its windows are compared by 128-bit hashes in a
+#: combining aggregation instead of in one suffix array.
+HOT_PIECES = 8000
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -248,7 +249,8 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     anchors = long.select("id", "unit", "text").mapInArrow(_anchors(length), "anchor long, piece long, id long, unit long, start int, n int")
     place = F.xxhash64("unit", "start")
     met = anchors.groupBy("anchor").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.min("piece").alias("q0"), F.max("piece").alias("q1"), F.min(F.struct("id", "unit", "start")).alias("first"))
-    met = met.where("p0 <> p1").select("anchor", (F.col("q0") != F.col("q1")).alias("mixed"), "first")
+    # Written apart, so that the next join deals both sides itself and can split a hot anchor.
+    met = materialise(met.where("p0 <> p1").select("anchor", (F.col("q0") != F.col("q1")).alias("mixed"), "first"))
     places = materialise(anchors.join(met, "anchor").groupBy("unit", "start", "anchor", "piece", "n", "mixed").agg(F.min("id").alias("id"), F.min("first").alias("first")))
 
     mixed = places.where("mixed")
