@@ -6,10 +6,12 @@ import importlib
 
 #: query name -> module; each module defines a function of the query's name.
 MODULES = {
+    "op1_ann": "ann",
     "op2_toxicity": "toxicity",
     "op3_packing": "packing",
     "op7_secrets": "secrets",
     "op8_near_dedup": "near_dedup",
+    "op9_bpe": "bpe",
     "op10_suffix_dedup": "suffix_dedup",
 }
 
