@@ -9,6 +9,8 @@ MODULES = {
     "op1_ann": "ann",
     "op2_toxicity": "toxicity",
     "op3_packing": "packing",
+    "op5_quality": "quality_classifier",
+    "op6_quality_rules": "quality_rules",
     "op7_secrets": "secrets",
     "op8_near_dedup": "near_dedup",
     "op9_bpe": "bpe",
