@@ -60,9 +60,8 @@ def base_statistics(docs: DataFrame) -> DataFrame:
 
 def _vector(rows: DataFrame) -> DataFrame:
     words = F.greatest("n_words", F.lit(1)).cast("double")
-    share = lambda a, b: F.log1p(20 * F.col(a) / F.greatest(b, F.lit(1.0)))
-    lines = F.greatest("n_lines", F.lit(1)).cast("double")
-    values = (F.log(F.greatest("word_chars", F.lit(1)) / words), share("n_symbols", words), share("n_dup_lines", lines), share("n_repeat_words", words))
+    # One repeated line or phrase is common in sound texts, so these weigh less than symbols and are taken against all words.
+    values = (F.log(F.greatest("word_chars", F.lit(1)) / words), F.log1p(20 * F.col("n_symbols") / words), F.log1p(F.col("n_dup_lines") / (1 + words / 50)), F.log1p(5 * F.col("n_repeat_words") / words))
     return rows.select("*", *(F.round(v, 3).alias(d) for d, v in zip(DIMENSIONS, values, strict=True)))
 
 

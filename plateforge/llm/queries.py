@@ -9,6 +9,7 @@ MODULES = {
     "op1_ann": "ann",
     "op2_toxicity": "toxicity",
     "op3_packing": "packing",
+    "op4_hmm": "hmm",
     "op5_quality": "quality_classifier",
     "op6_quality_rules": "quality_rules",
     "op7_secrets": "secrets",
