@@ -221,15 +221,15 @@ def _apply(columns: int):
                 for lo, hi in spans:
                     kept.append(raw[at:lo])
                     at = hi
-                out.append((len(raw), [{"start": lo, "end": hi} for lo, hi in spans], b"".join([*kept, raw[at:]])))
-            kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=[*batch.schema.names[:columns], "n_bytes", "spans", "kept"])
+                out.append((len(raw), [{"start": lo, "end": hi} for lo, hi in spans], rest := b"".join([*kept, raw[at:]]), rest.decode("utf-8", "ignore")))
+            kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=[*batch.schema.names[:columns], "n_bytes", "spans", "kept", "kept_text"])
 
     return run
 
 
 def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = False) -> DataFrame:
-    """Every row of docs as struct `row`, with n_bytes, spans (start, end in bytes, disjoint, sorted) and the kept bytes.
+    """Every row of docs as struct `row`, with n_bytes, spans (start, end in bytes, disjoint, sorted), the kept bytes and kept_text.
 
     A byte is in a span if a string of `length` bytes over it starts anywhere else
     in the corpus, the same text included; with keep_first, only if it starts
@@ -237,8 +237,8 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     never cross documents. Equal texts are whole copies: all of them go (with
     keep_first all but those with the smallest doc_id; rows that also share the
     doc_id count as one). Null and empty texts, and texts shorter than `length`,
-    keep all they have; a null doc_id comes first in order. Extra columns pass
-    through in `row`.
+    keep all they have; a null doc_id comes first in order. Characters that a cut
+    divides are not in kept_text. Extra columns pass through in `row`.
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("unit"), "text")
@@ -297,9 +297,9 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
         gone = gone & ~F.col("id").eqNullSafe(F.col("first_id"))
     ready = rows.select("row", "text", (gone & (F.octet_length("text") >= length)).alias("whole"), "los", "his")
     ready = ready.select(*(F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(names)), "text", "whole", "los", "his")
-    schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + ["n_bytes long", "spans array<struct<start:int,end:int>>", "kept binary"])
+    schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + ["n_bytes long", "spans array<struct<start:int,end:int>>", "kept binary", "kept_text string"])
     done = ready.mapInArrow(_apply(len(names)), schema)
-    return done.select(F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))).alias("row"), "n_bytes", "spans", "kept")
+    return done.select(F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))).alias("row"), "n_bytes", "spans", "kept", "kept_text")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
