@@ -22,7 +22,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A document of which nothing is left goes.
     """
     found = suffix_dedup.strip_repeats(docs, keep_first=True)
-    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.regexp_replace(F.decode("kept", "utf-8"), "�", ""))
+    text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.col("kept_text"))
     rest = found.where("size(spans) = 0 or octet_length(kept) > 0").withColumn("new", text)
     return rest.select(*(F.col("new").alias(c) if c == "text" else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
