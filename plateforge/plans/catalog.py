@@ -1,9 +1,341 @@
-"""Query catalogue of the sequencing, simulation and cost operators."""
+"""Query catalogue of the sequencing, simulation and cost operators.
+
+The test tables hold no sequencing data, so order lines stand in for reads, part
+keys for grid points and document texts for sequences; the SQL reads the same
+stand-ins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import seq, stats
+from ..operators import costs, demux, simulate
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem")
+    ref = F.concat(F.when(F.col("l_linestatus") == "F", "fwd:").otherwise("rev:"), "l_returnflag")
+    rows = rows.select(F.format_string("FB%02d", F.col("l_partkey") % 96 + 1).alias("fbc_name"), F.format_string("RB%02d", F.col("l_suppkey") % 32 + 1).alias("rbc_name"), ref.alias("ref_name"))
+    return rows.withColumn("well_pos", seq.barcode_to_well("fbc_name", "rbc_name"))
+
+
+_READS_SQL = """
+reads AS (
+  SELECT (rb // 4 + 1) AS plate, chr(CAST(64 + 2 * (fb // 12) + CASE WHEN rb % 4 < 2 THEN 1 ELSE 2 END AS INT)) AS row, CAST(2 * (fb % 12) + CASE WHEN rb % 2 = 0 THEN 1 ELSE 2 END AS INT) AS col, ref
+  FROM (SELECT l_partkey % 96 AS fb, l_suppkey % 32 AS rb, CASE WHEN l_linestatus = 'F' THEN 'fwd:' ELSE 'rev:' END || l_returnflag AS ref FROM lineitem)
+),
+counted AS (SELECT plate, row, col, ref, count(*) AS n FROM reads GROUP BY ALL),
+ranked AS (SELECT *, sum(n) OVER (PARTITION BY plate, row, col) AS depth, row_number() OVER (PARTITION BY plate, row, col ORDER BY n DESC, ref) AS rk FROM counted)
+"""
+
+
+def well_summary(spark, sf_dir):
+    return demux.well_summary(_reads(spark, sf_dir))
+
+
+WELL_SUMMARY = f"""WITH {_READS_SQL}
+SELECT CAST(plate AS INT) AS plate, row || col AS well, plate || row || col AS global_well, CAST(depth AS BIGINT) AS depth, ref AS major_ref, n / depth AS major_freq FROM ranked WHERE rk = 1"""
+
+
+def plate_map(spark, sf_dir):
+    return demux.plate_map(_reads(spark, sf_dir))
+
+
+PLATE_MAP = f"""WITH {_READS_SQL},
+lines AS (SELECT plate, row, col, depth, max(n) AS top, '<b>' || row || col || '</b><br/>' || string_agg(ref || ' ' || CAST(round_even(100.0 * n / depth, 0) AS INT) || '%', '<br/>' ORDER BY rk) FILTER (rk <= 6) AS tooltip FROM ranked GROUP BY plate, row, col, depth),
+layout AS (SELECT plate, chr(CAST(65 + r AS INT)) AS row, CAST(c AS INT) AS col FROM (SELECT DISTINCT plate FROM lines), range(16) a(r), range(1, 25) b(c))
+SELECT CAST(plate AS INT) AS plate, row, col, row || col AS well, coalesce(tooltip, 'empty') AS tooltip, CAST(coalesce(depth, 0) AS BIGINT) AS reads, coalesce(top / depth, 0.0) AS frac FROM layout LEFT JOIN lines USING (plate, row, col)"""
+
+
+def reference_map(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").where("l_suppkey < l_partkey % 300 % 100")
+    r = F.col("l_partkey") % 300
+    at = F.when(F.col("l_orderkey") % 100 < 100 - (r % 4) * 5, r).otherwise(r + 1)
+    well = F.concat((F.floor(at / 384) + 1).cast("string"), F.char(65 + F.floor(at / 24)), (at % 24 + 1).cast("string"))
+    reads = rows.select(F.concat(F.lit("ref"), r.cast("string")).alias("ref_name"), well.alias("well"))
+    return demux.reference_map(reads, spark.range(300).select(F.concat(F.lit("ref"), F.col("id").cast("string")).alias("ref_id")))
+
+
+REFERENCE_MAP = """WITH r AS (SELECT l_partkey % 300 AS r, l_orderkey FROM lineitem WHERE l_suppkey < l_partkey % 300 % 100),
+w AS (SELECT r, CASE WHEN l_orderkey % 100 < 100 - (r % 4) * 5 THEN r ELSE r + 1 END AS a FROM r),
+c AS (SELECT r, a, count(*) AS n FROM w GROUP BY ALL),
+t AS (SELECT r, a, n, sum(n) OVER (PARTITION BY r) AS tot, row_number() OVER (PARTITION BY r ORDER BY n DESC, a) AS k FROM c),
+j AS (SELECT 'ref' || g AS Reference, a, n, tot FROM range(300) x(g) LEFT JOIN (SELECT * FROM t WHERE k = 1) ON g = r)
+SELECT Reference, CASE WHEN n IS NULL THEN 'Missed' ELSE (a // 384 + 1) || chr(CAST(65 + a // 24 AS INT)) || (a % 24 + 1) END AS Well, n IS NULL OR NOT (n >= 50 AND n * 10 >= tot * 9) AS Flag,
+  CASE WHEN n IS NULL THEN 'Missed' WHEN n >= 50 AND n * 10 < tot * 9 THEN 'Mixed reads: aligned to ' || format('{:.1f}', round_even(100.0 * n / tot, 1)) || '% of reads' WHEN n < 50 AND n = tot THEN 'Low reads (' || n || '), but homogeneous' END AS Note
+FROM j WHERE n IS NULL OR n >= 50 OR n = tot"""
+
+
+def _lines(spark, sf_dir):
+    name = F.concat_ws("_", F.lit("r"), *(F.col(c).cast("string") for c in _KEY[:2]))
+    order = F.concat_ws(":", *(F.lpad(F.col(c).cast("string"), 12, "0") for c in _KEY), F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 14, "0"), F.date_format("l_shipdate", "yyyyMMddHHmmss"))
+    return _table(spark, sf_dir, "lineitem").withColumn("read_name", name).withColumn("ord", order)
+
+
+_LINES_SQL = """lines AS (SELECT *, 'r_' || l_orderkey || '_' || l_linenumber AS read_name, lpad(l_orderkey::VARCHAR, 12, '0') || ':' || lpad(l_linenumber::VARCHAR, 12, '0') || ':' || lpad(l_partkey::VARCHAR, 12, '0') || ':' || lpad(l_suppkey::VARCHAR, 12, '0') || ':' || lpad(CAST(round(l_extendedprice * 100) AS BIGINT)::VARCHAR, 14, '0') || ':' || strftime(l_shipdate, '%Y%m%d%H%M%S') AS ord FROM lineitem)"""
+
+
+def read_assembly(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    fbc = rows.where("l_partkey % 5 <> 0").select("read_name", "ord", (F.col("l_partkey") % 96).cast("int").alias("idx"))
+    rbc = rows.where("l_suppkey % 4 <> 0").select("read_name", "ord", (F.col("l_suppkey") % 32).cast("int").alias("idx"))
+    refs = rows.where("l_quantity > 5").select("read_name", "ord", seq.with_direction(F.lit("fwd"), "l_returnflag").alias("ref_name"), F.repeat(F.lit("A"), F.lit(4)).alias("read_seq"), F.concat("l_linestatus", F.lit("I!I")).alias("read_qual"))
+    return demux.assemble_reads(fbc, rbc, refs)
+
+
+READ_ASSEMBLY = f"""WITH {_LINES_SQL},
+f AS (SELECT read_name, arg_max(l_partkey % 96, ord) AS fbc FROM lines WHERE l_partkey % 5 <> 0 GROUP BY 1), r AS (SELECT read_name, arg_max(l_suppkey % 32, ord) AS rbc FROM lines WHERE l_suppkey % 4 <> 0 GROUP BY 1),
+m AS (SELECT read_name, 'fwd:' || arg_max(l_returnflag, ord) AS ref_name, 'AAAA' AS read_seq, arg_max(l_linestatus, ord) || 'I!I' AS read_qual FROM lines WHERE l_quantity > 5 GROUP BY 1)
+SELECT read_name, CAST(fbc AS INT) AS fbc, CAST(rbc AS INT) AS rbc, ref_name, read_seq, read_qual, (ascii(read_qual) - 33 + 40 + 0 + 40) / 4.0::DOUBLE AS avg_qual FROM f FULL JOIN r USING (read_name) FULL JOIN m USING (read_name)"""
+
+
+def name_overlap_stats(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    return demux.name_overlap(rows.where("l_quantity < 30").select("read_name"), rows.where("l_quantity > 20").select("read_name"))
+
+
+NAME_OVERLAP = f"""WITH {_LINES_SQL}, f AS (SELECT read_name FROM lines WHERE l_quantity < 30), r AS (SELECT read_name FROM lines WHERE l_quantity > 20)
+SELECT (SELECT count(*) FROM f) AS fwd_reads, (SELECT count(*) FROM r) AS rev_reads, (SELECT count(DISTINCT read_name) FROM f) AS fwd_names, (SELECT count(DISTINCT read_name) FROM r) AS rev_names, (SELECT count(*) FROM (SELECT read_name FROM f INTERSECT SELECT read_name FROM r)) AS both, 0::BIGINT AS malformed"""
+
+
+def normalize_ids(spark, sf_dir):
+    k = F.col("o_orderkey").cast("string")
+    raw = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("q"), k, F.lit("|ref=a b"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("q"), k, F.lit("/1 x"))).when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("q"), k, F.lit("_pool_plates_7"))).otherwise(F.lit("|ref=z"))
+    return _table(spark, sf_dir, "orders").select("o_orderkey", seq.normalize_id(raw).alias("read_name"), seq.ref_tag(raw).alias("tag"))
+
+
+NORMALIZE_IDS = """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE 'q' || o_orderkey END AS read_name, CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 3 THEN 'z' END AS tag FROM orders"""
+
+_DNA_SQL = "translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+
+
+def _dna(spark, sf_dir):
+    letters = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    return _table(spark, sf_dir, "documents").select("doc_id", letters.alias("s"))
+
+
+def revcomp(spark, sf_dir):
+    return _dna(spark, sf_dir).select("doc_id", F.md5(seq.reverse_complement("s")).alias("digest"))
+
+
+REVCOMP = f"SELECT doc_id, md5(reverse(translate({_DNA_SQL}, 'ACGT', 'TGCA'))) AS digest FROM documents"
+
+
+def codon_translate(spark, sf_dir):
+    return _dna(spark, sf_dir).select("doc_id", F.md5(seq.translate_codons("s")).alias("digest"))
+
+
+CODON_TRANSLATE = f"""WITH d AS (SELECT doc_id, {_DNA_SQL} AS s FROM documents)
+SELECT doc_id, md5(coalesce(array_to_string(list_transform(range(length(s) // 3), lambda i: substr('{seq.AMINO_ACIDS}', CAST((instr('TCAG', substr(s, i * 3 + 1, 1)) - 1) * 16 + (instr('TCAG', substr(s, i * 3 + 2, 1)) - 1) * 4 + instr('TCAG', substr(s, i * 3 + 3, 1)) AS BIGINT), 1)), ''), '')) AS digest FROM d"""
+
+_PHRED_SQL = "regexp_replace(coalesce(text, ''), '[^!-I]', '', 'g')"
+
+
+def _quality(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^!-I]", "").alias("q"))
+
+
+def mean_quality(spark, sf_dir):
+    return _quality(spark, sf_dir).select("doc_id", seq.mean_quality("q").alias("avg_qual"))
+
+
+MEAN_QUALITY = f"SELECT doc_id, list_sum(list_transform(string_split(q, ''), lambda x: ascii(x) - 33))::DOUBLE / length(q) AS avg_qual FROM (SELECT doc_id, nullif({_PHRED_SQL}, '') AS q FROM documents)"
+
+
+def length_hist(spark, sf_dir):
+    return stats.histogram(_table(spark, sf_dir, "documents"), F.length("text")).select("bin", F.round("lo", 6).alias("lo"), "n")
+
+
+LENGTH_HIST = """WITH v AS (SELECT length(text)::DOUBLE AS x FROM documents WHERE text IS NOT NULL), e AS (SELECT min(x) AS lo, max(x) AS hi FROM v)
+SELECT bin, round(any_value(lo + bin * (hi - lo) / 50), 6) AS lo, count(*) AS n FROM (SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 50)), 49) ELSE 0 END AS INT) AS bin, lo, hi FROM v, e) GROUP BY bin"""
+
+
+def quality_quantiles(spark, sf_dir):
+    rows = mean_quality(spark, sf_dir)
+    return rows.agg(F.round(F.percentile("avg_qual", F.lit(0.1)), 6).alias("q10"), F.round(F.percentile("avg_qual", F.lit(0.5)), 6).alias("median"), F.count("avg_qual").alias("n"))
+
+
+QUALITY_QUANTILES = f"SELECT round(quantile_cont(avg_qual, 0.1), 6) AS q10, round(quantile_cont(avg_qual, 0.5), 6) AS median, count(avg_qual) AS n FROM ({MEAN_QUALITY})"
+
+
+def classify_consensus(spark, sf_dir):
+    k = F.col("p_partkey")
+    cons = F.element_at(F.array(*(F.lit(x) for x in ("ATGGCCTAA", "ATGGCTTAA", "ATGACCTAA", "ATGGCCTA"))), (k % 4 + 1).cast("int"))
+    cigar = F.element_at(F.array(F.lit("9M"), F.lit("8M"), F.lit("4M1D1I4M"), F.lit(None).cast("string")), (F.floor(k / 4) % 4 + 1).cast("int"))
+    wells = _table(spark, sf_dir, "part").select("p_partkey", cigar.alias("CIGAR"), cons.alias("cons_seq"), F.lit("ATGGCCTAA").alias("ref_seq"), F.lit(9).alias("ref_len"))
+    return demux.classify_consensus(wells).select("p_partkey", "cons_check", "identity")
+
+
+CLASSIFY_CONSENSUS = """SELECT p_partkey, CASE (p_partkey // 4) % 4 WHEN 3 THEN 'Error' WHEN 0 THEN 'Perfect Match' WHEN 1 THEN 'Partial Match' ELSE CASE p_partkey % 4 WHEN 3 THEN 'Error' WHEN 2 THEN 'Other Error' ELSE 'Silent Mutation' END END AS cons_check, p_partkey % 4 = 0 AS identity FROM part"""
+
+
+def _grid(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part")
+    return rows.select((60 + 12 * F.col("p_size")).cast("int").alias("length"), (F.col("p_partkey") % 97 * 211 + 50).cast("int").alias("n")).distinct()
+
+
+_GRID_SQL = "grid AS (SELECT DISTINCT CAST(60 + 12 * p_size AS INT) AS length, CAST(p_partkey % 97 * 211 + 50 AS INT) AS n FROM part)"
+_SHARED_SQL = "(trunc(10.72::DOUBLE * n + 165.0::DOUBLE / 1200 * 10 * n) + trunc(n / 384.0::DOUBLE * 97.73::DOUBLE) + CASE WHEN n * 100.0::DOUBLE * (length + 100) / 1e9 > 1 THEN 550 ELSE 500 END)"
+_COMMERCIAL_SQL = f"""{_GRID_SQL}, costs AS (
+  SELECT length, n, 'Twist' AS provider, 'Gene Fragments' AS product, CAST(trunc(CASE WHEN length < 300 THEN NULL WHEN length <= 500 THEN 35.0::DOUBLE * n ELSE length::DOUBLE * n * 0.07::DOUBLE END) + {_SHARED_SQL} AS BIGINT) AS cost FROM grid
+  UNION ALL SELECT length, n, 'IDT', 'eBlocks', CAST(trunc(CASE WHEN length > 300 AND length <= 500 THEN 35.0::DOUBLE * n ELSE length::DOUBLE * n * 0.07::DOUBLE END) + {_SHARED_SQL} AS BIGINT) FROM grid
+  UNION ALL SELECT length, n, 'IDT', 'gBlocks', CAST(trunc(length::DOUBLE * n * 0.09::DOUBLE) + {_SHARED_SQL} AS BIGINT) FROM grid)"""
+
+
+def commercial_costs(spark, sf_dir):
+    return costs.commercial_costs(_grid(spark, sf_dir))
+
+
+COMMERCIAL_COSTS = f"WITH {_COMMERCIAL_SQL} SELECT * FROM costs"
+
+
+def commercial_stats(spark, sf_dir):
+    return costs.cost_stats(costs.commercial_costs(_grid(spark, sf_dir))).withColumn("mean_cost", F.round("mean_cost", 4))
+
+
+COMMERCIAL_STATS = f"WITH {_COMMERCIAL_SQL} SELECT length, n, min(cost) AS min_cost, round(avg(cost), 4) AS mean_cost, max(cost) AS max_cost, count(cost) AS n_products FROM costs GROUP BY length, n"
+
+_TIERS_SQL = "tiers(lo, hi, len, usd) AS (VALUES " + ", ".join(f"({lo}, {hi}, {length}, {usd}::DOUBLE)" for (lo, hi), row in costs.TIERS.items() for length, usd in zip(costs.TIER_LENGTHS, row, strict=True)) + ")"
+
+
+def total_cost(spark, sf_dir):
+    return _grid(spark, sf_dir).select("length", "n", costs.pooled_total().alias("cost"))
+
+
+TOTAL_COST = f"""WITH {_GRID_SQL}, {_TIERS_SQL},
+near AS (SELECT length, n, usd, row_number() OVER (PARTITION BY length, n ORDER BY abs(len - length), len) AS k FROM grid JOIN tiers ON n BETWEEN lo AND hi)
+SELECT length, n, CAST(trunc(CASE WHEN length <= 350 THEN coalesce(usd * (2.0::DOUBLE / 3), 0) WHEN n < 3000 THEN 0.015::DOUBLE * length * n WHEN n > 3000 AND n < 30000 AND length <= 549 THEN 0.002::DOUBLE * length * n WHEN n > 3000 AND n < 30000 AND length BETWEEN 550 AND 2050 THEN 0.004::DOUBLE * length * n ELSE 0 END
+  + 53.6::DOUBLE + (30 * (8 * n // 384) + 60) / 60.0::DOUBLE * 135 + (8 * n // 384) * 97.73::DOUBLE + CASE WHEN 8.0::DOUBLE * n * 100 * (length + 100) / 1e9 > 1 THEN 550 ELSE 500 END + 0.128::DOUBLE * n + ceil(n / 384.0::DOUBLE) * 7.84::DOUBLE) AS BIGINT) AS cost
+FROM grid LEFT JOIN (SELECT * FROM near WHERE k = 1) USING (length, n)"""
+
+
+def cost_crossover(spark, sf_dir):
+    points = _grid(spark, sf_dir)
+    own = points.select("length", "n", costs.pooled_total().alias("cost"))
+    return costs.cost_crossover(costs.cost_stats(costs.commercial_costs(points)), own).withColumn("crossover", F.round("crossover", 4))
+
+
+COST_CROSSOVER = f"""WITH {COMMERCIAL_COSTS[5:].rsplit(' SELECT', 1)[0]}, own AS ({TOTAL_COST}),
+m AS (SELECT length, n, avg(cost) AS y FROM costs GROUP BY ALL), d AS (SELECT length, n::DOUBLE AS x, y - cost AS d FROM m JOIN own USING (length, n)),
+p AS (SELECT *, lead(x) OVER w AS x1, lead(d) OVER w AS d1 FROM d WINDOW w AS (PARTITION BY length ORDER BY x)),
+c AS (SELECT length, arg_min(x - d * (x1 - x) / (d1 - d), x) AS crossover FROM p WHERE x1 IS NOT NULL AND sign(d) <> sign(d1) GROUP BY length)
+SELECT length, round(crossover, 4) AS crossover FROM (SELECT DISTINCT length FROM grid) LEFT JOIN c USING (length)"""
+
+
+def _pool(spark, sf_dir):
+    return _table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("variant"), F.round(F.col("p_retailprice")).alias("weight"))
+
+
+def weighted_sample(spark, sf_dir):
+    draws = _table(spark, sf_dir, "orders").select(simulate.uniform(F.lit(7), "o_orderkey").alias("u"))
+    return simulate.draw(draws, _pool(spark, sf_dir)).groupBy("variant").agg(F.count("*").alias("n"))
+
+
+_UNIFORM = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+_CUTS_SQL = "pool AS (SELECT p_partkey AS variant, round(p_retailprice) AS weight FROM part WHERE p_partkey < 200), cuts AS (SELECT variant, (sum(weight) OVER (ORDER BY variant) - weight) / sum(weight) OVER () AS lo, CASE WHEN variant = max(variant) OVER () THEN 2 ELSE sum(weight) OVER (ORDER BY variant) / sum(weight) OVER () END AS hi FROM pool)"
+WEIGHTED_SAMPLE = f"WITH {_CUTS_SQL}, u AS (SELECT {_UNIFORM.format(chr(39) + '7:' + chr(39) + ' || o_orderkey')} AS u FROM orders) SELECT variant, count(*) AS n FROM u JOIN cuts ON u >= lo AND u < hi GROUP BY variant"
+
+
+def recovery_curve(spark, sf_dir):
+    draws = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("rep"), (F.floor(F.col("o_orderkey") / 10) + 1).alias("k"), (F.col("o_custkey") % 200).alias("variant"))
+    return simulate.recovery_curve(draws, 200).withColumn("y", F.round("y", 9))
+
+
+RECOVERY_CURVE = """WITH d AS (SELECT o_orderkey % 10 AS rep, o_orderkey // 10 + 1 AS k, o_custkey % 200 AS v FROM orders), f AS (SELECT rep, v, min(k) AS k FROM d GROUP BY ALL), n AS (SELECT k, count(*) AS n FROM f GROUP BY k)
+SELECT k AS x, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / (SELECT count(DISTINCT rep) FROM d)::DOUBLE / 200, 9) AS y FROM (SELECT DISTINCT k FROM d) LEFT JOIN n USING (k)"""
+
+
+def resynthesis_curve(spark, sf_dir):
+    return simulate.recovery_with_resynthesis(_pool(spark, sf_dir), 150, 60, True, 10, 3).withColumn("y", F.round("y", 9))
+
+
+RESYNTHESIS_CURVE = f"""WITH {_CUTS_SQL}, reps AS (SELECT g AS rep FROM range(10) a(g)), steps AS (SELECT rep, k, {_UNIFORM.format("'3:' || rep || ':' || k")} AS u FROM reps, range(1, 211) b(k)),
+one AS (SELECT rep, k, variant FROM steps JOIN cuts ON u >= lo AND u < hi WHERE k <= 150),
+un AS (SELECT rep, variant, row_number() OVER (PARTITION BY rep ORDER BY variant) - 1 AS r, count(*) OVER (PARTITION BY rep) AS m FROM (SELECT rep, variant FROM reps, pool EXCEPT SELECT rep, variant FROM one)),
+two AS (SELECT s.rep, k, variant FROM (SELECT s.rep, k, CAST(floor(u * m) AS BIGINT) AS r FROM steps s JOIN (SELECT DISTINCT rep, m FROM un) USING (rep) WHERE k > 150) s JOIN un ON s.rep = un.rep AND s.r = un.r),
+f AS (SELECT rep, variant, min(k) AS k FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL), n AS (SELECT k, count(*) AS n FROM f GROUP BY k)
+SELECT k AS x, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / 10.0::DOUBLE / (SELECT count(*) FROM pool), 9) AS y FROM range(1, 211) c(k) LEFT JOIN n USING (k)"""
+
+
+def lognormal_fold(spark, sf_dir):
+    s = simulate.sigma_of(4)
+    rows = _table(spark, sf_dir, "orders").select(F.floor(F.log10(1000 * F.exp(-s * s / 2 + s * simulate.normal(F.lit(1), "o_orderkey"))) * 1e6).alias("x"))
+    q = {p: stats.floor_quantile(rows, "x", p).withColumnRenamed("q", f"q{int(p * 100)}") for p in (0.1, 0.9)}
+    return q[0.1].crossJoin(q[0.9]).select(F.round(F.pow(10.0, (F.col("q90") - F.col("q10")) / 1e6), 3).alias("fold"))  # one row each
+
+
+LOGNORMAL_FOLD = f"""WITH s AS (SELECT ln(4) / (2 * {simulate.Z90}::DOUBLE) AS s), x AS (SELECT log10(1000 * exp(-s * s / 2 + s * sqrt(-2 * ln(greatest({_UNIFORM.format("'1:' || o_orderkey || ':a'")}, 1.1102230246251565e-16))) * cos(2 * pi() * {_UNIFORM.format("'1:' || o_orderkey || ':b'")}))) AS x FROM orders, s),
+k AS (SELECT floor(x * 1e6) AS x, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM x)
+SELECT round(pow(10, (max(x) FILTER (i = floor(n * 0.9)) - max(x) FILTER (i = floor(n * 0.1))) / 1e6), 3) AS fold FROM k"""
+
+
+def pileup(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("well"), (F.col("l_suppkey") % 40).cast("int").alias("pos"), F.translate(F.substring(F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in _KEY))), 1, 12), "0123456789abcdef", "ACGTACGTACGTACGT").alias("seq"))
+    return demux.pileup_consensus(rows).select("well", "cons_seq", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"))
+
+
+PILEUP = """WITH r AS (SELECT l_partkey % 50 AS well, l_suppkey % 40 AS pos, translate(substr(md5(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey), 1, 12), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s FROM lineitem),
+b AS (SELECT well, pos + i AS place, substr(s, i + 1, 1) AS base, count(*) AS n FROM r, range(12) x(i) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY well, place ORDER BY n DESC, base) AS k FROM b)
+SELECT well, string_agg(base, '' ORDER BY place) AS cons_seq, CAST(min(place) AS INT) AS first, CAST(max(place) AS INT) AS last FROM t WHERE k = 1 GROUP BY well"""
+
+
+def funnel(spark, sf_dir):
+    return simulate.funnel(spark, 200, 200, scale=2, fold=2, semantics="documented")
+
+
+def coverage_sweep(spark, sf_dir):
+    return simulate.coverage_sweep(spark, [0.5, 1.0, 2.0], 100, 50, scale=5, p_grow=0.67, p_incorrect=0.1, semantics="documented")
+
+
+def streamed_depths(spark, sf_dir):
+    from ..streaming.wells import well_depths
+
+    rows = _table(spark, sf_dir, "events").select("ts", F.format_string("FB%02d", F.col("user_id") % 96 + 1).alias("fbc_name"), F.format_string("RB%02d", F.col("event_id") % 32 + 1).alias("rbc_name"))
+    return well_depths(rows).select(F.col("window.start").alias("window_start"), "well_pos", "depth")
+
+
+STREAMED_DEPTHS = """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, (rb // 4 + 1) || chr(CAST(64 + 2 * (fb // 12) + CASE WHEN rb % 4 < 2 THEN 1 ELSE 2 END AS INT)) || (2 * (fb % 12) + CASE WHEN rb % 2 = 0 THEN 1 ELSE 2 END) AS well_pos, count(*) AS depth FROM (SELECT ts, user_id % 96 AS fb, event_id % 32 AS rb FROM events) GROUP BY ALL"""
+
+_CATALOG = {
+    "well_summary": (well_summary, WELL_SUMMARY),
+    "plate_map": (plate_map, PLATE_MAP),
+    "reference_map": (reference_map, REFERENCE_MAP),
+    "read_assembly": (read_assembly, READ_ASSEMBLY),
+    "name_overlap_stats": (name_overlap_stats, NAME_OVERLAP),
+    "normalize_ids": (normalize_ids, NORMALIZE_IDS),
+    "revcomp": (revcomp, REVCOMP),
+    "codon_translate": (codon_translate, CODON_TRANSLATE),
+    "mean_quality": (mean_quality, MEAN_QUALITY),
+    "quality_quantiles": (quality_quantiles, QUALITY_QUANTILES),
+    "length_hist": (length_hist, LENGTH_HIST),
+    "classify_consensus": (classify_consensus, CLASSIFY_CONSENSUS),
+    "commercial_costs": (commercial_costs, COMMERCIAL_COSTS),
+    "commercial_stats": (commercial_stats, COMMERCIAL_STATS),
+    "total_cost": (total_cost, TOTAL_COST),
+    "cost_crossover": (cost_crossover, COST_CROSSOVER),
+    "weighted_sample": (weighted_sample, WEIGHTED_SAMPLE),
+    "recovery_curve": (recovery_curve, RECOVERY_CURVE),
+    "resynthesis_curve": (resynthesis_curve, RESYNTHESIS_CURVE),
+    "lognormal_fold": (lognormal_fold, LOGNORMAL_FOLD),
+    "pileup_consensus": (pileup, PILEUP),
+    "streamed_depths": (streamed_depths, STREAMED_DEPTHS),
+    "funnel": (funnel, None),
+    "coverage_sweep": (coverage_sweep, None),
+}
 
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _CATALOG.items() if sql}

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 
+# Fixed value: the name that barcode records begin with.
+KIT = "LevSeq"
+
 
 def find_fastq(spark: SparkSession, root: str, include_gz: bool = True) -> DataFrame:
     """Paths of FASTQ files under root; without include_gz only names that end in fastq."""
@@ -105,7 +108,7 @@ def write_well_fastq(reads: DataFrame, path: str) -> None:
 
 def barcode_fasta(barcodes: DataFrame, side: str) -> DataFrame:
     """FASTA text of a kit; side is fbc or rbc, numbers start at 01."""
-    return barcodes.select(F.concat(F.format_string(f">LevSeq-{side}-%02d\n", F.col("idx") + 1), "barcode").alias("value"))
+    return barcodes.select(F.concat(F.format_string(f">{KIT}-{side}-%02d\n", F.col("idx") + 1), "barcode").alias("value"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
