@@ -248,7 +248,7 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, iterations: int
     emit = shape[:, None] * rng.uniform(0.3, 1.7, (size, states))
     emit /= emit.sum(axis=0)
     for _ in range(iterations):
-        sums = tree_sum(grids.mapInArrow(_expect(start, move, emit), "sums binary"))
+        sums = tree_sum(grids.mapInArrow(_expect(start, move, emit), "sums binary"), states + states * states + size * states)
         start = sums[:states] + 0.1
         move = sums[states : states + states * states].reshape(states, states) + 0.1
         emit = sums[states + states * states :].reshape(size, states) + 0.02 * shape[:, None] / shape.sum() * size

@@ -141,12 +141,12 @@ def train(stats: DataFrame, labels: DataFrame, label: str = "quality"):
     """The model, from all rows of labels (doc_id, label); a fifth of them, by a hash, calibrates. No labels: score 0.5."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = materialise(stats.join(marks, "doc_id").select("stats", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("held")))
-    sums = tree_sum(rows.select("stats").mapInArrow(_moments, "sums binary"))
+    sums = tree_sum(rows.select("stats").mapInArrow(_moments, "sums binary"), 1 + 2 * N_STATS)
     n = max(1.0, sums[0])
     centre = sums[1 : 1 + N_STATS] / n
     spread = np.sqrt(np.maximum(sums[1 + N_STATS :] / n - centre**2, 1e-6))
-    eq = tree_sum(rows.where("not held").select("stats", "y").mapInArrow(_equations(centre, spread), "sums binary"))
     size = FEATURES + 1
+    eq = tree_sum(rows.where("not held").select("stats", "y").mapInArrow(_equations(centre, spread), "sums binary"), size * size + size)
     penalty = np.eye(size) * RIDGE
     penalty[-1, -1] = 1e-6
     weights = np.linalg.solve(eq[: size * size].reshape(size, size) + penalty, eq[size * size :])

@@ -77,7 +77,8 @@ def _add_up(batches):
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
-def tree_sum(parts: DataFrame) -> np.ndarray:
-    """Sum of the float64 vectors in the one binary column of parts, in two levels, so that no task gets them all."""
+def tree_sum(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the float64 vectors of `size` numbers in the one binary column of parts, in two levels, so that no task gets them all."""
     first = parts.repartition(max(1, math.isqrt(parts.rdd.getNumPartitions()))).mapInArrow(_add_up, "sums binary")
-    return np.frombuffer(first.repartition(1).mapInArrow(_add_up, "sums binary").first()[0], np.float64)
+    total = first.repartition(1).mapInArrow(_add_up, "sums binary").first()
+    return np.zeros(size) if total is None else np.frombuffer(total[0], np.float64)
