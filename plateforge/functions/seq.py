@@ -71,14 +71,14 @@ def reverse_complement(seq: Column | str) -> Column:
 def translate_codons(seq: Column | str) -> Column:
     """Protein of the whole codons; X where a base is not one of ACGT (U reads as T)."""
     s = F.replace(F.upper(_c(seq)), F.lit("U"), F.lit("T"))
-    n = F.floor(F.length(s) / 3).cast("int")
 
-    def amino(i: Column) -> Column:
-        digit = lambda k: F.instr(F.lit(BASES), F.substring(s, i * 3 + k, F.lit(1))) - 1
+    # The codons are cut once, so the work is linear in the sequence.
+    def amino(codon: Column) -> Column:
+        digit = lambda k: F.instr(F.lit(BASES), F.substring(codon, k, 1)) - 1
         known = (digit(1) >= 0) & (digit(2) >= 0) & (digit(3) >= 0)
         return F.when(known, F.substring(F.lit(AMINO_ACIDS), digit(1) * 16 + digit(2) * 4 + digit(3) + 1, F.lit(1))).otherwise(F.lit("X"))
 
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), amino), "")).when(s.isNotNull(), F.lit(""))
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)..."), F.lit(0)), amino), "")
 
 
 def single_match(cigar: Column | str) -> Column:
