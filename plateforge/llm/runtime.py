@@ -22,15 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="plateforge-"))
 
 
-def materialise(df: DataFrame) -> DataFrame:
+_FORCE = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+
+
+def materialise(df: DataFrame, split_skew: bool = False) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks that read the table,
-    not the jobs before it.
+    not the jobs before it. With split_skew, a join whose partitioning a later
+    aggregation would reuse is still split where adaptive execution finds it
+    skewed, at the price of one more shuffle; other joins stay as they are.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plateforge/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_FORCE, None)
+    if split_skew:
+        spark.conf.set(_FORCE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if split_skew:
+            spark.conf.unset(_FORCE) if before is None else spark.conf.set(_FORCE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -249,9 +249,9 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     anchors = long.select("id", "unit", "text").mapInArrow(_anchors(length), "anchor long, piece long, id long, unit long, start int, n int")
     place = F.xxhash64("unit", "start")
     met = anchors.groupBy("anchor").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.min("piece").alias("q0"), F.max("piece").alias("q1"), F.min(F.struct("id", "unit", "start")).alias("first"))
-    # Written apart, so that the next join deals both sides itself and can split a hot anchor.
+    # Written apart, so that the next join deals both sides itself; a hot anchor's places are split, then aggregated.
     met = materialise(met.where("p0 <> p1").select("anchor", (F.col("q0") != F.col("q1")).alias("mixed"), "first"))
-    places = materialise(anchors.join(met, "anchor").groupBy("unit", "start", "anchor", "piece", "n", "mixed").agg(F.min("id").alias("id"), F.min("first").alias("first")))
+    places = materialise(anchors.join(met, "anchor").groupBy("unit", "start", "anchor", "piece", "n", "mixed").agg(F.min("id").alias("id"), F.min("first").alias("first")), split_skew=True)
 
     mixed = places.where("mixed")
     classes = materialise(mixed.groupBy("anchor", "piece").agg(F.min(F.struct("id", "unit", "start", "n")).alias("f"), (F.count("*") > 1).alias("many")))
