@@ -273,20 +273,18 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     runs = runs.unionByName(again.select("anchor", "piece", "lo", F.col("lo").alias("hi")))
 
     end = F.col("start") + F.col("n") - 1 + length
+    # What a piece has is whole where it repeats another row's; the one row that was compared has the runs found.
     if keep_first:
-        whole = ~F.struct("id", "unit", "start").eqNullSafe(F.col("first"))
-        plain = places.where(~F.col("mixed") & whole)
-        rest = mixed.join(classes.select("anchor", "piece", "f"), ["anchor", "piece"])
-        is_first = F.struct("id", "unit", "start", "n").eqNullSafe(F.col("f"))
-        full, partial = rest.where(~is_first), rest.where(is_first)
+        plain = places.where(~F.col("mixed") & ~F.struct("id", "unit", "start").eqNullSafe(F.col("first")))
+        full = mixed.join(classes.where("many").select("anchor", "piece", "f"), ["anchor", "piece"]).where(~F.struct("id", "unit", "start", "n").eqNullSafe(F.col("f")))
+        compared = classes
     else:
         plain = places.where("not mixed")
-        rest = mixed.join(classes.select("anchor", "piece", "many"), ["anchor", "piece"])
-        full, partial = rest.where("many"), rest.where("not many")
+        full = mixed.join(classes.where("many").select("anchor", "piece"), ["anchor", "piece"])
+        compared = classes.where("not many")
     spans = plain.select("unit", F.array("start").alias("lo"), F.array(end).alias("hi")).union(full.select("unit", F.array("start"), F.array(end)))
-    spans = spans.union(
-        partial.join(runs, ["anchor", "piece"]).select("unit", F.transform("lo", lambda x: x + F.col("start")), F.transform("hi", lambda x: x + F.col("start") + length))
-    )
+    at = compared.select("anchor", "piece", F.col("f.unit").alias("unit"), F.col("f.start").alias("start")).join(runs, ["anchor", "piece"])
+    spans = spans.union(at.select("unit", F.transform("lo", lambda x: x + F.col("start")), F.transform("hi", lambda x: x + F.col("start") + length)))
     spans = spans.groupBy("unit").agg(F.collect_list("lo").alias("los"), F.collect_list("hi").alias("his"))
 
     names = docs.columns
