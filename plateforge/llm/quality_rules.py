@@ -98,20 +98,26 @@ def _params(mean: str, factor: str) -> tuple[dict, dict]:
 
 
 def mcd(vectors: DataFrame, steps: int = STEPS, core: float = CORE) -> DataFrame:
-    """One row a key with the MCD mean (m_v), Cholesky factor (l_i_j), scale and n of its vectors."""
+    """One row a key with the MCD mean (m_v), Cholesky factor (l_i_j), scale and n of its vectors.
+
+    What vectors are joined with is written first, so that its size is known: a
+    small table is broadcast, a larger one joined by key with hot keys split, and
+    either way the rows of a key are aggregated where they are before they meet.
+    """
     start = vectors.groupBy("key").agg(F.count("*").alias("n"), *(F.percentile(d, F.lit(0.5)).alias(f"m_{d}") for d in DIMENSIONS)).where(F.col("n") >= LEAST_ROWS)
+    start = materialise(start)
     spread = vectors.join(start, "key").groupBy("key").agg(*(F.percentile(F.round(F.abs(F.col(d) - F.col(f"m_{d}")), 3), F.lit(0.5)).alias(f"s_{d}") for d in DIMENSIONS))
     size = len(DIMENSIONS)
     scale = lambda i: F.sqrt(F.pow(F.col(f"s_{DIMENSIONS[i]}") * 1.4826, 2) + FLOOR * FLOOR)
     params = start.join(spread, "key").select("key", "n", *(f"m_{d}" for d in DIMENSIONS), *((scale(i) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(size) for j in range(i + 1)))
-    params = materialise(params)
+    params = materialise(params, split_skew=True)
     for _ in range(steps):
         far = vectors.join(params, "key").withColumn("g", _grid(_distance(*_params("m_", "l_"))))
-        edge = far.groupBy("key").agg(F.percentile("g", F.lit(core)).alias("edge"))
+        edge = materialise(far.groupBy("key").agg(F.percentile("g", F.lit(core)).alias("edge")), split_skew=True)
         near = far.join(edge, "key").where("g <= edge")
         pairs = [(i, j) for i in range(size) for j in range(i + 1)]
         fitted = near.groupBy("key").agg(F.first("n").alias("n"), *(F.avg(d).alias(f"m_{d}") for d in DIMENSIONS), *(F.covar_pop(DIMENSIONS[i], DIMENSIONS[j]).alias(f"c_{i}_{j}") for i, j in pairs))
-        params = materialise(_cholesky(fitted).select("key", "n", *(f"m_{d}" for d in DIMENSIONS), *(f"l_{i}_{j}" for i, j in pairs)))
+        params = materialise(_cholesky(fitted).select("key", "n", *(f"m_{d}" for d in DIMENSIONS), *(f"l_{i}_{j}" for i, j in pairs)), split_skew=True)
     middle = vectors.join(params, "key").groupBy("key").agg(F.percentile(_grid(_distance(*_params("m_", "l_"))), F.lit(0.5)).alias("g"))
     return params.join(middle, "key").withColumn("scale", F.greatest(F.exp(F.col("g") / 50) / CHI2_MEDIAN, F.lit(1.0))).drop("g")
 
@@ -128,7 +134,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     rows = materialise(_vector(base_statistics(docs)).withColumn("group", F.to_json(F.struct("lang", "source"))).withColumn("language", F.to_json(F.struct("lang"))))
     sound = rows.where("not base_failed")
     vectors = sound.select(F.explode(F.array("group", "language")).alias("key"), *DIMENSIONS)
-    params = materialise(mcd(vectors))
+    params = materialise(mcd(vectors), split_skew=True)
     distance = (_distance(*_params("m_", "l_")) / F.col("scale")).alias("distance")
     for key in ("group", "language"):
         rows = rows.join(params.withColumnRenamed("key", "k"), F.col(key) == F.col("k"), "left").select(*rows.columns, distance.alias(f"distance_{key}"))
