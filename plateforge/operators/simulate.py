@@ -140,7 +140,9 @@ def recovery_with_resynthesis(pool: DataFrame, t1: int | None, t2: int | None =
     steps = lambda lo, hi: reps.crossJoin(F.broadcast(spark.range(lo, hi).withColumnRenamed("id", "k"))).withColumn("u", uniform(F.lit(seed), "rep", "k"))  # noqa: E731  t1 + t2 numbers
     first = draw(steps(1, t1 + 1 if resynthesis else t1 + t2 + 1), pool).select("rep", "k", "variant")
     if resynthesis:
-        unseen = reps.crossJoin(F.broadcast(pool.select("variant"))).join(first.select("rep", "variant").distinct(), ["rep", "variant"], "left_anti")
+        # The pool may be of any size: each of its rows is repeated for the replicates, and the seen go by an equi-join.
+        pairs = pool.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_reps - 1).cast("long"))).alias("rep"), "variant")
+        unseen = pairs.join(first.select("rep", "variant").distinct(), ["rep", "variant"], "left_anti")
         ranked = unseen.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("variant")) - 1)
         left = ranked.groupBy("rep").agg(F.count("*").alias("m"))
         second = steps(t1 + 1, t1 + t2 + 1).join(left, "rep").withColumn("r", F.floor(F.col("u") * F.col("m")).cast("int")).join(ranked, ["rep", "r"])

@@ -116,3 +116,18 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.well_pos, r.depth) for r in spark.table("depths").collect()] == [("1A1", 2)]
+
+
+def test_resynthesis_does_not_broadcast_the_pool(spark):
+    """No copy of the pool is sent to every executor: a broadcast of over 200 kB fails here."""
+    pool = spark.range(30_000).select(F.col("id").alias("variant"), F.lit(1.0).alias("weight"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.maxBroadcastTableSize": "200k"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        ys = [r.y for r in simulate.recovery_with_resynthesis(pool, 5, 5, True, 2).orderBy("x").collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(ys) == 10 and ys == sorted(ys) and abs(ys[-1] - 10 / 30_000) < 1 / 30_000
