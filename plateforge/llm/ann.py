@@ -173,6 +173,20 @@ def _merge(k: int):
     return run
 
 
+def _merged(found: DataFrame, parts: int, k: int) -> DataFrame:
+    return found.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(_merge(k), "class long, scores array<double>, ids array<long>")
+
+
+def _everywhere(classes: DataFrame, short: DataFrame, n: int, n_short: int, parts: int, k: int) -> DataFrame:
+    """Lists of the short classes over all n classes: each block of candidates meets each block of queries in one task."""
+    blocks, groups = -(-n // BLOCK), -(-n_short // BLOCK)
+    place = lambda count: F.pmod(F.xxhash64("class"), F.lit(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))
+    base = classes.select(every(groups).alias("other"), "class", "vec", "ids").select((place(blocks) * groups + F.col("other")).alias("task"), F.lit(False).alias("asks"), "class", "vec", "ids")
+    asking = classes.join(short, "class", "left_semi").select(every(blocks).alias("other"), "class", "vec", "ids").select((F.col("other") * groups + place(groups)).alias("task"), F.lit(True).alias("asks"), "class", "vec", "ids")
+    return base.unionByName(asking).repartition(parts, "task").sortWithinPartitions("task", "asks").mapInArrow(_search(k), "class long, scores array<double>, ids array<long>")
+
+
 def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which the condition `queries` holds.
 
@@ -181,7 +195,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, prob
     take no part. Equal vectors are indexed once, with their k + 1 smallest ids,
     which is all that any list can hold of them, so a vector that a third of the
     rows repeat is one candidate. Ties go to smaller ids; rows of one vec_id count
-    as the query's own. Fewer candidates than k: all that were met.
+    as the query's own. A query that meets fewer than k ids in its buckets is
+    compared with all vectors, so it has k rows, or all where there are fewer.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -198,7 +213,12 @@ def nearest(vectors: DataFrame, queries, k: int = 20, tables: int = TABLES, prob
     routed = classes.select("class", "vec", "ids", "asks").mapInArrow(_route(tables, probes, salts), "task long, asks boolean, class long, vec array<double>, ids array<long>")
     parts = max(1, partitions(spark))
     found = routed.repartition(parts, "task").sortWithinPartitions("task", "asks").mapInArrow(_search(k + 1), "class long, scores array<double>, ids array<long>")
-    merged = found.repartition(parts, "class").sortWithinPartitions("class").mapInArrow(_merge(k + 1), "class long, scores array<double>, ids array<long>")
+    merged = materialise(_merged(found, parts, k + 1))
+    least = min(k + 1, few.select("vec_id").distinct().limit(k + 1).count())
+    short = merged.where(F.size("ids") < least).select("class")
+    if n_short := short.count():
+        exact = _merged(_everywhere(classes, short, n, n_short, parts, k + 1), parts, k + 1)
+        merged = merged.where(F.size("ids") >= least).unionByName(exact)
     lists = merged.join(classes.where("asks").select("class", "vec"), "class").select("vec", F.arrays_zip("scores", "ids").alias("near"))
     other = F.slice(F.filter("near", lambda x: x["ids"] != F.col("query_id")), 1, k)
     return asking.join(lists, "vec").select("query_id", F.posexplode(other)).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.ids").alias("vec_id"), F.col("col.scores").alias("score"))

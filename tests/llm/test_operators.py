@@ -343,6 +343,19 @@ def test_nearest(spark):
     assert few.count() <= 4 and ann.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("block", [4000, 3])
+def test_nearest_of_small_tables(spark, monkeypatch, block):
+    """Where buckets hold too few, all vectors are compared: exact lists of all candidates, or of 20."""
+    monkeypatch.setattr(ann, "BLOCK", block)
+    x = np.random.default_rng(5).normal(size=(21, 64))
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    for n in (1, 5, 15, 21):
+        got = {}
+        for r in ann.nearest(frame.where(F.col("vec_id") < n), F.lit(True)).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert got == {q: sorted(set(range(n)) - {q}, key=lambda v: -(x[v] @ x[q])) for q in range(n) if n > 1}
+
+
 def test_kernel_blocks():
     import pyarrow as pa
 
