@@ -289,11 +289,12 @@ SELECT well, string_agg(base, '' ORDER BY place) AS cons_seq, CAST(min(place) AS
 
 
 def funnel(spark, sf_dir):
-    return simulate.funnel(spark, 200, 200, scale=2, fold=2, semantics="documented")
+    return simulate.funnel(spark)
 
 
 def coverage_sweep(spark, sf_dir):
-    return simulate.coverage_sweep(spark, [0.5, 1.0, 2.0], 100, 50, scale=5, p_grow=0.67, p_incorrect=0.1, semantics="documented")
+    folds = [(1 + 4999 * i / 24) / 328 for i in range(25)]  # 1 to 5000 wells
+    return simulate.coverage_sweep(spark, folds, n_sims=10_000, scale=30, p_grow=0.67, p_incorrect=0.1)
 
 
 def streamed_depths(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Every query with SQL agrees with DuckDB on the same tables."""
 
+import inspect
 import os
 
 import duckdb
@@ -32,3 +33,21 @@ def test_query_matches_sql(spark, name):
     columns = [c[0] for c in wanted.description]
     assert sorted(columns) == sorted(found.columns)
     assert _rows(found.columns, [tuple(r) for r in found.collect()]) == _rows(columns, wanted.fetchall())
+
+
+def test_simulations_have_the_reference_volumes(spark, monkeypatch):
+    """funnel and coverage_sweep run as often, and over as much, as the reference by default, as it is coded."""
+    asked, real = [], catalog.simulate.funnel
+
+    def spy(session, *args, **options):
+        call = inspect.signature(real).bind(session, *args, **options)
+        call.apply_defaults()
+        asked.append(call.arguments)
+        return real(session, 1, 2)
+
+    monkeypatch.setattr(catalog.simulate, "funnel", spy)
+    catalog.queries()["funnel"](spark, SF)
+    catalog.queries()["coverage_sweep"](spark, SF)
+    volumes = [(a["n_sims"], a["lib_size"], a["scale"], a["semantics"]) for a in asked]
+    assert volumes == [(10_000, 1000, 50, "coded")] + [(10_000, 328, 30, "coded")] * 25
+    assert asked[0]["fold"] == 10 and [round(a["fold"] * 328, 6) for a in asked[1::24]] == [1, 5000]
