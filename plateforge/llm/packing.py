@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_dedup
 from .runtime import partitions
 
 CAPACITY = 2048
@@ -96,6 +97,10 @@ def _pack(capacity: int):
     return run
 
 
+def _normal(text: str):
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")))
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None) -> DataFrame:
     """(doc_id, piece, first_token, n_tokens, bin_id, bin_offset, left_then): where each piece of each document lies.
 
@@ -109,7 +114,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None)
     each leaves at most its last bins underfull and memory is bounded by a group.
     """
     text = F.coalesce("text", F.lit(""))
-    key = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(F.lower(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))))
+    key = F.xxhash64(F.col(cluster)) if cluster else F.xxhash64(_normal("text"))
     groups = max(1, -(-docs.count() // GROUP_ITEMS))
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.regexp_count(text, F.lit(_WORD)) + 1).alias("size"), "source", key.alias("cluster"), F.length(text).alias("length"))
     items = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "length"), F.lit(groups)))
@@ -119,4 +124,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Clusters are near-duplicate components; rows without an id or words, which have none, go by their text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    near = near_dedup.near_duplicates(docs).where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    # A row that repeats an id with no words takes that id's component: it is the same document.
+    rows = docs.withColumn("node", F.col("doc_id").cast("long")).join(near.withColumnRenamed("doc_id", "node"), "node", "left")
+    cluster = F.when(F.col("component").isNotNull(), F.struct(F.lit("").alias("text"), F.col("component").alias("id"))).otherwise(F.struct(_normal("text").alias("text"), F.lit(None).cast("long").alias("id")))
+    return pack(rows.select("doc_id", "text", "source", cluster.alias("cluster")), cluster="cluster")

@@ -178,6 +178,15 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    """A copy with one word changed, of another source, is of the same cluster for op3_packing."""
+    text = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(text), "a"), (2, " ".join([*text[:-1], "changed"]), "b"), (None, None, "c")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = {r.doc_id: r.bin_id for r in packing.op3_packing(spark, str(tmp_path)).collect()}
+    assert set(bins) == {1, 2, None} and bins[1] != bins[2]
+
+
 def test_best_fit_takes_the_tightest():
     rng = np.random.default_rng(3)
     items = sorted(((int(n), int(s), int(c)) for n, s, c in zip(rng.integers(1, 60, 300), rng.integers(0, 9, 300), rng.integers(0, 80, 300), strict=True)), key=lambda x: -x[0])
