@@ -3,23 +3,17 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from ..storage import remove, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    return _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="plateforge-"))
+#: Folders of the tables that this driver wrote and has not removed.
+_PATHS: set[str] = set()
 
 
 _FORCE = "spark.sql.adaptive.forceOptimizeSkewedJoin"
@@ -43,7 +37,34 @@ def materialise(df: DataFrame, split_skew: bool = False) -> DataFrame:
     finally:
         if split_skew:
             spark.conf.unset(_FORCE) if before is None else spark.conf.set(_FORCE, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    _PATHS.add(path)
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of materialise() that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table.written_at)
+        _PATHS.discard(table.written_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every table that materialise() wrote for this driver, once results are taken or written."""
+    for path in list(_PATHS):
+        remove(spark, path)
+        _PATHS.discard(path)
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def wide(table: DataFrame, rows_a_task: int) -> int:
+    """Partitions for a shuffle by a fixed count: the session's number, or more where the (written) table has many rows."""
+    return max(1, partitions(table.sparkSession), -(-table.count() // rows_a_task))
 
 
 def partitions(spark: SparkSession) -> int:

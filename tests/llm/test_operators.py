@@ -110,10 +110,11 @@ def brute_repeats(rows, length, keep_first):
     return out
 
 
-@pytest.mark.parametrize("hot", [8000, 0])
+@pytest.mark.parametrize("pieces", [2000, 3, 0])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_repeats(docs, empty, monkeypatch, keep_first, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_PIECES", hot)
+def test_repeats(docs, empty, monkeypatch, keep_first, pieces):
+    """Groups of any size: in one array, divided until 3 pieces are left, or divided down to single windows."""
+    monkeypatch.setattr(suffix_dedup, "ARRAY_PIECES", pieces)
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     if keep_first:  # rows of one doc_id count as one
         docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
@@ -129,6 +130,61 @@ def test_repeats(docs, empty, monkeypatch, keep_first, hot):
     assert suffix_dedup.strip_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("copies", [20, 80, 320])
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_repeats_of_near_copies(spark, monkeypatch, keep_first, copies):
+    """A group of near copies at 1, 4 and 16 times a size, divided alike: brute force agrees, and rows of a round stay in proportion to the copies."""
+    monkeypatch.setattr(suffix_dedup, "ARRAY_PIECES", 8)
+    rng = np.random.default_rng(copies)
+    text = rng.integers(97, 123, 1500).astype(np.uint8)
+    rows = []
+    for i in range(copies):
+        copy = text.copy()
+        for at in rng.integers(0, 1500, 2):
+            copy[at] = 65 + i % 26
+        rows.append((i, copy[: rng.integers(900, 1501)].tobytes().decode()))
+    sizes, real = [], suffix_dedup.materialise
+
+    def spy(df, **options):
+        found = real(df, **options)
+        if df.columns == suffix_dedup._HALF_COLUMNS:
+            sizes.append(found.count())
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "materialise", spy)
+    got = suffix_dedup.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), keep_first=keep_first).collect()
+    want = brute_repeats([(i, t.encode()) for i, t in rows], 200, keep_first)
+    assert {r.row.doc_id: [bytes(r.kept)] for r in got} == want
+    assert 1 <= len(sizes) <= 8 and sum(sizes) <= 60 * copies
+
+
+def test_longest_factors():
+    """The arrays against their definition, on a text of few letters and at some of its positions only."""
+    rng = np.random.default_rng(1)
+    raw = rng.integers(97, 99, 260).astype(np.uint8)
+    at = np.sort(rng.choice(200, 90, replace=False))
+    previous, later = suffix_dedup.longest_factors(suffix_dedup.rank_levels(raw, 40), at, 40)
+    text = raw.tobytes()
+
+    def common(i, j):
+        n = 0
+        while n < 40 and max(i, j) + n < len(text) and text[i + n] == text[j + n]:
+            n += 1
+        return n if n == 40 else n // 8 * 8
+
+    for k, i in enumerate(at):
+        assert previous[k] == max([common(i, j) for j in at[:k]], default=0)
+        assert later[k] == max([common(i, j) for j in at[k + 1 :]], default=0)
+
+
+def test_smaller_neighbours():
+    values = np.random.default_rng(2).permutation(300)
+    before, after = suffix_dedup.smaller_neighbours(values)
+    for i, v in enumerate(values):
+        assert before[i] == max((j for j in range(i) if values[j] < v), default=-1)
+        assert after[i] == min((j for j in range(i + 1, 300) if values[j] < v), default=300)
+
+
 def test_suffix_ranks():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 300).astype(np.uint8)
@@ -349,7 +405,7 @@ def test_nearest(spark):
     hot = [v for _, v, _ in got[0]]
     assert hot == list(range(100, 160, 3))
     few = ann.nearest(frame.where("vec_id < 5"), F.col("vec_id") % 20 == 0)
-    assert few.count() <= 4 and ann.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+    assert few.count() == 4 and ann.nearest(frame.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
 @pytest.mark.parametrize("block", [4000, 3])
@@ -365,6 +421,42 @@ def test_nearest_of_small_tables(spark, monkeypatch, block):
         assert got == {q: sorted(set(range(n)) - {q}, key=lambda v: -(x[v] @ x[q])) for q in range(n) if n > 1}
 
 
+def test_nearest_of_odd_lengths(spark):
+    """Vectors of another length than most take no part, even where lengths add up to whole rows."""
+    x = np.random.default_rng(6).normal(size=(40, 24))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(100, [1.0] * 23), (101, [1.0] * 25), (102, []), (120, [1.0] * 48)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    y = np.array([r[1] for r in rows[:40]], np.float32).astype(float)
+    assert got == {q: sorted(set(range(40)) - {q}, key=lambda v: -(y[v] @ y[q]))[:3] for q in (0, 20)}
+
+
+def test_full_buckets_are_divided(spark, monkeypatch):
+    """A tight cloud of unlike vectors fills one bucket of each table: its parts give what the whole gives."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(1, 16)) + 1e-3 * rng.normal(size=(500, 16)), rng.normal(size=(100, 16))])
+    frame = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    search = lambda: sorted(map(tuple, ann.nearest(frame, F.col("vec_id") % 20 == 0).collect()))
+    whole = search()
+    monkeypatch.setattr(ann, "BLOCK", 60)
+    monkeypatch.setattr(ann, "HELD_PAIRS", 500)
+    assert search() == whole and len(whole) == 30 * 20
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    assert np.mean([v in np.argsort(-score[q])[:20] for q, _, v, _ in whole]) >= 0.9
+
+
+def test_layout_meets_a_falling_share():
+    shares = []
+    for n in (2_000, 50_000, 10**6, 10**9):
+        hashes, probes = ann.layout(n, 64)
+        assert n / math.prod(hashes) <= 2 * ann.BUCKET_ROWS
+        shares.append(probes / math.prod(hashes))
+    assert shares == sorted(shares, reverse=True) and shares[-1] < shares[0] / 100
+
+
 def test_kernel_blocks():
     import pyarrow as pa
 
