@@ -299,13 +299,48 @@ def test_mcd_finds_outliers(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(0, 1, (600, 4)) @ np.diag([1, 0.5, 0.3, 0.2])
     x[:100] += [0, 6, 6, 6]
-    frame = spark.createDataFrame([("k", *map(float, row)) for row in np.round(x, 3)], "key string, v0 double, v1 double, v2 double, v3 double")
-    p = quality_rules.mcd(frame).first()
+    frame = spark.createDataFrame([("k", "l", *map(float, row)) for row in np.round(x, 3)], "group string, language string, v0 double, v1 double, v2 double, v3 double")
+    found = quality_rules.estimates(frame)
+    p = found.first()
     assert max(abs(p[f"m_v{i}"]) for i in range(4)) < 0.3
-    far = frame.join(quality_rules.mcd(frame), "key").select((quality_rules._distance(*quality_rules._params("m_", "l_")) / F.col("scale")).alias("d"), "v1").collect()
+    far = frame.join(found, frame["group"] == found["key"]).select((quality_rules._distance(*quality_rules._params()) / F.col("scale")).alias("d"), "v1").collect()
     assert np.mean([r.d > 30 for r in far if r.v1 > 3]) > 0.95 and np.mean([r.d > 30 for r in far if r.v1 < 2]) < 0.01
 
 
+def test_mcd_against_all_subsets(spark):
+    """Groups of 13 rows, 3 of them far off: the determinant is (nearly) the least of all cores of 10, and no far row is in the core."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for g in range(8):
+        x = np.round(rng.normal(0, 1, (13, 4)) @ rng.normal(0, 1, (4, 4)), 3)
+        x[:3] += rng.choice([-40, 40], 4)
+        rows += [(f"g{g}", *map(float, r)) for r in x]
+        floor = np.eye(4) * quality_rules.FLOOR**2
+        want[f"g{g}"] = min((np.linalg.det(np.cov(x[list(c)].T, bias=True) + floor), x[list(c)].mean(axis=0).tolist()) for c in itertools.combinations(range(13), 10))
+    got = quality_rules.mcd(spark.createDataFrame(rows, "key string, v0 double, v1 double, v2 double, v3 double")).collect()
+    assert len(got) == 8
+    for r in got:
+        det, mean = want[r.key]
+        assert det * (1 - 1e-9) <= r.det <= 1.05 * det
+        assert np.allclose([r[f"m_v{i}"] for i in range(4)], mean, atol=1e-6) or r.det > det
+
+
+def test_quality_rules_of_small_groups(spark):
+    """Each source of a few rows has an estimate of its own, near its language's: a far row goes, a near one stays, even alone in its source."""
+    rng = np.random.default_rng(9)
+    text = lambda mark: " ".join(f"w{x}{mark}" for x in rng.integers(0, 5000, 120))
+    rows = [(i, text(""), "en", f"s{i // 3}") for i in range(150)] + [(900, text("###$$$"), "en", "lone"), (901, text(""), "en", "alone"), (902, text("|||%%%"), "en", "s3"), (903, text(""), None, None)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, r in got.items() if not r.kept} == {900, 902} and all(r.distance is not None for r in got.values())
+
+
+def test_cut_leaves_its_tail():
+    x = quality_rules.cut(1e-6)
+    assert math.isclose((1 + x / 2) * math.exp(-x / 2), 1e-6, rel_tol=1e-9) and 59 < quality_rules.cut() < 61
+
+
 def test_quality_classifier(spark, docs, empty):
     rng = np.random.default_rng(7)
     good = lambda: ". ".join(" ".join(f"w{x}" for x in rng.integers(0, 500, 9)) for _ in range(8))
