@@ -200,6 +200,11 @@ def estimates(vectors: DataFrame) -> DataFrame:
     return materialise(third.select("key", *(f"m_{d}" for d in DIMENSIONS), *(f"l_{i}_{j}" for i, j in _PAIRS), F.exp("log_scale").alias("scale")))
 
 
+def _name(*columns: str) -> Column:
+    """A key of the columns' values, null among them; keys of other columns are others."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base statistics, base_failed, distance and kept of every row of docs.
 
@@ -209,7 +214,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Repeated rows count as often as they stand; extra columns are not looked at.
     Texts of any length are taken whole. No rows in, no rows out.
     """
-    rows = materialise(_vector(base_statistics(docs)).withColumn("group", F.to_json(F.struct("lang", "source"))).withColumn("language", F.to_json(F.struct("lang"))))
+    rows = materialise(_vector(base_statistics(docs)).withColumn("group", _name("lang", "source")).withColumn("language", _name("lang")))
     found = estimates(rows.where("not base_failed").select("group", "language", *DIMENSIONS))
     far = F.when(F.col("key").isNotNull(), _distance(*_params()) / F.col("scale"))
     rows = _joined(rows, found, F.col("group") == F.col("key"), "left").withColumn("distance", far)
