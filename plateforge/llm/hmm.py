@@ -5,8 +5,8 @@ each, all others share the class of their last two bytes. Latent states emit
 classes; within a class a word has its add-one share of the class's training
 tokens, unseen words one share together. Counts of all words cover the whole
 training corpus and stay distributed; Baum-Welch counts of transitions and class
-emissions are summed over partitions; the scaled forward recursion then gives
-each whole text's exact likelihood.
+emissions, over whole texts, are summed over partitions until the likelihood has
+settled; the scaled forward recursion then gives each whole text's exact likelihood.
 """
 
 from __future__ import annotations
@@ -17,16 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .runtime import materialise, partitions, tree_sum
+from .runtime import discard, materialise, tree_sum, wide
 from .toxicity import fold
 
 STATES = 6
 #: Words that are a class of their own, and classes of word endings.
 FREQUENT = 4096
 ENDINGS = 512
-ITERATIONS = 3
-#: Tokens that one step of the training recursion runs over; longer texts are cut for training only.
-SEGMENT = 64
+#: Baum-Welch ends where an iteration gains less than so many nats a token, or after so many.
+SETTLED = 5e-3
+MOST_ITERATIONS = 40
+#: Tokens of whole texts that the training recursion runs over at a time; a longer text stands alone.
+BATCH_TOKENS = 1 << 18
 #: Rows of documents that look their words up together.
 CHUNK_ROWS = 2000
 #: The end token's place among the hashes.
@@ -91,66 +93,123 @@ def _classes(h: np.ndarray, ending: np.ndarray, frequent: np.ndarray) -> np.ndar
     return np.where(frequent[at] == h, at, FREQUENT + ending)
 
 
-def _segments(frequent: np.ndarray):
-    """Training texts to their class sequences, cut to SEGMENT tokens and padded by -1: one row of int16 a block."""
+def lay_out(klass: np.ndarray, lengths: np.ndarray):
+    """Texts (end to end) in runs of about BATCH_TOKENS, longest first: (classes by place in the text, then by text; lengths; which texts)."""
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    order = np.argsort(-lengths, kind="stable")
+    upto = np.cumsum(lengths[order])
+    run = upto // BATCH_TOKENS
+    for part in np.split(order, np.flatnonzero(np.diff(run)) + 1):
+        n = lengths[part]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text = np.repeat(np.arange(len(part)), n)
+        by_place = np.lexsort((text, at))
+        yield klass[first[part[text]] + at][by_place].astype(np.int16), n.astype(np.int32), part
+
+
+def _sequences(frequent: np.ndarray):
+    """Training texts to their class sequences, as lay_out leaves them: one row a run."""
 
     def run(batches):
         for batch in batches:
-            for _, h, ending, first in _tokens(batch.column(0)):
-                klass = _classes(h, ending, frequent)
-                n = np.diff(first)
-                pieces = -(-n // SEGMENT)
-                base = np.concatenate([[0], np.cumsum(pieces)])
-                owner = np.repeat(np.arange(len(n)), n)
-                at = np.arange(len(h)) - first[owner]
-                grid = np.full((base[-1], SEGMENT), -1, np.int16)
-                grid[base[owner] + at // SEGMENT, at % SEGMENT] = klass
-                starts = np.zeros(base[-1], bool)
-                starts[base[:-1]] = True
-                yield pa.RecordBatch.from_arrays([pa.array([grid.tobytes()], pa.binary()), pa.array([starts.tobytes()], pa.binary())], names=["grid", "starts"])
+            parts = [(_classes(h, ending, frequent).astype(np.int16), np.diff(first)) for _, h, ending, first in _tokens(batch.column(0))]
+            if parts:
+                for klass, n, _ in lay_out(*(np.concatenate(x) for x in zip(*parts, strict=True))):
+                    yield pa.RecordBatch.from_arrays([pa.array([klass.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["classes", "lengths"])
 
     return run
 
 
+def _places(lengths: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """Texts with a token at each place, as an array and a list, and where each place begins."""
+    live = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    return live, live.tolist(), [0, *np.cumsum(live).tolist()]
+
+
+def _messages(seen: np.ndarray, live: list[int], at: list[int], start: np.ndarray, move: np.ndarray):
+    """Scaled forward messages of every token, and the scales, whose logarithms add up to the likelihood."""
+    alpha, scale, ones = np.empty_like(seen), np.empty((len(seen), 1), seen.dtype), np.ones((len(start), 1), seen.dtype)
+    for t, n in enumerate(live):
+        lo = at[t]
+        now, size = alpha[lo : lo + n], scale[lo : lo + n]
+        if t:
+            np.matmul(last[:n], move, out=now)  # noqa: F821  bound by the place before
+        else:
+            now[:] = start
+        now *= seen[lo : lo + n]
+        np.matmul(now, ones, out=size)
+        now /= size
+        last = now  # noqa: F841
+    return alpha, scale
+
+
+def expected_counts(klass: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
+    """Starts, transitions, (class, state) emissions and log likelihood of whole texts that lie as lay_out leaves them.
+
+    Messages are of the parameters' precision, sums are double.
+    """
+    k = len(start)
+    many, live, at = _places(lengths)
+    seen = np.take(emit, klass, axis=0)
+    alpha, scale = _messages(seen, live, at, start, move)
+    ahead, back = np.divide(seen, scale, out=seen), np.ascontiguousarray(move.T)
+    beta = np.ones_like(alpha)
+    for t in range(len(live) - 2, -1, -1):
+        lo, hi, n = at[t], at[t + 1], live[t + 1]
+        now = ahead[hi : hi + n]
+        now *= beta[hi : hi + n]
+        np.matmul(now, back, out=beta[lo : lo + n])
+    later = np.arange(live[0], len(klass))
+    before = later - np.repeat(many[:-1], many[1:])  # the same text's token at the place before
+    pairs = np.zeros((k, k))
+    for lo in range(0, len(later), 8192):
+        part = slice(lo, lo + 8192)
+        pairs += np.take(alpha, before[part], axis=0).T @ ahead[later[part]]
+    gamma = np.multiply(alpha, beta, out=alpha)
+    flat = klass.astype(np.int64)
+    emitted = np.stack([np.bincount(flat, gamma[:, s], emit.shape[0]) for s in range(k)], axis=1)
+    return gamma[: live[0]].sum(axis=0, dtype=np.float64), move * pairs, emitted, float(np.log(scale, dtype=np.float64).sum())
+
+
 def _expect(start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-    """Expected counts (starts, transitions, class emissions) of the segments of a partition, as one vector."""
-    k, classes = len(start), emit.shape[0]
-    stationary = np.linalg.matrix_power(move, 64)[0]
+    """The expected counts of a partition and its log likelihood, as one vector."""
+
+    model = [x.astype(np.float32) for x in (start, move, emit)]
 
     def run(batches):
-        first, pairs, out = np.zeros(k), np.zeros((k, k)), np.zeros((classes, k))
+        total = 0.0
         for batch in batches:
-            for raw, mark in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                grid = np.frombuffer(raw, np.int16).reshape(-1, SEGMENT).T
-                begins = np.frombuffer(mark, bool)
-                there = grid >= 0
-                seen = emit[np.maximum(grid, 0)] * there[:, :, None] + ~there[:, :, None]
-                alpha = np.empty(seen.shape)
-                scale = np.empty(grid.shape)
-                a = np.where(begins[:, None], start, stationary) * seen[0]
-                for t in range(SEGMENT):
-                    if t:
-                        a = (alpha[t - 1] @ move) * seen[t]
-                    scale[t] = a.sum(axis=1)
-                    alpha[t] = a / scale[t][:, None]
-                beta = np.ones((grid.shape[1], k))
-                gamma = alpha.copy()
-                for t in range(SEGMENT - 2, -1, -1):
-                    ahead = beta * seen[t + 1] / scale[t + 1][:, None]
-                    both = there[t + 1]
-                    pairs += move * (alpha[t][both].T @ ahead[both])
-                    beta = np.where(both[:, None], ahead @ move.T, 1.0)
-                    gamma[t] *= beta
-                gamma /= gamma.sum(axis=2, keepdims=True)
-                first += gamma[0][begins].sum(axis=0)
-                flat, weight = grid[there], gamma[there]
-                for s in range(k):
-                    out[:, s] += np.bincount(flat, weight[:, s], classes)
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([first, pairs.ravel(), out.ravel()]).tobytes()], pa.binary())], names=["sums"])
+            for klass, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = expected_counts(np.frombuffer(klass, np.int16), np.frombuffer(lengths, np.int32), *model)
+                total = total + np.concatenate([np.ravel(x) for x in found])
+        if np.ndim(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     return run
 
 
+def baum_welch(sequences: DataFrame, shape: np.ndarray, tokens: int, states: int, most: int = MOST_ITERATIONS):
+    """(start, move, emit, objective after each iteration): the objective, log likelihood and log prior, never falls."""
+    size = len(shape)
+    rng = np.random.default_rng(4)
+    start, move = np.full(states, 1 / states), np.full((states, states), 0.4 / states) + np.eye(states) * 0.6
+    emit = shape[:, None] * (rng.gamma(0.3, 1.0, (size, states)) + 0.01)  # states unlike enough to part soon
+    emit /= emit.sum(axis=0)
+    # Pseudo-counts: a Dirichlet prior that keeps every probability above zero.
+    prior = 0.02 * shape[:, None] / shape.sum() * size
+    gained: list[float] = []
+    for _ in range(most):
+        sums = tree_sum(sequences.mapInArrow(_expect(start, move, emit), "sums binary"), states + states * states + size * states + 1)
+        gained.append(sums[-1] + 0.1 * (np.log(start).sum() + np.log(move).sum()) + (prior * np.log(emit)).sum())
+        if len(gained) > 1 and gained[-1] - gained[-2] < SETTLED * max(1, tokens):
+            break
+        start = sums[:states] + 0.1
+        move = sums[states : states + states * states].reshape(states, states) + 0.1
+        emit = sums[states + states * states : -1].reshape(size, states) + prior
+        start, move, emit = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+    return start, move, emit, gained
+
+
 def _forward(model: dict):
     """Rows sorted by (chunk, kind): a chunk's word counts, then its texts; to one scored row a text."""
     start, move, emit = model["start"], model["move"], model["emit"]
@@ -159,6 +218,7 @@ def _forward(model: dict):
     n, v = model["n"], model["v"]
 
     def score(column, held, words, counts):
+        out, sequences = [], []
         for lo, h, ending, first in _tokens(column):
             klass = _classes(h, ending, frequent)
             own = klass < FREQUENT
@@ -173,21 +233,16 @@ def _forward(model: dict):
             c = np.where(~own & (c == 0) & ~held[lo + owner], 1, c)
             base = np.log10((c + 1) / (n + (v + 1)))
             inner = np.where(own, 0.0, np.log10((c + 1) / mass[np.maximum(klass - FREQUENT, 0)]))
-            length = np.diff(first)
-            order = np.argsort(-length, kind="stable")
-            total = np.zeros(len(length))
-            alpha = np.tile(start, (len(length), 1))
-            for t in range(length.max(initial=0)):
-                live = int(np.searchsorted(-length[order], -t, side="left"))
-                rows = order[:live]
-                if t:
-                    alpha = alpha[:live] @ move
-                alpha = alpha[:live] * emit[klass[first[rows] + t]]
-                size = alpha.sum(axis=1)
-                alpha /= size[:, None]
-                total[rows] += np.log10(size)
-            sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  every text has its end token
-            yield length, sums((c > 0).astype(np.int64)), sums(base), total + sums(inner)
+            sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731  every text has its end token
+            out.append((np.diff(first), sums((c > 0).astype(np.int64)), sums(base), sums(inner)))
+            sequences.append(klass.astype(np.int16))
+        length, found, base, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        for klass, lengths, texts in lay_out(np.concatenate(sequences), length):
+            _, live, at = _places(lengths)
+            _, scale = _messages(np.take(emit, klass, axis=0), live, at, start, move)
+            which = np.arange(len(klass)) - np.repeat(at[:-1], live)
+            score[texts] += np.bincount(which, np.log10(scale[:, 0]), len(texts))
+        return length, found, base, score
 
     def run(batches):
         chunk, words, counts = None, [], []
@@ -209,18 +264,21 @@ def _forward(model: dict):
                     order = np.argsort(w)
                     ready, words, counts = (w[order], c[order]), [], []
                 held = part.column(4).to_numpy(zero_copy_only=False).astype(bool)
-                out = [np.concatenate(x) for x in zip(*score(part.column(6), held, *ready), strict=True)]
+                out = score(part.column(6), held, *ready)
                 yield pa.RecordBatch.from_arrays([part.column(5), pa.array(held), pa.array(out[0].astype(np.int64)), pa.array(out[1]), pa.array(out[2]), pa.array(out[3])], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, states: int = STATES, iterations: int = MOST_ITERATIONS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns where held_out is false.
 
     Null and empty texts are one end token. With no training rows all counts are
-    zero and the model is uniform over its classes. Repeated rows count as often
-    as they stand; extra columns are not looked at.
+    zero and the model is uniform over its classes; no rows in, no rows out.
+    Repeated rows count as often as they stand; extra columns are not looked at.
+    Texts of any length are trained on and scored whole. The classes are as many at
+    any size of the corpus (FREQUENT words and ENDINGS); what grows with it is the
+    table of word counts, which decide within a class.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
@@ -238,26 +296,18 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, iterations: int
     for r in rest.groupBy("ending").agg((F.sum("c") + F.count("*")).alias("m")).collect():  # ENDINGS rows at most
         mass[r["ending"]] += r["m"]
 
-    grids = materialise(training.mapInArrow(_segments(frequent), "grid binary, starts binary"))
-    size = FREQUENT + ENDINGS
-    rng = np.random.default_rng(4)
-    shape = np.full(size, 0.1)
+    shape = np.full(FREQUENT + ENDINGS, 0.1)
     shape[: len(known)] += known
     shape[FREQUENT:] += mass - 1
-    start, move = np.full(states, 1 / states), np.full((states, states), 0.4 / states) + np.eye(states) * 0.6
-    emit = shape[:, None] * rng.uniform(0.3, 1.7, (size, states))
-    emit /= emit.sum(axis=0)
-    for _ in range(iterations):
-        sums = tree_sum(grids.mapInArrow(_expect(start, move, emit), "sums binary"), states + states * states + size * states)
-        start = sums[:states] + 0.1
-        move = sums[states : states + states * states].reshape(states, states) + 0.1
-        emit = sums[states + states * states :].reshape(size, states) + 0.02 * shape[:, None] / shape.sum() * size
-        start, move, emit = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+    sequences = materialise(training.mapInArrow(_sequences(frequent), "classes binary, lengths binary"))
+    start, move, emit, _ = baum_welch(sequences, shape, n, states, iterations)
+    discard(sequences)
 
     wanted = rows.select("chunk", "held", "text").mapInArrow(_wanted(frequent), "chunk long, h long, held boolean")
     found = wanted.join(counts, "h").where("c > 1 or held").select("chunk", F.lit(0).alias("kind"), "h", "c", F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     texts = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), "held", "doc_id", "text")
-    dealt = found.union(texts).repartition(max(1, partitions(spark)), "chunk").sortWithinPartitions("chunk", "kind")
+    # A task has some tens of chunks at any number of rows.
+    dealt = found.union(texts).repartition(wide(rows, 20 * CHUNK_ROWS), "chunk").sortWithinPartitions("chunk", "kind")
     model = {"start": start, "move": move, "emit": emit, "frequent": frequent, "known": known, "mass": mass, "n": n, "v": v}
     scored = dealt.mapInArrow(_forward(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

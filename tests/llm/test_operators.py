@@ -396,6 +396,72 @@ def test_forward_is_exact():
     assert math.isclose(got, math.log10(total), rel_tol=1e-9)
 
 
+def test_expected_counts_are_those_of_all_paths():
+    """Two states and short texts: sums over every state path; longer texts than one step of anything, one by one and together."""
+    import itertools
+
+    rng = np.random.default_rng(10)
+    k, size = 2, 7
+    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(size), k).T
+    texts = [rng.integers(0, size, n) for n in (9, 1, 4, 9, 2)]
+    first, pairs, emitted, total = np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0
+    for text in texts:
+        paths = {p: start[p[0]] * math.prod(emit[w, s] for w, s in zip(text, p, strict=True)) * math.prod(move[a, b] for a, b in itertools.pairwise(p)) for p in itertools.product(range(k), repeat=len(text))}
+        whole = sum(paths.values())
+        total += math.log(whole)
+        for p, value in paths.items():
+            first[p[0]] += value / whole
+            for a, b in itertools.pairwise(p):
+                pairs[a, b] += value / whole
+            for w, s in zip(text, p, strict=True):
+                emitted[w, s] += value / whole
+    (run,) = hmm.lay_out(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for got, want in zip(hmm.expected_counts(*run[:2], start, move, emit), (first, pairs, emitted, total), strict=True):
+        assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_expected_counts_of_long_texts(monkeypatch):
+    """Texts of hundreds of tokens: posteriors of an unscaled recursion in logarithms, whole texts in one run or in several."""
+    rng = np.random.default_rng(11)
+    k, size = 3, 20
+    start, move, emit = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(size), k).T
+    texts = [rng.integers(0, size, n) for n in (700, 65, 64, 300, 1)]
+    want = [np.zeros(k), np.zeros((k, k)), np.zeros((size, k)), 0.0]
+    over = lambda x: np.logaddexp.reduce(x, axis=0)
+    for text in texts:
+        forward = [np.log(start) + np.log(emit[text[0]])]
+        for w in text[1:]:
+            forward.append(over(forward[-1][:, None] + np.log(move)) + np.log(emit[w]))
+        backward = [np.zeros(k)]
+        for w in text[:0:-1]:
+            backward.insert(0, over((np.log(move) + np.log(emit[w]) + backward[0]).T))
+        whole = over(forward[-1])
+        want[0] += np.exp(forward[0] + backward[0] - whole)
+        for t, w in enumerate(text):
+            want[2][w] += np.exp(forward[t] + backward[t] - whole)
+            if t:
+                want[1] += np.exp(forward[t - 1][:, None] + np.log(move) + np.log(emit[w]) + backward[t] - whole)
+        want[3] += whole
+    for tokens in (1 << 18, 400):
+        monkeypatch.setattr(hmm, "BATCH_TOKENS", tokens)
+        got = [0.0] * 4
+        for run in hmm.lay_out(np.concatenate(texts), np.array([len(t) for t in texts])):
+            got = [a + b for a, b in zip(got, hmm.expected_counts(*run[:2], start, move, emit), strict=True)]
+        assert all(np.allclose(a, b, rtol=1e-7) for a, b in zip(got, want, strict=True))
+
+
+def test_training_settles(spark):
+    """The objective never falls, and the last gain is below the limit, well before the most iterations."""
+    rng = np.random.default_rng(12)
+    texts = [" ".join(rng.choice(["aa", "bb"] if i % 2 else ["cc", "dd", "ee"], 90)) for i in range(60)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    sequences = runtime.materialise(frame.mapInArrow(hmm._sequences(np.zeros(0, np.int64)), "classes binary, lengths binary"))
+    shape, tokens = np.full(hmm.FREQUENT + hmm.ENDINGS, 1.0), 60 * 91
+    *_, gained = hmm.baum_welch(sequences, shape, tokens, 3)
+    assert all(b >= a - 1e-4 * abs(a) for a, b in zip(gained, gained[1:], strict=False))
+    assert 3 <= len(gained) < hmm.MOST_ITERATIONS and gained[-1] - gained[-2] < hmm.SETTLED * tokens
+
+
 def test_bpe(spark, docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
