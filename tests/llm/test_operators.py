@@ -276,6 +276,51 @@ def test_secrets(spark, docs, empty):
     assert secrets.redact(docs).columns == docs.columns and secrets.redact(docs).count() == docs.count() and secrets.redact(empty).count() == 0
 
 
+def test_linked_parts_are_those_of_all_pairs(spark):
+    """The sweep against the rules over every pair of parts of a text, at and around the scope, with many parts and non-ASCII text."""
+    rng = np.random.default_rng(13)
+    kinds = ['token="abcdef1"', "AKIA" + "Z9" * 9, "0123456789abcdef" * 2, "user=admin", "Zx81kQ02bbT7yyP4mN", "https://host.example/x", "some.one@mail.example.com", "10.20.30.40:8080", "999.20.30.40"]
+    texts = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.integers(0, 300 if i < 3 else 7)):
+            parts += [kinds[rng.integers(0, 9)], "é" * int(rng.integers(1, 60))]
+        texts.append(" ".join(parts))
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    patterns = {3: r"(?<!\w)user=admin", 4: "Zx81kQ02bbT7yyP4mN", 5: r"https://host\.example/x", 6: r"some\.one@mail\.example\.com", 7: r"(?<!9)10\.20\.30\.40:8080"}
+    n = 0
+    for r in secrets.find_secrets(frame, scope=40).collect():
+        text = texts[r.row.doc_id]
+        base = [tuple(s) for s in r.base]
+        parts = base + [(m.start(), k, m.end()) for k, p in patterns.items() for m in re.finditer(p, text)]
+        want = []
+        for p in parts:
+            near = {q[1] for q in parts if q is not p and q[0] <= p[2] + 40 and q[2] >= p[0] - 40}
+            key, access, labelled, mail, weak, place = near & {0, 2}, 1 in near, 3 in near, 6 in near, 4 in near, near & {5, 7}
+            linked = {4: labelled or access or (mail and place), 3: key or (weak and place), 6: key or (weak and place), 5: key or access or (weak and (labelled or mail)), 7: key or access or (weak and (labelled or mail))}
+            if linked.get(p[1]) and not any(b[0] < p[2] and p[0] < b[2] for b in base):
+                want.append(p)
+        assert [tuple(s) for s in r.linked] == sorted(want)
+        n += len(want)
+    assert n > 100
+
+
+def test_redact_replaces_runs(spark):
+    """Long and non-ASCII texts, over many pieces, against a plain loop over the spans; column names with dots pass."""
+    texts = ["é🙂" * 3000 + " token=abcdefgh " + "x" * 9000 + " 10.1.2.3 " + "0" * 24, "token=abcdefgh" * 400, "password=aaaaaa token=bbbbbb", "nothing", ""]
+    frame = spark.createDataFrame([(i, t, 0, i) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, `a.b` long")
+    found = {r.row.doc_id: sorted(map(tuple, [*r.base, *r.linked])) for r in secrets.find_secrets(frame).collect()}
+    got = secrets.redact(frame)
+    assert got.columns == frame.columns
+    for r in got.collect():
+        out, upto = "", 0
+        for start, _, end in found[r.doc_id]:
+            if start >= upto:
+                out += texts[r.doc_id][upto:start] + "[SECRET]"
+            upto = max(upto, end)
+        assert r.text == out + texts[r.doc_id][upto:] and r.n_chars == len(r.text) and r["a.b"] == r.doc_id
+
+
 def test_quality_rules(docs, empty):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
     for d in docs.collect():
