@@ -9,12 +9,13 @@ from plateforge.llm import near_dedup, packing, runtime, secrets, suffix_dedup,
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more, by a model of all labels, go. Null and empty texts score 0 and stay, as do rows without a doc_id."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Links from Jaccard 0.80 on; 22 bands miss one at exactly 0.80 as rarely as op8_near_dedup's 16 one at 0.85."""
-    return near_dedup.drop_near_duplicates(docs, percent=80, bands=22)
+    """One document of each group of texts linked from Jaccard 0.80 on stays: the one of the smallest doc_id, once. Rows without a doc_id stay."""
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,14 +26,16 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     found = suffix_dedup.strip_repeats(docs, keep_first=True)
     text = F.when(F.size("spans") == 0, F.col("row.text")).otherwise(F.col("kept_text"))
     rest = found.where("size(spans) = 0 or octet_length(kept) > 0").withColumn("new", text)
-    return rest.select(*(F.col("new").alias(c) if c == "text" else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return rest.select(*(F.col("new").alias(c) if c == "text" else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each run of secrets, linked parts included, becomes a mark; no document goes."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies: bins of one piece a source and a duplicate cluster."""
     return packing.pack(docs)
 
 
@@ -49,6 +52,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole of documents; an empty table gives none. Every stage's table is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = runtime.materialise(stage(spark, docs, sf_dir))

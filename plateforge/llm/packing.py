@@ -3,9 +3,10 @@
 Documents, longest first, go to the fullest bin that still holds them and has no
 conflict: a bin never holds two pieces of one duplicate cluster or of one source.
 Bins stand in order of their residual; those of a residual are classed by the
-bitmap of their sources, and each bin carries a bitmap of its duplicate clusters.
-The successor search walks up from the piece's size until a compatible bin is
-found, so the tightest one is taken.
+bitmaps of their sources and of their duplicate clusters, and how many of them hold
+each source and cluster is counted. The successor search walks up from the piece's
+size, past residuals whose bins all hold the piece's source or cluster, until a
+compatible bin is found, so the tightest one is taken.
 """
 
 from __future__ import annotations
@@ -26,42 +27,60 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def best_fit(items: list[tuple], capacity: int) -> list[tuple[int, int, int]]:
-    """items: (size, source, cluster), longest first. (bin, first offset, residual then) of each."""
+    """items: (size, source, cluster), longest first. (bin, first offset, residual then) of each.
+
+    Of compatible bins of the tightest residual, one of a class met first is taken, its newest.
+    """
     sources: dict = {}
     repeated = {c: i for i, c in enumerate(k for k, n in Counter(c for _, _, c in items).items() if n > 1)}
     bins: list[list[int]] = []  # residual, sources, clusters
-    by_residual: dict[int, dict[int, list[int]]] = defaultdict(dict)
+    by_residual: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(dict)
+    total: Counter = Counter()  # bins of each residual
+    holding: dict[tuple, Counter] = defaultdict(Counter)  # of these, the ones that hold a source or a cluster
+    inside: list[list[tuple]] = []  # what each bin holds, as keys of holding
     filled = 0  # bit r: some bin has residual r
     out = []
     for size, source, cluster in items:
-        s = 1 << sources.setdefault(source, len(sources))
-        c = 1 << repeated[cluster] if cluster in repeated else 0
+        place = sources.setdefault(source, len(sources))
+        s, mine = 1 << place, [("s", place)]
+        c = 0
+        if cluster in repeated:
+            c = 1 << repeated[cluster]
+            mine.append(("c", repeated[cluster]))
+        taken = [holding[k] for k in mine]
         chosen, ahead = None, filled >> size
         while ahead and chosen is None:
             r = size + (ahead & -ahead).bit_length() - 1
-            for held, members in by_residual[r].items():
-                if not held & s:
-                    for at in range(len(members) - 1, -1, -1):
-                        if not bins[members[at]][2] & c:
-                            chosen = members.pop(at)
-                            if not members:
-                                del by_residual[r][held]
-                                if not by_residual[r]:
-                                    filled &= ~(1 << r)
-                            break
-                if chosen is not None:
-                    break
             ahead &= ahead - 1
+            if any(t[r] == total[r] for t in taken):
+                continue
+            for (held, clusters), members in by_residual[r].items():
+                if not held & s and not clusters & c:
+                    chosen = members.pop()
+                    if not members:
+                        del by_residual[r][held, clusters]
+                    total[r] -= 1
+                    for k in inside[chosen]:
+                        holding[k][r] -= 1
+                    if not total[r]:
+                        filled &= ~(1 << r)
+                    break
         if chosen is None:
             chosen = len(bins)
             bins.append([capacity, 0, 0])
+            inside.append([])
         b = bins[chosen]
         out.append((chosen, capacity - b[0], b[0] - size))
         b[0] -= size
         b[1] |= s
         b[2] |= c
-        by_residual[b[0]].setdefault(b[1], []).append(chosen)
-        filled |= 1 << b[0]
+        inside[chosen] += mine
+        if b[0]:  # a full bin takes nothing more
+            by_residual[b[0]].setdefault((b[1], b[2]), []).append(chosen)
+            total[b[0]] += 1
+            for k in inside[chosen]:
+                holding[k][b[0]] += 1
+            filled |= 1 << b[0]
     return out
 
 
@@ -110,7 +129,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None)
     documents with the same words in the same order, in any case and spacing, are
     one cluster. A null source or doc_id is a value like any other; ties go by
     doc_id; repeated rows are packed each (in different bins, being one cluster).
-    Groups of about GROUP_ITEMS documents, dealt by a hash, are packed apart, so
+    Other columns are not looked at; no rows in, no rows out. Groups of about GROUP_ITEMS documents, dealt by a hash, are packed apart, so
     each leaves at most its last bins underfull and memory is bounded by a group.
     """
     text = F.coalesce("text", F.lit(""))
@@ -126,7 +145,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None)
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters are near-duplicate components; rows without an id or words, which have none, go by their text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    near = near_dedup.near_duplicates(docs).where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    near = near_dedup.near_duplicates(docs, percent=85, bands=16).where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("component"))
     # A row that repeats an id with no words takes that id's component: it is the same document.
     rows = docs.withColumn("node", F.col("doc_id").cast("long")).join(near.withColumnRenamed("doc_id", "node"), "node", "left")
     cluster = F.when(F.col("component").isNotNull(), F.struct(F.lit("").alias("text"), F.col("component").alias("id"))).otherwise(F.struct(_normal("text").alias("text"), F.lit(None).cast("long").alias("id")))

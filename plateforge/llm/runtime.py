@@ -62,6 +62,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def once(value: Column) -> Column:
+    """value, computed where it stands: no filter above it is pushed below, which would repeat its whole expression for each use."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def wide(table: DataFrame, rows_a_task: int) -> int:
     """Partitions for a shuffle by a fixed count: the session's number, or more where the (written) table has many rows."""
     return max(1, partitions(table.sparkSession), -(-table.count() // rows_a_task))

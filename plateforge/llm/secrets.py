@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import quoted
+from .runtime import once, quoted
 
 SCOPE = 400
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint", "mail", "host")
@@ -117,7 +117,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     found = F.filter("parts", linked)
     fresh = F.filter(found, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return rows.select("row", "base", F.when(F.size("parts") > 0, fresh).otherwise(F.array().cast(_NO_SPANS)).alias("linked"))
+    return rows.select("row", "base", once(F.when(F.size("parts") > 0, fresh).otherwise(F.array().cast(_NO_SPANS))).alias("linked"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,4 +151,4 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     rest = _piecewise(F.col("pieces"), F.array_max(ends), F.length(text))
     new = F.when(F.size("s") > 0, F.concat(F.array_join(kept, ""), rest)).otherwise(text)
     columns = [F.col("new").alias(c) if c == "text" else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
-    return found.withColumn("new", new).select(*columns)
+    return found.withColumn("new", once(new)).select(*columns)

@@ -176,4 +176,4 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score 0.5 or more, learning from all labels; rows with a null doc_id stay."""
     bad = score_toxicity(docs, train(docs, labels)).where("score >= 0.5 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(bad.withColumnRenamed("doc_id", "bad_id"), F.col("doc_id").cast("long") == F.col("bad_id"), "left_anti")

@@ -70,7 +70,7 @@ def test_near_duplicates(docs, empty):
             if a < b and n and 100 * n >= 85 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    got = near_dedup.near_duplicates(docs).collect()
+    got = near_dedup.near_duplicates(docs, percent=85, bands=16).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
@@ -78,7 +78,7 @@ def test_near_duplicates(docs, empty):
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id)
     assert near_dedup.near_duplicates(empty).count() == 0
-    kept = near_dedup.drop_near_duplicates(docs)
+    kept = near_dedup.drop_near_duplicates(docs, percent=85, bands=16)
     assert kept.columns == docs.columns and kept.where("doc_id is not null").count() == len({find(i) for i in ids})
 
 

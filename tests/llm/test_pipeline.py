@@ -1,5 +1,6 @@
 """The pipeline's stages on the smallest tables: their decisions take effect and clean documents stay."""
 
+import numpy as np
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -31,6 +32,38 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == packed.count()
 
 
+def odd(spark):
+    """Nulls in every column, empty, repeated and very long texts, ties, and columns whose names clash or need quotes."""
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    long, copy = text(260_000), text(300)  # beyond one block of the kernels (1 MiB)
+    rows = [(1, long), (2, "", ), (3, None), (4, copy), (4, copy), (5, copy), (None, copy), (None, None), (6, copy + " changed"), (7, text(400) + " token=abcdefgh1 10.0.0.1 " + text(50)), (8, " \n\t"), (9, copy[:900] + " " + text(80))]
+    full = [(i, t, None if i in (4, 9) else "en", None if i in (5, 9) else "s", None if t is None else len(t), 1, "r", "k", None) for i, t in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, unit int, row string, kept string, `a.b` string").repartition(3), long
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, empty):
+    docs, long = odd(spark)
+    docs = docs.where("false") if empty else docs
+    columns, tables = docs.columns, []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = runtime.materialise(stage(spark, docs, SF))
+        assert docs.columns == columns
+        tables.append([r.asDict() for r in docs.collect()])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    if empty:
+        assert not any(tables) and not packed
+        return
+    ids = [sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in t) for t in tables]
+    assert [len(t) for t in tables[:2]] == [12, 9]
+    assert [i for there, i in ids[1] if there] == [1, 2, 3, 4, 7, 8, 9]
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in tables[2] if r["doc_id"] not in (2, 8))
+    by_id = {r["doc_id"]: r for r in tables[3]}
+    assert by_id[1]["text"] == long and by_id[3]["text"] is None and "token" not in by_id[7]["text"] and by_id[7]["text"].count("[SECRET]") == 2
+    assert sum(r.n_tokens for r in packed if r.doc_id == 1) == 260_001
+
+
 def test_near_dedup_links_from_080(spark):
     """Of 200 words, a changed end of k leaves 196 - k of 196 + k windows: Jaccard 0.81 to 0.84 for k of 17 to 21, 0.798 for 22."""
     rows, close = [], set()
