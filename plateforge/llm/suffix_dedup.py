@@ -82,24 +82,31 @@ def _anchors(length: int):
 _PIECE = "anchor long, piece long, id long, unit long, twin long, start int, n int, hot boolean, bytes binary"
 
 
+#: Pieces that are copied out of their texts at a time.
+_CUT_ROWS = 4096
+
+
 def _cut(length: int):
     """Rows (id, unit, twin, text, wants) to one row with the bytes of each wanted piece."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for id_, unit, twin, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = text.encode()
-                out += [(w["anchor"], w["piece"], id_, unit, twin, w["start"], w["n"], w["hot"], raw[w["start"] : w["start"] + w["n"] - 1 + length]) for w in wants]
-                if len(out) > 4000:
-                    yield _rows(out)
-                    out = []
-            if out:
-                yield _rows(out)
-
-    def _rows(out):
-        kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split(" ")[0] for c in _PIECE.split(", ")])
+            if not batch.num_rows:
+                continue
+            text, wants = batch.column(3).cast(pa.large_string()), batch.column(4)
+            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text)]
+            data = np.frombuffer(text.buffers()[2], np.uint8)
+            owner = np.repeat(np.arange(len(wants)), np.diff(wants.offsets.to_numpy()))
+            anchor, piece, start, n, hot = wants.flatten().flatten()
+            begin, size = offsets[owner] + start.to_numpy(), n.to_numpy().astype(np.int64) - 1 + length
+            for lo in range(0, len(owner), _CUT_ROWS):
+                part = slice(lo, lo + _CUT_ROWS)
+                many = len(owner[part])
+                ends = np.concatenate([[0], np.cumsum(size[part])])
+                raw = data[np.repeat(begin[part] - ends[:-1], size[part]) + np.arange(ends[-1])]
+                cut = pa.Array.from_buffers(pa.large_binary(), many, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+                rows = pa.array(owner[part])
+                yield pa.RecordBatch.from_arrays([anchor[part], piece[part], *(batch.column(i).take(rows) for i in range(3)), start[part], n[part], hot[part], cut], names=[c.split(" ")[0] for c in _PIECE.split(", ")])
 
     return run
 
@@ -196,8 +203,8 @@ def smaller_neighbours(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(before == n, -1, before), after
 
 
-def longest_factors(levels: list[tuple[int, np.ndarray]], at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Longest previous and longest next factor of the suffixes that start at the ascending positions `at`, among these, cut at depth.
+def longest_factors(levels: list[tuple[int, np.ndarray]], at: np.ndarray, depth: int, later: bool = True) -> tuple[np.ndarray, ...]:
+    """Longest previous and, if asked, longest next factor of the suffixes that start at the ascending positions `at`, among these, cut at depth.
 
     In suffix order, the previous and the next smaller position are the two suffixes
     nearest to a suffix of all that start earlier; the longer common prefix is its
@@ -209,22 +216,25 @@ def longest_factors(levels: list[tuple[int, np.ndarray]], at: np.ndarray, depth:
 
     def common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Common prefix of the suffixes at text positions i and j in whole steps of 8 bytes; depth where it is reached."""
-        n = np.zeros(len(i), np.int64)
+        n = np.full(len(i), depth, np.int64)
+        short = np.flatnonzero(levels[-1][1][i] != levels[-1][1][j])
+        i, j, met = i[short], j[short], np.zeros(len(short), np.int64)
         for reach, rank in reversed(levels[:-1]):
-            a, b = i + n, j + n
-            inside = (np.maximum(a, b) < size) & (n + reach <= depth)
-            n += reach * (inside & (rank[np.minimum(a, size - 1)] == rank[np.minimum(b, size - 1)]))
-        return np.where(levels[-1][1][i] == levels[-1][1][j], depth, np.minimum(n, depth - 1))
+            a, b = i + met, j + met
+            inside = (np.maximum(a, b) < size) & (met + reach <= depth)
+            met += reach * (inside & (rank[np.minimum(a, size - 1)] == rank[np.minimum(b, size - 1)]))
+        n[short] = np.minimum(met, depth - 1)
+        return n
 
     out = []
-    for value in (order, len(at) - 1 - order):
+    for value in (order, len(at) - 1 - order)[: 1 + later]:
         best = np.zeros(len(at), np.int64)
         for near in smaller_neighbours(value):
             there = np.flatnonzero((near >= 0) & (near < len(at)))
             mine = order[there]
             best[mine] = np.maximum(best[mine], common(at[mine], at[order[near[there]]]))
         out.append(best)
-    return out[0], out[1]
+    return tuple(out)
 
 
 def repeated_windows(pieces: list[bytes], counts: list[int], length: int, keep_first: bool) -> list[tuple[list[int], list[int]]]:
@@ -236,8 +246,8 @@ def repeated_windows(pieces: list[bytes], counts: list[int], length: int, keep_f
     owner = np.repeat(np.arange(len(pieces)), counts)
     begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
     window = np.arange(len(owner)) - begin[owner]
-    previous, later = longest_factors(levels, base[owner] + window, length)
-    hit = previous >= length if keep_first else (previous >= length) | (later >= length)
+    factors = longest_factors(levels, base[owner] + window, length, later=not keep_first)
+    hit = np.max(factors, axis=0) >= length
     edge = np.ones(len(hit) + 1, bool)
     edge[1:-1] = (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1])
     starts = np.flatnonzero(edge)
