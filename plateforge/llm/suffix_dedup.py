@@ -30,7 +30,7 @@ from .runtime import discard, materialise, quoted, wide
 LENGTH = 200
 ANCHOR = 40
 #: Bytes of pieces that a worker gathers before it builds an array (groups are never cut).
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 19
 #: Distinct pieces (about 280 bytes each) that one suffix array takes; larger groups are divided first.
 ARRAY_PIECES = 2000
 #: Rows of a table that one task of a shuffle by a fixed count should get.
