@@ -27,8 +27,11 @@ ENDINGS = 512
 #: Baum-Welch ends where an iteration gains less than so many nats a token, or after so many.
 SETTLED = 5e-3
 MOST_ITERATIONS = 40
-#: Tokens of whole texts that the training recursion runs over at a time; a longer text stands alone.
-BATCH_TOKENS = 1 << 18
+#: Runs of texts are dealt to so many lots; a first lot's fixed point is where the iterations over all of them begin.
+LOTS = 8
+#: Tokens of whole texts that the training recursion runs over at a time, or more for texts so long that fewer than BATCH_TEXTS would be a run.
+BATCH_TOKENS = 1 << 16
+BATCH_TEXTS = 32
 #: Rows of documents that look their words up together.
 CHUNK_ROWS = 2000
 #: The end token's place among the hashes.
@@ -97,9 +100,12 @@ def lay_out(klass: np.ndarray, lengths: np.ndarray):
     """Texts (end to end) in runs of about BATCH_TOKENS, longest first: (classes by place in the text, then by text; lengths; which texts)."""
     first = np.concatenate([[0], np.cumsum(lengths)])
     order = np.argsort(-lengths, kind="stable")
-    upto = np.cumsum(lengths[order])
-    run = upto // BATCH_TOKENS
-    for part in np.split(order, np.flatnonzero(np.diff(run)) + 1):
+    upto = np.concatenate([[0], np.cumsum(lengths[order])])
+    lo = 0
+    while lo < len(order):
+        size = max(BATCH_TOKENS, BATCH_TEXTS * int(lengths[order[lo]]))
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + size, side="right")) - 1)
+        part, lo = order[lo:hi], hi
         n = lengths[part]
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         text = np.repeat(np.arange(len(part)), n)
@@ -108,14 +114,14 @@ def lay_out(klass: np.ndarray, lengths: np.ndarray):
 
 
 def _sequences(frequent: np.ndarray):
-    """Training texts to their class sequences, as lay_out leaves them: one row a run."""
+    """Training texts to their class sequences, as lay_out leaves them: one row a run, with its lot."""
 
     def run(batches):
         for batch in batches:
             parts = [(_classes(h, ending, frequent).astype(np.int16), np.diff(first)) for _, h, ending, first in _tokens(batch.column(0))]
             if parts:
-                for klass, n, _ in lay_out(*(np.concatenate(x) for x in zip(*parts, strict=True))):
-                    yield pa.RecordBatch.from_arrays([pa.array([klass.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["classes", "lengths"])
+                for i, (klass, n, _) in enumerate(lay_out(*(np.concatenate(x) for x in zip(*parts, strict=True)))):
+                    yield pa.RecordBatch.from_arrays([pa.array([klass.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([i % LOTS], pa.int32())], names=["classes", "lengths", "lot"])
 
     return run
 
@@ -179,7 +185,7 @@ def _expect(start: np.ndarray, move: np.ndarray, emit: np.ndarray):
     def run(batches):
         total = 0.0
         for batch in batches:
-            for klass, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for klass, lengths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = expected_counts(np.frombuffer(klass, np.int16), np.frombuffer(lengths, np.int32), *model)
                 total = total + np.concatenate([np.ravel(x) for x in found])
         if np.ndim(total):
@@ -188,8 +194,16 @@ def _expect(start: np.ndarray, move: np.ndarray, emit: np.ndarray):
     return run
 
 
-def baum_welch(sequences: DataFrame, shape: np.ndarray, tokens: int, states: int, most: int = MOST_ITERATIONS):
-    """(start, move, emit, objective after each iteration): the objective, log likelihood and log prior, never falls."""
+_SEQUENCES = "classes binary, lengths binary, lot int"
+
+
+def baum_welch(sequences: DataFrame, shape: np.ndarray, states: int, most: int = MOST_ITERATIONS):
+    """(start, move, emit, objective after each iteration over all texts): the objective, log likelihood and log prior, never falls.
+
+    Iterations go over the first lot of texts until they gain little, then, from
+    there, over all texts until these gain little: the fixed point is that of the
+    whole corpus, reached in fewer passes over it.
+    """
     size = len(shape)
     rng = np.random.default_rng(4)
     start, move = np.full(states, 1 / states), np.full((states, states), 0.4 / states) + np.eye(states) * 0.6
@@ -198,15 +212,18 @@ def baum_welch(sequences: DataFrame, shape: np.ndarray, tokens: int, states: int
     # Pseudo-counts: a Dirichlet prior that keeps every probability above zero.
     prior = 0.02 * shape[:, None] / shape.sum() * size
     gained: list[float] = []
-    for _ in range(most):
-        sums = tree_sum(sequences.mapInArrow(_expect(start, move, emit), "sums binary"), states + states * states + size * states + 1)
-        gained.append(sums[-1] + 0.1 * (np.log(start).sum() + np.log(move).sum()) + (prior * np.log(emit)).sum())
-        if len(gained) > 1 and gained[-1] - gained[-2] < SETTLED * max(1, tokens):
-            break
-        start = sums[:states] + 0.1
-        move = sums[states : states + states * states].reshape(states, states) + 0.1
-        emit = sums[states + states * states : -1].reshape(size, states) + prior
-        start, move, emit = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+    for texts in (sequences.where("lot = 0"), sequences):
+        gained = []
+        for _ in range(most):
+            sums = tree_sum(texts.select("classes", "lengths").mapInArrow(_expect(start, move, emit), "sums binary"), states + states * states + size * states + 1)
+            gained.append(sums[-1] + 0.1 * (np.log(start).sum() + np.log(move).sum()) + (prior * np.log(emit)).sum())
+            emitted = sums[states + states * states : -1].reshape(size, states)
+            if len(gained) > 1 and gained[-1] - gained[-2] < SETTLED * max(1.0, emitted.sum()):
+                break
+            start = sums[:states] + 0.1
+            move = sums[states : states + states * states].reshape(states, states) + 0.1
+            emit = emitted + prior
+            start, move, emit = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
     return start, move, emit, gained
 
 
@@ -299,8 +316,8 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, iterations: int
     shape = np.full(FREQUENT + ENDINGS, 0.1)
     shape[: len(known)] += known
     shape[FREQUENT:] += mass - 1
-    sequences = materialise(training.mapInArrow(_sequences(frequent), "classes binary, lengths binary"))
-    start, move, emit, _ = baum_welch(sequences, shape, n, states, iterations)
+    sequences = materialise(training.mapInArrow(_sequences(frequent), _SEQUENCES))
+    start, move, emit, _ = baum_welch(sequences, shape, states, iterations)
     discard(sequences)
 
     wanted = rows.select("chunk", "held", "text").mapInArrow(_wanted(frequent), "chunk long, h long, held boolean")
