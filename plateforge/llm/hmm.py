@@ -27,7 +27,7 @@ ENDINGS = 512
 #: Baum-Welch ends where an iteration gains less than so many nats a token, or after so many.
 SETTLED = 5e-3
 MOST_ITERATIONS = 40
-#: Runs of texts are dealt to so many lots; a first lot's fixed point is where the iterations over all of them begin.
+#: Runs of texts are dealt to so many lots; the fixed point of one is where the iterations over all of them begin.
 LOTS = 8
 #: Tokens of whole texts that the training recursion runs over at a time, or more for texts so long that fewer than BATCH_TEXTS would be a run.
 BATCH_TOKENS = 1 << 16
@@ -121,7 +121,7 @@ def _sequences(frequent: np.ndarray):
             parts = [(_classes(h, ending, frequent).astype(np.int16), np.diff(first)) for _, h, ending, first in _tokens(batch.column(0))]
             if parts:
                 for i, (klass, n, _) in enumerate(lay_out(*(np.concatenate(x) for x in zip(*parts, strict=True)))):
-                    yield pa.RecordBatch.from_arrays([pa.array([klass.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([i % LOTS], pa.int32())], names=["classes", "lengths", "lot"])
+                    yield pa.RecordBatch.from_arrays([pa.array([klass.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([(i + 1) % LOTS], pa.int32())], names=["classes", "lengths", "lot"])
 
     return run
 
@@ -200,9 +200,9 @@ _SEQUENCES = "classes binary, lengths binary, lot int"
 def baum_welch(sequences: DataFrame, shape: np.ndarray, states: int, most: int = MOST_ITERATIONS):
     """(start, move, emit, objective after each iteration over all texts): the objective, log likelihood and log prior, never falls.
 
-    Iterations go over the first lot of texts until they gain little, then, from
-    there, over all texts until these gain little: the fixed point is that of the
-    whole corpus, reached in fewer passes over it.
+    Iterations go over one lot of texts until they gain little, then, from there,
+    over all texts until these gain little: the fixed point is that of the whole
+    corpus, reached in fewer passes over it. A lot without texts gains nothing.
     """
     size = len(shape)
     rng = np.random.default_rng(4)
@@ -212,9 +212,10 @@ def baum_welch(sequences: DataFrame, shape: np.ndarray, states: int, most: int =
     # Pseudo-counts: a Dirichlet prior that keeps every probability above zero.
     prior = 0.02 * shape[:, None] / shape.sum() * size
     gained: list[float] = []
-    for texts in (sequences.where("lot = 0"), sequences):
+    lot = materialise(sequences.where("lot = 0"))
+    for texts in (lot, sequences):
         gained = []
-        for _ in range(most):
+        for _ in range(most if texts is sequences or not lot.isEmpty() else 0):
             sums = tree_sum(texts.select("classes", "lengths").mapInArrow(_expect(start, move, emit), "sums binary"), states + states * states + size * states + 1)
             gained.append(sums[-1] + 0.1 * (np.log(start).sum() + np.log(move).sum()) + (prior * np.log(emit)).sum())
             emitted = sums[states + states * states : -1].reshape(size, states)
@@ -224,6 +225,7 @@ def baum_welch(sequences: DataFrame, shape: np.ndarray, states: int, most: int =
             move = sums[states : states + states * states].reshape(states, states) + 0.1
             emit = emitted + prior
             start, move, emit = start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)
+    discard(lot)
     return start, move, emit, gained
 
 
