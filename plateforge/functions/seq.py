@@ -91,7 +91,8 @@ def cigar_length(cigar: Column | str) -> Column:
 
 def barcode_to_well(fbc: Column | str, rbc: Column | str) -> Column:
     """FBnn and RBnn (96 x 32) to plate, row and column of 8 plates of 384 wells; null outside."""
-    fb, rb = (F.regexp_replace(_c(x), "^[FR]B", "").try_cast("int") - 1 for x in (fbc, rbc))
+    # Cut by place, not by a pattern: this runs for every read.
+    fb, rb = (F.when(F.substring(_c(x), 1, 2).isin("FB", "RB"), F.substring(_c(x), 3, 12)).otherwise(_c(x)).try_cast("int") - 1 for x in (fbc, rbc))
     row = 2 * F.floor(fb / 12) + F.when(rb % 4 < 2, 1).otherwise(2)
     col = 2 * (fb % 12) + F.when(rb % 2 == 0, 1).otherwise(2)
     label = F.concat((F.floor(rb / 4) + 1).cast("string"), F.char(64 + row), col.cast("string"))
@@ -101,7 +102,7 @@ def barcode_to_well(fbc: Column | str, rbc: Column | str) -> Column:
 def parse_well(well: Column | str) -> Column:
     """Struct of plate, row and col; null fields where the label doesn't begin as one."""
     part = lambda k: F.nullif(F.regexp_extract(_c(well), r"^(\d+)([A-P]+)(\d+)", k), F.lit(""))
-    return F.struct(part(1).cast("int").alias("plate"), part(2).alias("row"), part(3).cast("int").alias("col"))
+    return F.struct(part(1).try_cast("int").alias("plate"), part(2).alias("row"), part(3).try_cast("int").alias("col"))
 
 
 def well_label(row: Column | str, col: Column | str) -> Column:
@@ -117,5 +118,6 @@ def human_number(n: Column | str) -> Column:
 
 
 def reads_label(n: Column | str) -> Column:
+    """Thousands as k and millions as M with one decimal; a decimal tie is rounded up."""
     x = _c(n).cast("double")
     return F.when(x < 1e3, x.cast("bigint").cast("string")).when(x < 1e6, F.concat(F.format_string("%.1f", x / 1e3), F.lit("k"))).otherwise(F.concat(F.format_string("%.1f", x / 1e6), F.lit("M")))

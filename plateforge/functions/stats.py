@@ -18,12 +18,46 @@ def histogram(df: DataFrame, value: Column, bins: int = 50, density: bool = Fals
     return out.select(*columns, *([(F.col("n") / (F.col("total") * F.col("w"))).alias("density")] if density else []))
 
 
+def once(value: Column) -> Column:
+    """value, computed where it stands: no filter above it is pushed below, which would repeat its expression for every row."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+#: Numbers of an order column that one task of running_total runs over.
+CELL = 4096
+
+
+def running_total(df: DataFrame, value: Column, order: str, keys: list[str] = (), name: str = "upto") -> DataFrame:
+    """df with the sum of value over all rows up to each in `order`, an integer column that no two rows of the keys share.
+
+    In two passes: totals of cells of CELL numbers are run over first, then the rows
+    of each cell, so no task gets all rows of a key.
+    """
+    keys = list(keys)
+    rows = df.withColumn("_cell", F.floor(F.col(order) / CELL)).withColumn("_v", value)
+    cells = rows.groupBy(*keys, "_cell").agg(F.sum("_v").alias("_sum"))
+    ahead = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*keys, "_cell", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("_in", F.sum("_v").over(inside)).join(cells, [*keys, "_cell"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_cell", "_v", "_in", "_before")
+
+
 def floor_quantile(df: DataFrame, value: str, p: float) -> DataFrame:
-    """The value at place floor(n * p) of the sorted values, from counts of distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.withColumn("upto", below).withColumn("total", total).where(F.col("upto") > F.floor(F.col("total") * p)).agg(F.min(value).alias("q"))
+    """The value at place floor(n * p) of the sorted values: counts of CELL cells between the ends find the cell, its distinct values the place."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.floor(F.sum("n") * p).alias("place"))
+    share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    rows = counts.crossJoin(F.broadcast(ends)).withColumn("cell", F.when(F.col("hi") > F.col("lo"), F.floor(share * CELL)).otherwise(F.lit(0).cast("long")))  # one row
+    upto = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    cells = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.first("place").alias("place")).withColumn("upto", upto)  # CELL + 1 rows at most
+    there = cells.where("upto > place").agg(F.min_by("cell", "cell").alias("at"), F.min_by(F.col("upto") - F.col("n"), F.col("cell")).alias("before"))
+    inside = rows.join(F.broadcast(there), F.col("cell") == F.col("at")).withColumn("upto", F.col("before") + F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.where("upto > place").agg(F.min("x").alias("q"))
+
+
+def first_reaching(curve: DataFrame, x: float) -> DataFrame:
+    """The first point of (x, y) at or beyond x (left insertion); no row where the curve ends before."""
+    return curve.where(F.col("x") >= x).agg(F.min_by(F.struct("x", "y"), "x").alias("p")).where("p is not null").select("p.*")
 
 
 def interpolate(points: DataFrame, curve: DataFrame, keys: list[str] = ()) -> DataFrame:

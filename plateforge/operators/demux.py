@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from ..functions.stats import once
 
 EMPTY = "empty"
 
@@ -79,18 +80,44 @@ def well_summary(reads: DataFrame) -> DataFrame:
     return top.select(F.col("w.plate").alias("plate"), seq.well_label("w.row", "w.col").alias("well"), F.col("well_pos").alias("global_well"), "depth", F.col("ref_name").alias("major_ref"), (F.col("n") / F.col("depth")).alias("major_freq"), *(c for c in ("ref_len", "ref_seq") if c in reads.columns))
 
 
-def plate_map(reads: DataFrame, max_lines: int = 6) -> DataFrame:
-    """All 384 wells of every plate met: tooltip of the largest references, reads and the dominant share."""
-    counts = _counts(reads, "well_pos", "ref_name").withColumn("w", seq.parse_well("well_pos")).where("w.plate is not null")
+def plate_map(reads: DataFrame, max_lines: int = 6, min_reads: int | None = None) -> DataFrame:
+    """All 384 wells of every plate met: tooltip of the largest references, reads and the dominant share.
+
+    With min_reads, `clipped` is the number of reads up to that, for a colour scale.
+    Reads are counted once; labels are parsed once a well; the wells of a plate (384
+    at most, others are on no plate) meet in one row, which is laid out again.
+    """
+    counts = _counts(reads, "well_pos", "ref_name")
     line = F.concat("ref_name", F.lit(" "), F.bround(100 * F.col("n") / F.col("depth"), 0).cast("int").cast("string"), F.lit("%"))
     lines = F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= max_lines, F.struct("rank", line.alias("line"))))), lambda x: x["line"])
-    wells = counts.groupBy("well_pos", "w", "depth").agg(F.array_join(F.concat(F.array(F.concat(F.lit("<b>"), seq.well_label("w.row", "w.col"), F.lit("</b>"))), lines), "<br/>").alias("tooltip"), (F.max("n") / F.col("depth")).alias("frac"))
-    wells = wells.select("w.plate", "w.row", "w.col", "tooltip", F.col("depth").alias("reads"), "frac")
-    spark = reads.sparkSession
-    grid = spark.range(384).select(F.char((F.col("id") / 24).cast("int") + 65).alias("row"), (F.col("id") % 24 + 1).cast("int").alias("col"))
-    layout = wells.select("plate").distinct().crossJoin(F.broadcast(grid))  # 384 rows on the broadcast side
-    filled = layout.join(wells, ["plate", "row", "col"], "left")
-    return filled.select("plate", "row", "col", seq.well_label("row", "col").alias("well"), F.coalesce("tooltip", F.lit(EMPTY)).alias("tooltip"), F.coalesce("reads", F.lit(0)).cast("long").alias("reads"), F.coalesce("frac", F.lit(0.0)).alias("frac"))
+    wells = counts.groupBy("well_pos", "depth").agg(lines.alias("lines"), (F.max("n") / F.col("depth")).alias("frac")).withColumn("w", once(seq.parse_well("well_pos")))
+    wells = wells.select("w.*", "lines", F.col("depth").alias("reads"), "frac").where("plate is not null and length(row) = 1 and col between 1 and 24")
+    at = (F.ascii("row") - 65) * 24 + F.col("col") - 1
+    plates = wells.groupBy("plate").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), F.struct("lines", "reads", "frac").alias("well")))).alias("wells"))
+    grid = plates.select("plate", "wells", F.explode(F.sequence(F.lit(0), F.lit(383))).alias("at"))
+    row, col = F.char(F.floor(F.col("at") / 24) + 65), (F.col("at") % 24 + 1).cast("int")
+    filled = grid.select("plate", row.alias("row"), col.alias("col"), F.try_element_at("wells", "at").alias("x")).withColumn("well", seq.well_label("row", "col"))
+    tooltip = F.array_join(F.concat(F.array(F.concat(F.lit("<b>"), F.col("well"), F.lit("</b>"))), F.col("x.lines")), "<br/>")
+    reads_there = F.coalesce("x.reads", F.lit(0)).cast("long")
+    clipped = [] if min_reads is None else [F.least(reads_there, F.lit(min_reads).cast("long")).alias("clipped")]
+    return filled.select("plate", "row", "col", "well", F.coalesce(tooltip, F.lit(EMPTY)).alias("tooltip"), reads_there.alias("reads"), F.coalesce("x.frac", F.lit(0.0)).alias("frac"), *clipped)
+
+
+def plate_map_json(plates: DataFrame) -> DataFrame:
+    """(plate, json): the wells of a plate, in order, as one JSON array for a viewer."""
+    well = F.struct("row", "col", "well", "tooltip", "reads", "frac")
+    return plates.groupBy("plate").agg(F.to_json(F.array_sort(F.collect_list(well))).alias("json"))
+
+
+def wells_with(wells: DataFrame, reads: DataFrame) -> DataFrame:
+    """The wells that have any read."""
+    return wells.join(reads.select("well_pos").distinct(), F.col("global_well") == F.col("well_pos"), "left_semi")
+
+
+def well_map(wells: DataFrame) -> DataFrame:
+    """wells sorted by plate, row and column, for export."""
+    w = seq.parse_well("global_well")
+    return wells.withColumn("_w", w).orderBy(*(F.col(f"_w.{k}").asc_nulls_last() for k in ("plate", "row", "col"))).drop("_w")
 
 
 def reference_map(reads: DataFrame, references: DataFrame, least: int = 50, include_ambiguous: bool = False) -> DataFrame:
@@ -139,16 +166,21 @@ def pileup_consensus(aligned: DataFrame, least_depth: int = 1) -> DataFrame:
 def classify_barcodes(reads: DataFrame, barcodes: DataFrame, window: int = 40, most: int = 4, margin: int = 1, both_ends: bool = False) -> DataFrame:
     """Best barcode of each read by edit distance at its start (and end), unclassified without a clear winner.
 
-    barcodes (idx, name, barcode) is a fixed kit of at most some hundred rows and is broadcast.
+    barcodes (idx, name, barcode) is a fixed kit of at most some hundred rows, which becomes one broadcast row.
     """
-    kit = F.broadcast(barcodes.select("idx", "name", "barcode"))
-    n = F.length("barcode")
+    kit = barcodes.agg(F.sort_array(F.collect_list(F.struct("idx", F.col("barcode").alias("code")))).alias("kit"))
     ends = [F.substring("read_seq", 1, window)] + ([F.reverse(F.substring(F.reverse("read_seq"), 1, window))] if both_ends else [])
-    at = lambda end: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(end) - n)), lambda i: F.levenshtein(F.substring(end, i + 1, n), F.col("barcode"))))
-    scored = reads.select("read_name", "read_seq").crossJoin(kit).withColumn("d", F.least(*(at(e) for e in ends)) if both_ends else at(ends[0]))
-    best = scored.groupBy("read_name").agg(F.min_by("idx", F.struct("d", "idx")).alias("idx"), F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("ds"))
-    clear = (F.get("ds", F.lit(0)) <= most) & (F.coalesce(F.get("ds", F.lit(1)) - F.get("ds", F.lit(0)), F.lit(margin)) >= margin)
-    return best.select("read_name", F.when(clear, F.col("idx")).alias("idx"), F.get("ds", F.lit(0)).alias("distance"))
+
+    def distance(code: Column) -> Column:
+        n = F.length(code)
+        at = lambda end: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(end) - n)), lambda i: F.levenshtein(F.substr(end, i + 1, n), code)))
+        return F.least(*(at(e) for e in ends)) if both_ends else at(ends[0])
+
+    # One row holds the kit, so each read's distances are an array in its row: reads are neither multiplied nor shuffled, and keep their own name.
+    rows = reads.crossJoin(F.broadcast(kit)).withColumn("d", F.array_sort(F.transform("kit", lambda k: F.struct(distance(k["code"]).alias("d"), k["idx"].alias("idx")))))
+    first, second = F.get("d", F.lit(0)), F.get("d", F.lit(1))
+    clear = (first["d"] <= most) & (F.coalesce(second["d"] - first["d"], F.lit(margin)) >= margin)
+    return rows.select("read_name", F.when(clear, first["idx"]).alias("idx"), first["d"].alias("distance"))
 
 
 def align_by_seeds(reads: DataFrame, references: DataFrame, k: int = 11, least_votes: int = 2) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import first_reaching, running_total
+
 Z90 = 1.2815515655446004
 
 
@@ -46,10 +48,10 @@ def lognormal_pool(spark: SparkSession, size: int, skew: float, seed: int = 0) -
 def intervals(pool: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Half-open intervals [lo, hi) of each variant on the unit line; the last reaches beyond one, against rounding."""
     keys = list(keys)
-    running = Window.partitionBy(*keys).orderBy("variant").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    rows = pool.select(*keys, "variant", "weight", F.sum("weight").over(running).alias("hi"), F.sum("weight").over(whole).alias("t"), (F.max("variant").over(whole) == F.col("variant")).alias("last"))
-    return rows.select(*keys, "variant", ((F.col("hi") - F.col("weight")) / F.col("t")).alias("lo"), F.when(F.col("last"), 2.0).otherwise(F.col("hi") / F.col("t")).alias("hi"))
+    whole = pool.groupBy(*keys).agg(F.sum("weight").alias("t"), F.max("variant").alias("last"))
+    rows = running_total(pool.select(*keys, "variant", "weight"), F.col("weight"), "variant", keys)
+    rows = rows.join(whole, keys) if keys else rows.crossJoin(F.broadcast(whole))  # one row
+    return rows.select(*keys, "variant", ((F.col("upto") - F.col("weight")) / F.col("t")).alias("lo"), F.when(F.col("variant") == F.col("last"), 2.0).otherwise(F.col("upto") / F.col("t")).alias("hi"))
 
 
 def draw(draws: DataFrame, pool: DataFrame, keys: list[str] = (), cells: int = 256) -> DataFrame:
@@ -100,27 +102,32 @@ def funnel(spark: SparkSession, n_sims: int = 10_000, lib_size: int = 1000, skew
     return sims.mapInArrow(run, "sim long, variant long, is_correct boolean, n long" if counts else "sim long, unique long")
 
 
-def coverage_sweep(spark: SparkSession, folds: list[float], lib_size: int = 328, n_sims: int = 100, **options) -> DataFrame:
-    """Unique variants by fold and simulation, with a zero baseline for each simulation."""
+def coverage_sweep(spark: SparkSession, folds: list[float] | None = None, lib_size: int = 328, n_sims: int = 100, skew: float = 4, scale: float = 30, p_incorrect: float = 0.1, p_grow: float = 0.67, p_fail: float = 0.03, **options) -> DataFrame:
+    """Unique variants by fold and simulation, with a zero baseline for each simulation; folds are 25 from 1 to 5000 wells by default."""
+    if folds is None:
+        folds = [(1 + 4999 * i / 24) / lib_size for i in range(25)]
+    rates = {"skew": skew, "scale": scale, "p_incorrect": p_incorrect, "p_grow": p_grow, "p_fail": p_fail}
+    options = rates | options
     parts = [funnel(spark, n_sims, lib_size, fold=f, **options).withColumn("fold", F.lit(float(f))) for f in folds]
     if not parts:
-        return spark.createDataFrame([], "sim long, fold double, unique long, coverage double, wells double")
+        return spark.createDataFrame([], "sim long, fold double, unique long, coverage double, wells long, transformants long, skew double, p_incorrect double, p_grow double, p_fail double")
     rows = spark.range(n_sims).select(F.col("id").alias("sim"), F.lit(0.0).alias("fold"), F.lit(0).cast("long").alias("unique"))
     for p in parts:
         rows = rows.unionByName(p)
-    return rows.select("sim", "fold", "unique", (F.col("unique") / lib_size).alias("coverage"), (F.col("fold") * lib_size).alias("wells"))
+    constants = [F.lit(int(lib_size * scale)).cast("long").alias("transformants"), *(F.lit(float(v)).alias(k) for k, v in rates.items() if k != "scale")]
+    return rows.select("sim", "fold", "unique", (F.col("unique") / lib_size).alias("coverage"), (F.col("fold") * lib_size).cast("long").alias("wells"), *constants)
 
 
 def recovery_curve(draws: DataFrame, library: int) -> DataFrame:
     """(x, y) mean share of the library seen after x draws of (rep, k, variant), k from 1.
 
-    First sights are a grouped minimum; the running count is a window over at most one row per draw number.
+    First sights are a grouped minimum; the running count is one over draw numbers, in cells of them.
     """
     first = draws.groupBy("rep", "variant").agg(F.min("k").alias("k"))
     reps = draws.agg(F.countDistinct("rep").alias("reps"))
     new = draws.groupBy("k").agg(F.lit(0).cast("long").alias("z")).join(first.groupBy("k").agg(F.count("*").alias("n")), "k", "left")
-    seen = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    return new.crossJoin(F.broadcast(reps)).select(F.col("k").cast("long").alias("x"), (seen / F.col("reps") / library).alias("y"))
+    seen = running_total(new, F.coalesce("n", F.lit(0)), "k", name="seen")
+    return seen.crossJoin(F.broadcast(reps)).select(F.col("k").cast("long").alias("x"), (F.col("seen") / F.col("reps") / library).alias("y"))
 
 
 def recovery_with_resynthesis(pool: DataFrame, t1: int | None, t2: int | None = None, resynthesis: bool = False, n_reps: int = 100, seed: int = 0) -> DataFrame:
@@ -143,19 +150,67 @@ def recovery_with_resynthesis(pool: DataFrame, t1: int | None, t2: int | None =
         # The pool may be of any size: each of its rows is repeated for the replicates, and the seen go by an equi-join.
         pairs = pool.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_reps - 1).cast("long"))).alias("rep"), "variant")
         unseen = pairs.join(first.select("rep", "variant").distinct(), ["rep", "variant"], "left_anti")
-        ranked = unseen.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("variant")) - 1)
+        ranked = running_total(unseen, F.lit(1).cast("long"), "variant", ["rep"]).select("rep", "variant", (F.col("upto") - 1).alias("r"))
         left = ranked.groupBy("rep").agg(F.count("*").alias("m"))
-        second = steps(t1 + 1, t1 + t2 + 1).join(left, "rep").withColumn("r", F.floor(F.col("u") * F.col("m")).cast("int")).join(ranked, ["rep", "r"])
+        second = steps(t1 + 1, t1 + t2 + 1).join(left, "rep").withColumn("r", F.floor(F.col("u") * F.col("m"))).join(ranked, ["rep", "r"])
         done = steps(t1 + 1, t1 + t2 + 1).join(left, "rep", "left_anti").select("rep", "k", F.lit(None).cast("long").alias("variant"))
         first = first.union(second.select("rep", "k", "variant")).union(done)
-    curve = recovery_curve(first.where("variant is not null"), library)
-    every = spark.range(1, t1 + t2 + 1).select(F.col("id").alias("x"))
-    y = F.max("y").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    return every.join(curve, "x", "left").select("x", F.coalesce(y, F.lit(0.0)).alias("y"))
+    # Every draw number has a row, so that the curve has a point where no replicate draws any more.
+    steps_only = spark.range(1, t1 + t2 + 1).select(F.lit(0).cast("long").alias("rep"), F.col("id").alias("k"), F.lit(None).cast("long").alias("variant"))
+    seen = first.where("variant is not null").groupBy("rep", "variant").agg(F.min("k").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    rows = steps_only.select("k").join(seen, "k", "left")
+    return running_total(rows, F.coalesce("n", F.lit(0)), "k", name="seen").select(F.col("k").alias("x"), (F.col("seen") / n_reps / library).alias("y"))
 
 
 def expected_curve(pool: DataFrame, totals: DataFrame) -> DataFrame:
-    """Exact expected share seen after x draws: mean of 1 - (1 - p)^x. pool is the small side."""
-    t = pool.agg(F.sum("weight").alias("t"))
-    rows = totals.crossJoin(F.broadcast(pool.crossJoin(F.broadcast(t))))
-    return rows.groupBy("x").agg(F.avg(1 - F.pow(1 - F.col("weight") / F.col("t"), F.col("x"))).alias("y"))
+    """Exact expected share seen after x draws: mean of 1 - (1 - p)^x over the pool.
+
+    Variants of one weight share a term, so what meets each of totals (a few draw
+    numbers, broadcast) is one row a distinct weight, whatever the pool's size.
+    """
+    t = pool.agg(F.sum("weight").alias("t"), F.count("*").alias("size"))
+    weights = pool.groupBy("weight").agg(F.count("*").alias("same")).crossJoin(F.broadcast(t))
+    rows = weights.crossJoin(F.broadcast(totals.select("x")) if totals.count() <= 100_000 else totals.select("x"))
+    return rows.groupBy("x").agg((F.sum(F.col("same") * (1 - F.pow(1 - F.col("weight") / F.col("t"), F.col("x")))) / F.first("size")).alias("y"))
+
+
+def model_distribution(spark: SparkSession, size: int, skew: float = 5, seed: int = 0) -> DataFrame:
+    """(variant, weight): lognormal abundances with a mean of about one, not normalised."""
+    s = sigma_of(skew)
+    return spark.range(size).select(F.col("id").alias("variant"), F.exp(-s * s / 2 + s * normal(F.lit(seed), "id")).alias("weight"))
+
+
+def take_sample(pool: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(k, variant): `size` weighted draws with replacement in their order, k from 1."""
+    draws = pool.sparkSession.range(1, size + 1).select(F.col("id").alias("k"), uniform(F.lit(seed), "id").alias("u"))
+    return draw(draws, pool).select("k", "variant")
+
+
+def recovered(sample: DataFrame, pool: DataFrame) -> DataFrame:
+    """One row: distinct variants drawn and their share of the pool."""
+    return sample.agg(F.countDistinct("variant").alias("n")).crossJoin(F.broadcast(pool.agg(F.count("*").alias("size")))).select("n", (F.col("n") / F.col("size")).alias("share"))  # one row each
+
+
+def uniform_recovery(draws: DataFrame, library: int, most: int) -> DataFrame:
+    """(x, mean, std): share of the library that uniform draws (rep, k, variant) have met after each step, over replicates.
+
+    Steps are a twentieth of `most`, 100 at least; std is of the population. One
+    replicate has its share at each step counted from first sights, by an equi-join.
+    """
+    step = max(100, most // 20)
+    first = draws.where(F.col("k") <= most).groupBy("rep", "variant").agg(F.min("k").alias("k"))
+    # A variant met at draw k counts from the first step at or after it.
+    met = first.groupBy("rep", (F.ceil(F.col("k") / step) * step).alias("x")).agg(F.count("*").alias("n"))
+    points = draws.sparkSession.range(step, most + 1, step).withColumnRenamed("id", "x")
+    every = draws.select("rep").distinct().crossJoin(F.broadcast(points))  # 20 rows at most, or one in 100 draws
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("rep").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    shares = every.join(met, ["rep", "x"], "left").select("x", (upto / library).alias("y"))
+    return shares.groupBy("x").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"))
+
+
+def coverage_ticks(curve: DataFrame, library: int, t1: int | None = None) -> DataFrame:
+    """(kind, x, y): a tick at each whole multiple of the library up to the curve's end, and the marker of t1, the first point at or beyond it."""
+    ends = curve.agg(F.max("x").alias("most"))
+    ticks = ends.select(F.explode(F.when(F.col("most") >= library, F.sequence(F.lit(1).cast("long"), F.floor(F.col("most") / library)))).alias("k"))
+    rows = ticks.select(F.lit("tick").alias("kind"), (F.col("k") * library).alias("x"), F.lit(None).cast("double").alias("y"))
+    return rows if t1 is None else rows.unionByName(first_reaching(curve, t1).select(F.lit("marker").alias("kind"), F.col("x").cast("long").alias("x"), "y"))

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import seq, stats
-from ..operators import costs, demux, simulate
+from ..operators import align, costs, demux, simulate
+from ..sources import records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,16 +59,18 @@ SELECT CAST(plate AS INT) AS plate, row, col, row || col AS well, coalesce(toolt
 
 
 def reference_map(spark, sf_dir):
-    rows = _table(spark, sf_dir, "lineitem").where("l_suppkey < l_partkey % 300 % 100")
+    rows = _table(spark, sf_dir, "lineitem")
     r = F.col("l_partkey") % 300
+    # Every line is a read; those of the other suppliers align to references that are not asked about.
+    mine = F.when(F.col("l_suppkey") < r % 100, F.lit("ref")).otherwise(F.lit("host"))
     at = F.when(F.col("l_orderkey") % 100 < 100 - (r % 4) * 5, r).otherwise(r + 1)
     well = F.concat((F.floor(at / 384) + 1).cast("string"), F.char(65 + F.floor(at / 24)), (at % 24 + 1).cast("string"))
-    reads = rows.select(F.concat(F.lit("ref"), r.cast("string")).alias("ref_name"), well.alias("well"))
+    reads = rows.select(F.concat(mine, r.cast("string")).alias("ref_name"), well.alias("well"))
     return demux.reference_map(reads, spark.range(300).select(F.concat(F.lit("ref"), F.col("id").cast("string")).alias("ref_id")))
 
 
-REFERENCE_MAP = """WITH r AS (SELECT l_partkey % 300 AS r, l_orderkey FROM lineitem WHERE l_suppkey < l_partkey % 300 % 100),
-w AS (SELECT r, CASE WHEN l_orderkey % 100 < 100 - (r % 4) * 5 THEN r ELSE r + 1 END AS a FROM r),
+REFERENCE_MAP = """WITH r AS (SELECT CASE WHEN l_suppkey < l_partkey % 300 % 100 THEN l_partkey % 300 ELSE -1 - l_partkey % 300 END AS r, l_partkey % 300 AS spot, l_orderkey FROM lineitem),
+w AS (SELECT r, CASE WHEN l_orderkey % 100 < 100 - (spot % 4) * 5 THEN spot ELSE spot + 1 END AS a FROM r),
 c AS (SELECT r, a, count(*) AS n FROM w GROUP BY ALL),
 t AS (SELECT r, a, n, sum(n) OVER (PARTITION BY r) AS tot, row_number() OVER (PARTITION BY r ORDER BY n DESC, a) AS k FROM c),
 j AS (SELECT 'ref' || g AS Reference, a, n, tot FROM range(300) x(g) LEFT JOIN (SELECT * FROM t WHERE k = 1) ON g = r)
@@ -86,15 +90,18 @@ _LINES_SQL = """lines AS (SELECT *, 'r_' || l_orderkey || '_' || l_linenumber AS
 
 def read_assembly(spark, sf_dir):
     rows = _lines(spark, sf_dir)
-    fbc = rows.where("l_partkey % 5 <> 0").select("read_name", "ord", (F.col("l_partkey") % 96).cast("int").alias("idx"))
-    rbc = rows.where("l_suppkey % 4 <> 0").select("read_name", "ord", (F.col("l_suppkey") % 32).cast("int").alias("idx"))
-    refs = rows.where("l_quantity > 5").select("read_name", "ord", seq.with_direction(F.lit("fwd"), "l_returnflag").alias("ref_name"), F.repeat(F.lit("A"), F.lit(4)).alias("read_seq"), F.concat("l_linestatus", F.lit("I!I")).alias("read_qual"))
+    # Every line is on every side; some sides know a read by a name of their own, so that names lack sides.
+    side = lambda odd, mark: F.when(odd, F.concat(F.col("read_name"), F.lit(mark))).otherwise(F.col("read_name")).alias("read_name")
+    fbc = rows.select(side(F.col("l_partkey") % 5 == 0, "f"), "ord", (F.col("l_partkey") % 96).cast("int").alias("idx"))
+    rbc = rows.select(side(F.col("l_suppkey") % 4 == 0, "r"), "ord", (F.col("l_suppkey") % 32).cast("int").alias("idx"))
+    bases = F.translate(F.substring(F.md5("ord"), 1, 8), "0123456789abcdef", "ACGTACGTACGTACGT")
+    refs = rows.select(side(F.col("l_quantity") <= 5, "m"), "ord", seq.with_direction(F.lit("fwd"), "l_returnflag").alias("ref_name"), bases.alias("read_seq"), F.concat("l_linestatus", F.lit("I!I")).alias("read_qual"))
     return demux.assemble_reads(fbc, rbc, refs)
 
 
 READ_ASSEMBLY = f"""WITH {_LINES_SQL},
-f AS (SELECT read_name, arg_max(l_partkey % 96, ord) AS fbc FROM lines WHERE l_partkey % 5 <> 0 GROUP BY 1), r AS (SELECT read_name, arg_max(l_suppkey % 32, ord) AS rbc FROM lines WHERE l_suppkey % 4 <> 0 GROUP BY 1),
-m AS (SELECT read_name, 'fwd:' || arg_max(l_returnflag, ord) AS ref_name, 'AAAA' AS read_seq, arg_max(l_linestatus, ord) || 'I!I' AS read_qual FROM lines WHERE l_quantity > 5 GROUP BY 1)
+f AS (SELECT read_name || CASE WHEN l_partkey % 5 = 0 THEN 'f' ELSE '' END AS read_name, arg_max(l_partkey % 96, ord) AS fbc FROM lines GROUP BY 1), r AS (SELECT read_name || CASE WHEN l_suppkey % 4 = 0 THEN 'r' ELSE '' END AS read_name, arg_max(l_suppkey % 32, ord) AS rbc FROM lines GROUP BY 1),
+m AS (SELECT read_name || CASE WHEN l_quantity <= 5 THEN 'm' ELSE '' END AS read_name, 'fwd:' || arg_max(l_returnflag, ord) AS ref_name, translate(substr(md5(max(ord)), 1, 8), '0123456789abcdef', 'ACGTACGTACGTACGT') AS read_seq, arg_max(l_linestatus, ord) || 'I!I' AS read_qual FROM lines GROUP BY 1)
 SELECT read_name, CAST(fbc AS INT) AS fbc, CAST(rbc AS INT) AS rbc, ref_name, read_seq, read_qual, (ascii(read_qual) - 33 + 40 + 0 + 40) / 4.0::DOUBLE AS avg_qual FROM f FULL JOIN r USING (read_name) FULL JOIN m USING (read_name)"""
 
 
@@ -168,14 +175,21 @@ QUALITY_QUANTILES = f"SELECT round(quantile_cont(avg_qual, 0.1), 6) AS q10, roun
 
 
 def classify_consensus(spark, sf_dir):
-    k = F.col("p_partkey")
-    cons = F.element_at(F.array(*(F.lit(x) for x in ("ATGGCCTAA", "ATGGCTTAA", "ATGACCTAA", "ATGGCCTA"))), (k % 4 + 1).cast("int"))
-    cigar = F.element_at(F.array(F.lit("9M"), F.lit("8M"), F.lit("4M1D1I4M"), F.lit(None).cast("string")), (F.floor(k / 4) % 4 + 1).cast("int"))
-    wells = _table(spark, sf_dir, "part").select("p_partkey", cigar.alias("CIGAR"), cons.alias("cons_seq"), F.lit("ATGGCCTAA").alias("ref_seq"), F.lit(9).alias("ref_len"))
-    return demux.classify_consensus(wells).select("p_partkey", "cons_check", "identity")
+    d, s = F.col("doc_id"), F.col("s")
+    # The consensus has another length, another letter at one of two places, or none of these; what that does to its protein is up to the text.
+    change = lambda at: F.concat(F.substring(s, 1, at - 1), F.translate(F.substring(s, at, 1), "ACGT", "CATG"), F.substring(s, at + 1, 30 - at))
+    cons = F.when(d % 5 == 0, F.substring(s, 1, 29)).when(d % 5 == 1, change(9)).when(d % 5 == 2, change(10)).otherwise(F.substring(s, 1, 30))
+    cigar = F.when(d % 4 == 0, F.concat(F.length(cons).cast("string"), F.lit("M"))).when(d % 4 == 1, F.lit("4M1D1I25M")).when(d % 4 == 2, F.lit("3M2I25m")).otherwise(F.when(d % 3 > 0, F.lit("30m")))
+    wells = _dna(spark, sf_dir).select("doc_id", cigar.alias("CIGAR"), cons.alias("cons_seq"), F.substring("s", 1, 30).alias("ref_seq"), F.lit(30).alias("ref_len"))
+    return demux.classify_consensus(wells).select("doc_id", "cons_check", "identity")
 
 
-CLASSIFY_CONSENSUS = """SELECT p_partkey, CASE (p_partkey // 4) % 4 WHEN 3 THEN 'Error' WHEN 0 THEN 'Perfect Match' WHEN 1 THEN 'Partial Match' ELSE CASE p_partkey % 4 WHEN 3 THEN 'Error' WHEN 2 THEN 'Other Error' ELSE 'Silent Mutation' END END AS cons_check, p_partkey % 4 = 0 AS identity FROM part"""
+_PROTEIN = "coalesce(array_to_string(list_transform(range(length({0}) // 3), lambda i: substr('" + seq.AMINO_ACIDS + "', CAST((instr('TCAG', substr({0}, i * 3 + 1, 1)) - 1) * 16 + (instr('TCAG', substr({0}, i * 3 + 2, 1)) - 1) * 4 + instr('TCAG', substr({0}, i * 3 + 3, 1)) AS BIGINT), 1)), ''), '')"
+CLASSIFY_CONSENSUS = f"""WITH d AS (SELECT doc_id, {_DNA_SQL} AS s FROM documents),
+c AS (SELECT doc_id, substr(s, 1, 30) AS ref, CASE doc_id % 5 WHEN 0 THEN substr(s, 1, 29) WHEN 1 THEN substr(s, 1, 8) || translate(substr(s, 9, 1), 'ACGT', 'CATG') || substr(s, 10, 21) WHEN 2 THEN substr(s, 1, 9) || translate(substr(s, 10, 1), 'ACGT', 'CATG') || substr(s, 11, 20) ELSE substr(s, 1, 30) END AS cons FROM d),
+g AS (SELECT *, CASE doc_id % 4 WHEN 0 THEN length(cons) || 'M' WHEN 1 THEN '4M1D1I25M' WHEN 2 THEN '3M2I25m' ELSE CASE WHEN doc_id % 3 > 0 THEN '30m' END END AS cigar FROM c)
+SELECT doc_id, CASE WHEN cigar IS NULL THEN 'Error' WHEN regexp_full_match(lower(cigar), '[0-9]+m') THEN CASE WHEN CAST(regexp_extract(cigar, '^[0-9]+') AS INT) = 30 THEN 'Perfect Match' ELSE 'Partial Match' END
+  WHEN length(cons) <> 30 THEN 'Error' WHEN {_PROTEIN.format('cons')} = {_PROTEIN.format('ref')} THEN 'Silent Mutation' ELSE 'Other Error' END AS cons_check, cons = ref AS identity FROM g"""
 
 
 def _grid(spark, sf_dir):
@@ -232,7 +246,7 @@ SELECT length, round(crossover, 4) AS crossover FROM (SELECT DISTINCT length FRO
 
 
 def _pool(spark, sf_dir):
-    return _table(spark, sf_dir, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("variant"), F.round(F.col("p_retailprice")).alias("weight"))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant"), F.round(F.col("p_retailprice")).alias("weight"))
 
 
 def weighted_sample(spark, sf_dir):
@@ -241,7 +255,7 @@ def weighted_sample(spark, sf_dir):
 
 
 _UNIFORM = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
-_CUTS_SQL = "pool AS (SELECT p_partkey AS variant, round(p_retailprice) AS weight FROM part WHERE p_partkey < 200), cuts AS (SELECT variant, (sum(weight) OVER (ORDER BY variant) - weight) / sum(weight) OVER () AS lo, CASE WHEN variant = max(variant) OVER () THEN 2 ELSE sum(weight) OVER (ORDER BY variant) / sum(weight) OVER () END AS hi FROM pool)"
+_CUTS_SQL = "pool AS (SELECT p_partkey AS variant, round(p_retailprice) AS weight FROM part), cuts AS (SELECT variant, (sum(weight) OVER (ORDER BY variant) - weight) / sum(weight) OVER () AS lo, CASE WHEN variant = max(variant) OVER () THEN 2 ELSE sum(weight) OVER (ORDER BY variant) / sum(weight) OVER () END AS hi FROM pool)"
 WEIGHTED_SAMPLE = f"WITH {_CUTS_SQL}, u AS (SELECT {_UNIFORM.format(chr(39) + '7:' + chr(39) + ' || o_orderkey')} AS u FROM orders) SELECT variant, count(*) AS n FROM u JOIN cuts ON u >= lo AND u < hi GROUP BY variant"
 
 
@@ -255,15 +269,18 @@ SELECT k AS x, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / (SELECT count(DISTI
 
 
 def resynthesis_curve(spark, sf_dir):
-    return simulate.recovery_with_resynthesis(_pool(spark, sf_dir), 150, 60, True, 10, 3).withColumn("y", F.round("y", 9))
+    """Draws in proportion to the pool, the whole of part: three for every two variants, then a third of a variant each; as many replicates as the reference makes."""
+    pool = _pool(spark, sf_dir)
+    size = pool.count()
+    return simulate.recovery_with_resynthesis(pool, size * 3 // 2, size // 3, True, 100, 3).withColumn("y", F.round("y", 9))
 
 
-RESYNTHESIS_CURVE = f"""WITH {_CUTS_SQL}, reps AS (SELECT g AS rep FROM range(10) a(g)), steps AS (SELECT rep, k, {_UNIFORM.format("'3:' || rep || ':' || k")} AS u FROM reps, range(1, 211) b(k)),
-one AS (SELECT rep, k, variant FROM steps JOIN cuts ON u >= lo AND u < hi WHERE k <= 150),
+RESYNTHESIS_CURVE = f"""WITH {_CUTS_SQL}, size AS (SELECT count(*) * 3 // 2 AS t1, count(*) // 3 AS t2 FROM pool), reps AS (SELECT g AS rep FROM range(100) a(g)), ks AS (SELECT unnest(range(1, t1 + t2 + 1)) AS k FROM size), steps AS (SELECT rep, k, {_UNIFORM.format("'3:' || rep || ':' || k")} AS u FROM reps, ks),
+one AS (SELECT rep, k, variant FROM steps JOIN cuts ON u >= lo AND u < hi WHERE k <= (SELECT t1 FROM size)),
 un AS (SELECT rep, variant, row_number() OVER (PARTITION BY rep ORDER BY variant) - 1 AS r, count(*) OVER (PARTITION BY rep) AS m FROM (SELECT rep, variant FROM reps, pool EXCEPT SELECT rep, variant FROM one)),
-two AS (SELECT s.rep, k, variant FROM (SELECT s.rep, k, CAST(floor(u * m) AS BIGINT) AS r FROM steps s JOIN (SELECT DISTINCT rep, m FROM un) USING (rep) WHERE k > 150) s JOIN un ON s.rep = un.rep AND s.r = un.r),
+two AS (SELECT s.rep, k, variant FROM (SELECT s.rep, k, CAST(floor(u * m) AS BIGINT) AS r FROM steps s JOIN (SELECT DISTINCT rep, m FROM un) USING (rep) WHERE k > (SELECT t1 FROM size)) s JOIN un ON s.rep = un.rep AND s.r = un.r),
 f AS (SELECT rep, variant, min(k) AS k FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY ALL), n AS (SELECT k, count(*) AS n FROM f GROUP BY k)
-SELECT k AS x, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / 10.0::DOUBLE / (SELECT count(*) FROM pool), 9) AS y FROM range(1, 211) c(k) LEFT JOIN n USING (k)"""
+SELECT k AS x, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / 100.0::DOUBLE / (SELECT count(*) FROM pool), 9) AS y FROM ks LEFT JOIN n USING (k)"""
 
 
 def lognormal_fold(spark, sf_dir):
@@ -293,8 +310,8 @@ def funnel(spark, sf_dir):
 
 
 def coverage_sweep(spark, sf_dir):
-    folds = [(1 + 4999 * i / 24) / 328 for i in range(25)]  # 1 to 5000 wells
-    return simulate.coverage_sweep(spark, folds, n_sims=10_000, scale=30, p_grow=0.67, p_incorrect=0.1)
+    """The reference's defaults as coded: its number of simulations is not handed on, so each fold has the funnel's own."""
+    return simulate.coverage_sweep(spark, n_sims=10_000)
 
 
 def streamed_depths(spark, sf_dir):
@@ -306,6 +323,232 @@ def streamed_depths(spark, sf_dir):
 
 STREAMED_DEPTHS = """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, (rb // 4 + 1) || chr(CAST(64 + 2 * (fb // 12) + CASE WHEN rb % 4 < 2 THEN 1 ELSE 2 END AS INT)) || (2 * (fb % 12) + CASE WHEN rb % 2 = 0 THEN 1 ELSE 2 END) AS well_pos, count(*) AS depth FROM (SELECT ts, user_id % 96 AS fb, event_id % 32 AS rb FROM events) GROUP BY ALL"""
 
+_FASTQ_NAME = "CASE WHEN o_orderkey % 3 = 0 THEN '|ref=g' || o_orderkey % 7 ELSE '/1 lane' END"
+
+
+def fastq_scan(spark, sf_dir):
+    """Orders as FASTQ text, half of it compressed, written, found, split at places that fall inside records, read and counted."""
+    k = F.col("o_orderkey")
+    bases = F.translate(F.substring(F.md5(k.cast("string")), 1, (k % 20 + 1).cast("int")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    qual = F.translate(F.substring(F.md5(k.cast("string")), 1, (k % 20 + F.when(k % 50 == 0, 2).otherwise(1)).cast("int")), "0123456789abcdef", "!#%'@+-/13579;=I")
+    name = F.concat(F.lit("r"), k.cast("string"), F.when(k % 3 == 0, F.concat(F.lit("|ref=g"), (k % 7).cast("string"))).otherwise(F.lit("/1 lane")))
+    rows = _table(spark, sf_dir, "orders").select(k, F.concat_ws("\n", F.concat(F.lit("@"), name), bases, F.lit("+"), qual).alias("value"))
+    root = storage.scratch(spark)
+    rows.where("o_orderkey % 2 = 0").select("value").write.text(f"{root}/plain")
+    rows.where("o_orderkey % 2 = 1").select("value").write.option("compression", "gzip").text(f"{root}/packed")
+    reads = records.read_fastq(spark, root, "*.txt*", range_bytes=10_007)
+    name = seq.normalize_id("read_id")
+    return reads.groupBy((F.crc32(name) % 100).alias("lot")).agg(F.count("*").alias("n"), F.countDistinct(name).alias("names"), F.count_if("malformed").alias("malformed"), F.count(seq.ref_tag("read_id")).alias("tagged"), F.sum(F.length("seq")).alias("bases"), F.max(F.when(~F.col("malformed"), F.round(seq.mean_quality("qual"), 6))).alias("best"), F.min("seq").alias("least"))
+
+
+FASTQ_SCAN = """WITH r AS (SELECT o_orderkey AS k, 'r' || o_orderkey AS name, translate(substr(md5(o_orderkey::VARCHAR), 1, CAST(o_orderkey % 20 + 1 AS INT)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s, translate(substr(md5(o_orderkey::VARCHAR), 1, CAST(o_orderkey % 20 + CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END AS INT)), '0123456789abcdef', '!#%''@+-/13579;=I') AS q FROM orders),
+b AS (SELECT *, (SELECT list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(name)), lambda i: ascii(substr(name, i + 1, 1))::BIGINT)), lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END))) AS crc FROM r)
+SELECT xor(crc, 4294967295::BIGINT) % 100 AS lot, count(*) AS n, count(DISTINCT name) AS names, count(*) FILTER (k % 50 = 0) AS malformed, count(*) FILTER (k % 3 = 0) AS tagged, CAST(sum(length(s)) AS BIGINT) AS bases, max(round(list_sum(list_transform(string_split(q, ''), lambda x: ascii(x) - 33))::DOUBLE / length(q), 6)) FILTER (k % 50 <> 0) AS best, min(s) AS least FROM b GROUP BY lot"""
+
+
+def sam_fastq(spark, sf_dir):
+    """Orders as SAM text, read back; mapped reads of each direction as tagged FASTQ, the reverse ones turned."""
+    k = F.col("o_orderkey")
+    bases = F.when(k % 11 == 0, F.lit("*")).otherwise(F.translate(F.substring(F.md5(k.cast("string")), 1, 9), "0123456789abcdef", "ACGTNCGTACRTACGY"))
+    qual = F.when(k % 5 == 0, F.lit("*")).otherwise(F.translate(F.substring(F.md5(k.cast("string")), 1, 9), "0123456789abcdef", "!#%'@+-/13579;=I"))
+    line = F.concat_ws("\t", F.concat(F.lit("q"), k.cast("string")), F.when(k % 7 == 0, "4").otherwise("0"), F.concat(F.lit("g"), (k % 3).cast("string")), F.lit("1"), F.lit("60"), F.lit("9M"), F.lit("*"), F.lit("0"), F.lit("0"), bases, qual)
+    path = storage.scratch(spark)
+    _table(spark, sf_dir, "orders").select(F.when(k % 100 == 0, F.concat(F.lit("@CO\t"), k.cast("string"))).otherwise(line).alias("value")).write.text(path)
+    sam = records.read_sam(spark, path)
+    return records.tagged_fastq(sam.where("rname = 'g0'")).unionByName(records.tagged_fastq(sam.where("rname <> 'g0'"), "reverse")).withColumnRenamed("value", "record")
+
+
+SAM_FASTQ = """WITH s AS (SELECT o_orderkey AS k, translate(substr(md5(o_orderkey::VARCHAR), 1, 9), '0123456789abcdef', 'ACGTNCGTACRTACGY') AS s, CASE WHEN o_orderkey % 5 = 0 THEN 'IIIIIIIII' ELSE translate(substr(md5(o_orderkey::VARCHAR), 1, 9), '0123456789abcdef', '!#%''@+-/13579;=I') END AS q FROM orders WHERE o_orderkey % 100 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0)
+SELECT '@q' || k || '|ref=g' || k % 3 || chr(10) || CASE WHEN k % 3 = 0 THEN s ELSE reverse(translate(s, 'ACGTRY', 'TGCAYR')) END || chr(10) || '+' || chr(10) || CASE WHEN k % 3 = 0 THEN q ELSE reverse(q) END AS record FROM s"""
+
+
+def formatted_reads(spark, sf_dir):
+    """Reads with barcode names, wells and references looked up; incomplete ones go."""
+    reads = _lines(spark, sf_dir).select("read_name", F.when(F.col("l_quantity") > 2, F.col("l_partkey") % 100).alias("fbc"), (F.col("l_suppkey") % 32).alias("rbc"), F.when(F.col("l_tax") > 0, F.concat(F.lit("rev:x:"), "l_returnflag")).alias("ref_name"))
+    kit = lambda name, n: spark.range(n).select(F.col("id").alias("idx"), F.format_string(f"{name}%02d", F.col("id") + 1).alias("name"))
+    references = spark.createDataFrame([("x:A", "ACGT"), ("x:R", "ACGTACG")], "ref_id string, ref_seq string")
+    found = demux.format_reads(reads, kit("FB", 96), kit("RB", 32), references)
+    return found.select("read_name", "fbc_name", "rbc_name", "well_pos", "ref_id", "ref_seq", F.col("ref_len").cast("long").alias("ref_len"))
+
+
+FORMATTED_READS = f"""WITH {_LINES_SQL}, k AS (SELECT read_name, l_partkey % 100 AS fb, l_suppkey % 32 AS rb, l_returnflag AS f FROM lines WHERE l_quantity > 2 AND l_tax > 0 AND l_partkey % 100 < 96)
+SELECT read_name, 'FB' || lpad((fb + 1)::VARCHAR, 2, '0') AS fbc_name, 'RB' || lpad((rb + 1)::VARCHAR, 2, '0') AS rbc_name, (rb // 4 + 1) || chr(CAST(64 + 2 * (fb // 12) + CASE WHEN rb % 4 < 2 THEN 1 ELSE 2 END AS INT)) || (2 * (fb % 12) + CASE WHEN rb % 2 = 0 THEN 1 ELSE 2 END) AS well_pos, 'x:' || f AS ref_id, CASE f WHEN 'A' THEN 'ACGT' WHEN 'R' THEN 'ACGTACG' END AS ref_seq, CAST(CASE f WHEN 'A' THEN 4 WHEN 'R' THEN 7 END AS BIGINT) AS ref_len FROM k"""
+
+
+def well_export(spark, sf_dir):
+    """The wells that reads of the first plate's small lines name, as the sorted well map."""
+    reads = _reads(spark, sf_dir)
+    guard = _table(spark, sf_dir, "supplier").select(seq.barcode_to_well(F.lit("FB01"), F.format_string("RB%02d", F.col("s_suppkey") % 40 + 1)).alias("well_pos"))
+    return demux.well_map(demux.wells_with(demux.well_summary(reads), guard)).select("plate", "well", "global_well", "depth")
+
+
+WELL_EXPORT = f"""WITH {_READS_SQL} SELECT CAST(plate AS INT) AS plate, row || col AS well, plate || row || col AS global_well, CAST(depth AS BIGINT) AS depth FROM ranked
+WHERE rk = 1 AND plate || row || col IN (SELECT (rb // 4 + 1) || chr(CAST(64 + CASE WHEN rb % 4 < 2 THEN 1 ELSE 2 END AS INT)) || CASE WHEN rb % 2 = 0 THEN 1 ELSE 2 END FROM (SELECT s_suppkey % 40 AS rb FROM supplier) WHERE rb < 32)"""
+
+
+def labels(spark, sf_dir):
+    """Numbers, labels, paths and qualities as text."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    big = F.floor(price) * F.element_at(F.array(*(F.lit(10**e).cast("long") for e in (0, 1, 4, 7, 9))), (k % 5 + 1).cast("int"))
+    tie = (big % 100 == 50) & (big < 10**6) & (big >= 1000) | (big % 10**5 == 50_000) & (big >= 10**6)  # engines round these apart
+    path = F.concat(F.lit("run/"), F.when(k % 6 == 0, "unclassified").otherwise("barcode"), F.format_string("%02d", k % 130), F.lit("/barcode99.fastq"))
+    ref = F.concat(F.lit("fwd:"), "o_orderpriority", F.lit(":"), "o_orderstatus")
+    quals = F.transform(F.sequence(F.lit(0), (k % 9).cast("int")), lambda i: ((k + i * 7) % 42).cast("int"))
+    rows = _table(spark, sf_dir, "orders").where(~path.contains("unclassified"))
+    return rows.select(
+        "o_orderkey", seq.human_number(big).alias("human"), F.when(~tie, seq.reads_label(big)).alias("reads"), seq.barcode_index(path).alias("barcode"), seq.strip_direction(ref).alias("ref_id"), seq.last_part(ref).alias("last"), seq.phred_encode(quals).alias("qual"),
+        F.array_join(seq.phred_decode(seq.phred_encode(F.reverse(quals))), ",").alias("turned"), seq.fill_quality(F.when(k % 2 == 0, seq.phred_encode(quals)), F.repeat(F.lit("A"), (k % 4).cast("int"))).alias("filled"),
+    )
+
+
+LABELS = """WITH o AS (SELECT *, CAST(floor(o_totalprice) AS BIGINT) * [1, 10, 10000, 10000000, 1000000000][o_orderkey % 5 + 1]::BIGINT AS big, list_transform(range(o_orderkey % 9 + 1), lambda i: CAST((o_orderkey + i * 7) % 42 AS INT)) AS q FROM orders WHERE o_orderkey % 6 <> 0)
+SELECT o_orderkey, CASE WHEN big < 1000 THEN big::VARCHAR WHEN big < 1e6::DOUBLE THEN CAST(round_even(big / 1e3::DOUBLE, 0) AS BIGINT) || 'k' WHEN big < 1e9::DOUBLE THEN CAST(round_even(big / 1e6::DOUBLE, 0) AS BIGINT) || 'M' WHEN big < 1e12::DOUBLE THEN CAST(round_even(big / 1e9::DOUBLE, 0) AS BIGINT) || 'B' ELSE format('{:.1f}', round_even(big / 1e12::DOUBLE, 1)) || 'T' END AS human,
+  CASE WHEN big >= 1000000 AND big % 100000 = 50000 OR big BETWEEN 1000 AND 999999 AND big % 100 = 50 THEN NULL WHEN big < 1000 THEN big::VARCHAR WHEN big < 1000000 THEN format('{:.1f}', big / 1e3::DOUBLE) || 'k' ELSE format('{:.1f}', big / 1e6::DOUBLE) || 'M' END AS reads, CAST(o_orderkey % 130 - 1 AS INT) AS barcode, o_orderpriority || ':' || o_orderstatus AS ref_id, o_orderstatus AS last,
+  array_to_string(list_transform(q, lambda x: chr(x + 33)), '') AS qual, array_to_string(list_reverse(q), ',') AS turned, CASE WHEN o_orderkey % 2 = 0 THEN array_to_string(list_transform(q, lambda x: chr(x + 33)), '') ELSE repeat('I', o_orderkey % 4) END AS filled FROM o"""
+
+
+def quality_hist(spark, sf_dir):
+    """Mean qualities in 50 bins with densities, and the labels that go with them."""
+    rows = mean_quality(spark, sf_dir)
+    bins = stats.histogram(rows, F.col("avg_qual"), density=True).select("bin", F.round("lo", 6).alias("lo"), "n", F.round("density", 6).alias("density"))
+    marks = rows.agg(F.round(F.median("avg_qual"), 6).alias("median"), F.concat(F.lit("90% above Q"), F.floor(F.percentile("avg_qual", F.lit(0.1))).cast("string")).alias("label"))
+    return bins.crossJoin(F.broadcast(marks))  # one row
+
+
+QUALITY_HIST = f"""WITH v AS (SELECT avg_qual AS x FROM ({MEAN_QUALITY}) WHERE avg_qual IS NOT NULL), e AS (SELECT min(x) AS lo, max(x) AS hi, count(*) AS total, round(median(x), 6) AS median, '90% above Q' || CAST(floor(quantile_cont(x, 0.1)) AS INT) AS label FROM v),
+b AS (SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 50)), 49) ELSE 0 END AS INT) AS bin, * FROM v, e)
+SELECT bin, round(any_value(lo + bin * ((hi - lo) / 50)), 6) AS lo, count(*) AS n, round(count(*) / any_value(total * ((hi - lo) / 50)), 6) AS density, any_value(median) AS median, any_value(label) AS label FROM b GROUP BY bin"""
+
+
+def alignment_stats(spark, sf_dir):
+    rows = _lines(spark, sf_dir)
+    overlap = demux.name_overlap(rows.where("l_quantity < 30").select("read_name"), rows.where("l_quantity > 20").select("read_name"))
+    return demux.alignment_stats(rows.agg(F.count("*").alias("n")), overlap)
+
+
+ALIGNMENT_STATS = f"""WITH o AS ({NAME_OVERLAP}), t AS (SELECT count(*) AS n FROM lineitem)
+SELECT n, fwd_reads + rev_reads AS mapped, round_even(100.0::DOUBLE * fwd_reads / n, 1) AS fwd_pct, round_even(100.0::DOUBLE * rev_reads / n, 1) AS rev_pct, round_even(100.0::DOUBLE * "both" / n, 1) AS both_pct FROM o, t"""
+
+
+def barcode_calls(spark, sf_dir):
+    """Barcodes of reads whose starts have one with a letter changed, lost or neither, or none."""
+    k = F.col("o_orderkey")
+    kit = spark.range(12).select(F.col("id").cast("int").alias("idx"), F.concat(F.lit("B"), F.col("id").cast("string")).alias("name"), F.translate(F.substring(F.md5(F.concat(F.lit("kit"), F.col("id").cast("string"))), 1, 16), "0123456789abcdef", "ACGTACGTACGTACGT").alias("barcode"))
+    code = F.translate(F.substring(F.md5(F.concat(F.lit("kit"), (k % 14).cast("string"))), 1, 16), "0123456789abcdef", "ACGTACGTACGTACGT")
+    code = F.when(k % 3 == 0, code).when(k % 3 == 1, F.concat(F.substring(code, 1, 7), F.lit("A"), F.substring(code, 9, 8))).otherwise(F.concat(F.substring(code, 1, 4), F.substring(code, 6, 11)))
+    read = F.concat(F.repeat(F.lit("G"), (k % 5).cast("int")), code, F.translate(F.substring(F.md5(k.cast("string")), 1, 12), "0123456789abcdef", "ACGTACGTACGTACGT"))
+    return demux.classify_barcodes(_table(spark, sf_dir, "orders").select(k.cast("string").alias("read_name"), read.alias("read_seq")), kit)
+
+
+_LETTERS = "translate(substr(md5({}), 1, {}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+BARCODE_CALLS = f"""WITH kit AS (SELECT CAST(g AS INT) AS idx, {_LETTERS.format("'kit' || g", 16)} AS code FROM range(12) a(g)),
+c AS (SELECT o_orderkey AS k, {_LETTERS.format("'kit' || o_orderkey % 14", 16)} AS code FROM orders),
+r AS (SELECT k, substr(repeat('G', k % 5) || CASE k % 3 WHEN 0 THEN code WHEN 1 THEN substr(code, 1, 7) || 'A' || substr(code, 9, 8) ELSE substr(code, 1, 4) || substr(code, 6, 11) END || {_LETTERS.format('k::VARCHAR', 12)}, 1, 40) AS s FROM c),
+d AS (SELECT k, idx, list_min(list_transform(range(greatest(length(s) - 16, 0) + 1), lambda i: levenshtein(substr(s, i + 1, 16), kit.code))) AS d FROM r, kit),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, idx) AS rk, lead(d) OVER (PARTITION BY k ORDER BY d, idx) AS d2 FROM d)
+SELECT k::VARCHAR AS read_name, CASE WHEN d <= 4 AND d2 - d >= 1 THEN idx END AS idx, CAST(d AS INT) AS distance FROM o WHERE rk = 1"""
+
+_REF_SQL = " || ".join(_LETTERS.format(f"'{part}' || g", 32) for part in "abcd")
+
+
+def _references(spark, n):
+    text = F.concat(*(F.translate(F.md5(F.concat(F.lit(part), F.col("id").cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT") for part in "abcd"))
+    return spark.range(n).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("ref_id"), text.alias("ref_seq"))
+
+
+def read_alignment(spark, sf_dir):
+    """Reads cut from references at known places, some with a letter changed in their middle, every other one reversed: where they align and how."""
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select(k, F.concat(F.lit("g"), (k % 40).cast("string")).alias("ref_id")).join(F.broadcast(_references(spark, 40)), "ref_id")  # 40 rows
+    cut = F.substr("ref_seq", (k % 60 + 1).cast("int"), F.lit(60))
+    changed = F.when(k % 3 == 0, F.concat(F.substring(cut, 1, 29), F.translate(F.substring(cut, 30, 1), "ACGT", "CATG"), F.substring(cut, 31, 30))).otherwise(cut)
+    reads = rows.select(F.concat(F.lit("q"), k.cast("string")).alias("read_name"), F.when(k % 2 == 0, seq.reverse_complement(changed)).otherwise(changed).alias("read_seq"))
+    return align.align_reads(reads, _references(spark, 40)).select("read_name", "ref_id", "strand", "pos", "cigar", "score")
+
+
+READ_ALIGNMENT = """SELECT 'q' || o_orderkey AS read_name, 'g' || o_orderkey % 40 AS ref_id, CASE WHEN o_orderkey % 2 = 0 THEN 'rev' ELSE 'fwd' END AS strand, CAST(o_orderkey % 60 AS INT) AS pos, '60M' AS cigar, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 59 * 2 - 4 ELSE 120 END AS INT) AS score FROM orders"""
+
+
+def consensus_check(spark, sf_dir):
+    """Wells whose reads agree on a letter changed, lost or gained, aligned, piled up, realigned and classed; one read in ten has an error of its own."""
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 60).alias("w"), F.col("l_orderkey").alias("k"), F.concat_ws(":", *(F.col(c).cast("string") for c in _KEY)).alias("name"))
+    own = rows.join(F.broadcast(_references(spark, 60).withColumn("w", F.expr("CAST(substr(ref_id, 2) AS BIGINT)"))), "w")  # 60 rows
+    s, w = F.col("ref_seq"), F.col("w")
+    turned = F.translate(F.substring(s, 50, 1), "ACGT", "CATG")
+    truth = F.when(w % 4 == 1, F.concat(F.substring(s, 1, 49), turned, F.substring(s, 51, 78))).when(w % 4 == 2, F.concat(F.substring(s, 1, 49), F.substring(s, 51, 78))).when(w % 4 == 3, F.concat(F.substring(s, 1, 50), turned, F.substring(s, 51, 78))).otherwise(s)
+    read = F.when(F.col("k") % 10 == 0, F.concat(F.substring(truth, 1, 19), F.translate(F.substring(truth, 20, 1), "ACGT", "TGCA"), F.substring(truth, 21, 120))).otherwise(truth)
+    reads = own.select("name", w.cast("string").alias("well"), "ref_id", read.alias("read_seq"), "ref_seq", F.lit(0).alias("offset"))
+    aligned = align.align_pairs(reads)
+    wells = _references(spark, 60).select(F.substr("ref_id", F.lit(2)).alias("global_well"), F.col("ref_id").alias("major_ref"), "ref_seq", F.length("ref_seq").alias("ref_len"))
+    found = align.well_consensus(wells, aligned)
+    return demux.classify_consensus(found).select("global_well", "cons_seq", "cons_check", "identity")
+
+
+CONSENSUS_CHECK = f"""WITH w AS (SELECT DISTINCT l_partkey % 60 AS g FROM lineitem), s AS (SELECT x.g, {_REF_SQL.replace("|| g", "|| x.g")} AS s, w.g IS NOT NULL AS there FROM range(60) x(g) LEFT JOIN w ON x.g = w.g),
+c AS (SELECT g, s, CASE WHEN there THEN CASE g % 4 WHEN 1 THEN substr(s, 1, 49) || translate(substr(s, 50, 1), 'ACGT', 'CATG') || substr(s, 51) WHEN 2 THEN substr(s, 1, 49) || substr(s, 51) WHEN 3 THEN substr(s, 1, 50) || translate(substr(s, 50, 1), 'ACGT', 'CATG') || substr(s, 51) ELSE s END END AS cons FROM s)
+SELECT g::VARCHAR AS global_well, cons AS cons_seq, CASE WHEN cons IS NULL THEN 'Error' WHEN g % 4 < 2 THEN 'Perfect Match' ELSE 'Error' END AS cons_check, cons = s AS identity FROM c"""
+
+
+def sample_recovery(spark, sf_dir):
+    """Distinct variants among as many draws as the pool, the whole of part, has variants."""
+    pool = _pool(spark, sf_dir)
+    return simulate.recovered(simulate.take_sample(pool, pool.count(), 11), pool)
+
+
+SAMPLE_RECOVERY = f"WITH {_CUTS_SQL}, u AS (SELECT {_UNIFORM.format(chr(39) + '11:' + chr(39) + ' || k')} AS u FROM (SELECT unnest(range(1, count(*) + 1)) AS k FROM part)) SELECT count(DISTINCT variant) AS n, count(DISTINCT variant) / (SELECT count(*) FROM pool)::DOUBLE AS share FROM u JOIN cuts ON u >= lo AND u < hi"
+
+
+def uniform_recovery(spark, sf_dir):
+    """Orders as ten replicates of uniform draws from 500 variants: mean and deviation at each step of a thousand draws."""
+    draws = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("rep"), (F.floor(F.col("o_orderkey") / 10) + 1).alias("k"), (F.col("o_custkey") % 500).alias("variant"))
+    return simulate.uniform_recovery(draws, 500, 1000).select("x", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+UNIFORM_RECOVERY = """WITH d AS (SELECT o_orderkey % 10 AS rep, o_orderkey // 10 + 1 AS k, o_custkey % 500 AS v FROM orders), x AS (SELECT unnest(range(100, 1001, 100)) AS x),
+n AS (SELECT x, rep, count(DISTINCT v) FILTER (k <= x) AS n FROM d, x GROUP BY ALL) SELECT x, round(avg(n / 500.0::DOUBLE), 9) AS mean, round(stddev_pop(n / 500.0::DOUBLE), 9) AS std FROM n GROUP BY x"""
+
+
+def recovery_marks(spark, sf_dir):
+    """Ticks at whole multiples of a library of 200 and the marker of 333.5 draws on the recovery curve of the orders."""
+    return simulate.coverage_ticks(recovery_curve(spark, sf_dir), 200, 333.5)
+
+
+RECOVERY_MARKS = f"""WITH c AS ({RECOVERY_CURVE}), m AS (SELECT 'marker' AS kind, min(x) AS x, arg_min(y, x) AS y FROM c WHERE x >= 333.5)
+SELECT 'tick' AS kind, k * 200 AS x, NULL::DOUBLE AS y FROM (SELECT unnest(range(1, max(x) // 200 + 1)) AS k FROM c) UNION ALL SELECT * FROM m WHERE x IS NOT NULL"""
+
+
+def expected_curve(spark, sf_dir):
+    """The exact expected share of the pool, the whole of part, after each customer segment's number of draws."""
+    totals = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("x")).select("x").distinct()
+    return simulate.expected_curve(_pool(spark, sf_dir), totals).withColumn("y", F.round("y", 8))
+
+
+EXPECTED_CURVE = """WITH p AS (SELECT round(p_retailprice) / (SELECT sum(round(p_retailprice)) FROM part) AS p FROM part), t AS (SELECT DISTINCT count(*) AS x FROM customer GROUP BY c_nationkey) SELECT x, round(avg(1 - pow(1 - p, x)), 8) AS y FROM p, t GROUP BY x"""
+
+
+def model_counts(spark, sf_dir):
+    """As many lognormal abundances as there are parts: their quantile ratio and bins of log10 of whole counts."""
+    model = simulate.model_distribution(spark, _table(spark, sf_dir, "part").count(), 5, 2)
+    logs = model.select(F.log10(F.floor(1000 * F.col("weight"))).alias("x")).where("x is not null")
+    q = logs.agg(*(F.percentile("x", F.lit(p)).alias(f"q{int(p * 100)}") for p in (0.1, 0.9))).select(F.round(F.pow(10.0, F.col("q90") - F.col("q10")), 6).alias("fold"))
+    return stats.histogram(logs, F.col("x"), 100).select("bin", "n").crossJoin(F.broadcast(q))  # one row
+
+
+MODEL_COUNTS = f"""WITH s AS (SELECT ln(5) / (2 * {simulate.Z90}::DOUBLE) AS s), v AS (SELECT log10(floor(1000 * exp(-s * s / 2 + s * sqrt(-2 * ln(greatest({_UNIFORM.format("'2:' || k || ':a'")}, 1.1102230246251565e-16))) * cos(2 * pi() * {_UNIFORM.format("'2:' || k || ':b'")})))) AS x FROM (SELECT unnest(range(count(*))) AS k FROM part), s),
+e AS (SELECT min(x) AS lo, max(x) AS hi, round(pow(10, quantile_cont(x, 0.9) - quantile_cont(x, 0.1)), 6) AS fold FROM v)
+SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 100)), 99) ELSE 0 END AS INT) AS bin, count(*) AS n, any_value(fold) AS fold FROM v, e GROUP BY bin"""
+
+
+def fold_savings(spark, sf_dir):
+    """Commercial mean over own cost at the library size that most of the grid has."""
+    points = _grid(spark, sf_dir)
+    own = points.select("length", "n", costs.pooled_total().alias("cost"))
+    return costs.fold_savings(costs.cost_stats(costs.commercial_costs(points, "goldengate")), own, 1105).withColumn("fold", F.round("fold", 6))
+
+
+FOLD_SAVINGS = f"""WITH {_COMMERCIAL_SQL.replace("10.72::DOUBLE", "4.74::DOUBLE")}, own AS ({TOTAL_COST}), m AS (SELECT length, n, avg(cost) AS y FROM costs GROUP BY ALL)
+SELECT length, round(y / cost, 6) AS fold FROM m JOIN own USING (length, n) WHERE n = 1105"""
+
 _CATALOG = {
     "well_summary": (well_summary, WELL_SUMMARY),
     "plate_map": (plate_map, PLATE_MAP),
@@ -329,6 +572,22 @@ _CATALOG = {
     "lognormal_fold": (lognormal_fold, LOGNORMAL_FOLD),
     "pileup_consensus": (pileup, PILEUP),
     "streamed_depths": (streamed_depths, STREAMED_DEPTHS),
+    "fastq_scan": (fastq_scan, FASTQ_SCAN),
+    "sam_fastq": (sam_fastq, SAM_FASTQ),
+    "formatted_reads": (formatted_reads, FORMATTED_READS),
+    "well_export": (well_export, WELL_EXPORT),
+    "labels": (labels, LABELS),
+    "quality_hist": (quality_hist, QUALITY_HIST),
+    "alignment_stats": (alignment_stats, ALIGNMENT_STATS),
+    "barcode_calls": (barcode_calls, BARCODE_CALLS),
+    "read_alignment": (read_alignment, READ_ALIGNMENT),
+    "consensus_check": (consensus_check, CONSENSUS_CHECK),
+    "sample_recovery": (sample_recovery, SAMPLE_RECOVERY),
+    "uniform_recovery": (uniform_recovery, UNIFORM_RECOVERY),
+    "recovery_marks": (recovery_marks, RECOVERY_MARKS),
+    "expected_curve": (expected_curve, EXPECTED_CURVE),
+    "model_counts": (model_counts, MODEL_COUNTS),
+    "fold_savings": (fold_savings, FOLD_SAVINGS),
     "funnel": (funnel, None),
     "coverage_sweep": (coverage_sweep, None),
 }

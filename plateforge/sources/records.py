@@ -1,19 +1,25 @@
 """FASTQ, FASTA, SAM and barcode tables as DataFrames, and their sinks.
 
-FASTQ is a Python data source: one partition per file, found through Spark's own
-readers, so any store works; framing is by four lines. Reading is streaming: a
-worker holds one record.
+FASTQ files are found by Spark's own listing and read in byte ranges, so a file of
+any size is many tasks and a worker holds one batch of records. Framing is by four
+lines, exactly: a first pass counts the line ends of each range of a file that has
+several, so every range knows the number of its first line. Compressed files are
+one range each, read as a stream.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
 
+RANGE_BYTES = 64 << 20
+BATCH_RECORDS = 5000
 # Fixed value: the name that barcode records begin with.
 KIT = "LevSeq"
 
@@ -24,34 +30,94 @@ def find_fastq(spark: SparkSession, root: str, include_gz: bool = True) -> DataF
     return rows if include_gz else rows.where(F.col("path").endswith("fastq"))
 
 
-def _frame(batches):
-    import pandas as pd
+def _open(path: str):
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inner)
 
+
+def _count_lines(batches):
+    """Ranges (path, start, end, alone) with their line ends; a range that is alone needs none."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            raw = gzip.decompress(content) if path.endswith(".gz") else content
-            lines = raw.decode("utf-8", "ignore").split("\n")
-            if lines and not lines[-1]:
-                lines.pop()
-            out = []
-            for at in range(0, len(lines), 4):
-                part = [x.rstrip("\r") for x in lines[at : at + 4]] + [None] * 4
-                header, bases, plus, qual = part[:4]
-                bad = qual is None or not header.startswith("@") or not plus.startswith("+") or len(bases) != len(qual) or not header[1:].strip()
-                out.append((path, at // 4, header[1:], bases, qual, bad))
-            yield pd.DataFrame(out, columns=["path", "rec", "header", "seq", "qual", "malformed"])
+        found = []
+        for path, start, end, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = 0
+            if not alone:
+                with _open(path) as f:
+                    f.seek(start)
+                    left = end - start
+                    while left > 0 and (part := f.read(min(left, 1 << 20))):
+                        n += part.count(b"\n")
+                        left -= len(part)
+            found.append(n)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["path", "start", "end", "alone", "lines"])
 
 
-def read_fastq(spark: SparkSession, root: str, glob: str = "*.fastq*") -> DataFrame:
-    """(path, rec, read_id, header, seq, qual, malformed) of every record under root, .gz included.
+_RECORD = "path string, rec long, header string, seq string, qual string, malformed boolean"
+
+
+def _frame(batches):
+    """Ranges (path, start, end, alone, first line) to the records whose first line begins in them."""
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), *[pa.string()] * 3, pa.bool_()))], names=[c.split(" ")[0] for c in _RECORD.split(", ")])
+
+    for batch in batches:
+        for path, start, end, _, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            out = []
+            with _open(path) as raw:
+                packed = path.endswith(".gz")
+                if start:
+                    raw.seek(start - 1)
+                text = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20)
+                at = start
+                if start:  # the line that the range before began is its own
+                    skipped = text.readline()
+                    at += len(skipped) - 1
+                    line += skipped != b"\n"
+                while line % 4 and (skipped := text.readline()):
+                    at, line = at + len(skipped), line + 1
+                while packed or at < end:
+                    part = [text.readline() for _ in range(4)]
+                    if not part[0]:
+                        break
+                    at += sum(map(len, part))
+                    header, bases, plus, qual = (x.decode("utf-8", "ignore").rstrip("\r\n") if x else None for x in part)
+                    bad = qual is None or not header.startswith("@") or not plus.startswith("+") or len(bases) != len(qual) or not header[1:].strip()
+                    out.append((path, line // 4, header[1:], bases, qual, bad))
+                    line += 4
+                    if len(out) == BATCH_RECORDS:
+                        yield rows(out)
+                        out = []
+            if out:
+                yield rows(out)
+
+
+def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, rec, read_id, header, seq, qual, malformed) of every record of a file, or of the files under a folder, .gz included.
 
     A record that is cut short, lacks its marks or has unequal lengths is flagged, not dropped.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content")
-    rows = files.mapInPandas(_frame, "path string, rec long, header string, seq string, qual string, malformed boolean")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", F.col("length"))
+    whole = F.col("path").endswith(".gz") | (F.col("length") <= range_bytes)
+    starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
+    ranges = files.select("path", "length", whole.alias("alone"), F.explode(starts).alias("start")).select("path", "start", F.when(F.col("alone"), F.col("length")).otherwise(F.least(F.col("start") + range_bytes, "length")).alias("end"), "alone")
+    n = max(1, min(ranges.count(), 100_000))
+    counted = ranges.repartition(n).mapInArrow(_count_lines, "path string, start long, end long, alone boolean, lines long")
+    before = F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    framed = counted.select("path", "start", "end", "alone", F.coalesce(before, F.lit(0)).cast("long").alias("line")).repartition(n)
+    rows = framed.mapInArrow(_frame, _RECORD)
     return rows.select("path", "rec", F.split("header", r"\s+")[0].alias("read_id"), "header", "seq", "qual", "malformed")
 
 
+def malformed_files(fastq: DataFrame) -> DataFrame:
+    """(path, malformed): files with any malformed record, and how many."""
+    return fastq.groupBy("path").agg(F.count_if("malformed").alias("malformed")).where("malformed > 0")
+
+
 def first_reads(fastq: DataFrame, n: int = 1000) -> DataFrame:
     return fastq.orderBy("path", "rec").limit(n)
 

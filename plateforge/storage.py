@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Folders that this driver was given and has not removed.
+_SCRATCH: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +26,21 @@ def remove(spark: SparkSession, path: str) -> None:
     """Remove a file or folder in any store that Spark reaches; what is not there is no error."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path under the shared one; clean() removes it."""
+    path = f"{shared_dir(spark)}/plateforge/{uuid.uuid4().hex}"
+    _SCRATCH.add(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    remove(spark, path)
+    _SCRATCH.discard(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every folder that scratch() gave, once results are taken or written."""
+    for path in list(_SCRATCH):
+        discard(spark, path)

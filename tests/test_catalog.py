@@ -9,7 +9,7 @@ import pytest
 from plateforge.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("customer", "documents", "events", "lineitem", "orders", "part")
+TABLES = ("customer", "documents", "events", "lineitem", "orders", "part", "supplier")
 
 
 def _value(x):
