@@ -216,7 +216,7 @@ def baum_welch(sequences: DataFrame, shape: np.ndarray, states: int, most: int =
     for texts in (lot, sequences):
         gained = []
         for _ in range(most if texts is sequences or not lot.isEmpty() else 0):
-            sums = tree_sum(texts.select("classes", "lengths").mapInArrow(_expect(start, move, emit), "sums binary"), states + states * states + size * states + 1)
+            sums = tree_sum(texts.select("classes", "lengths").mapInArrow(kernel.lean(_expect(start, move, emit)), "sums binary"), states + states * states + size * states + 1)
             gained.append(sums[-1] + 0.1 * (np.log(start).sum() + np.log(move).sum()) + (prior * np.log(emit)).sum())
             emitted = sums[states + states * states : -1].reshape(size, states)
             if len(gained) > 1 and gained[-1] - gained[-2] < SETTLED * max(1.0, emitted.sum()):
@@ -305,7 +305,7 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, iterations: int
     chunk = F.shiftright(F.monotonically_increasing_id(), 33) * F.lit(1 << 22) + F.floor((F.monotonically_increasing_id() % F.lit(1 << 33)) / CHUNK_ROWS)
     rows = materialise(rows.withColumn("chunk", chunk.cast("long")))
     training = rows.where("not held").select("text")
-    counts = materialise(training.mapInArrow(_count, "h long, ending int, n long").groupBy("h").agg(F.sum("n").alias("c"), F.first("ending").alias("ending")))
+    counts = materialise(training.mapInArrow(kernel.lean(_count), "h long, ending int, n long").groupBy("h").agg(F.sum("n").alias("c"), F.first("ending").alias("ending")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT).select("h", "c").collect()  # FREQUENT rows at most
     top = sorted((r["h"], r["c"]) for r in top)
@@ -318,17 +318,17 @@ def score_texts(docs: DataFrame, held_out, states: int = STATES, iterations: int
     shape = np.full(FREQUENT + ENDINGS, 0.1)
     shape[: len(known)] += known
     shape[FREQUENT:] += mass - 1
-    sequences = materialise(training.mapInArrow(_sequences(frequent), _SEQUENCES))
+    sequences = materialise(training.mapInArrow(kernel.lean(_sequences(frequent)), _SEQUENCES))
     start, move, emit, _ = baum_welch(sequences, shape, states, iterations)
     discard(sequences)
 
-    wanted = rows.select("chunk", "held", "text").mapInArrow(_wanted(frequent), "chunk long, h long, held boolean")
+    wanted = rows.select("chunk", "held", "text").mapInArrow(kernel.lean(_wanted(frequent)), "chunk long, h long, held boolean")
     found = wanted.join(counts, "h").where("c > 1 or held").select("chunk", F.lit(0).alias("kind"), "h", "c", F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     texts = rows.select("chunk", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("c"), "held", "doc_id", "text")
     # A task has some tens of chunks at any number of rows.
     dealt = found.union(texts).repartition(wide(rows, 20 * CHUNK_ROWS), "chunk").sortWithinPartitions("chunk", "kind")
     model = {"start": start, "move": move, "emit": emit, "frequent": frequent, "known": known, "mass": mass, "n": n, "v": v}
-    scored = dealt.mapInArrow(_forward(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = dealt.mapInArrow(kernel.lean(_forward(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

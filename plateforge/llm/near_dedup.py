@@ -158,7 +158,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     """
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signatures = materialise(base.mapInArrow(_signatures(shingle, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
+    signatures = materialise(base.mapInArrow(kernel.lean(_signatures(shingle, bands, rows)), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
     filled = signatures.where("n_shingles > 0 and doc_id is not null")
     # Documents with equal sets are one node, named by their smallest id.
     classes = materialise(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size")))
@@ -185,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     )
     n = max(partitions(spark), 1)
     tasks = routed.join(base.withColumnRenamed("doc_id", "node"), "node").select("task", "node", "text").repartition(n, "task").sortWithinPartitions("task", "node")
-    links = tasks.mapInArrow(_confirm(shingle, percent), "a long, b long")
+    links = tasks.mapInArrow(kernel.lean(_confirm(shingle, percent)), "a long, b long")
     components = connected_components(links).withColumnRenamed("node", "linked")
 
     named = classes.join(components, classes["node"] == components["linked"], "left").select("h1", "h2", F.coalesce("root", "node").alias("component"))

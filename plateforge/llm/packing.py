@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import kernel, near_dedup
 from .runtime import partitions
 
 CAPACITY = 2048
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: str | None = None)
     items = items.withColumn("grp", F.pmod(F.xxhash64("doc_id", "length"), F.lit(groups)))
     dealt = items.repartition(min(groups, max(partitions(docs.sparkSession), 1)), "grp").sortWithinPartitions("grp", F.desc("size"), "doc_id")
     schema = "doc_id long, piece int, first_token long, n_tokens int, bin_id long, bin_offset int, left_then int"
-    return dealt.select("grp", "doc_id", "size", "source", "cluster").mapInArrow(_pack(capacity), schema)
+    return dealt.select("grp", "doc_id", "size", "source", "cluster").mapInArrow(kernel.lean(_pack(capacity)), schema)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

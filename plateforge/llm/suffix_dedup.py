@@ -322,7 +322,7 @@ def _array_runs(pieces: DataFrame, length: int, keep_first: bool) -> DataFrame:
     """(anchor, piece, lo, hi): runs of repeated windows in the groups (grp) of pieces, each compared in one suffix array."""
     tasks = wide(pieces, TASK_ROWS)
     dealt = pieces.repartition(tasks, "grp").sortWithinPartitions("grp", "id", "unit", "twin", "start", "low")
-    return dealt.select("grp", "anchor", "piece", "low", "n", "bytes").mapInArrow(_compare(length, keep_first), "anchor long, piece long, lo array<int>, hi array<int>")
+    return dealt.select("grp", "anchor", "piece", "low", "n", "bytes").mapInArrow(kernel.lean(_compare(length, keep_first)), "anchor long, piece long, lo array<int>, hi array<int>")
 
 
 def _divided_runs(pieces: DataFrame, length: int, keep_first: bool):
@@ -331,7 +331,7 @@ def _divided_runs(pieces: DataFrame, length: int, keep_first: bool):
     fixed = {"grp": F.lit(0).cast("long"), "cls": F.lit(0).cast("long"), "at": F.lit(-1), "near": F.lit(0), "far": F.lit(top), "low": F.lit(0)}
     rows = pieces.dropDuplicates(["anchor", "piece"]).withColumns(fixed).select(*_HALF_COLUMNS)
     while not rows.isEmpty():
-        halves = materialise(rows.mapInArrow(_halve(length), _HALF))
+        halves = materialise(rows.mapInArrow(kernel.lean(_halve(length)), _HALF))
         me = F.struct("id", "unit", "twin", "start", "anchor", "piece")
         same = halves.groupBy("grp", "cls").agg(F.min(me).alias("f"), (F.count("*") > 1).alias("many"))
         # Written apart, like the anchors, so that a hot group's rows are split in their join.
@@ -364,7 +364,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     copies = copies.where("copies > 1").select("unit", "twin", F.when(F.col("nulls") == 0, F.col("first_id")).alias("first_id"), F.lit(True).alias("copied"))
 
     schema = "anchor long, piece long, id long, unit long, twin long, start int, n int"
-    anchors = materialise(long.select("id", "unit", "twin", "text").mapInArrow(_anchors(length), schema))
+    anchors = materialise(long.select("id", "unit", "twin", "text").mapInArrow(kernel.lean(_anchors(length)), schema))
     place = F.xxhash64("unit", "twin", "start")
     met = anchors.groupBy("anchor").agg(F.min(place).alias("p0"), F.max(place).alias("p1"), F.min("piece").alias("q0"), F.max("piece").alias("q1"), F.min(F.struct("id", "unit", "twin", "start")).alias("first"))
     # Written apart, so that the next join deals both sides itself; a hot anchor's places are split, then aggregated.
@@ -379,7 +379,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     wants = classes.join(hot, "anchor", "left").groupBy(F.col("f.unit").alias("u"), F.col("f.twin").alias("t"), F.col("f.id").alias("i"))
     wants = wants.agg(F.collect_list(F.struct("anchor", "piece", F.col("f.start").alias("start"), F.col("f.n").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wants"))
     cut = long.join(wants, (F.col("unit") == F.col("u")) & (F.col("twin") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "unit", "twin", "text", "wants")
-    cut = materialise(cut.mapInArrow(_cut(length), _PIECE))
+    cut = materialise(cut.mapInArrow(kernel.lean(_cut(length)), _PIECE))
     runs = _array_runs(cut.where("not hot").withColumn("grp", F.col("anchor")).withColumn("low", F.lit(0)), length, keep_first)
     for found in _divided_runs(cut.where("hot"), length, keep_first):
         runs = runs.unionByName(found)
@@ -408,7 +408,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     ready = rows.select("row", "text", (gone & (F.octet_length("text") >= length)).alias("whole"), "los", "his")
     ready = ready.select(*(F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(names)), "text", "whole", "los", "his")
     schema = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + ["n_bytes long", "spans array<struct<start:int,end:int>>", "kept binary", "kept_text string"])
-    done = ready.mapInArrow(_apply(len(names)), schema)
+    done = ready.mapInArrow(kernel.lean(_apply(len(names))), schema)
     return done.select(F.struct(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names))).alias("row"), "n_bytes", "spans", "kept", "kept_text")
 
 

@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_docs:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # at most train_docs rows of two numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
     # At most train_docs rows meet in one task, in one order whatever the partitions.
-    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text").select("text", "y").mapInArrow(_train, "weights binary, bias double").first()
+    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "text").select("text", "y").mapInArrow(kernel.lean(_train), "weights binary, bias double").first()
     if fitted is None:  # an empty table may have no partition
         return np.zeros(1 << FEATURE_BITS, np.float32), -5.0
     return np.frombuffer(fitted["weights"], np.float32), fitted["bias"]
@@ -159,7 +159,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFram
     not looked at; repeated rows give repeated results.
     """
     schema = "doc_id long, score double, worst_score double, worst_start long, worst_end long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(*model), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(kernel.lean(_score(*model)), schema)
 
 
 def fold(column: str = "doc_id", folds: int = 5):
