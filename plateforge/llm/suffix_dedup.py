@@ -416,3 +416,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window by its hash, cut out of blocks of its text: for tables of a few MB.
+ORACLE_SQL = """WITH d AS (SELECT doc_id, coalesce(hex(text), '') AS h, length(coalesce(hex(text), '')) // 2 AS n FROM documents),
+b AS (SELECT doc_id, h, n, unnest(range(0, n - 199, 512)) AS s FROM d WHERE n >= 200),
+g AS (SELECT doc_id, n, s, substr(h, 2 * s + 1, 1424) AS part FROM b),
+o AS (SELECT doc_id, s, part, unnest(range(least(512, n - 199 - s))) AS o FROM g),
+w AS (SELECT doc_id, s + o AS i, hash(substr(part, 2 * o + 1, 400)) AS k FROM o),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM w SEMI JOIN again USING (k)),
+run AS (SELECT doc_id, i, sum(CASE WHEN step <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+span AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS upto FROM span),
+kept AS (SELECT doc_id, count(*) AS spans, sum(hi - lo) AS removed, max(hi) AS last, string_agg(substr(h, CAST(2 * upto + 1 AS BIGINT), CAST(2 * (lo - upto) AS BIGINT)), '' ORDER BY lo) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
