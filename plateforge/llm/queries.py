@@ -16,6 +16,9 @@ MODULES = {
     "op8_near_dedup": "near_dedup",
     "op9_bpe": "bpe",
     "op10_suffix_dedup": "suffix_dedup",
+    "op11_prefix_trie": "prefix_trie",
+    "op12_spelling": "spelling",
+    "op13_chat_format": "chat_format",
 }
 
 
