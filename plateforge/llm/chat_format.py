@@ -122,7 +122,7 @@ def _encode(model: str):
 _PART = "conv_id long, part int, input_ids array<int>, loss_mask array<tinyint>, text string"
 
 
-def _assemble(model: str):
+def _assemble(model: str, part_tokens: int):
     @kernel.lean
     def run(batches):
         template = Template(model)
@@ -143,7 +143,7 @@ def _assemble(model: str):
             column = batch.column(2)
             values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             for i, (c, lo, hi) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                if c != conv or size >= PART_TOKENS:
+                if c != conv or size >= part_tokens:
                     if ids:
                         out.append(row())
                     part = part + 1 if c == conv else 0
@@ -162,7 +162,7 @@ def _assemble(model: str):
     return run
 
 
-def format_chats(conversations: DataFrame, path: str) -> DataFrame:
+def format_chats(conversations: DataFrame, path: str, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(conv_id, part, input_ids, loss_mask, text) of every conversation, with the byte-level vocabulary at path.
 
     Turns are in the order of their number, null first, those of one number in the
@@ -170,14 +170,14 @@ def format_chats(conversations: DataFrame, path: str) -> DataFrame:
     empty; rows without a conv_id are one conversation, of id null. An assistant's text
     ends with </s>, a user's is between [INST] and [/INST], any other role's between
     <<SYS>>role<|> and <</SYS>>. The mask is 1 on assistants' texts and on no mark. A
-    conversation of over PART_TOKENS tokens has several parts, cut between turns. An
+    conversation of over part_tokens tokens has several parts, cut between turns. An
     empty table gives no row; other columns are not read.
     """
     model = read_model(path)
     role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role, text)
     segments = rows.mapInArrow(_encode(model), _SEGMENT)
-    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids").mapInArrow(_assemble(model), _PART)
+    return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "ids").mapInArrow(_assemble(model, part_tokens), _PART)
 
 
 def _parts(batch):
