@@ -165,7 +165,7 @@ def test_escapes_turn_back(text):
 @pytest.mark.parametrize("tokens", [5, 1 << 16])
 def test_chats_read_back(spark, tokens):
     rows = [(c, t, ["user", "assistant", "system", None, "to<|>ol"][(c + t) % 5], ["hi", "", None, "</s>[INST] x <\\s>", "ü" * 50, "<|endoftext|>"][(c * 3 + t) % 6]) for c in range(12) for t in range(c)]
-    rows += [(2, None, "assistant", "first"), (3, 1, "user", "again"), (3, 1, "user", "again"), (None, 0, "assistant", "nobody"), (50, 0, "assistant", "long words " * 40_000)]
+    rows += [(2, None, "assistant", "first"), (3, 9, "user", "again"), (3, 9, "user", "again"), (None, 0, "assistant", "nobody"), (50, 0, "assistant", "long words " * 40_000)]
     chats = spark.createDataFrame([(*r, 1) for r in rows], TURN + ", part int")
     formatted = chat_format.format_chats(chats, PATH, tokens)
     assert (formatted.where("part > 0").count() > 0) == (tokens == 5)
