@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq
 from ..functions.stats import once
+from .barcodes import demultiplex
 
 EMPTY = "empty"
 
@@ -164,23 +165,8 @@ def pileup_consensus(aligned: DataFrame, least_depth: int = 1) -> DataFrame:
 
 
 def classify_barcodes(reads: DataFrame, barcodes: DataFrame, window: int = 40, most: int = 4, margin: int = 1, both_ends: bool = False) -> DataFrame:
-    """Best barcode of each read by edit distance at its start (and end), unclassified without a clear winner.
-
-    barcodes (idx, name, barcode) is a fixed kit of at most some hundred rows, which becomes one broadcast row.
-    """
-    kit = barcodes.agg(F.sort_array(F.collect_list(F.struct("idx", F.col("barcode").alias("code")))).alias("kit"))
-    ends = [F.substring("read_seq", 1, window)] + ([F.reverse(F.substring(F.reverse("read_seq"), 1, window))] if both_ends else [])
-
-    def distance(code: Column) -> Column:
-        n = F.length(code)
-        at = lambda end: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(end) - n)), lambda i: F.levenshtein(F.substr(end, i + 1, n), code)))
-        return F.least(*(at(e) for e in ends)) if both_ends else at(ends[0])
-
-    # One row holds the kit, so each read's distances are an array in its row: reads are neither multiplied nor shuffled, and keep their own name.
-    rows = reads.crossJoin(F.broadcast(kit)).withColumn("d", F.array_sort(F.transform("kit", lambda k: F.struct(distance(k["code"]).alias("d"), k["idx"].alias("idx")))))
-    first, second = F.get("d", F.lit(0)), F.get("d", F.lit(1))
-    clear = (first["d"] <= most) & (F.coalesce(second["d"] - first["d"], F.lit(margin)) >= margin)
-    return rows.select("read_name", F.when(clear, first["idx"]).alias("idx"), first["d"].alias("distance"))
+    """(read_name, idx, distance): the best barcode near each read's start (or, with both_ends, at either end), null without a clear winner."""
+    return demultiplex(reads, barcodes, window, most, margin, "either" if both_ends else "front", trim=False).select("read_name", "idx", "distance")
 
 
 def align_by_seeds(reads: DataFrame, references: DataFrame, k: int = 11, least_votes: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import seq, stats
-from ..operators import align, costs, demux, simulate
+from ..operators import align, barcodes, costs, demux, simulate
 from ..sources import records
 
 
@@ -323,6 +323,7 @@ def streamed_depths(spark, sf_dir):
 
 STREAMED_DEPTHS = """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, (rb // 4 + 1) || chr(CAST(64 + 2 * (fb // 12) + CASE WHEN rb % 4 < 2 THEN 1 ELSE 2 END AS INT)) || (2 * (fb % 12) + CASE WHEN rb % 2 = 0 THEN 1 ELSE 2 END) AS well_pos, count(*) AS depth FROM (SELECT ts, user_id % 96 AS fb, event_id % 32 AS rb FROM events) GROUP BY ALL"""
 
+_LETTERS = "translate(substr(md5({}), 1, {}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 _FASTQ_NAME = "CASE WHEN o_orderkey % 3 = 0 THEN '|ref=g' || o_orderkey % 7 ELSE '/1 lane' END"
 
 
@@ -346,6 +347,56 @@ b AS (SELECT *, (SELECT list_reduce(list_prepend(4294967295::BIGINT, list_transf
 SELECT xor(crc, 4294967295::BIGINT) % 100 AS lot, count(*) AS n, count(DISTINCT name) AS names, count(*) FILTER (k % 50 = 0) AS malformed, count(*) FILTER (k % 3 = 0) AS tagged, CAST(sum(length(s)) AS BIGINT) AS bases, max(round(list_sum(list_transform(string_split(q, ''), lambda x: ascii(x) - 33))::DOUBLE / length(q), 6)) FILTER (k % 50 <> 0) AS best, min(s) AS least FROM b GROUP BY lot"""
 
 
+def _tree_of_orders(spark, sf_dir):
+    """A demultiplexed tree whose file ends are broken: fbc and rbc by barcode, refs by direction; two orders share a name. The path and the first order that may break."""
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select(k, F.concat(F.lit("r"), F.floor(k / 2).cast("string")).alias("name"))
+    late = rows.agg(F.max("o_orderkey")).first()[0] // 10 * 9
+    bases = _letters(k.cast("string"), (k % 15 + 1).cast("int"))
+    root = storage.scratch(spark)
+
+    def write(side, lot, name, breaks):
+        short = F.when((k > late) & breaks, F.lit("")).otherwise(F.translate(bases, "ACGT", "I?5+"))
+        text = F.concat_ws("\n", F.concat(F.lit("@"), name), bases, F.lit("+"), short)
+        rows.select(lot.alias("lot"), k, text.alias("value")).repartition(8, "lot").sortWithinPartitions("lot", "o_orderkey").select("lot", "value").write.partitionBy("lot").text(f"{root}/{side}")
+
+    write("fbc", F.when(k % 10 == 9, "unclassified").otherwise(F.format_string("barcode%02d", k % 10 + 1)), F.concat("name", F.lit("/1")), (k % 100 == 7) | (k % 100 == 33))
+    write("rbc", F.format_string("barcode%02d", k % 6 + 1), F.col("name"), k % 600 == 55)
+    write("refs/fwd", F.concat(F.lit("part"), (k % 3).cast("string")), F.when(k % 4 == 0, F.concat("name", F.lit("|ref=g"), (k % 7).cast("string"))).otherwise(F.col("name")), k % 300 == 100)
+    write("refs/rev", F.concat(F.lit("part"), (k % 2).cast("string")), F.when(k % 5 == 0, F.concat("name", F.lit("|ref=h"), (k % 3).cast("string"))).otherwise(F.col("name")), F.lit(False))
+    return root
+
+
+def read_tree(spark, sf_dir):
+    """A tree written, read in ranges up to each file's failure, and assembled: last record of each name wins."""
+    reads, _ = records.create_read_df(spark, _tree_of_orders(spark, sf_dir), "*.txt", 30_011)
+    return reads.withColumn("avg_qual", F.round("avg_qual", 9))
+
+
+_TREE_SQL = f"""o AS (SELECT o_orderkey AS k, 'r' || o_orderkey // 2 AS name, substr({_LETTERS.format("o_orderkey::VARCHAR", 32)}, 1, CAST(o_orderkey % 15 + 1 AS INT)) AS s, o_orderkey > (SELECT max(o_orderkey) // 10 * 9 FROM orders) AS late FROM orders),
+f AS (SELECT *, min(CASE WHEN late AND k % 100 IN (7, 33) THEN k END) OVER (PARTITION BY k % 10) AS bad FROM o WHERE k % 10 <> 9),
+r AS (SELECT *, min(CASE WHEN late AND k % 600 = 55 THEN k END) OVER (PARTITION BY k % 6) AS bad FROM o),
+m AS (SELECT *, 'fwd' AS side, k % 3 AS lot, min(CASE WHEN late AND k % 300 = 100 THEN k END) OVER (PARTITION BY k % 3) AS bad, CASE WHEN k % 4 = 0 THEN 'fwd:g' || k % 7 END AS ref FROM o UNION ALL SELECT *, 'rev', k % 2, NULL, CASE WHEN k % 5 = 0 THEN 'rev:h' || k % 3 END FROM o)"""
+READ_TREE = f"""WITH {_TREE_SQL},
+a AS (SELECT name, CAST(arg_max(k % 10, (k % 10, k)) AS INT) AS fbc FROM f WHERE bad IS NULL OR k < bad GROUP BY name), b AS (SELECT name, CAST(arg_max(k % 6, (k % 6, k)) AS INT) AS rbc FROM r WHERE bad IS NULL OR k < bad GROUP BY name),
+c AS (SELECT name, arg_max(ref, (side, lot, k)) AS ref_name, arg_max(s, (side, lot, k)) AS read_seq FROM m WHERE ref IS NOT NULL AND (bad IS NULL OR k < bad) GROUP BY name)
+SELECT name AS read_name, fbc, rbc, ref_name, read_seq, translate(read_seq, 'ACGT', 'I?5+') AS read_qual, round(list_sum(list_transform(string_split(translate(read_seq, 'ACGT', 'I?5+'), ''), lambda x: ascii(x) - 33))::DOUBLE / length(read_seq), 9) AS avg_qual FROM a FULL JOIN b USING (name) FULL JOIN c USING (name)"""
+
+
+def tree_failures(spark, sf_dir):
+    """Files of each kind that end at a broken record, and the names and malformed records of the whole files of each side."""
+    root = _tree_of_orders(spark, sf_dir)
+    _, failures = records.create_read_df(spark, root, "*.txt", 30_011)
+    whole = [records.read_names(records.read_fastq(spark, f"{root}/{side}", "*.txt", 30_011), skip_failing=True).select(F.lit(kind).alias("kind"), "names") for kind, side in (("fbc", "fbc"), ("rbc", "rbc"), ("ref", "refs"))]
+    return failures.join(whole[0].union(whole[1]).union(whole[2]), "kind")
+
+
+TREE_FAILURES = f"""WITH {_TREE_SQL}, z AS (SELECT *, min(CASE WHEN late AND k % 100 IN (7, 33) THEN k END) OVER (PARTITION BY k % 10) AS bad FROM o)
+SELECT 'fbc' AS kind, (SELECT count(DISTINCT k % 10) FROM f WHERE bad IS NOT NULL) AS files, (SELECT count(DISTINCT name) FROM z WHERE bad IS NULL) AS names
+UNION ALL SELECT 'rbc', (SELECT count(DISTINCT k % 6) FROM r WHERE bad IS NOT NULL), (SELECT count(DISTINCT name) FROM r WHERE bad IS NULL)
+UNION ALL SELECT 'ref', (SELECT count(DISTINCT (side, lot)) FROM m WHERE bad IS NOT NULL), (SELECT count(DISTINCT coalesce(name || '|ref=' || ref[5:], name)) FROM m WHERE bad IS NULL)"""
+
+
 def sam_fastq(spark, sf_dir):
     """Orders as SAM text, read back; mapped reads of each direction as tagged FASTQ, the reverse ones turned."""
     k = F.col("o_orderkey")
@@ -430,23 +481,93 @@ ALIGNMENT_STATS = f"""WITH o AS ({NAME_OVERLAP}), t AS (SELECT count(*) AS n FRO
 SELECT n, fwd_reads + rev_reads AS mapped, round_even(100.0::DOUBLE * fwd_reads / n, 1) AS fwd_pct, round_even(100.0::DOUBLE * rev_reads / n, 1) AS rev_pct, round_even(100.0::DOUBLE * "both" / n, 1) AS both_pct FROM o, t"""
 
 
+def _letters(text, n):
+    return F.translate(F.substring(F.md5(text), 1, n), "0123456789abcdef", "ACGTACGTACGTACGT")
+
+
+def _kit(spark, n=12):
+    name = F.concat(F.lit("kit"), F.col("id").cast("string"))
+    return spark.range(n).select(F.col("id").cast("int").alias("idx"), F.concat(F.lit("B"), F.col("id").cast("string")).alias("name"), _letters(name, 16).alias("barcode"))
+
+
+def _code(number, kind):
+    """A barcode of the kit, or one of two that it lacks, whole, with a letter changed, or one lost."""
+    code = _letters(F.concat(F.lit("kit"), number.cast("string")), 16)
+    return F.when(kind == 0, code).when(kind == 1, F.concat(F.substring(code, 1, 7), F.lit("A"), F.substring(code, 9, 8))).otherwise(F.concat(F.substring(code, 1, 4), F.substring(code, 6, 11)))
+
+
+def _coded_reads(spark, sf_dir):
+    k = F.col("o_orderkey")
+    read = F.concat(F.repeat(F.lit("G"), (k % 5).cast("int")), _code(k % 14, k % 3), _letters(k.cast("string"), 12))
+    return _table(spark, sf_dir, "orders").select(k, k.cast("string").alias("read_name"), read.alias("read_seq"), F.translate(read, "ACGT", "I?5+").alias("read_qual"))
+
+
 def barcode_calls(spark, sf_dir):
-    """Barcodes of reads whose starts have one with a letter changed, lost or neither, or none."""
+    """Barcodes of reads whose starts have one with a letter changed, lost or neither, or none: distance, place, and what is left of the read."""
+    found = demux.demultiplex(_coded_reads(spark, sf_dir), _kit(spark))
+    return found.select("read_name", "idx", F.when(F.col("distance") <= 4, F.col("distance")).alias("distance"), "front_start", "front_end", "read_seq", "read_qual")
+
+
+_KIT_SQL = f"kit AS (SELECT CAST(g AS INT) AS idx, 'B' || g AS name, {_LETTERS.format("'kit' || g", 16)} AS code FROM range(12) a(g))"
+
+
+def _code_sql(number, kind):
+    code = _LETTERS.format(f"'kit' || {number}", 16)
+    return f"CASE {kind} WHEN 0 THEN {code} WHEN 1 THEN substr({code}, 1, 7) || 'A' || substr({code}, 9, 8) ELSE substr({code}, 1, 4) || substr({code}, 6, 11) END"
+
+
+def _near_sql(reads, text):
+    """(k, idx, p: distance up to four, end, length) of the substring of each text that is nearest to each code: the least distance, then the first end, then the shortest."""
+    return f"""(SELECT * FROM (SELECT k, idx, min({{'d': levenshtein(substr(s, CAST(e - l + 1 AS INT), CAST(l AS INT)), code), 'e': e, 'l': l}}) AS p FROM (SELECT k, {text} AS s FROM {reads}), kit, range(12, 41) x(e), range(12, 21) y(l) WHERE l <= e AND e <= length(s) GROUP BY k, idx) WHERE p.d <= 4)"""
+
+
+_CODED_SQL = f"r AS (SELECT o_orderkey AS k, repeat('G', o_orderkey % 5) || {_code_sql('o_orderkey % 14', 'o_orderkey % 3')} || {_LETTERS.format('o_orderkey::VARCHAR', 12)} AS s FROM orders)"
+_CALLED_SQL = f"""{_KIT_SQL}, {_CODED_SQL}, d AS {_near_sql("r", "substr(s, 1, 40)")},
+o AS (SELECT k, idx, p, row_number() OVER w AS rk, lead(p.d) OVER w AS d2 FROM d WINDOW w AS (PARTITION BY k ORDER BY p.d, idx)),
+c AS (SELECT r.k, s, p.d AS distance, CASE WHEN coalesce(d2 - p.d, 1) >= 1 THEN idx END AS idx, p FROM r LEFT JOIN (SELECT * FROM o WHERE rk = 1) o ON r.k = o.k)"""
+BARCODE_CALLS = f"""WITH {_CALLED_SQL}
+SELECT k::VARCHAR AS read_name, idx, CAST(distance AS INT) AS distance, CASE WHEN idx IS NOT NULL THEN CAST(p.e - p.l AS INT) END AS front_start, CASE WHEN idx IS NOT NULL THEN CAST(p.e AS INT) END AS front_end,
+  CASE WHEN idx IS NULL THEN s ELSE substr(s, CAST(p.e + 1 AS INT)) END AS read_seq, translate(CASE WHEN idx IS NULL THEN s ELSE substr(s, CAST(p.e + 1 AS INT)) END, 'ACGT', 'I?5+') AS read_qual FROM c"""
+
+
+def barcode_both_ends(spark, sf_dir):
+    """Reads that need the barcode at both ends, the rear one turned; some have another there, or none."""
     k = F.col("o_orderkey")
-    kit = spark.range(12).select(F.col("id").cast("int").alias("idx"), F.concat(F.lit("B"), F.col("id").cast("string")).alias("name"), F.translate(F.substring(F.md5(F.concat(F.lit("kit"), F.col("id").cast("string"))), 1, 16), "0123456789abcdef", "ACGTACGTACGTACGT").alias("barcode"))
-    code = F.translate(F.substring(F.md5(F.concat(F.lit("kit"), (k % 14).cast("string"))), 1, 16), "0123456789abcdef", "ACGTACGTACGTACGT")
-    code = F.when(k % 3 == 0, code).when(k % 3 == 1, F.concat(F.substring(code, 1, 7), F.lit("A"), F.substring(code, 9, 8))).otherwise(F.concat(F.substring(code, 1, 4), F.substring(code, 6, 11)))
-    read = F.concat(F.repeat(F.lit("G"), (k % 5).cast("int")), code, F.translate(F.substring(F.md5(k.cast("string")), 1, 12), "0123456789abcdef", "ACGTACGTACGTACGT"))
-    return demux.classify_barcodes(_table(spark, sf_dir, "orders").select(k.cast("string").alias("read_name"), read.alias("read_seq")), kit)
+    rear = seq.reverse_complement(_code(F.when(k % 7 == 0, (k + 1) % 14).otherwise(k % 14), k % 4))
+    reads = _coded_reads(spark, sf_dir).select("read_name", F.concat("read_seq", F.when(k % 11 == 0, F.lit("")).otherwise(rear), F.repeat(F.lit("T"), (k % 3).cast("int"))).alias("read_seq"))
+    found = demux.demultiplex(reads, _kit(spark), window=24, ends="both")
+    return found.where("idx is not null").select("read_name", "barcode", "distance", "front_start", "front_end", "rear_start", "rear_end", "read_seq")
 
 
-_LETTERS = "translate(substr(md5({}), 1, {}), '0123456789abcdef', 'ACGTACGTACGTACGT')"
-BARCODE_CALLS = f"""WITH kit AS (SELECT CAST(g AS INT) AS idx, {_LETTERS.format("'kit' || g", 16)} AS code FROM range(12) a(g)),
-c AS (SELECT o_orderkey AS k, {_LETTERS.format("'kit' || o_orderkey % 14", 16)} AS code FROM orders),
-r AS (SELECT k, substr(repeat('G', k % 5) || CASE k % 3 WHEN 0 THEN code WHEN 1 THEN substr(code, 1, 7) || 'A' || substr(code, 9, 8) ELSE substr(code, 1, 4) || substr(code, 6, 11) END || {_LETTERS.format('k::VARCHAR', 12)}, 1, 40) AS s FROM c),
-d AS (SELECT k, idx, list_min(list_transform(range(greatest(length(s) - 16, 0) + 1), lambda i: levenshtein(substr(s, i + 1, 16), kit.code))) AS d FROM r, kit),
-o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, idx) AS rk, lead(d) OVER (PARTITION BY k ORDER BY d, idx) AS d2 FROM d)
-SELECT k::VARCHAR AS read_name, CASE WHEN d <= 4 AND d2 - d >= 1 THEN idx END AS idx, CAST(d AS INT) AS distance FROM o WHERE rk = 1"""
+_TURN_SQL = "reverse(translate({}, 'ACGT', 'TGCA'))"
+BARCODE_BOTH_ENDS = f"""WITH {_KIT_SQL}, {_CODED_SQL}, t AS (SELECT k, s || CASE WHEN k % 11 = 0 THEN '' ELSE {_TURN_SQL.format(_code_sql("CASE WHEN k % 7 = 0 THEN (k + 1) % 14 ELSE k % 14 END", "k % 4"))} END || repeat('T', k % 3) AS s FROM r),
+f AS {_near_sql("t", "substr(s, 1, 24)")}, b AS {_near_sql("t", "substr(" + _TURN_SQL.format("s") + ", 1, 24)")},
+d AS (SELECT k, idx, greatest(f.p.d, b.p.d) AS d, f.p AS f, b.p AS b FROM f JOIN b USING (k, idx)),
+o AS (SELECT *, row_number() OVER w AS rk, lead(d) OVER w AS d2 FROM d WINDOW w AS (PARTITION BY k ORDER BY d, idx))
+SELECT k::VARCHAR AS read_name, 'B' || idx AS barcode, CAST(d AS INT) AS distance, CAST(f.e - f.l AS INT) AS front_start, CAST(f.e AS INT) AS front_end, CAST(length(s) - b.e AS INT) AS rear_start, CAST(length(s) - b.e + b.l AS INT) AS rear_end,
+  substr(s, CAST(f.e + 1 AS INT), CAST(greatest(length(s) - b.e - f.e, 0) AS INT)) AS read_seq FROM o JOIN t USING (k) WHERE rk = 1 AND coalesce(d2 - d, 1) >= 1"""
+
+
+def batch_demux(spark, sf_dir):
+    """Reads in files of very unequal sizes, written, framed by ranges, the first of each demultiplexed: a row a file and barcode."""
+    k = F.col("o_orderkey")
+    reads = _coded_reads(spark, sf_dir)
+    lot = F.when(k % 2 == 0, 0).when(k % 4 == 1, 1).when(k % 8 == 3, 2).otherwise(3).alias("lot")
+    root = storage.scratch(spark)
+    # All rows of a lot are written by one task, in order, as one file.
+    reads.select(lot, "o_orderkey", records.record_text().alias("value")).repartition(4, "lot").sortWithinPartitions("lot", "o_orderkey").select("lot", "value").write.partitionBy("lot").text(root)
+    most = reads.count() // 8
+    called = barcodes.batch_demux(spark, root, _kit(spark), most, "*.txt", 20_011)
+    by = F.regexp_extract("path", r"lot=(\d+)", 1).cast("int").alias("lot")
+    found = barcodes.barcode_summary(called.select(by, "barcode", F.when(F.col("idx").isNotNull(), F.col("distance")).alias("distance"), "read_seq"), _kit(spark), ("lot",))
+    return found.select("lot", "barcode", "reads", F.round("share", 9).alias("share"), F.round("mean_distance", 9).alias("mean_distance"), "bases")
+
+
+BATCH_DEMUX = f"""WITH {_CALLED_SQL},
+n AS (SELECT *, row_number() OVER (PARTITION BY lot ORDER BY k) AS i FROM (SELECT *, CASE WHEN k % 2 = 0 THEN 0 WHEN k % 4 = 1 THEN 1 WHEN k % 8 = 3 THEN 2 ELSE 3 END AS lot FROM c)),
+m AS (SELECT lot, coalesce('B' || idx, 'unclassified') AS barcode, count(*) AS reads, avg(distance) FILTER (idx IS NOT NULL) AS mean_distance, CAST(sum(length(s) - CASE WHEN idx IS NULL THEN 0 ELSE p.e END) AS BIGINT) AS bases FROM n WHERE i <= (SELECT count(*) // 8 FROM orders) GROUP BY ALL),
+e AS (SELECT lot, barcode FROM (SELECT DISTINCT lot FROM m), (SELECT name AS barcode FROM kit UNION ALL SELECT 'unclassified'))
+SELECT CAST(lot AS INT) AS lot, barcode, coalesce(reads, 0) AS reads, round(coalesce(reads, 0) / sum(reads) OVER (PARTITION BY lot), 9) AS share, round(mean_distance, 9) AS mean_distance, coalesce(bases, 0) AS bases FROM e LEFT JOIN m USING (lot, barcode)"""
 
 _REF_SQL = " || ".join(_LETTERS.format(f"'{part}' || g", 32) for part in "abcd")
 
@@ -573,6 +694,8 @@ _CATALOG = {
     "pileup_consensus": (pileup, PILEUP),
     "streamed_depths": (streamed_depths, STREAMED_DEPTHS),
     "fastq_scan": (fastq_scan, FASTQ_SCAN),
+    "read_tree": (read_tree, READ_TREE),
+    "tree_failures": (tree_failures, TREE_FAILURES),
     "sam_fastq": (sam_fastq, SAM_FASTQ),
     "formatted_reads": (formatted_reads, FORMATTED_READS),
     "well_export": (well_export, WELL_EXPORT),
@@ -580,6 +703,8 @@ _CATALOG = {
     "quality_hist": (quality_hist, QUALITY_HIST),
     "alignment_stats": (alignment_stats, ALIGNMENT_STATS),
     "barcode_calls": (barcode_calls, BARCODE_CALLS),
+    "barcode_both_ends": (barcode_both_ends, BARCODE_BOTH_ENDS),
+    "batch_demux": (batch_demux, BATCH_DEMUX),
     "read_alignment": (read_alignment, READ_ALIGNMENT),
     "consensus_check": (consensus_check, CONSENSUS_CHECK),
     "sample_recovery": (sample_recovery, SAMPLE_RECOVERY),

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,50 +58,55 @@ def _count_lines(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["path", "start", "end", "alone", "lines"])
 
 
-_RECORD = "path string, rec long, header string, seq string, qual string, malformed boolean"
+_RECORD = "path string, rec long, header string, seq string, qual string, malformed boolean, broken boolean"
 
 
-def _frame(batches):
+def _frame(max_reads: int | None):
     """Ranges (path, start, end, alone, first line) to the records whose first line begins in them."""
 
     def rows(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), *[pa.string()] * 3, pa.bool_()))], names=[c.split(" ")[0] for c in _RECORD.split(", ")])
-
-    for batch in batches:
-        for path, start, end, _, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            out = []
-            with _open(path) as raw:
-                packed = path.endswith(".gz")
-                if start:
-                    raw.seek(start - 1)
-                text = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20)
-                at = start
-                if start:  # the line that the range before began is its own
-                    skipped = text.readline()
-                    at += len(skipped) - 1
-                    line += skipped != b"\n"
-                while line % 4 and (skipped := text.readline()):
-                    at, line = at + len(skipped), line + 1
-                while packed or at < end:
-                    part = [text.readline() for _ in range(4)]
-                    if not part[0]:
-                        break
-                    at += sum(map(len, part))
-                    header, bases, plus, qual = (x.decode("utf-8", "ignore").rstrip("\r\n") if x else None for x in part)
-                    bad = qual is None or not header.startswith("@") or not plus.startswith("+") or len(bases) != len(qual) or not header[1:].strip()
-                    out.append((path, line // 4, header[1:], bases, qual, bad))
-                    line += 4
-                    if len(out) == BATCH_RECORDS:
-                        yield rows(out)
-                        out = []
-            if out:
-                yield rows(out)
-
-
-def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, rec, read_id, header, seq, qual, malformed) of every record of a file, or of the files under a folder, .gz included.
-
-    A record that is cut short, lacks its marks or has unequal lengths is flagged, not dropped.
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), *[pa.string()] * 3, pa.bool_(), pa.bool_()))], names=[c.split(" ")[0] for c in _RECORD.split(", ")])
+
+    def run(batches):
+        for batch in batches:
+            for path, start, end, _, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out = []
+                with _open(path) as raw:
+                    packed = path.endswith(".gz")
+                    if start:
+                        raw.seek(start - 1)
+                    text = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20)
+                    at = start
+                    if start:  # the line that the range before began is its own
+                        skipped = text.readline()
+                        at += len(skipped) - 1
+                        line += skipped != b"\n"
+                    while line % 4 and (skipped := text.readline()):
+                        at, line = at + len(skipped), line + 1
+                    while (packed or at < end) and (max_reads is None or line < 4 * max_reads):
+                        part = [text.readline() for _ in range(4)]
+                        if not part[0]:
+                            break
+                        at += sum(map(len, part))
+                        header, bases, plus, qual = (x.decode("utf-8", "ignore").rstrip("\r\n") if x else None for x in part)
+                        broken = qual is None or not header.startswith("@") or not plus.startswith("+") or len(bases) != len(qual)
+                        out.append((path, line // 4, header[1:], bases, qual, broken or not header[1:].strip(), broken))
+                        line += 4
+                        if len(out) == BATCH_RECORDS:
+                            yield rows(out)
+                            out = []
+                if out:
+                    yield rows(out)
+
+    return run
+
+
+def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", range_bytes: int = RANGE_BYTES, max_reads: int | None = None) -> DataFrame:
+    """(path, rec, read_id, header, seq, qual, malformed, broken) of every record of a file, or of the files under a folder, .gz included.
+
+    A record that is cut short, lacks its marks or has unequal lengths is broken; that
+    or an empty name makes it malformed. Both are flags: nothing is dropped. max_reads takes the first records of each file; ranges that begin after
+    them are not framed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", F.col("length"))
     whole = F.col("path").endswith(".gz") | (F.col("length") <= range_bytes)
@@ -109,8 +116,20 @@ def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", rang
     counted = ranges.repartition(n).mapInArrow(_count_lines, "path string, start long, end long, alone boolean, lines long")
     before = F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     framed = counted.select("path", "start", "end", "alone", F.coalesce(before, F.lit(0)).cast("long").alias("line")).repartition(n)
-    rows = framed.mapInArrow(_frame, _RECORD)
-    return rows.select("path", "rec", F.split("header", r"\s+")[0].alias("read_id"), "header", "seq", "qual", "malformed")
+    if max_reads is not None:
+        framed = framed.where(F.col("line") < 4 * max_reads)
+    rows = framed.mapInArrow(_frame(max_reads), _RECORD)
+    return rows.select("path", "rec", F.split("header", r"\s+")[0].alias("read_id"), "header", "seq", "qual", "malformed", "broken")
+
+
+def first_failures(fastq: DataFrame, fails: Column | None = None) -> DataFrame:
+    """(path, first_bad): the first broken record of each file that has any, over all its byte ranges; one row a failing file."""
+    return fastq.where(F.col("broken") if fails is None else fails).groupBy("path").agg(F.min("rec").alias("first_bad"))
+
+
+def until_failure(fastq: DataFrame, fails: Column | None = None) -> DataFrame:
+    """The records of each file before its first broken one, as a reader that stops there has them. fails: another test than `broken`."""
+    return fastq.join(first_failures(fastq, fails), "path", "left").where("first_bad is null or rec < first_bad").drop("first_bad")
 
 
 def malformed_files(fastq: DataFrame) -> DataFrame:
@@ -126,9 +145,10 @@ def count_reads(fastq: DataFrame) -> DataFrame:
     return fastq.agg(F.count("*").alias("n"))
 
 
-def read_names(fastq: DataFrame) -> DataFrame:
-    """One row: distinct names and malformed records."""
-    return fastq.agg(F.countDistinct(F.when(~F.col("malformed"), F.col("read_id"))).alias("names"), F.count_if("malformed").alias("malformed"))
+def read_names(fastq: DataFrame, skip_failing: bool = False) -> DataFrame:
+    """One row: distinct names, and malformed records. With skip_failing, a file with a broken record counts for neither; nameless records still count as malformed."""
+    rows = fastq.join(first_failures(fastq), "path", "left_anti") if skip_failing else fastq
+    return rows.agg(F.countDistinct(F.when(~F.col("malformed"), F.col("read_id"))).alias("names"), F.count_if("malformed").alias("malformed"))
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -161,15 +181,20 @@ def tagged_fastq(sam: DataFrame, direction: str | None = None) -> DataFrame:
     return mapped.select(F.concat_ws("\n", F.concat(F.lit("@"), F.col("qname"), F.lit("|ref="), F.col("rname")), bases, F.lit("+"), F.reverse(qual) if turned else qual).alias("value"))
 
 
+def record_text() -> Column:
+    """The four lines of a record of (read_name, read_seq, read_qual); a missing sequence is empty."""
+    bases = F.coalesce("read_seq", F.lit(""))
+    return F.concat_ws("\n", F.concat(F.lit("@"), F.coalesce("read_name", F.lit(""))), bases, F.lit("+"), seq.fill_quality("read_qual", bases))
+
+
 def fastq_text(reads: DataFrame) -> DataFrame:
-    return reads.select(F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_name")), "read_seq", F.lit("+"), seq.fill_quality("read_qual", "read_seq")).alias("value"))
+    return reads.select(record_text().alias("value"))
 
 
 def write_well_fastq(reads: DataFrame, path: str) -> None:
     """One folder per well; rows of a well are written where they are, without a shuffle. Null wells have no file."""
     rows = reads.where("well_pos is not null")
-    text = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_name")), "read_seq", F.lit("+"), seq.fill_quality("read_qual", "read_seq"))
-    rows.select("well_pos", text.alias("value")).write.partitionBy("well_pos").text(path)
+    rows.select("well_pos", record_text().alias("value")).write.partitionBy("well_pos").text(path)
 
 
 def barcode_fasta(barcodes: DataFrame, side: str) -> DataFrame:
@@ -181,17 +206,79 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.option("header", "true").csv(path)
 
 
-def demux_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three sides of read assembly from fbc/, rbc/ and refs/{fwd,rev}/ under root."""
-
-    def side(name: str) -> DataFrame:
-        rows = read_fastq(spark, f"{root}/{name}").where(~F.col("path").contains("unclassified") & ~F.col("malformed"))
-        ordered = F.concat_ws(":", "path", F.lpad(F.col("rec").cast("string"), 12, "0"))
-        return rows.select(seq.normalize_id("read_id").alias("read_name"), ordered.alias("ord"), seq.barcode_index("path").alias("idx")).where("read_name is not null and idx is not null")
+def write_named(df: DataFrame, path: str, suffix: str = "", header: str | None = None, order: tuple[str, ...] = ()) -> list[str]:
+    """Text of df (name, value, ...) as one file a name, `<name><suffix>` in the folder path; gives the names of the files.
 
-    parts = []
+    The rows of a name go to one task, in the order of the `order` columns, and are
+    written by Spark's own committer to a folder beside, so a task that fails or runs
+    twice leaves nothing; only whole files are then moved to their names, over any older
+    ones. header is each file's first line. Names are few (wells, kits, maps); null has
+    no file.
+    """
+    spark = df.sparkSession
+    rows = df.where("name is not null").withColumn("_first", F.lit(1))
+    if header is not None:
+        heads = rows.select("name").distinct()
+        rows = rows.unionByName(heads.select("name", F.lit(header).alias("value"), F.lit(0).alias("_first")), allowMissingColumns=True)
+    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    rows.repartition("name").sortWithinPartitions("name", "_first", *order).select("name", "value").write.partitionBy("name").text(beside)
+    where = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    store = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where(path))
+    found = []
+    for folder in store.listStatus(where(beside)):
+        if folder.isDirectory():
+            name = unquote(folder.getPath().getName().removeprefix("name=")).replace("/", "%2F")
+            parts = [f.getPath() for f in store.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise RuntimeError(f"{name} was written as {len(parts)} files; spark.sql.files.maxRecordsPerFile must be unset")
+            target = where(f"{path.rstrip('/')}/{name}{suffix}")
+            store.delete(target, False)
+            store.rename(parts[0], target)
+            found.append(f"{name}{suffix}")
+    store.delete(where(beside), True)
+    return sorted(found)
+
+
+def demux_tree(spark: SparkSession, root: str, glob: str = "*.fastq*", range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three sides of read assembly from fbc/, rbc/ and refs/{fwd,rev}/ under root, each file up to its first broken record."""
+    return _tree(spark, root, glob, range_bytes)[:3]
+
+
+def _tree(spark: SparkSession, root: str, glob: str, range_bytes: int):
+    def place(first):
+        return F.concat_ws(":", first, F.lpad(F.col("rec").cast("string"), 12, "0"))
+
+    def side(name: str):
+        rows = read_fastq(spark, f"{root}/{name}", glob, range_bytes).withColumn("idx", seq.barcode_index("path")).where(~F.col("path").contains("unclassified") & F.col("idx").isNotNull())
+        return until_failure(rows).select(seq.normalize_id("read_id").alias("read_name"), place(F.col("path")).alias("ord"), "idx").where("read_name is not null"), first_failures(rows)
+
+    parts, bad = [], []
     for direction in ("fwd", "rev"):
-        rows = read_fastq(spark, f"{root}/refs/{direction}").where(~F.col("malformed"))
-        ordered = F.concat_ws(":", F.lit(direction), "path", F.lpad(F.col("rec").cast("string"), 12, "0"))
-        parts.append(rows.select(seq.normalize_id("read_id").alias("read_name"), ordered.alias("ord"), seq.with_direction(F.lit(direction), seq.ref_tag("read_id")).alias("ref_name"), F.col("seq").alias("read_seq"), F.col("qual").alias("read_qual")))
-    return side("fbc"), side("rbc"), parts[0].unionByName(parts[1]).where("read_name is not null")
+        rows = read_fastq(spark, f"{root}/refs/{direction}", glob, range_bytes)
+        # A tagged record without letters has no mean quality and ends its file like a broken one.
+        fails = F.col("broken") | (F.length("seq") == 0) & seq.ref_tag("read_id").isNotNull() & seq.normalize_id("read_id").isNotNull()
+        kept = until_failure(rows, fails).withColumn("tag", seq.ref_tag("read_id")).where("tag is not null")
+        parts.append(kept.select(seq.normalize_id("read_id").alias("read_name"), place(F.concat_ws(":", F.lit(direction), "path")).alias("ord"), seq.with_direction(F.lit(direction), "tag").alias("ref_name"), F.col("seq").alias("read_seq"), F.col("qual").alias("read_qual")))
+        bad.append(first_failures(rows, fails))
+    (fbc, bad_fbc), (rbc, bad_rbc) = side("fbc"), side("rbc")
+    return fbc, rbc, parts[0].unionByName(parts[1]).where("read_name is not null"), {"fbc": bad_fbc, "rbc": bad_rbc, "ref": bad[0].union(bad[1])}
+
+
+def create_read_df(spark: SparkSession, root: str, glob: str = "*.fastq*", range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(reads, failures) of a demultiplexed tree: reads as of assemble_reads(); failures (kind, files) has the files of fbc, rbc and ref that end at a broken record.
+
+    fbc and rbc numbers come from the first barcodeNN of a path; paths with
+    "unclassified" or no number are passed over. A name's last record wins, in the
+    order of (direction,) path and place in the file. Records before a file's failure
+    stay, later ones are not read.
+    """
+    from ..operators.demux import assemble_reads
+
+    fbc, rbc, refs, bad = _tree(spark, root, glob, range_bytes)
+    kinds = spark.createDataFrame([(k,) for k in bad], "kind string")
+    counts = None
+    for kind, rows in bad.items():
+        one = rows.agg(F.count("*").alias("files")).select(F.lit(kind).alias("kind"), "files")
+        counts = one if counts is None else counts.unionByName(one)
+    return assemble_reads(fbc, rbc, refs), kinds.join(counts, "kind")
