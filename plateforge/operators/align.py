@@ -1,8 +1,9 @@
-"""Banded alignment of reads to references, consensus with gaps, and realignment.
+"""Banded alignment of given pairs, alignment of reads by the index, consensus with gaps, and realignment.
 
-Seeds say which reference a read belongs to and where; dynamic programming in a band
-around that place says how, as a CIGAR string. Arrow batches carry the pairs; reads
-are aligned where they are, without a shuffle.
+Where a pair and its place are known, dynamic programming in a band around it says
+how they align, as a CIGAR string. Arrow batches carry the pairs; reads are aligned
+where they are, without a shuffle. Consensus counts letters by place inside the
+batches.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from .demux import align_by_seeds
+from .index import K, map_reads
 
 BAND = 48
 MATCH, MISMATCH, GAP = 2, -4, -4
@@ -131,54 +132,144 @@ def align_pairs(pairs: DataFrame, band: int = BAND) -> DataFrame:
     return rows.mapInArrow(_align(band), f"row {kind}, pos int, cigar string, score int").select("row.*", "pos", "cigar", "score")
 
 
-def align_reads(reads: DataFrame, references: DataFrame, band: int = BAND, k: int = 11, least_votes: int = 2) -> DataFrame:
-    """(read_name, ref_id, strand, pos, cigar, score, read_seq) of each read of (read_name, read_seq) that a reference has seeds for.
+def align_reads(reads: DataFrame, references: DataFrame, k: int = K, clip: bool = False, **options) -> DataFrame:
+    """(read_name, ref_id, strand, pos, cigar, score, read_seq) of each read of (read_name, read_seq) that maps; see map_reads().
 
-    read_seq is as aligned: the reverse complement on the reverse strand.
+    read_seq is as aligned: the reverse complement on the reverse strand. Reads that share a name stay apart.
     """
-    best = align_by_seeds(reads, references, k, least_votes)
-    turned = F.when(F.col("strand") == "rev", seq.reverse_complement("read_seq")).otherwise(F.col("read_seq"))
-    pairs = best.join(reads.select("read_name", "read_seq"), "read_name").join(references.select("ref_id", "ref_seq"), "ref_id").withColumn("read_seq", turned)
-    return align_pairs(pairs, band).where("cigar is not null").select("read_name", "ref_id", "strand", "pos", "cigar", "score", "read_seq")
-
-
-_PILE = "well string, at int, extra int, base string"
+    found = map_reads(reads.select("read_name", "read_seq"), references, k=k, clip=clip, **options)
+    return found.where("flag <> 4").select("read_name", "ref_id", "strand", "pos", "cigar", "score", "read_seq")
+
+
+#: Letters that are counted; any other is N. The last is a reference letter that a read lacks.
+SYMBOLS = "ACGTN-"
+#: Places of wells and references that a task counts before it hands the counts on.
+HELD_PLACES = 1 << 18
+_COUNTS = [f"{kind}{i}" for kind in "nw" for i in range(len(SYMBOLS))]
+_PILE = "well string, at int, extra int, " + ", ".join(f"{c} long" for c in _COUNTS)
+_SYMBOL = np.full(256, 4, np.int64)
+for _i, _pair in enumerate(("Aa", "Cc", "Gg", "Tt")):
+    _SYMBOL[[ord(x) for x in _pair]] = _i
+# Thousandths of log10 of the odds of a letter being right at each phred quality: (1 - e) against e / 3.
+_WEIGHT = np.array([max(0, round(1000 * np.log10(3 * (1 - e) / e))) if (e := max(10 ** (-q / 10), 1e-9)) < 0.75 else 0 for q in range(94)], np.int64)
+
+
+class _Counters:
+    """Counts and weights of letters by well and place: one array a well, which grows with its places; inserted letters by (place, number)."""
+
+    def __init__(self):
+        self.wells: dict[str, tuple[int, np.ndarray]] = {}
+        self.extra: dict[tuple[str, int, int], np.ndarray] = {}
+        self.size = 0
+
+    def table(self, well: str, lo: int, hi: int) -> tuple[int, np.ndarray]:
+        start, table = self.wells.get(well, (lo, np.zeros((0, 2 * len(SYMBOLS)), np.int64)))
+        end = start + len(table)
+        if lo < start or hi > end:
+            first, last = min(lo, start), max(hi, end + (end - start) // 2 if hi > end else end)
+            grown = np.zeros((last - first, 2 * len(SYMBOLS)), np.int64)
+            grown[start - first : end - first] = table
+            self.size += len(grown) - len(table)
+            start, table = self.wells[well] = first, grown
+        return start, table
+
+    def add(self, well: str, pos: int, steps: list[tuple[int, str]], letters: np.ndarray, weights: np.ndarray) -> None:
+        length = sum(n for n, op in steps if op in "M=XD")
+        start, table = self.table(well, pos, pos + length)
+        at, i, k = pos - start, 0, len(SYMBOLS)
+        for n, op in steps:
+            if op in "M=X":
+                rows = np.arange(at, at + n)
+                table[rows, letters[i : i + n]] += 1
+                table[rows, k + letters[i : i + n]] += weights[i : i + n]
+            elif op == "D":
+                table[at : at + n, k - 1] += 1
+                # What is missing is as sure as the letters around it.
+                around = weights[max(i - 1, 0) : i + 1]
+                table[at : at + n, 2 * k - 1] += int(around.min()) if len(around) else 0
+            elif op == "I":
+                for j in range(n):
+                    key = (well, at + start - 1, j + 1)
+                    found = self.extra.get(key)
+                    if found is None:
+                        found = self.extra[key] = np.zeros(2 * k, np.int64)
+                        self.size += 1
+                    found[letters[i + j]] += 1
+                    found[k + letters[i + j]] += weights[i + j]
+            at += n if op in "M=XD" else 0
+            i += n if op in "M=XIS" else 0
+
+    def rows(self):
+        parts = []
+        for well, (start, table) in self.wells.items():
+            there = np.flatnonzero(table.any(axis=1))
+            if len(there):
+                parts.append((np.full(len(there), well, object), there + start, np.zeros(len(there), np.int64), table[there]))
+        if self.extra:
+            keys = list(self.extra)
+            parts.append((np.array([k[0] for k in keys], object), np.array([k[1] for k in keys]), np.array([k[2] for k in keys]), np.array(list(self.extra.values()))))
+        self.__init__()
+        for well, at, extra, table in parts:
+            columns = [pa.array(well, pa.string()), pa.array(at, pa.int32()), pa.array(extra, pa.int32()), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(table.shape[1]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["well", "at", "extra", *_COUNTS])
 
 
 def _pile(batches):
+    counters = _Counters()
+    steps: dict[str, list] = {}
     for batch in batches:
-        out = []
-        for well, pos, cigar, bases in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            at, i = pos, 0
-            for n, op in re.findall(r"(\d+)([MIDS=X])", cigar):
-                n = int(n)
-                if op in "M=X":
-                    out += [(well, at + j, 0, bases[i + j]) for j in range(n)]
-                elif op == "D":
-                    out += [(well, at + j, 0, "-") for j in range(n)]
-                elif op == "I":
-                    out += [(well, at - 1, j + 1, bases[i + j]) for j in range(n)]
-                at += n if op in "M=XD" else 0
-                i += n if op in "M=XIS" else 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["well", "at", "extra", "base"])
-
-
-def gapped_consensus(aligned: DataFrame, least_depth: int = 1) -> DataFrame:
+        for well, pos, cigar, bases, quals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (run := steps.get(cigar)) is None:
+                if len(steps) > 10_000:
+                    steps.clear()
+                run = steps[cigar] = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDS=X])", cigar)]
+            letters = _SYMBOL[np.frombuffer((bases or "").encode("latin-1", "replace"), np.uint8)]
+            phred = np.frombuffer(quals.encode("latin-1", "replace"), np.uint8).astype(np.int64) - 33 if quals and len(quals) == len(letters) else np.full(len(letters), 40)
+            counters.add(well, pos, run, letters, _WEIGHT[np.clip(phred, 0, 93)])
+        if counters.size > HELD_PLACES:
+            yield from counters.rows()
+    yield from counters.rows()
+
+
+def pile_up(aligned: DataFrame) -> DataFrame:
+    """(well, at, extra, n0.., w0..): how often each of SYMBOLS stands at each place, and the weight of their qualities; extra numbers inserted letters after a place.
+
+    aligned has well, pos, cigar, read_seq and perhaps read_qual (40 where it is
+    missing). Letters are counted in the tasks that read them, so what is shuffled is one
+    row a place and task, however deep a well is.
+    """
+    qual = F.col("read_qual") if "read_qual" in aligned.columns else F.lit(None).cast("string")
+    rows = aligned.where("well is not null and pos is not null and cigar is not null").select("well", "pos", "cigar", "read_seq", qual.alias("read_qual"))
+    return rows.mapInArrow(_pile, _PILE).groupBy("well", "at", "extra").agg(*(F.sum(c).alias(c) for c in _COUNTS))
+
+
+def gapped_consensus(aligned: DataFrame, least_depth: int = 1, weighted: bool = False) -> DataFrame:
     """(well, cons_seq) of (well, pos, cigar, read_seq): the majority at each place; gaps go, insertions of over half the reads stay, N below least_depth.
 
-    Letters are counted by (well, place) with map-side combining, so a deep well is no hot spot.
+    With weighted (and read_qual), the call at a place is the letter or gap of the
+    greatest posterior under independent errors, an even prior and the reads'
+    qualities, and cons_qual has the phred of the odds against the next, 60 at most.
+    Of equal calls the gap goes first, then the alphabet.
     """
-    letters = aligned.where("cigar is not null").select("well", "pos", "cigar", "read_seq").mapInArrow(_pile, _PILE)
-    counts = letters.groupBy("well", "at", "extra", "base").agg(F.count("*").alias("n"))
-    best = counts.groupBy("well", "at", "extra").agg(F.min(F.struct((-F.col("n")).alias("n"), "base")).alias("b"), F.sum("n").alias("depth"))
-    places = best.groupBy("well", "at").agg(F.max(F.when(F.col("extra") == 0, F.col("depth"))).alias("depth"), F.array_sort(F.collect_list(F.struct("extra", "b", F.col("depth").alias("seen")))).alias("there"))
+    kinds = len(SYMBOLS)
+    order = sorted(range(kinds), key=lambda i: SYMBOLS[i])
+    by = "w" if weighted else "n"
+    value = lambda i: F.struct((-F.col(f"{by}{i}")).alias("v"), (-F.col(f"n{i}")).alias("n"), F.lit(SYMBOLS[i]).alias("base"))
+    depth = sum((F.col(f"n{i}") for i in range(1, kinds)), F.col("n0"))
+    ranked = F.array_sort(F.filter(F.array(*(value(i) for i in order)), lambda x: x["n"] < 0))
+    piled = pile_up(aligned).select("well", "at", "extra", ranked.alias("r"), depth.alias("depth"))
+    best, margin = F.get("r", F.lit(0)), F.coalesce(F.get("r", F.lit(1))["v"], F.lit(0)) - F.get("r", F.lit(0))["v"]
+    calls = piled.select("well", "at", "extra", best["base"].alias("base"), F.least(F.lit(60), F.floor(margin / 100)).cast("int").alias("q"), "depth")
+    places = calls.groupBy("well", "at").agg(F.max(F.when(F.col("extra") == 0, F.col("depth"))).alias("depth"), F.array_sort(F.collect_list(F.struct("extra", "base", "q", F.col("depth").alias("seen")))).alias("there"))
 
     def letter(x):
-        call = F.when(x["extra"] > 0, F.when(2 * x["seen"] > F.col("depth"), x["b"]["base"]).otherwise("")).otherwise(F.when(x["seen"] >= least_depth, F.when(x["b"]["base"] == "-", "").otherwise(x["b"]["base"])).otherwise("N"))
-        return F.coalesce(call, F.lit(""))
+        call = F.when(x["extra"] > 0, F.when(2 * x["seen"] > F.col("depth"), x["base"])).when(x["seen"] < least_depth, F.lit("N")).when(x["base"] != "-", x["base"])
+        return F.struct(call.alias("c"), F.when(x["seen"] < least_depth, F.lit(0)).otherwise(x["q"]).alias("q"))
 
-    text = F.array_join(F.transform("there", letter), "")
-    return places.groupBy("well").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", text.alias("t")))), lambda x: x["t"]), "").alias("cons_seq"))
+    kept = F.filter(F.transform("there", letter), lambda x: x["c"].isNotNull())
+    wells = places.groupBy("well").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", kept.alias("t")))), lambda x: x["t"])).alias("t"))
+    text = F.array_join(F.transform("t", lambda x: x["c"]), "").alias("cons_seq")
+    return wells.select("well", text, *([seq.phred_encode(F.transform("t", lambda x: x["q"])).alias("cons_qual")] if weighted else []))
 
 
 def well_consensus(wells: DataFrame, aligned: DataFrame, band: int = BAND) -> DataFrame:

@@ -69,7 +69,9 @@ def format_reads(reads: DataFrame, fbc: DataFrame | None = None, rbc: DataFrame
 
 def _counts(reads: DataFrame, well: str, ref: str, extra: list[Column] = ()) -> DataFrame:
     """Counts by well and reference with the well's depth and the reference's rank (n down, then name)."""
-    counts = reads.where(F.col(well).isNotNull() & F.col(ref).isNotNull()).groupBy(F.col(well).alias("well_pos"), F.col(ref).alias("ref_name")).agg(F.count("*").alias("n"), *extra)
+    # The label is made once a read: no filter above pulls its expression down.
+    named = reads.withColumns({"well_pos": once(F.col(well)), "ref_name": F.col(ref)})
+    counts = named.where("well_pos is not null and ref_name is not null").groupBy("well_pos", "ref_name").agg(F.count("*").alias("n"), *extra)
     by_well = Window.partitionBy("well_pos")
     return counts.withColumn("depth", F.sum("n").over(by_well)).withColumn("rank", F.row_number().over(by_well.orderBy(F.desc("n"), "ref_name")))
 
@@ -169,12 +171,13 @@ def classify_barcodes(reads: DataFrame, barcodes: DataFrame, window: int = 40, m
     return demultiplex(reads, barcodes, window, most, margin, "either" if both_ends else "front", trim=False).select("read_name", "idx", "distance")
 
 
-def align_by_seeds(reads: DataFrame, references: DataFrame, k: int = 11, least_votes: int = 2) -> DataFrame:
-    """Reference, strand and offset with the most shared k-mers of each read: an equi-join on seeds, then votes."""
+def align_by_seeds(reads: DataFrame, references: DataFrame, k: int = 11, least_votes: int = 2, most: int = 1000) -> DataFrame:
+    """Reference, strand and offset with the most shared k-mers of each read: an equi-join on seeds, then votes. Seeds with over `most` places don't vote."""
     seeds = lambda s: F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substring(s, i, F.lit(k)))
     strands = F.explode(F.array(F.struct(F.lit("fwd").alias("strand"), F.col("read_seq").alias("s")), F.struct(F.lit("rev").alias("strand"), seq.reverse_complement("read_seq").alias("s"))))
     left = reads.where(F.length("read_seq") >= k).select("read_name", strands.alias("x")).select("read_name", "x.strand", F.posexplode(seeds(F.col("x.s"))).alias("at", "seed"))
     right = references.where(F.length("ref_seq") >= k).select("ref_id", F.posexplode(seeds(F.col("ref_seq"))).alias("ref_at", "seed"))
+    right = right.join(right.groupBy("seed").agg(F.count("*").alias("hits")).where(F.col("hits") <= most), "seed")
     votes = left.join(right, "seed").groupBy("read_name", "ref_id", "strand", (F.col("ref_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("read_name").agg(F.max_by(F.struct("ref_id", "strand", "offset", "votes"), F.struct("votes", "strand", "ref_id", "offset")).alias("b"))
     return best.select("read_name", "b.*").where(F.col("votes") >= least_votes)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..functions import seq, stats
-from ..operators import align, barcodes, costs, demux, simulate
+from ..operators import align, barcodes, costs, demux, index, simulate
 from ..sources import records
 
 
@@ -590,6 +590,50 @@ def read_alignment(spark, sf_dir):
 READ_ALIGNMENT = """SELECT 'q' || o_orderkey AS read_name, 'g' || o_orderkey % 40 AS ref_id, CASE WHEN o_orderkey % 2 = 0 THEN 'rev' ELSE 'fwd' END AS strand, CAST(o_orderkey % 60 AS INT) AS pos, '60M' AS cigar, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 59 * 2 - 4 ELSE 120 END AS INT) AS score FROM orders"""
 
 
+def gapped_alignment(spark, sf_dir):
+    """Reads cut from references, whole, with a letter changed, three lost or two gained at some place, every third one reversed, all of one name."""
+    k = F.col("o_orderkey")
+    rows = _table(spark, sf_dir, "orders").select(k, "o_custkey", F.concat(F.lit("g"), (k % 40).cast("string")).alias("ref_id")).join(F.broadcast(_references(spark, 40)), "ref_id")  # 40 rows
+    cut, at = F.substr("ref_seq", (F.col("o_custkey") % 60 + 1).cast("int"), F.lit(60)), (20 + k % 17).cast("int")
+    left = F.substr(cut, F.lit(1), at)
+    changed = F.when(k % 4 == 0, cut).when(k % 4 == 1, F.concat(left, F.translate(F.substr(cut, at + 1, F.lit(1)), "ACGT", "CATG"), F.substr(cut, at + 2))).when(k % 4 == 2, F.concat(left, F.substr(cut, at + 4))).otherwise(F.concat(left, F.lit("CA"), F.substr(cut, at + 1)))
+    reads = rows.select(F.lit("read").alias("read_name"), k, F.when(k % 3 == 0, seq.reverse_complement(changed)).otherwise(changed).alias("read_seq"))
+    found = index.map_reads(reads, _references(spark, 40), clip=False)
+    letters = lambda op: F.aggregate(F.regexp_extract_all("cigar", F.lit(f"(\\d+){op}"), F.lit(1)), F.lit(0), lambda n, x: n + x.cast("int"))
+    return found.select("read_name", "o_orderkey", "ref_id", "flag", "pos", "score", "edits", letters("I").alias("gained"), letters("D").alias("lost"))
+
+
+#: The edits are the least distance to any stretch of the reference; the score follows from them and from what kind of gap there is.
+GAPPED_ALIGNMENT = f"""WITH r AS (SELECT o_orderkey AS k, o_custkey % 60 AS p, 20 + o_orderkey % 17 AS a, {_REF_SQL.replace("|| g", "|| o_orderkey % 40")} AS ref FROM orders),
+c AS (SELECT *, substr(ref, CAST(p + 1 AS INT), 60) AS s FROM r),
+t AS (SELECT k, p, ref, CASE k % 4 WHEN 0 THEN s WHEN 1 THEN left(s, CAST(a AS INT)) || translate(substr(s, CAST(a + 1 AS INT), 1), 'ACGT', 'CATG') || substr(s, CAST(a + 2 AS INT)) WHEN 2 THEN left(s, CAST(a AS INT)) || substr(s, CAST(a + 4 AS INT)) ELSE left(s, CAST(a AS INT)) || 'CA' || substr(s, CAST(a + 1 AS INT)) END AS s FROM c),
+e AS (SELECT k, p, min(levenshtein(s, substr(ref, CAST(x + 1 AS INT), CAST(n AS INT)))) AS edits FROM t, range(68) u(x), range(57, 63) v(n) WHERE abs(x - p) <= 4 GROUP BY k, p)
+SELECT 'read' AS read_name, k AS o_orderkey, 'g' || k % 40 AS ref_id, CAST(CASE WHEN k % 3 = 0 THEN 16 ELSE 0 END AS INT) AS flag, CAST(p AS INT) AS pos, CAST(CASE k % 4 WHEN 2 THEN 2 * 57 - 4 - 2 * edits WHEN 3 THEN 2 * 60 - 4 - 2 * edits ELSE 2 * 60 - 6 * edits END AS INT) AS score,
+  CAST(edits AS INT) AS edits, CAST(CASE WHEN k % 4 = 3 THEN edits ELSE 0 END AS INT) AS gained, CAST(CASE WHEN k % 4 = 2 THEN edits ELSE 0 END AS INT) AS lost FROM e"""
+
+
+def quality_consensus(spark, sf_dir):
+    """Wells of reads with an error each in two of three, mapped, piled up by quality: letters and the odds of each call."""
+    k, w, start = F.col("o_orderkey"), F.col("o_custkey") % 60, (F.floor(F.col("o_totalprice")) % 68).cast("int")
+    at = (k % 60).cast("int")
+    rows = _table(spark, sf_dir, "orders").select(k, w.alias("w"), start.alias("start")).join(F.broadcast(_references(spark, 60).withColumn("w", F.expr("CAST(substr(ref_id, 2) AS BIGINT)"))), "w")  # 60 rows
+    cut = F.substr("ref_seq", F.col("start") + 1, F.lit(60))
+    read = F.when(k % 3 == 0, cut).otherwise(F.concat(F.substr(cut, F.lit(1), at), F.translate(F.substr(cut, at + 1, F.lit(1)), "ACGT", "GTAC"), F.substr(cut, at + 2)))
+    level = F.element_at(F.array(*(F.lit(x) for x in "5?I")), (k % 7 % 3 + 1).cast("int"))
+    qual = F.concat(F.repeat(level, at), F.when(k % 5 == 0, level).otherwise(F.lit("+")), F.repeat(level, 59 - at))
+    reads = rows.select(F.col("w").cast("string").alias("well"), F.col("ref_id").alias("own"), read.alias("read_seq"), F.when(k % 11 > 0, qual).alias("read_qual"))
+    aligned = index.map_reads(reads, _references(spark, 60), direction="forward", clip=False).where("ref_id = own")
+    return align.gapped_consensus(aligned, weighted=True)
+
+
+QUALITY_CONSENSUS = f"""WITH r AS (SELECT o_orderkey AS k, o_custkey % 60 AS w, CAST(floor(o_totalprice) AS BIGINT) % 68 AS start, o_orderkey % 60 AS spot FROM orders), s AS (SELECT g, {_REF_SQL.replace("|| g", "|| x.g")} AS s FROM range(60) x(g)),
+b AS (SELECT w, start + i AS place, CASE WHEN i = spot AND k % 3 > 0 THEN translate(substr(s, CAST(start + i + 1 AS INT), 1), 'ACGT', 'GTAC') ELSE substr(s, CAST(start + i + 1 AS INT), 1) END AS base,
+  CASE WHEN k % 11 = 0 THEN 40 WHEN i = spot AND k % 5 > 0 THEN 10 ELSE [20, 30, 40][k % 7 % 3 + 1] END AS q FROM r JOIN s ON g = w, range(60) y(i)),
+n AS (SELECT w, place, base, count(*) AS n, sum(round(1000 * log10(3 * (1 - pow(10, -q / 10.0::DOUBLE)) / pow(10, -q / 10.0::DOUBLE)))) AS v FROM b GROUP BY ALL),
+o AS (SELECT *, row_number() OVER x AS rk, v - coalesce(lead(v) OVER x, 0) AS margin FROM n WINDOW x AS (PARTITION BY w, place ORDER BY v DESC, n DESC, base))
+SELECT w::VARCHAR AS well, string_agg(base, '' ORDER BY place) AS cons_seq, string_agg(chr(CAST(33 + least(60, floor(margin / 100)) AS INT)), '' ORDER BY place) AS cons_qual FROM o WHERE rk = 1 GROUP BY w"""
+
+
 def consensus_check(spark, sf_dir):
     """Wells whose reads agree on a letter changed, lost or gained, aligned, piled up, realigned and classed; one read in ten has an error of its own."""
     rows = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 60).alias("w"), F.col("l_orderkey").alias("k"), F.concat_ws(":", *(F.col(c).cast("string") for c in _KEY)).alias("name"))
@@ -706,7 +750,9 @@ _CATALOG = {
     "barcode_both_ends": (barcode_both_ends, BARCODE_BOTH_ENDS),
     "batch_demux": (batch_demux, BATCH_DEMUX),
     "read_alignment": (read_alignment, READ_ALIGNMENT),
+    "gapped_alignment": (gapped_alignment, GAPPED_ALIGNMENT),
     "consensus_check": (consensus_check, CONSENSUS_CHECK),
+    "quality_consensus": (quality_consensus, QUALITY_CONSENSUS),
     "sample_recovery": (sample_recovery, SAMPLE_RECOVERY),
     "uniform_recovery": (uniform_recovery, UNIFORM_RECOVERY),
     "recovery_marks": (recovery_marks, RECOVERY_MARKS),

@@ -98,3 +98,45 @@ def test_plate_map_clips(spark):
     got = demux.plate_map(reads, min_reads=3).collect()
     assert len(got) == 2 * 384 and {(r.plate, r.well, r.reads, r.clipped) for r in got if r.reads} == {(1, "A1", 5, 3), (2, "P24", 1, 1)}
     assert demux.plate_map_json(demux.plate_map(reads)).count() == 2
+
+
+def test_weighted_consensus_and_deep_wells(spark, monkeypatch):
+    """Counts by place over many lots equal one count of all letters; a few sure reads outweigh many doubtful ones."""
+    r = random.Random(6)
+    ref = "".join(r.choice("ACGT") for _ in range(40))
+    rows = [("w", 0, "40M", ref[:9] + "ACGT"["CATG".index(ref[9])] + ref[10:], "I" * 9 + "$" + "I" * 30)] * 5 + [("w", 0, "40M", ref, "I" * 40)] * 2
+    rows += [("w", 5, "3S10M2D20M1I2M", "TTT" + ref[5:15] + ref[17:37] + "G" + ref[37:39], None), ("v", -3, "4M", "ACGN", "IIII"), ("v", 200, "2M", "AC", "I"), ("n", None, "4M", "ACGT", None), (None, 0, "4M", "ACGT", None)]
+    frame = spark.createDataFrame(rows, "well string, pos int, cigar string, read_seq string, read_qual string").repartition(3)
+    want = {}
+    for well, pos, cigar, bases, _ in rows:
+        if well is None or pos is None:
+            continue
+        at, i = pos, 0
+        for n, op in re.findall(r"(\d+)([MIDS])", cigar):
+            for j in range(int(n)):
+                if op == "I":
+                    want[well, at - 1, j + 1, bases[i + j]] = want.get((well, at - 1, j + 1, bases[i + j]), 0) + 1
+                elif op != "S":
+                    letter = bases[i + j] if op == "M" else "-"
+                    want[well, at + j, 0, letter] = want.get((well, at + j, 0, letter), 0) + 1
+            at, i = at + int(n) * (op in "MD"), i + int(n) * (op in "MIS")
+    got = {(x.well, x.at, x.extra, letter): x[f"n{k}"] for x in align.pile_up(frame).collect() for k, letter in enumerate(align.SYMBOLS) if x[f"n{k}"]}
+    assert got == want
+    assert {x.well: x.cons_seq for x in align.gapped_consensus(frame).collect()}["w"] == rows[0][3]
+    sure = {x.well: (x.cons_seq, x.cons_qual) for x in align.gapped_consensus(frame, weighted=True).collect()}
+    assert sure["w"][0] == ref and len(sure["w"][1]) == 40 and sure["v"][0] == "ACGNAC"
+    assert align.gapped_consensus(frame.limit(0)).count() == 0
+
+
+def test_counters_hand_on_what_they_hold():
+    counters = align._Counters()
+    letters, weights = align._SYMBOL[[65, 67, 71, 84]], [1, 2, 3, 4]
+    total = {}
+    for pos in (50, 0, 51, 300, 0):
+        counters.add("w", pos, [(4, "M")], letters, align.np.array(weights))
+        for j in range(4):
+            total[pos + j] = total.get(pos + j, 0) + 1
+        if pos == 300:
+            first = list(counters.rows())
+    rows = [x for b in [*first, *counters.rows()] for x in b.to_pylist()]
+    assert counters.size == 0 and {p: sum(x[f"n{k}"] for x in rows if x["at"] == p for k in range(6)) for p in total} == total
