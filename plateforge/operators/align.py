@@ -173,31 +173,48 @@ class _Counters:
             start, table = self.wells[well] = first, grown
         return start, table
 
-    def add(self, well: str, pos: int, steps: list[tuple[int, str]], letters: np.ndarray, weights: np.ndarray) -> None:
-        length = sum(n for n, op in steps if op in "M=XD")
-        start, table = self.table(well, pos, pos + length)
-        at, i, k = pos - start, 0, len(SYMBOLS)
-        for n, op in steps:
-            if op in "M=X":
-                rows = np.arange(at, at + n)
-                table[rows, letters[i : i + n]] += 1
-                table[rows, k + letters[i : i + n]] += weights[i : i + n]
-            elif op == "D":
-                table[at : at + n, k - 1] += 1
-                # What is missing is as sure as the letters around it.
-                around = weights[max(i - 1, 0) : i + 1]
-                table[at : at + n, 2 * k - 1] += int(around.min()) if len(around) else 0
-            elif op == "I":
-                for j in range(n):
-                    key = (well, at + start - 1, j + 1)
-                    found = self.extra.get(key)
-                    if found is None:
-                        found = self.extra[key] = np.zeros(2 * k, np.int64)
-                        self.size += 1
-                    found[letters[i + j]] += 1
-                    found[k + letters[i + j]] += weights[i + j]
-            at += n if op in "M=XD" else 0
-            i += n if op in "M=XIS" else 0
+    def add(self, reads, letters: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> None:
+        """Count reads (well, pos, steps); letters and weights of all of them lie end to end, each read's from its offset."""
+        runs: dict[str, list] = {}
+        k = len(SYMBOLS)
+        for read, (well, pos, steps) in enumerate(reads):
+            at, i, mine = pos, int(offsets[read]), runs.setdefault(well, [])
+            first = i
+            for n, op in steps:
+                if op in "M=X":
+                    mine.append((at, i, n))
+                    at, i = at + n, i + n
+                elif op == "D":
+                    start, table = self.table(well, at, at + n)
+                    table[at - start : at - start + n, k - 1] += 1
+                    # What is missing is as sure as the letters around it.
+                    around = weights[max(i - 1, first) : min(i + 1, int(offsets[read + 1]))]
+                    table[at - start : at - start + n, 2 * k - 1] += int(around.min()) if len(around) else 0
+                    at += n
+                elif op == "I":
+                    for j in range(n):
+                        key = (well, at - 1, j + 1)
+                        found = self.extra.get(key)
+                        if found is None:
+                            found = self.extra[key] = np.zeros(2 * k, np.int64)
+                            self.size += 1
+                        found[letters[i + j]] += 1
+                        found[k + letters[i + j]] += weights[i + j]
+                    i += n
+                elif op == "S":
+                    i += n
+        for well, mine in runs.items():
+            if not mine:
+                continue
+            at, i, n = np.array(mine, np.int64).T
+            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            place, letter = np.repeat(at, n) + steps, np.repeat(i, n) + steps
+            lo, hi = int(at.min()), int((at + n).max())
+            start, table = self.table(well, lo, hi)
+            cell, size = (place - lo) * k + letters[letter], (hi - lo) * k
+            part = table[lo - start : hi - start]
+            part[:, :k] += np.bincount(cell, minlength=size).reshape(-1, k)
+            part[:, k:] += np.bincount(cell, weights[letter], size).astype(np.int64).reshape(-1, k)
 
     def rows(self):
         parts = []
@@ -214,20 +231,35 @@ class _Counters:
             yield pa.RecordBatch.from_arrays(columns, names=["well", "at", "extra", *_COUNTS])
 
 
+def _end_to_end(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' letters, one byte each, and where each text begins (plus the end)."""
+    texts = [(t or "").encode("latin-1", "replace") for t in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+
 def _pile(batches):
     counters = _Counters()
-    steps: dict[str, list] = {}
-    for batch in batches:
-        for well, pos, cigar, bases, quals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (run := steps.get(cigar)) is None:
-                if len(steps) > 10_000:
-                    steps.clear()
-                run = steps[cigar] = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDS=X])", cigar)]
-            letters = _SYMBOL[np.frombuffer((bases or "").encode("latin-1", "replace"), np.uint8)]
-            phred = np.frombuffer(quals.encode("latin-1", "replace"), np.uint8).astype(np.int64) - 33 if quals and len(quals) == len(letters) else np.full(len(letters), 40)
-            counters.add(well, pos, run, letters, _WEIGHT[np.clip(phred, 0, 93)])
-        if counters.size > HELD_PLACES:
-            yield from counters.rows()
+    known: dict[str, list] = {}
+
+    def steps(cigar):
+        if (found := known.get(cigar)) is None:
+            if len(known) > 10_000:
+                known.clear()
+            found = known[cigar] = [(int(n), op) for n, op in re.findall(r"(\d+)([MIDS=X])", cigar)]
+        return found
+
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 2000):
+            batch = whole.slice(lo, 2000)
+            (data, offsets), (marks, ends) = _end_to_end(batch.column(3)), _end_to_end(batch.column(4))
+            weights = np.full(len(data), _WEIGHT[40])
+            n = np.diff(offsets)
+            same = n == np.diff(ends)  # else the qualities are missing
+            weights[np.repeat(same, n)] = _WEIGHT[np.clip(marks[np.repeat(same, np.diff(ends))].astype(np.int64) - 33, 0, 93)]
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            counters.add([(well, pos, steps(cigar)) for well, pos, cigar in rows], _SYMBOL[data], offsets, weights)
+            if counters.size > HELD_PLACES:
+                yield from counters.rows()
     yield from counters.rows()
 
 

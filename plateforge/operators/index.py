@@ -241,21 +241,27 @@ def chain(places: np.ndarray, reads: np.ndarray, k: int) -> tuple[float, list[in
     shift = places - reads
     if n == 1 or (shift == shift[0]).all() and np.diff(places).max() <= REACH:
         return float(k + np.minimum(np.diff(places), k).sum()), list(range(n))
-    score, before = np.full(n, float(k)), np.full(n, -1)
+    # Most chains are short, where plain numbers are faster than arrays of a few.
+    p, q = places.tolist(), reads.tolist()
+    score, before = [float(k)] * n, [-1] * n
     for j in range(1, n):
-        lo = max(0, j - LOOK_BACK)
-        dr, dq = places[j] - places[lo:j], reads[j] - reads[lo:j]
-        gap = np.abs(dr - dq)
-        gain = score[lo:j] + np.minimum(np.minimum(dr, dq), k) - np.where(gap > 0, 0.01 * k * gap + 0.5 * np.log2(gap + 1), 0)
-        gain[(dr <= 0) | (dq <= 0) | (np.maximum(dr, dq) > REACH)] = -1
-        i = int(np.argmax(gain))
-        if gain[i] > score[j]:
-            score[j], before[j] = gain[i], lo + i
-    at = int(np.argmax(score))
-    total, out = float(score[at]), []
+        top, back = float(k), -1
+        for i in range(max(0, j - LOOK_BACK), j):
+            dr, dq = p[j] - p[i], q[j] - q[i]
+            if dr <= 0 or dq <= 0 or dr > REACH or dq > REACH:
+                continue
+            gain = score[i] + min(dr, dq, k)
+            if dr != dq and gain > top:
+                gap = abs(dr - dq)
+                gain -= 0.01 * k * gap + 0.5 * math.log2(gap + 1)
+            if gain > top:
+                top, back = gain, i
+        score[j], before[j] = top, back
+    at = score.index(max(score))
+    total, out = score[at], []
     while at >= 0:
         out.append(at)
-        at = int(before[at])
+        at = before[at]
     return total, out[::-1]
 
 

@@ -133,7 +133,7 @@ def test_counters_hand_on_what_they_hold():
     letters, weights = align._SYMBOL[[65, 67, 71, 84]], [1, 2, 3, 4]
     total = {}
     for pos in (50, 0, 51, 300, 0):
-        counters.add("w", pos, [(4, "M")], letters, align.np.array(weights))
+        counters.add([("w", pos, [(4, "M")])], letters, align.np.array([0, 4]), align.np.array(weights))
         for j in range(4):
             total[pos + j] = total.get(pos + j, 0) + 1
         if pos == 300:
