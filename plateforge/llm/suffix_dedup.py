@@ -79,38 +79,6 @@ def _anchors(length: int):
     return run
 
 
-_PIECE = "anchor long, piece long, id long, unit long, twin long, start int, n int, hot boolean, bytes binary"
-
-
-#: Pieces that are copied out of their texts at a time.
-_CUT_ROWS = 4096
-
-
-def _cut(length: int):
-    """Rows (id, unit, twin, text, wants) to one row with the bytes of each wanted piece."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            text, wants = batch.column(3).cast(pa.large_string()), batch.column(4)
-            offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text)]
-            data = np.frombuffer(text.buffers()[2], np.uint8)
-            owner = np.repeat(np.arange(len(wants)), np.diff(wants.offsets.to_numpy()))
-            anchor, piece, start, n, hot = wants.flatten().flatten()
-            begin, size = offsets[owner] + start.to_numpy(), n.to_numpy().astype(np.int64) - 1 + length
-            for lo in range(0, len(owner), _CUT_ROWS):
-                part = slice(lo, lo + _CUT_ROWS)
-                many = len(owner[part])
-                ends = np.concatenate([[0], np.cumsum(size[part])])
-                raw = data[np.repeat(begin[part] - ends[:-1], size[part]) + np.arange(ends[-1])]
-                cut = pa.Array.from_buffers(pa.large_binary(), many, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-                rows = pa.array(owner[part])
-                yield pa.RecordBatch.from_arrays([anchor[part], piece[part], *(batch.column(i).take(rows) for i in range(3)), start[part], n[part], hot[part], cut], names=[c.split(" ")[0] for c in _PIECE.split(", ")])
-
-    return run
-
-
 _HALF = "grp long, cls long, anchor long, piece long, id long, unit long, twin long, start int, at int, near int, far int, low int, n int, bytes binary"
 _HALF_COLUMNS = [c.split(" ")[0] for c in _HALF.split(", ")]
 
@@ -378,8 +346,10 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Fals
     hot = classes.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > ARRAY_PIECES).select("anchor", F.lit(True).alias("hot"))
     wants = classes.join(hot, "anchor", "left").groupBy(F.col("f.unit").alias("u"), F.col("f.twin").alias("t"), F.col("f.id").alias("i"))
     wants = wants.agg(F.collect_list(F.struct("anchor", "piece", F.col("f.start").alias("start"), F.col("f.n").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot"))).alias("wants"))
-    cut = long.join(wants, (F.col("unit") == F.col("u")) & (F.col("twin") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "unit", "twin", "text", "wants")
-    cut = materialise(cut.mapInArrow(kernel.lean(_cut(length)), _PIECE))
+    # A text's bytes are laid out once; each piece is copied out of them as it is written, so a row in hand is one piece, however many its text has.
+    cut = long.join(wants, (F.col("unit") == F.col("u")) & (F.col("twin") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "unit", "twin", F.col("text").cast("binary").alias("raw"), "wants")
+    cut = cut.select("id", "unit", "twin", "raw", F.explode("wants").alias("w")).select("w.anchor", "w.piece", "id", "unit", "twin", "w.start", "w.n", "w.hot", F.substring("raw", F.col("w.start") + 1, F.col("w.n") - 1 + length).alias("bytes"))
+    cut = materialise(cut)
     runs = _array_runs(cut.where("not hot").withColumn("grp", F.col("anchor")).withColumn("low", F.lit(0)), length, keep_first)
     for found in _divided_runs(cut.where("hot"), length, keep_first):
         runs = runs.unionByName(found)
