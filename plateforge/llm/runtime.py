@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import remove, shared_dir
-
-#: Folders of the tables that this driver wrote and has not removed.
-_PATHS: set[str] = set()
-
+from .. import storage
 
 _FORCE = "spark.sql.adaptive.forceOptimizeSkewedJoin"
 
@@ -28,7 +23,7 @@ def materialise(df: DataFrame, split_skew: bool = False) -> DataFrame:
     skewed, at the price of one more shuffle; other joins stay as they are.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plateforge/{uuid.uuid4().hex}"
+    path = storage.scratch(spark)
     before = spark.conf.get(_FORCE, None)
     if split_skew:
         spark.conf.set(_FORCE, "true")
@@ -39,22 +34,18 @@ def materialise(df: DataFrame, split_skew: bool = False) -> DataFrame:
             spark.conf.unset(_FORCE) if before is None else spark.conf.set(_FORCE, before)
     found = spark.read.schema(df.schema).parquet(path)
     found.written_at = path
-    _PATHS.add(path)
     return found
 
 
 def discard(*tables: DataFrame) -> None:
     """Remove tables of materialise() that nothing reads any more."""
     for table in tables:
-        remove(table.sparkSession, table.written_at)
-        _PATHS.discard(table.written_at)
+        storage.discard(table.sparkSession, table.written_at)
 
 
 def clean(spark: SparkSession) -> None:
     """Remove every table that materialise() wrote for this driver, once results are taken or written."""
-    for path in list(_PATHS):
-        remove(spark, path)
-        _PATHS.discard(path)
+    storage.clean(spark)
 
 
 def quoted(name: str) -> Column:
