@@ -54,8 +54,15 @@ def intervals(pool: DataFrame, keys: list[str] = ()) -> DataFrame:
     return rows.select(*keys, "variant", ((F.col("upto") - F.col("weight")) / F.col("t")).alias("lo"), F.when(F.col("variant") == F.col("last"), 2.0).otherwise(F.col("upto") / F.col("t")).alias("hi"))
 
 
-def draw(draws: DataFrame, pool: DataFrame, keys: list[str] = (), cells: int = 256) -> DataFrame:
-    """draws (keys, u, ...) with the variant whose interval holds u: an equi-join on cells of the unit line, then the residual."""
+def draw(draws: DataFrame, pool: DataFrame, keys: list[str] = (), cells: int | None = None) -> DataFrame:
+    """draws (keys, u, ...) with the variant whose interval holds u: an equi-join on cells of the unit line, then the residual.
+
+    There are as many cells as the largest pool has variants (256 at least). Intervals
+    then have two rows a cell in all, and a cell gets its even share of the draws, so
+    what is joined grows with draws + pool, however unequal the weights.
+    """
+    if cells is None:
+        cells = max(256, pool.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0)
     cuts = intervals(pool, keys)
     cell = lambda c: F.least(F.floor(c * cells), F.lit(cells - 1))
     cuts = cuts.select(*keys, "variant", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))).alias("cell"))
@@ -144,7 +151,8 @@ def recovery_with_resynthesis(pool: DataFrame, t1: int | None, t2: int | None =
         return spark.createDataFrame([], "x long, y double")
     library = pool.count()
     reps = spark.range(n_reps).withColumnRenamed("id", "rep")
-    steps = lambda lo, hi: reps.crossJoin(F.broadcast(spark.range(lo, hi).withColumnRenamed("id", "k"))).withColumn("u", uniform(F.lit(seed), "rep", "k"))  # noqa: E731  t1 + t2 numbers
+    # Draw numbers stay distributed; each is repeated for the replicates, of which there are n_reps rows.
+    steps = lambda lo, hi: spark.range(lo, hi).withColumnRenamed("id", "k").crossJoin(F.broadcast(reps)).withColumn("u", uniform(F.lit(seed), "rep", "k"))
     first = draw(steps(1, t1 + 1 if resynthesis else t1 + t2 + 1), pool).select("rep", "k", "variant")
     if resynthesis:
         # The pool may be of any size: each of its rows is repeated for the replicates, and the seen go by an equi-join.

@@ -664,12 +664,17 @@ SAMPLE_RECOVERY = f"WITH {_CUTS_SQL}, u AS (SELECT {_UNIFORM.format(chr(39) + '1
 
 
 def uniform_recovery(spark, sf_dir):
-    """Orders as ten replicates of uniform draws from 500 variants: mean and deviation at each step of a thousand draws."""
-    draws = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 10).alias("rep"), (F.floor(F.col("o_orderkey") / 10) + 1).alias("k"), (F.col("o_custkey") % 500).alias("variant"))
-    return simulate.uniform_recovery(draws, 500, 1000).select("x", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+    """Orders as ten replicates of uniform draws from 500 variants: mean and deviation at each twentieth of a replicate's draws."""
+    orders = _table(spark, sf_dir, "orders")
+    draws = orders.select((F.col("o_orderkey") % 10).alias("rep"), (F.floor(F.col("o_orderkey") / 10) + 1).alias("k"), (F.col("o_custkey") % 500).alias("variant"))
+    most = draws.agg(F.max("k")).first()[0] or 0
+    # The last step reaches the last draw.
+    most = -(-most // max(100, most // 20)) * max(100, most // 20)
+    return simulate.uniform_recovery(draws, 500, most).select("x", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
-UNIFORM_RECOVERY = """WITH d AS (SELECT o_orderkey % 10 AS rep, o_orderkey // 10 + 1 AS k, o_custkey % 500 AS v FROM orders), x AS (SELECT unnest(range(100, 1001, 100)) AS x),
+UNIFORM_RECOVERY = """WITH d AS (SELECT o_orderkey % 10 AS rep, o_orderkey // 10 + 1 AS k, o_custkey % 500 AS v FROM orders), m AS (SELECT max(k) AS most, greatest(100, max(k) // 20) AS step FROM d),
+z AS (SELECT greatest(100, (most + step - 1) // step * step // 20) AS step, (most + step - 1) // step * step AS most FROM m), x AS (SELECT unnest(range(step, most + 1, step)) AS x FROM z),
 n AS (SELECT x, rep, count(DISTINCT v) FILTER (k <= x) AS n FROM d, x GROUP BY ALL) SELECT x, round(avg(n / 500.0::DOUBLE), 9) AS mean, round(stddev_pop(n / 500.0::DOUBLE), 9) AS std FROM n GROUP BY x"""
 
 
