@@ -15,6 +15,7 @@ more where they have some already), which reading takes away again.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
@@ -40,13 +41,7 @@ LOT_CHARS = 1 << 18
 class Template:
     def __init__(self, model: str):
         """model: the text of a tokenizers file with a byte-level BPE model."""
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model = model
         spec = json.loads(model)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         value = {c: b for b, c in enumerate(byte_characters())}
@@ -61,6 +56,18 @@ class Template:
     def unescape(self, text: str) -> str:
         return self._unescape.sub(lambda m: m[0][0] + m[0][2:], text)
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Only what encodes needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        found = Tokenizer.from_str(self.model)
+        found.encode_special_tokens = True
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -94,13 +101,19 @@ class Template:
         return b"".join([self.bytes[i] if i < self.first else MARKS[i - self.first].encode() for i in ids]).decode()
 
 
+@functools.lru_cache(maxsize=2)
+def _template(model: str) -> Template:
+    """A worker builds a vocabulary's template once, for all of its tasks."""
+    return Template(model)
+
+
 _SEGMENT = "conv_id long, turn long, ids array<int>, lo int, hi int"
 
 
 def _encode(model: str):
     @kernel.lean
     def run(batches):
-        template = Template(model)
+        template = _template(model)
         for batch in batches:
             conv, turn, roles, texts = (c.to_pylist() for c in batch.columns)
             at = 0
@@ -125,7 +138,7 @@ _PART = "conv_id long, part int, input_ids array<int>, loss_mask array<tinyint>,
 def _assemble(model: str, part_tokens: int):
     @kernel.lean
     def run(batches):
-        template = Template(model)
+        template = _template(model)
         conv, part, ids, steps, size = object(), 0, [], [], 0
 
         def row():
@@ -188,7 +201,7 @@ def _parts(batch):
 
 def _read(model: str):
     def run(batches):
-        template = Template(model)
+        template = _template(model)
         for batch in batches:
             (ids, at), (mask, m) = _parts(batch)
             for i, (conv, part) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -209,7 +222,7 @@ _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 def _digests(model: str):
     def run(batches):
-        template = Template(model)
+        template = _template(model)
         conv, n, turns, learnt_chars, loss, chars = object(), 0, None, 0, None, 0
         out = []
 
