@@ -18,6 +18,19 @@ def histogram(df: DataFrame, value: Column, bins: int = 50, density: bool = Fals
     return out.select(*columns, *([(F.col("n") / (F.col("total") * F.col("w"))).alias("density")] if density else []))
 
 
+def length_frame(df: DataFrame, text: Column, bins: int = 50) -> DataFrame:
+    """histogram() of the lengths of text (null is none), each row with the frame's labels: how many there are, their median, and both as written on a plot."""
+    from .seq import reads_label
+
+    # The length is taken once a row, for the bins, their ends and the marks.
+    lengths = df.select(once(F.length(text)).alias("x")).where("x is not null")
+    marks = lengths.agg(F.median("x").alias("median"), F.count("*").alias("reads"))
+    labels = marks.select(
+        "median", F.concat(F.lit("N reads = "), reads_label("reads")).alias("reads_label"), F.concat(F.lit("Median = "), F.col("median").cast("bigint").cast("string"), F.lit(" bp")).alias("median_label")
+    )
+    return histogram(lengths, F.col("x"), bins).crossJoin(F.broadcast(labels))  # one row
+
+
 def once(value: Column) -> Column:
     """value, computed where it stands: no filter above it is pushed below, which would repeat its expression for every row."""
     return F.when(F.spark_partition_id() >= 0, value)

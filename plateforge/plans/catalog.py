@@ -166,6 +166,15 @@ LENGTH_HIST = """WITH v AS (SELECT length(text)::DOUBLE AS x FROM documents WHER
 SELECT bin, round(any_value(lo + bin * (hi - lo) / 50), 6) AS lo, count(*) AS n FROM (SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 50)), 49) ELSE 0 END AS INT) AS bin, lo, hi FROM v, e) GROUP BY bin"""
 
 
+def length_frame(spark, sf_dir):
+    """The length histogram with its labels, as a plot shows it."""
+    return stats.length_frame(_table(spark, sf_dir, "documents"), F.col("text")).withColumn("lo", F.round("lo", 6))
+
+
+LENGTH_FRAME = f"""WITH h AS ({LENGTH_HIST}), m AS (SELECT median(length(text))::DOUBLE AS median, count(text) AS n FROM documents)
+SELECT h.*, median, 'N reads = ' || CASE WHEN m.n < 1000 THEN m.n::VARCHAR WHEN m.n < 1000000 THEN format('{{:.1f}}', m.n / 1e3::DOUBLE) || 'k' ELSE format('{{:.1f}}', m.n / 1e6::DOUBLE) || 'M' END AS reads_label, 'Median = ' || CAST(trunc(median) AS BIGINT) || ' bp' AS median_label FROM h, m"""
+
+
 def quality_quantiles(spark, sf_dir):
     rows = mean_quality(spark, sf_dir)
     return rows.agg(F.round(F.percentile("avg_qual", F.lit(0.1)), 6).alias("q10"), F.round(F.percentile("avg_qual", F.lit(0.5)), 6).alias("median"), F.count("avg_qual").alias("n"))
@@ -731,6 +740,7 @@ _CATALOG = {
     "mean_quality": (mean_quality, MEAN_QUALITY),
     "quality_quantiles": (quality_quantiles, QUALITY_QUANTILES),
     "length_hist": (length_hist, LENGTH_HIST),
+    "length_frame": (length_frame, LENGTH_FRAME),
     "classify_consensus": (classify_consensus, CLASSIFY_CONSENSUS),
     "commercial_costs": (commercial_costs, COMMERCIAL_COSTS),
     "commercial_stats": (commercial_stats, COMMERCIAL_STATS),
