@@ -406,6 +406,30 @@ UNION ALL SELECT 'rbc', (SELECT count(DISTINCT k % 6) FROM r WHERE bad IS NOT NU
 UNION ALL SELECT 'ref', (SELECT count(DISTINCT (side, lot)) FROM m WHERE bad IS NOT NULL), (SELECT count(DISTINCT coalesce(name || '|ref=' || ref[5:], name)) FROM m WHERE bad IS NULL)"""
 
 
+def reference_files(spark, sf_dir):
+    """Parts as multi-line FASTA text, written and read back, with the lengths of their sequences."""
+    k = F.col("p_partkey")
+    text = F.concat(F.lit(">g"), k.cast("string"), F.lit(" "), F.col("p_brand"), F.lit("\n"), _letters(k.cast("string"), (k % 20 + 1).cast("int")), F.lit("\n"), _letters(F.col("p_name"), 12))
+    path = storage.scratch(spark)
+    _table(spark, sf_dir, "part").select(text.alias("value")).write.text(path)
+    return records.read_fasta(spark, path).select("ref_id", "ref_seq", F.length("ref_seq").alias("ref_len"))
+
+
+REFERENCE_FILES = f"""SELECT 'g' || p_partkey AS ref_id, s AS ref_seq, CAST(length(s) AS INT) AS ref_len FROM (SELECT p_partkey, substr({_LETTERS.format("p_partkey::VARCHAR", 32)}, 1, CAST(p_partkey % 20 + 1 AS INT)) || {_LETTERS.format("p_name", 12)} AS s FROM part)"""
+
+
+def kit_files(spark, sf_dir):
+    """Suppliers as a barcode CSV, read back with their places and written as a kit's FASTA text; fewer than a hundred numbers have two digits."""
+    path = storage.scratch(spark)
+    rows = _table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.concat(F.lit("FB"), F.col("s_suppkey").cast("string")).alias("name"), _letters(F.col("s_name"), 16).alias("refseq"))
+    records.write_csv(rows, path)
+    kit = records.read_barcodes(spark, path)
+    return kit.select("idx", "name", "barcode").join(records.barcode_fasta(kit, "fbc").select(F.col("value").alias("fasta"), F.element_at(F.split("value", "\n"), -1).alias("barcode")), "barcode")
+
+
+KIT_FILES = f"""SELECT CAST(i AS INT) AS idx, 'FB' || s_suppkey AS name, b AS barcode, '>{records.KIT}-fbc-' || CASE WHEN i < 9 THEN '0' ELSE '' END || (i + 1) || chr(10) || b AS fasta FROM (SELECT s_suppkey, {_LETTERS.format("s_name", 16)} AS b, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier)"""
+
+
 def sam_fastq(spark, sf_dir):
     """Orders as SAM text, read back; mapped reads of each direction as tagged FASTQ, the reverse ones turned."""
     k = F.col("o_orderkey")
@@ -755,6 +779,8 @@ _CATALOG = {
     "fastq_scan": (fastq_scan, FASTQ_SCAN),
     "read_tree": (read_tree, READ_TREE),
     "tree_failures": (tree_failures, TREE_FAILURES),
+    "reference_files": (reference_files, REFERENCE_FILES),
+    "kit_files": (kit_files, KIT_FILES),
     "sam_fastq": (sam_fastq, SAM_FASTQ),
     "formatted_reads": (formatted_reads, FORMATTED_READS),
     "well_export": (well_export, WELL_EXPORT),
