@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,17 +58,52 @@ def running_total(df: DataFrame, value: Column, order: str, keys: list[str] = ()
     return rows.withColumn("_in", F.sum("_v").over(inside)).join(cells, [*keys, "_cell"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_cell", "_v", "_in", "_before")
 
 
+#: Rows that a quantile's search ends with, and that one task sorts.
+NARROW = 100_000
+#: Shares of all rows that ordered passes are cut into.
+SHARES = 1000
+
+
 def floor_quantile(df: DataFrame, value: str, p: float) -> DataFrame:
-    """The value at place floor(n * p) of the sorted values: counts of CELL cells between the ends find the cell, its distinct values the place."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("x")).agg(F.count("*").alias("n"))
-    ends = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.floor(F.sum("n") * p).alias("place"))
-    share = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    rows = counts.crossJoin(F.broadcast(ends)).withColumn("cell", F.when(F.col("hi") > F.col("lo"), F.floor(share * CELL)).otherwise(F.lit(0).cast("long")))  # one row
-    upto = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    cells = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.first("place").alias("place")).withColumn("upto", upto)  # CELL + 1 rows at most
-    there = cells.where("upto > place").agg(F.min_by("cell", "cell").alias("at"), F.min_by(F.col("upto") - F.col("n"), F.col("cell")).alias("before"))
-    inside = rows.join(F.broadcast(there), F.col("cell") == F.col("at")).withColumn("upto", F.col("before") + F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    return inside.where("upto > place").agg(F.min("x").alias("q"))
+    """(q): the value at place floor(n * p) of the n sorted values; null, and no place, without values or at p = 1.
+
+    Nulls and NaNs don't count. Approximate quantiles, whose rank error is bounded, give
+    two values around the place; the rows between them are counted and searched again,
+    until NARROW are left. Each pass keeps about a hundredth and reads df anew. Numbers
+    are compared as doubles.
+    """
+    kind = df.schema[value].dataType
+    rows = df.select(F.col(value).alias("x")).where("x is not null and not isnan(cast(x as double))")
+    size = rows.count()
+    place = math.floor(size * p)
+    answer = lambda x: df.sparkSession.range(1).select(F.lit(x).cast(kind).alias("q"))
+    if place >= size:
+        return answer(None)
+    error = 1 / 200
+    while size > NARROW:
+        low, high = rows.approxQuantile("x", [max(0.0, place / size - error), min(1.0, place / size + error)], error / 2)
+        below, at_low, inside, at_high = rows.agg(*(F.count_if(c) for c in (F.col("x") < low, F.col("x") == low, (F.col("x") > low) & (F.col("x") < high), F.col("x") == high))).first()
+        if below <= place < below + at_low:
+            return answer(low)
+        if below + at_low + inside <= place < below + at_low + inside + at_high:
+            return answer(high)
+        if not below + at_low <= place < below + at_low + inside:
+            raise ArithmeticError(f"approximate quantiles {low} and {high} don't hold place {place} of {size}")
+        rows, place, size = rows.where((F.col("x") > low) & (F.col("x") < high)), place - below - at_low, inside
+    return rows.orderBy("x").offset(place).limit(1).agg(F.min("x").alias("q"))
+
+
+def _shares(df: DataFrame) -> DataFrame:
+    """df with `_share`, the number of the share of all rows that its x is in, in the order of x.
+
+    The shares' borders are approximate quantiles over the rows of every key (SHARES
+    numbers), so a key that holds most rows is divided as finely as the whole.
+    """
+    rows = df.withColumn("_x", F.col("x").cast("double"))
+    cuts = sorted(set(rows.approxQuantile("_x", [i / SHARES for i in range(1, SHARES)], 1 / (2 * SHARES))))
+    if not cuts:
+        return rows.withColumn("_share", F.lit(0.0)).drop("_x")
+    return Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_share", handleInvalid="keep").transform(rows).drop("_x")
 
 
 def first_reaching(curve: DataFrame, x: float) -> DataFrame:
@@ -74,14 +112,25 @@ def first_reaching(curve: DataFrame, x: float) -> DataFrame:
 
 
 def interpolate(points: DataFrame, curve: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """points (keys, x) with y linear between curve's (keys, x, y), constant beyond its ends: one sorted sweep, no range join."""
+    """points (keys, x) with y linear between curve's (keys, x, y), constant beyond its ends and null without a curve.
+
+    One sorted sweep, no range join, over shares of the rows: each is handed the last
+    point of the curve before it and the first one after it, so no task sorts all rows
+    of a key.
+    """
     keys = list(keys)
-    both = curve.select(*keys, "x", "y", F.lit(0).alias("asks")).unionByName(points.select(*keys, "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("asks")))
-    known = F.when(F.col("asks") == 0, F.struct("x", "y"))
-    order = Window.partitionBy(*keys).orderBy("x", "asks")
-    left = F.last(known, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first(known, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("l", left).withColumn("r", right).where("asks = 1")
+    both = _shares(curve.select(*keys, "x", "y", F.lit(0).alias("asks")).unionByName(points.select(*keys, "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("asks"))))
+    point, at = F.struct("x", "y"), F.when(F.col("asks") == 0, F.col("x"))
+    ends = both.groupBy(*keys, "_share").agg(F.min_by(point, at).alias("first"), F.max_by(point, at).alias("last"))
+    # A row a key and share: at most SHARES + 1 of a key.
+    shares = Window.partitionBy(*keys).orderBy("_share")
+    around = [F.last("last", True).over(shares.rowsBetween(Window.unboundedPreceding, -1)), F.first("first", True).over(shares.rowsBetween(1, Window.unboundedFollowing))]
+    handed = ends.withColumn("_around", F.array(*around)).select(*keys, "_share", F.explode("_around").alias("p")).where("p is not null").select(*keys, "p.x", "p.y", F.lit(0).alias("asks"), "_share")
+    known = F.when(F.col("asks") == 0, point)
+    inside, so_far = Window.partitionBy(*keys, "_share"), (Window.unboundedPreceding, 0)
+    left = F.last(known, True).over(inside.orderBy("x", "asks").rowsBetween(*so_far))
+    right = F.last(known, True).over(inside.orderBy(F.desc("x"), F.desc("asks")).rowsBetween(*so_far))
+    found = both.unionByName(handed).withColumn("l", left).withColumn("r", right).where("asks = 1")
     y = F.when(F.col("l").isNull(), F.col("r.y")).when(F.col("r").isNull(), F.col("l.y")).otherwise(
         F.col("l.y") + (F.col("x") - F.col("l.x")) * (F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))
     )
@@ -89,8 +138,16 @@ def interpolate(points: DataFrame, curve: DataFrame, keys: list[str] = ()) -> Da
 
 
 def crossover(diff: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """First x at which d of (keys, x, d) changes sign, by the line through the points around it."""
-    order = Window.partitionBy(*keys).orderBy("x")
-    pairs = diff.withColumn("x1", F.lead("x").over(order)).withColumn("d1", F.lead("d").over(order)).where("x1 is not null and signum(d) <> signum(d1)")
+    """First x at which d of (keys, x, d) changes sign, by the line through the points around it.
+
+    In shares of the rows; each also gets the first row of the key's next share.
+    """
+    keys = list(keys)
+    rows = _shares(diff.select(*keys, "x", "d"))
+    heads = rows.groupBy(*keys, "_share").agg(F.min_by(F.struct("x", "d"), "x").alias("p"))
+    before = F.lag("_share").over(Window.partitionBy(*keys).orderBy("_share"))  # SHARES + 1 rows of a key at most
+    heads = heads.select(*keys, "p.x", "p.d", before.alias("_share")).where("_share is not null")
+    order = Window.partitionBy(*keys, "_share").orderBy("x")
+    pairs = rows.unionByName(heads).withColumn("x1", F.lead("x").over(order)).withColumn("d1", F.lead("d").over(order)).where("x1 is not null and signum(d) <> signum(d1)")
     root = F.col("x") - F.col("d") * (F.col("x1") - F.col("x")) / (F.col("d1") - F.col("d"))
     return pairs.groupBy(*keys).agg(F.min_by(root, F.col("x")).alias("crossover"))

@@ -124,3 +124,22 @@ def cost_crossover(stats: DataFrame, own: DataFrame) -> DataFrame:
 def fold_savings(stats: DataFrame, own: DataFrame, size: int = 1000) -> DataFrame:
     """Mean commercial over own cost at size, where both grids have it."""
     return stats.where(F.col("n") == size).join(own.where(F.col("n") == size).select("length", "cost"), "length").select("length", (F.col("mean_cost") / F.col("cost")).alias("fold"))
+
+
+def cost_zoom(stats: DataFrame, own: DataFrame) -> DataFrame:
+    """(length, curve, x, y, crossover_x, crossover_y, x_lo, x_hi, y_hi): the points of both cost curves in the window around their crossover.
+
+    The window is 50 members to each side (zero at least) and half as high again as the
+    own cost at the crossover; sizes 0 to 200 and costs up to 5000 where the curves
+    never meet. A length without points in its window has one row with a null curve.
+    """
+    line = own.select("length", F.col("n").cast("double").alias("x"), F.col("cost").cast("double").alias("y"))
+    meets = cost_crossover(stats, own)
+    height = interpolate(meets.where("crossover is not null").select("length", F.col("crossover").alias("x")), line, ["length"]).select("length", F.col("y").alias("crossover_y"))
+    x = F.col("crossover_x")
+    windows = meets.withColumnRenamed("crossover", "crossover_x").join(height, "length", "left").select(
+        "length", "crossover_x", "crossover_y", F.when(x.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), x - 50)).alias("x_lo"), F.when(x.isNull(), 200.0).otherwise(x + 50).alias("x_hi"), F.when(x.isNull(), 5000.0).otherwise(F.col("crossover_y") * 1.5).alias("y_hi")
+    )
+    curves = stats.select("length", F.lit("commercial").alias("curve"), F.col("n").cast("double").alias("x"), F.col("mean_cost").alias("y")).unionByName(line.withColumn("curve", F.lit("own")))
+    near = windows.join(curves, "length").where("x between x_lo and x_hi and y between 0 and y_hi").select("length", "curve", "x", "y")
+    return windows.join(near, "length", "left").select("length", "curve", "x", "y", "crossover_x", "crossover_y", "x_lo", "x_hi", "y_hi")

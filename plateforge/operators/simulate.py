@@ -170,6 +170,16 @@ def recovery_with_resynthesis(pool: DataFrame, t1: int | None, t2: int | None =
     return running_total(rows, F.coalesce("n", F.lit(0)), "k", name="seen").select(F.col("k").alias("x"), (F.col("seen") / n_reps / library).alias("y"))
 
 
+def recovery_comparison(pool: DataFrame, t1: int, t2: int, n_reps: int = 100, seed: int = 0, simple: bool = True) -> DataFrame:
+    """(curve, x, y) of recovery with a resynthesis after t1 draws, its marker there (the first point at or beyond t1), and with `simple` of as many draws without one."""
+    again = recovery_with_resynthesis(pool, t1, t2, True, n_reps, seed)
+    rows = again.select(F.lit("resynthesis").alias("curve"), "x", "y").unionByName(first_reaching(again, t1).select(F.lit("marker").alias("curve"), "x", "y"))
+    if not simple:
+        return rows
+    plain = recovery_with_resynthesis(pool, t1 + t2, 0, False, n_reps, seed)
+    return rows.unionByName(plain.select(F.lit("simple").alias("curve"), "x", "y"))
+
+
 def expected_curve(pool: DataFrame, totals: DataFrame) -> DataFrame:
     """Exact expected share seen after x draws: mean of 1 - (1 - p)^x over the pool.
 

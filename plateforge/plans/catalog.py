@@ -254,6 +254,22 @@ c AS (SELECT length, arg_min(x - d * (x1 - x) / (d1 - d), x) AS crossover FROM p
 SELECT length, round(crossover, 4) AS crossover FROM (SELECT DISTINCT length FROM grid) LEFT JOIN c USING (length)"""
 
 
+def cost_zoom(spark, sf_dir):
+    """Both cost curves near where they meet, or near their start where they never do."""
+    points = _grid(spark, sf_dir)
+    own = points.select("length", "n", costs.pooled_total().alias("cost"))
+    rows = costs.cost_zoom(costs.cost_stats(costs.commercial_costs(points)), own)
+    return rows.select("length", "curve", "x", *(F.round(c, 4).alias(c) for c in ("y", "crossover_x", "crossover_y", "x_lo", "x_hi", "y_hi")))
+
+
+COST_ZOOM = f"""{COST_CROSSOVER.rsplit("SELECT length", 1)[0].rstrip()}, e AS (SELECT length, crossover AS cx FROM (SELECT DISTINCT length FROM grid) LEFT JOIN c USING (length)),
+g AS (SELECT length, arg_max(n, n) FILTER (n <= cx) AS n0, arg_max(cost, n) FILTER (n <= cx) AS y0, arg_min(n, n) FILTER (n >= cx) AS n1, arg_min(cost, n) FILTER (n >= cx) AS y1 FROM own JOIN e USING (length) GROUP BY length),
+w AS (SELECT length, cx, CASE WHEN n1 > n0 THEN y0 + (cx - n0) * (y1 - y0) / (n1 - n0)::DOUBLE ELSE y0 END AS cy FROM e LEFT JOIN g USING (length)),
+z AS (SELECT length, cx, cy, CASE WHEN cx IS NULL THEN 0 ELSE greatest(0, cx - 50) END AS x_lo, CASE WHEN cx IS NULL THEN 200 ELSE cx + 50 END AS x_hi, CASE WHEN cx IS NULL THEN 5000 ELSE 1.5 * cy END AS y_hi FROM w),
+a AS (SELECT length, 'commercial' AS curve, n::DOUBLE AS x, y FROM m UNION ALL SELECT length, 'own', n::DOUBLE, cost::DOUBLE FROM own)
+SELECT z.length, curve, x, round(y, 4) AS y, round(cx, 4) AS crossover_x, round(cy, 4) AS crossover_y, round(x_lo::DOUBLE, 4) AS x_lo, round(x_hi::DOUBLE, 4) AS x_hi, round(y_hi::DOUBLE, 4) AS y_hi FROM z LEFT JOIN a ON a.length = z.length AND x BETWEEN x_lo AND x_hi AND y BETWEEN 0 AND y_hi"""
+
+
 def _pool(spark, sf_dir):
     return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("variant"), F.round(F.col("p_retailprice")).alias("weight"))
 
@@ -292,6 +308,20 @@ f AS (SELECT rep, variant, min(k) AS k FROM (SELECT * FROM one UNION ALL SELECT
 SELECT k AS x, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / 100.0::DOUBLE / (SELECT count(*) FROM pool), 9) AS y FROM ks LEFT JOIN n USING (k)"""
 
 
+def recovery_comparison(spark, sf_dir):
+    """Recovery of the pool, the whole of part, with a resynthesis and without one, and where it was; ten replicates."""
+    pool = _pool(spark, sf_dir)
+    size = pool.count()
+    return simulate.recovery_comparison(pool, size * 3 // 2, size // 3, 10, 3).withColumn("y", F.round("y", 9))
+
+
+_TEN_SQL = RESYNTHESIS_CURVE.replace("range(100)", "range(10)").replace("100.0::DOUBLE", "10.0::DOUBLE")
+RECOVERY_COMPARISON = f"""WITH again AS ({_TEN_SQL}), {RESYNTHESIS_CURVE[5:].split("one AS", 1)[0].replace("range(100)", "range(10)")}
+first_seen AS (SELECT rep, variant, min(k) AS k FROM steps JOIN cuts ON u >= lo AND u < hi GROUP BY ALL), seen AS (SELECT k, count(*) AS n FROM first_seen GROUP BY k)
+SELECT 'resynthesis' AS curve, x, y FROM again UNION ALL SELECT 'marker', x, y FROM again WHERE x = (SELECT t1 FROM size)
+UNION ALL SELECT 'simple', k, round(sum(coalesce(n, 0)) OVER (ORDER BY k) / 10.0::DOUBLE / (SELECT count(*) FROM pool), 9) FROM ks LEFT JOIN seen USING (k)"""
+
+
 def lognormal_fold(spark, sf_dir):
     s = simulate.sigma_of(4)
     rows = _table(spark, sf_dir, "orders").select(F.floor(F.log10(1000 * F.exp(-s * s / 2 + s * simulate.normal(F.lit(1), "o_orderkey"))) * 1e6).alias("x"))
@@ -770,9 +800,11 @@ _CATALOG = {
     "commercial_stats": (commercial_stats, COMMERCIAL_STATS),
     "total_cost": (total_cost, TOTAL_COST),
     "cost_crossover": (cost_crossover, COST_CROSSOVER),
+    "cost_zoom": (cost_zoom, COST_ZOOM),
     "weighted_sample": (weighted_sample, WEIGHTED_SAMPLE),
     "recovery_curve": (recovery_curve, RECOVERY_CURVE),
     "resynthesis_curve": (resynthesis_curve, RESYNTHESIS_CURVE),
+    "recovery_comparison": (recovery_comparison, RECOVERY_COMPARISON),
     "lognormal_fold": (lognormal_fold, LOGNORMAL_FOLD),
     "pileup_consensus": (pileup, PILEUP),
     "streamed_depths": (streamed_depths, STREAMED_DEPTHS),

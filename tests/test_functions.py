@@ -1,5 +1,8 @@
 """Golden values of sequences, wells, costs and records."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,29 @@ def test_interpolation_and_maps(spark):
     assert {r.Reference: (r.Well, r.Flag) for r in got.collect()} == {"a": ("1A1", False), "b": ("1A3", True), "c": ("1A4", True), "e": ("Missed", True)}
 
 
+@pytest.mark.parametrize("shares", [3, 1000])
+def test_ordered_passes_over_shares(spark, monkeypatch, shares):
+    """Interpolation, crossover and quantiles equal plain loops, however many shares the rows are cut into and whatever share has no point."""
+    monkeypatch.setattr(stats, "SHARES", shares)
+    monkeypatch.setattr(stats, "NARROW", 20)
+    rng = random.Random(5)
+    curve = {k: sorted((float(x), rng.uniform(-5, 5)) for x in rng.sample(range(0, 300, 3), n)) for k, n in (("a", 40), (None, 7), ("one", 1))}
+    asks = [(k, float(rng.randrange(-20, 320))) for k in ("a", None, "one", "none") for _ in range(120)] + [("a", 5.0)] * 200
+    got = stats.interpolate(spark.createDataFrame(asks, "k string, x double"), spark.createDataFrame([(k, *p) for k, c in curve.items() for p in c], "k string, x double, y double"), ["k"]).collect()
+    want = [(k, x, float(np.interp(x, *zip(*curve[k], strict=True))) if k in curve else None) for k, x in asks]
+    show = lambda rows: sorted(repr((k, x, y if y is None else round(y, 9) + 0.0)) for k, x, y in rows)
+    assert show(got) == show(want)
+    found = {r.k: r.crossover for r in stats.crossover(spark.createDataFrame([(k, *p) for k, c in curve.items() for p in c], "k string, x double, d double"), ["k"]).collect()}
+    for k, c in curve.items():
+        first = [x - y * (x1 - x) / (y1 - y) for (x, y), (x1, y1) in zip(c, c[1:]) if np.sign(y) != np.sign(y1)][:1]
+        assert ([found[k]] if k in found else []) == pytest.approx(first)
+    values = [rng.choice([1, 2, 2**31, -7, rng.randrange(1000)]) for _ in range(500)] + [10**12]
+    frame = spark.createDataFrame([(v,) for v in [*values, None]], "x long")
+    for p in (0.0, 0.01, 0.25, 0.5, 0.9, 0.999):
+        assert stats.floor_quantile(frame, "x", p).first().q == sorted(values)[int(501 * p)]
+    assert stats.floor_quantile(frame, "x", 1.0).first().q is None and stats.floor_quantile(frame.limit(0), "x", 0.5).first().q is None
+
+
 def test_barcodes_and_seeds(spark):
     kit = spark.createDataFrame([(0, "FB01", "ACGTACGTAC"), (1, "FB02", "TTGGCCAATT")], "idx int, name string, barcode string")
     reads = spark.createDataFrame([("r1", "GGACGTACGTACCC"), ("r2", "TTGGCCTATTGGGG"), ("r3", "CCCCCCCCCCCCCC")], "read_name string, read_seq string")
