@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import seq, stats
 from ..operators import align, barcodes, costs, demux, index, simulate
-from ..sources import records
+from ..sources import bam, records
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -476,6 +476,25 @@ SAM_FASTQ = """WITH s AS (SELECT o_orderkey AS k, translate(substr(md5(o_orderke
 SELECT '@q' || k || '|ref=g' || k % 3 || chr(10) || CASE WHEN k % 3 = 0 THEN s ELSE reverse(translate(s, 'ACGTRY', 'TGCAYR')) END || chr(10) || '+' || chr(10) || CASE WHEN k % 3 = 0 THEN q ELSE reverse(q) END AS record FROM s"""
 
 
+def bam_reads(spark, sf_dir):
+    """Orders as alignments written to BAM files, read back in ranges that fall inside blocks and records."""
+    k = F.col("o_orderkey")
+    n = (k % 32 + 1).cast("int")
+    rows = _table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("q"), k.cast("string")).alias("qname"), F.when(k % 7 == 0, 4).otherwise(16 * (k % 2)).cast("int").alias("flag"), F.when(k % 7 > 0, F.concat(F.lit("g"), (k % 3).cast("string"))).alias("rname"),
+        F.when(k % 7 == 0, 0).otherwise(k % 1000 + 1).cast("int").alias("pos"), F.when(k % 7 > 0, F.concat(n.cast("string"), F.lit("M"))).alias("cigar"), F.when(k % 11 > 0, _letters(k.cast("string"), n)).alias("seq"),
+        F.when((k % 11 > 0) & (k % 5 > 0), F.translate(_letters(k.cast("string"), n), "ACGT", "I?5+")).alias("qual"),
+    )
+    path = storage.scratch(spark)
+    bam.write_bam(rows, path, [(f"g{i}", 2000) for i in range(3)])
+    return bam.read_bam(spark, path, range_bytes=50_021).drop("path", "mapq")
+
+
+BAM_READS = f"""WITH s AS (SELECT o_orderkey AS k, CAST(o_orderkey % 32 + 1 AS INT) AS n, substr({_LETTERS.format("o_orderkey::VARCHAR", 32)}, 1, CAST(o_orderkey % 32 + 1 AS INT)) AS s FROM orders)
+SELECT 'q' || k AS qname, CAST(CASE WHEN k % 7 = 0 THEN 4 ELSE 16 * (k % 2) END AS INT) AS flag, CASE WHEN k % 7 > 0 THEN 'g' || k % 3 END AS rname, CAST(CASE WHEN k % 7 = 0 THEN 0 ELSE k % 1000 + 1 END AS INT) AS pos, CASE WHEN k % 7 > 0 THEN n || 'M' END AS cigar,
+  CASE WHEN k % 11 > 0 THEN s END AS seq, CASE WHEN k % 11 > 0 AND k % 5 > 0 THEN translate(s, 'ACGT', 'I?5+') END AS qual FROM s"""
+
+
 def formatted_reads(spark, sf_dir):
     """Reads with barcode names, wells and references looked up; incomplete ones go."""
     reads = _lines(spark, sf_dir).select("read_name", F.when(F.col("l_quantity") > 2, F.col("l_partkey") % 100).alias("fbc"), (F.col("l_suppkey") % 32).alias("rbc"), F.when(F.col("l_tax") > 0, F.concat(F.lit("rev:x:"), "l_returnflag")).alias("ref_name"))
@@ -814,6 +833,7 @@ _CATALOG = {
     "reference_files": (reference_files, REFERENCE_FILES),
     "kit_files": (kit_files, KIT_FILES),
     "sam_fastq": (sam_fastq, SAM_FASTQ),
+    "bam_reads": (bam_reads, BAM_READS),
     "formatted_reads": (formatted_reads, FORMATTED_READS),
     "well_export": (well_export, WELL_EXPORT),
     "labels": (labels, LABELS),
