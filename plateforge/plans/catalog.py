@@ -386,6 +386,24 @@ b AS (SELECT *, (SELECT list_reduce(list_prepend(4294967295::BIGINT, list_transf
 SELECT xor(crc, 4294967295::BIGINT) % 100 AS lot, count(*) AS n, count(DISTINCT name) AS names, count(*) FILTER (k % 50 = 0) AS malformed, count(*) FILTER (k % 3 = 0) AS tagged, CAST(sum(length(s)) AS BIGINT) AS bases, max(round(list_sum(list_transform(string_split(q, ''), lambda x: ascii(x) - 33))::DOUBLE / length(q), 6)) FILTER (k % 50 <> 0) AS best, min(s) AS least FROM b GROUP BY lot"""
 
 
+def streamed_fastq(spark, sf_dir):
+    """Orders as FASTQ files, streamed a few files a batch until all are read: each file's records, lengths and tags."""
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("@r"), k.cast("string"), F.when(k % 3 == 0, F.concat(F.lit("|ref=g"), (k % 7).cast("string"))).otherwise(F.lit("")))
+    bases = _letters(k.cast("string"), (k % 20 + 1).cast("int"))
+    root, out, marks = (storage.scratch(spark) for _ in range(3))
+    rows = _table(spark, sf_dir, "orders").select((k % 12).alias("lot"), F.concat_ws("\n", name, bases, F.lit("+"), F.when(k % 50 == 0, F.lit("")).otherwise(F.translate(bases, "ACGT", "I?5+"))).alias("value"))
+    rows.repartition("lot").write.partitionBy("lot").text(root)
+    reads = records.stream_fastq(spark, root, "*.txt", 5)
+    reads.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    lot = F.regexp_extract("path", "lot=([0-9]+)", 1).cast("long")
+    return spark.read.parquet(out).groupBy(lot.alias("lot")).agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases"), F.count_if("malformed").alias("malformed"), F.count(seq.ref_tag("read_id")).alias("tagged"), F.min("read_id").alias("least"))
+
+
+STREAMED_FASTQ = f"""WITH r AS (SELECT o_orderkey AS k, CAST(o_orderkey % 20 + 1 AS BIGINT) AS n, 'r' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '|ref=g' || o_orderkey % 7 ELSE '' END AS id FROM orders)
+SELECT k % 12 AS lot, count(*) AS n, CAST(sum(n) AS BIGINT) AS bases, count(*) FILTER (k % 50 = 0) AS malformed, count(*) FILTER (k % 3 = 0) AS tagged, min(id) AS least FROM r GROUP BY lot"""
+
+
 def _tree_of_orders(spark, sf_dir):
     """A demultiplexed tree whose file ends are broken: fbc and rbc by barcode, refs by direction; two orders share a name. The path and the first order that may break."""
     k = F.col("o_orderkey")
@@ -828,6 +846,7 @@ _CATALOG = {
     "pileup_consensus": (pileup, PILEUP),
     "streamed_depths": (streamed_depths, STREAMED_DEPTHS),
     "fastq_scan": (fastq_scan, FASTQ_SCAN),
+    "streamed_fastq": (streamed_fastq, STREAMED_FASTQ),
     "read_tree": (read_tree, READ_TREE),
     "tree_failures": (tree_failures, TREE_FAILURES),
     "reference_files": (reference_files, REFERENCE_FILES),

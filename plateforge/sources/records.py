@@ -282,3 +282,16 @@ def create_read_df(spark: SparkSession, root: str, glob: str = "*.fastq*", range
         one = rows.agg(F.count("*").alias("files")).select(F.lit(kind).alias("kind"), "files")
         counts = one if counts is None else counts.unionByName(one)
     return assemble_reads(fbc, rbc, refs), kinds.join(counts, "kind")
+
+
+def stream_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", max_files: int = 1000) -> DataFrame:
+    """read_fastq()'s columns of FASTQ files that arrive under root, as a stream: each file once, max_files a batch at most.
+
+    Spark's file source keeps what has been seen in the query's checkpoint. A file is
+    framed by one task as a stream of records, so files should arrive whole (written
+    elsewhere, then moved) and in the sizes of a sequencer's chunks.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(root)
+    whole = files.select("path", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(True).alias("alone"), F.lit(0).cast("long").alias("line"))
+    rows = whole.mapInArrow(_frame(None), _RECORD)
+    return rows.select("path", "rec", F.split("header", r"\s+")[0].alias("read_id"), "header", "seq", "qual", "malformed", "broken")

@@ -1,5 +1,6 @@
 """Barcode search, trimming and batch demultiplexing, failing files and named sinks, by brute force."""
 
+import gzip
 import random
 
 import numpy as np
@@ -148,3 +149,24 @@ def test_named_files(spark, tmp_path):
 
 def test_turned_letters():
     assert bytes(barcodes._TURN[np.frombuffer(b"ACGTN", np.uint8)][::-1]).decode() == "NACGT" and len(seq.IUPAC) == len(seq.COMPLEMENT)
+
+
+def test_files_that_arrive_are_read_once(spark, tmp_path):
+    """Two runs of a streamed query over a growing folder have every record of each file once, as a whole read has them."""
+    def add(i):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"f{i}.fastq").write_text("".join(f"@r{i}.{j}\nACGT\n+\n{'III' if j == 3 else 'IIII'}\n" for j in range(5)) + "@cut\nAC\n")
+        with gzip.open(tmp_path / "in" / f"g{i}.fastq.gz", "wt") as f:
+            f.write(f"@g{i}\nA\n+\nI\n")
+
+    def run():
+        rows = records.stream_fastq(spark, str(tmp_path / "in"), max_files=3)
+        rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(map(repr, spark.read.parquet(str(tmp_path / "out")).collect()))
+
+    for i in range(4):
+        add(i)
+    assert len(run()) == 4 * 7
+    add(4)
+    found = run()
+    assert found == sorted(map(repr, records.read_fastq(spark, str(tmp_path / "in")).collect())) and len(found) == 5 * 7
