@@ -93,17 +93,21 @@ def floor_quantile(df: DataFrame, value: str, p: float) -> DataFrame:
     return rows.orderBy("x").offset(place).limit(1).agg(F.min("x").alias("q"))
 
 
-def _shares(df: DataFrame) -> DataFrame:
-    """df with `_share`, the number of the share of all rows that its x is in, in the order of x.
+def _shares(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df with `_share`, the number of the share of all rows that its x is in, in the order of x, and whether there are several.
+
+    NARROW rows are one share, so that a small frame is passed over once.
 
     The shares' borders are approximate quantiles over the rows of every key (SHARES
     numbers), so a key that holds most rows is divided as finely as the whole.
     """
+    if df.limit(NARROW + 1).count() <= NARROW:
+        return df.withColumn("_share", F.lit(0.0)), False
     rows = df.withColumn("_x", F.col("x").cast("double"))
     cuts = sorted(set(rows.approxQuantile("_x", [i / SHARES for i in range(1, SHARES)], 1 / (2 * SHARES))))
     if not cuts:
-        return rows.withColumn("_share", F.lit(0.0)).drop("_x")
-    return Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_share", handleInvalid="keep").transform(rows).drop("_x")
+        return df.withColumn("_share", F.lit(0.0)), False
+    return Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_share", handleInvalid="keep").transform(rows).drop("_x"), True
 
 
 def first_reaching(curve: DataFrame, x: float) -> DataFrame:
@@ -119,7 +123,7 @@ def interpolate(points: DataFrame, curve: DataFrame, keys: list[str] = ()) -> Da
     of a key.
     """
     keys = list(keys)
-    both = _shares(curve.select(*keys, "x", "y", F.lit(0).alias("asks")).unionByName(points.select(*keys, "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("asks"))))
+    both, several = _shares(curve.select(*keys, "x", "y", F.lit(0).alias("asks")).unionByName(points.select(*keys, "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("asks"))))
     point, at = F.struct("x", "y"), F.when(F.col("asks") == 0, F.col("x"))
     ends = both.groupBy(*keys, "_share").agg(F.min_by(point, at).alias("first"), F.max_by(point, at).alias("last"))
     # A row a key and share: at most SHARES + 1 of a key.
@@ -130,7 +134,7 @@ def interpolate(points: DataFrame, curve: DataFrame, keys: list[str] = ()) -> Da
     inside, so_far = Window.partitionBy(*keys, "_share"), (Window.unboundedPreceding, 0)
     left = F.last(known, True).over(inside.orderBy("x", "asks").rowsBetween(*so_far))
     right = F.last(known, True).over(inside.orderBy(F.desc("x"), F.desc("asks")).rowsBetween(*so_far))
-    found = both.unionByName(handed).withColumn("l", left).withColumn("r", right).where("asks = 1")
+    found = (both.unionByName(handed) if several else both).withColumn("l", left).withColumn("r", right).where("asks = 1")
     y = F.when(F.col("l").isNull(), F.col("r.y")).when(F.col("r").isNull(), F.col("l.y")).otherwise(
         F.col("l.y") + (F.col("x") - F.col("l.x")) * (F.col("r.y") - F.col("l.y")) / (F.col("r.x") - F.col("l.x"))
     )
@@ -143,11 +147,11 @@ def crossover(diff: DataFrame, keys: list[str] = ()) -> DataFrame:
     In shares of the rows; each also gets the first row of the key's next share.
     """
     keys = list(keys)
-    rows = _shares(diff.select(*keys, "x", "d"))
+    rows, several = _shares(diff.select(*keys, "x", "d"))
     heads = rows.groupBy(*keys, "_share").agg(F.min_by(F.struct("x", "d"), "x").alias("p"))
     before = F.lag("_share").over(Window.partitionBy(*keys).orderBy("_share"))  # SHARES + 1 rows of a key at most
     heads = heads.select(*keys, "p.x", "p.d", before.alias("_share")).where("_share is not null")
     order = Window.partitionBy(*keys, "_share").orderBy("x")
-    pairs = rows.unionByName(heads).withColumn("x1", F.lead("x").over(order)).withColumn("d1", F.lead("d").over(order)).where("x1 is not null and signum(d) <> signum(d1)")
+    pairs = (rows.unionByName(heads) if several else rows).withColumn("x1", F.lead("x").over(order)).withColumn("d1", F.lead("d").over(order)).where("x1 is not null and signum(d) <> signum(d1)")
     root = F.col("x") - F.col("d") * (F.col("x1") - F.col("x")) / (F.col("d1") - F.col("d"))
     return pairs.groupBy(*keys).agg(F.min_by(root, F.col("x")).alias("crossover"))
