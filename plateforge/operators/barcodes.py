@@ -174,12 +174,12 @@ def barcode_summary(called: DataFrame, kit: DataFrame, by: tuple[str, ...] = ())
     """
     counts = called.groupBy(*by, "barcode").agg(F.count("*").alias("reads"), F.avg("distance").alias("mean_distance"), F.sum(F.length("read_seq")).alias("bases"))
     names = kit.select(F.col("name").alias("barcode")).union(kit.sparkSession.createDataFrame([(UNCLASSIFIED,)], "barcode string"))
-    every = called.select(*by).distinct().crossJoin(F.broadcast(names)) if by else names  # KIT_ROWS + 1 names at most
-    total = counts.groupBy(*by).agg(F.sum("reads").alias("total"))
-    found = every.join(counts, [*by, "barcode"], "left")
-    found = found.join(total, list(by), "left") if by else found.crossJoin(F.broadcast(total))  # one row
-    n = F.coalesce("reads", F.lit(0)).cast("long")
-    return found.select(*by, "barcode", n.alias("reads"), F.coalesce(n / F.nullif("total", F.lit(0)), F.lit(0.0)).alias("share"), "mean_distance", F.coalesce("bases", F.lit(0)).cast("long").alias("bases"))
+    # The counts of a group, KIT_ROWS + 1 at most, are one map, so that the reads are passed over once.
+    one = F.when(F.col("barcode").isNotNull(), F.struct("barcode", F.struct("reads", "mean_distance", "bases").alias("c")))
+    groups = counts.groupBy(*by).agg(F.sum("reads").alias("total"), F.map_from_entries(F.collect_list(one)).alias("found"))
+    found = groups.crossJoin(F.broadcast(names)).select(*by, "barcode", "total", F.try_element_at("found", F.col("barcode")).alias("c"))  # KIT_ROWS + 1 names at most
+    n = F.coalesce("c.reads", F.lit(0)).cast("long")
+    return found.select(*by, "barcode", n.alias("reads"), F.coalesce(n / F.nullif("total", F.lit(0)), F.lit(0.0)).alias("share"), "c.mean_distance", F.coalesce("c.bases", F.lit(0)).cast("long").alias("bases"))
 
 
 def batch_demux(spark: SparkSession, root: str, kit: DataFrame, max_reads: int | None = None, glob: str = "*.{fastq,fq}*", range_bytes: int = records.RANGE_BYTES, **options) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .records import RANGE_BYTES, _open
+from .records import RANGE_BYTES, _open, task_count
 
 # Fixed values of the format: letters of cigar operations and of packed bases, a block's mark, the empty last block.
 OPS = "MIDNSHP=X"
@@ -224,7 +224,7 @@ def read_bam(spark: SparkSession, root: str, glob: str = "*.bam", range_bytes: i
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length").where("length > 0")
     starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))
     ranges = files.select("path", F.explode(starts).alias("start"), "length").select("path", "start", F.least(F.col("start") + range_bytes, "length").alias("end"), "length")
-    return ranges.repartition(max(1, min(ranges.count(), 100_000))).mapInArrow(_records, SCHEMA)
+    return ranges.repartition(task_count(ranges)).mapInArrow(_records, SCHEMA)
 
 
 def _encode(row: dict, refs: dict[str, int]) -> bytes:

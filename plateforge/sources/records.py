@@ -22,6 +22,8 @@ from ..functions import seq
 
 RANGE_BYTES = 64 << 20
 BATCH_RECORDS = 5000
+#: Bytes that are framed at a time, and those of the ranges that one task takes; a compressed byte counts as so many.
+CHUNK, TASK_BYTES, PACKED = 1 << 18, 16 << 20, 4
 # Fixed value: the name that barcode records begin with.
 KIT = "LevSeq"
 
@@ -41,19 +43,45 @@ def _open(path: str):
     return store.open_input_file(inner)
 
 
+class _LastFile:
+    """The file that was opened last: ranges come in the order of their files, so each is opened once a task."""
+
+    def __init__(self):
+        self.path = self.file = None
+
+    def open(self, path: str):
+        if path != self.path:
+            if self.file is not None:
+                self.file.close()
+            self.path, self.file = path, _open(path)
+        return self.file
+
+
+def task_count(ranges: DataFrame) -> int:
+    """Tasks for ranges (path, start, end): by their bytes, and by the cores where these are few; never more than ranges.
+
+    A range is where a file may be cut, however short; a task takes as many as fill it,
+    so that tasks grow with the bytes and not with the cuts.
+    """
+    weight = F.when(F.col("path").endswith(".gz"), PACKED).otherwise(1)
+    n, size = ranges.agg(F.count("*"), F.sum((F.col("end") - F.col("start")) * weight)).first()
+    return max(1, min(n, 100_000, max(ranges.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))))
+
+
 def _count_lines(batches):
     """Ranges (path, start, end, alone) with their line ends; a range that is alone needs none."""
+    files = _LastFile()
     for batch in batches:
         found = []
         for path, start, end, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             n = 0
             if not alone:
-                with _open(path) as f:
-                    f.seek(start)
-                    left = end - start
-                    while left > 0 and (part := f.read(min(left, 1 << 20))):
-                        n += part.count(b"\n")
-                        left -= len(part)
+                f = files.open(path)
+                f.seek(start)
+                left = end - start
+                while left > 0 and (part := f.read(min(left, 1 << 20))):
+                    n += part.count(b"\n")
+                    left -= len(part)
             found.append(n)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["path", "start", "end", "alone", "lines"])
 
@@ -63,40 +91,55 @@ _RECORD = "path string, rec long, header string, seq string, qual string, malfor
 
 def _frame(max_reads: int | None):
     """Ranges (path, start, end, alone, first line) to the records whose first line begins in them."""
+    names = [c.split(" ")[0] for c in _RECORD.split(", ")]
+    types = (pa.string(), pa.int64(), *[pa.string()] * 3, pa.bool_(), pa.bool_())
 
     def rows(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), *[pa.string()] * 3, pa.bool_(), pa.bool_()))], names=[c.split(" ")[0] for c in _RECORD.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(out, types, strict=True)], names=names)
 
     def run(batches):
+        files, out = _LastFile(), [[] for _ in names]
         for batch in batches:
             for path, start, end, _, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out = []
-                with _open(path) as raw:
-                    packed = path.endswith(".gz")
-                    if start:
-                        raw.seek(start - 1)
-                    text = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20)
-                    at = start
-                    if start:  # the line that the range before began is its own
-                        skipped = text.readline()
-                        at += len(skipped) - 1
-                        line += skipped != b"\n"
-                    while line % 4 and (skipped := text.readline()):
-                        at, line = at + len(skipped), line + 1
-                    while (packed or at < end) and (max_reads is None or line < 4 * max_reads):
-                        part = [text.readline() for _ in range(4)]
-                        if not part[0]:
-                            break
-                        at += sum(map(len, part))
-                        header, bases, plus, qual = (x.decode("utf-8", "ignore").rstrip("\r\n") if x else None for x in part)
-                        broken = qual is None or not header.startswith("@") or not plus.startswith("+") or len(bases) != len(qual)
-                        out.append((path, line // 4, header[1:], bases, qual, broken or not header[1:].strip(), broken))
-                        line += 4
-                        if len(out) == BATCH_RECORDS:
-                            yield rows(out)
-                            out = []
-                if out:
-                    yield rows(out)
+                packed, raw = path.endswith(".gz"), files.open(path)
+                raw.seek(max(start - 1, 0))
+                # No more is read ahead than a short range has.
+                text = io.BufferedReader(gzip.GzipFile(fileobj=raw), CHUNK) if packed else io.BufferedReader(raw, max(8192, min(1 << 20, end - start)))
+                at = start
+                if start:  # the line that the range before began is its own
+                    skipped = text.readline()
+                    at += len(skipped) - 1
+                    line += skipped != b"\n"
+                while line % 4 and (skipped := text.readline()):
+                    at, line = at + len(skipped), line + 1
+                while (packed or at < end) and (max_reads is None or line < 4 * max_reads):
+                    # Whole lines, the last of which begins before the end, and what its record lacks.
+                    hint = (CHUNK if packed else min(CHUNK, end - at)) - 1  # lines are read until they exceed it
+                    part = text.readlines(hint) if hint else list(filter(None, [text.readline()]))
+                    while len(part) % 4 and (more := text.readline()):
+                        part.append(more)
+                    if not part:
+                        break
+                    at += sum(map(len, part))
+                    if max_reads is not None:
+                        del part[4 * max_reads - line :]
+                    lines = [x.rstrip("\r") for x in b"".join(part).decode("utf-8", "ignore").split("\n")][: len(part)]
+                    lines += [None] * (-len(lines) % 4)
+                    heads, bases, plus, quals = (lines[i::4] for i in range(4))
+                    broken = [q is None or not h.startswith("@") or not p.startswith("+") or len(b) != len(q) for h, b, p, q in zip(heads, bases, plus, quals, strict=True)]
+                    heads = [h[1:] for h in heads]
+                    n = len(heads)
+                    malformed = [b or not h.strip() for h, b in zip(heads, broken, strict=True)]
+                    for column, found in zip(out, ([path] * n, range(line // 4, line // 4 + n), heads, bases, quals, malformed, broken), strict=True):
+                        column += found
+                    line += 4 * n
+                    if len(out[0]) >= BATCH_RECORDS:
+                        yield rows(out)
+                        out = [[] for _ in names]
+                if not packed:
+                    text.detach()  # the file stays open for its next range
+        if out[0]:
+            yield rows(out)
 
     return run
 
@@ -112,14 +155,15 @@ def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", rang
     whole = F.col("path").endswith(".gz") | (F.col("length") <= range_bytes)
     starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.select("path", "length", whole.alias("alone"), F.explode(starts).alias("start")).select("path", "start", F.when(F.col("alone"), F.col("length")).otherwise(F.least(F.col("start") + range_bytes, "length")).alias("end"), "alone")
-    n = max(1, min(ranges.count(), 100_000))
-    counted = ranges.repartition(n).mapInArrow(_count_lines, "path string, start long, end long, alone boolean, lines long")
+    n = task_count(ranges)
+    dealt = lambda rows: rows.repartition(n).sortWithinPartitions("path", "start")
+    counted = dealt(ranges).mapInArrow(_count_lines, "path string, start long, end long, alone boolean, lines long")
     before = F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    framed = counted.select("path", "start", "end", "alone", F.coalesce(before, F.lit(0)).cast("long").alias("line")).repartition(n)
+    framed = counted.select("path", "start", "end", "alone", F.coalesce(before, F.lit(0)).cast("long").alias("line"))
     if max_reads is not None:
         framed = framed.where(F.col("line") < 4 * max_reads)
-    rows = framed.mapInArrow(_frame(max_reads), _RECORD)
-    return rows.select("path", "rec", F.split("header", r"\s+")[0].alias("read_id"), "header", "seq", "qual", "malformed", "broken")
+    rows = dealt(framed).mapInArrow(_frame(max_reads), _RECORD)
+    return rows.select("path", "rec", F.split("header", r"\s+", 2)[0].alias("read_id"), "header", "seq", "qual", "malformed", "broken")
 
 
 def first_failures(fastq: DataFrame, fails: Column | None = None) -> DataFrame:
@@ -129,7 +173,8 @@ def first_failures(fastq: DataFrame, fails: Column | None = None) -> DataFrame:
 
 def until_failure(fastq: DataFrame, fails: Column | None = None) -> DataFrame:
     """The records of each file before its first broken one, as a reader that stops there has them. fails: another test than `broken`."""
-    return fastq.join(first_failures(fastq, fails), "path", "left").where("first_bad is null or rec < first_bad").drop("first_bad")
+    # A row a failing file, of files that the driver has listed; the records stay where they are.
+    return fastq.join(F.broadcast(first_failures(fastq, fails)), "path", "left").where("first_bad is null or rec < first_bad").drop("first_bad")
 
 
 def malformed_files(fastq: DataFrame) -> DataFrame:
@@ -147,7 +192,7 @@ def count_reads(fastq: DataFrame) -> DataFrame:
 
 def read_names(fastq: DataFrame, skip_failing: bool = False) -> DataFrame:
     """One row: distinct names, and malformed records. With skip_failing, a file with a broken record counts for neither; nameless records still count as malformed."""
-    rows = fastq.join(first_failures(fastq), "path", "left_anti") if skip_failing else fastq
+    rows = fastq.join(F.broadcast(first_failures(fastq)), "path", "left_anti") if skip_failing else fastq
     return rows.agg(F.countDistinct(F.when(~F.col("malformed"), F.col("read_id"))).alias("names"), F.count_if("malformed").alias("malformed"))
 
 
@@ -294,4 +339,4 @@ def stream_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", ma
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(root)
     whole = files.select("path", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(True).alias("alone"), F.lit(0).cast("long").alias("line"))
     rows = whole.mapInArrow(_frame(None), _RECORD)
-    return rows.select("path", "rec", F.split("header", r"\s+")[0].alias("read_id"), "header", "seq", "qual", "malformed", "broken")
+    return rows.select("path", "rec", F.split("header", r"\s+", 2)[0].alias("read_id"), "header", "seq", "qual", "malformed", "broken")

@@ -170,3 +170,31 @@ def test_files_that_arrive_are_read_once(spark, tmp_path):
     add(4)
     found = run()
     assert found == sorted(map(repr, records.read_fastq(spark, str(tmp_path / "in")).collect())) and len(found) == 5 * 7
+
+
+@pytest.mark.parametrize("size", [11, 333])
+def test_short_ranges_share_tasks(spark, tmp_path, size):
+    """Tasks are dealt by bytes: thousands of short ranges are few tasks, with the same records."""
+    (tmp_path / "a.fastq").write_text("".join(record(f"r{i}", "A" * (i % 9), "I" * (i % 9)) for i in range(2000)))
+    rows = records.read_fastq(spark, str(tmp_path), range_bytes=size)
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted((r.rec, r.read_id, len(r.seq)) for r in rows.collect()) == [(i, f"r{i}", i % 9) for i in range(2000)]
+
+
+def test_summary_passes_over_the_reads_once(spark):
+    """Kit names without reads, groups of their own, and reads that are made once."""
+    kit = spark.createDataFrame([("B0",), ("B1",)], "name string")
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(1, "B0", 2, "ACG"), (1, "B0", 4, "A"), (1, "unclassified", None, None), (2, "B1", 1, "AC")], "lot int, barcode string, distance int, read_seq string")
+    found = barcodes.barcode_summary(rows.mapInArrow(seen, rows.schema), kit, ("lot",)).collect()
+    assert made.value == 4
+    assert {(r.lot, r.barcode, r.reads, round(r.share, 3), r.mean_distance, r.bases) for r in found} == {
+        (1, "B0", 2, 0.667, 3.0, 4), (1, "B1", 0, 0.0, None, 0), (1, "unclassified", 1, 0.333, None, 0), (2, "B0", 0, 0.0, None, 0), (2, "B1", 1, 1.0, 1.0, 2), (2, "unclassified", 0, 0.0, None, 0)
+    }
+    assert sorted((r.barcode, r.reads) for r in barcodes.barcode_summary(rows.limit(0), kit).collect()) == [("B0", 0), ("B1", 0), ("unclassified", 0)]
