@@ -181,6 +181,15 @@ def test_short_ranges_share_tasks(spark, tmp_path, size):
     assert sorted((r.rec, r.read_id, len(r.seq)) for r in rows.collect()) == [(i, f"r{i}", i % 9) for i in range(2000)]
 
 
+def test_tasks_grow_with_bytes(spark):
+    """Not with the number of ranges; compressed bytes weigh more, and a few ranges get a task each."""
+    cores = spark.sparkContext.defaultParallelism
+    ranges = lambda n, size, name: spark.range(n).select(F.lit(name).alias("path"), (F.col("id") * size).alias("start"), ((F.col("id") + 1) * size).alias("end"))
+    tasks = lambda *x: records.task_count(ranges(*x))
+    assert tasks(100_000, 10_000, "a.txt") == -(-10**9 // records.TASK_BYTES) and tasks(100, 10**7, "b.txt.gz") == 100
+    assert tasks(5000, 10, "c") == cores and tasks(1, 10, "c") == 1 and tasks(0, 10, "c") == 1
+
+
 def test_summary_passes_over_the_reads_once(spark):
     """Kit names without reads, groups of their own, and reads that are made once."""
     kit = spark.createDataFrame([("B0",), ("B1",)], "name string")
