@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.stats import first_reaching, running_total
 
 Z90 = 1.2815515655446004
@@ -154,19 +155,22 @@ def recovery_with_resynthesis(pool: DataFrame, t1: int | None, t2: int | None =
     # Draw numbers stay distributed; each is repeated for the replicates, of which there are n_reps rows.
     steps = lambda lo, hi: spark.range(lo, hi).withColumnRenamed("id", "k").crossJoin(F.broadcast(reps)).withColumn("u", uniform(F.lit(seed), "rep", "k"))
     first = draw(steps(1, t1 + 1 if resynthesis else t1 + t2 + 1), pool).select("rep", "k", "variant")
+    met = first.where("variant is not null").groupBy("rep", "variant").agg(F.min("k").alias("k"))
     if resynthesis:
+        met = storage.keep(met)
         # The pool may be of any size: each of its rows is repeated for the replicates, and the seen go by an equi-join.
+        # Spark takes what it repeats for as small as the pool, so the joins with as many rows as pool x n_reps say that they are no broadcasts.
         pairs = pool.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_reps - 1).cast("long"))).alias("rep"), "variant")
-        unseen = pairs.join(first.select("rep", "variant").distinct(), ["rep", "variant"], "left_anti")
+        unseen = storage.keep(pairs.join(met.select("rep", "variant").hint("merge"), ["rep", "variant"], "left_anti"))
         ranked = running_total(unseen, F.lit(1).cast("long"), "variant", ["rep"]).select("rep", "variant", (F.col("upto") - 1).alias("r"))
-        left = ranked.groupBy("rep").agg(F.count("*").alias("m"))
-        second = steps(t1 + 1, t1 + t2 + 1).join(left, "rep").withColumn("r", F.floor(F.col("u") * F.col("m"))).join(ranked, ["rep", "r"])
-        done = steps(t1 + 1, t1 + t2 + 1).join(left, "rep", "left_anti").select("rep", "k", F.lit(None).cast("long").alias("variant"))
-        first = first.union(second.select("rep", "k", "variant")).union(done)
+        left = unseen.groupBy("rep").agg(F.count("*").alias("m"))
+        second = steps(t1 + 1, t1 + t2 + 1).join(left, "rep").withColumn("r", F.floor(F.col("u") * F.col("m"))).join(ranked.hint("merge"), ["rep", "r"])
+        # A replicate that has seen all draws no more; the others meet nothing in these draws that they have seen before.
+        met = met.unionByName(second.groupBy("rep", "variant").agg(F.min("k").alias("k")))
     # Every draw number has a row, so that the curve has a point where no replicate draws any more.
-    steps_only = spark.range(1, t1 + t2 + 1).select(F.lit(0).cast("long").alias("rep"), F.col("id").alias("k"), F.lit(None).cast("long").alias("variant"))
-    seen = first.where("variant is not null").groupBy("rep", "variant").agg(F.min("k").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    rows = steps_only.select("k").join(seen, "k", "left")
+    steps_only = spark.range(1, t1 + t2 + 1).withColumnRenamed("id", "k")
+    seen = met.groupBy("k").agg(F.count("*").alias("n"))
+    rows = steps_only.join(seen, "k", "left")
     return running_total(rows, F.coalesce("n", F.lit(0)), "k", name="seen").select(F.col("k").alias("x"), (F.col("seen") / n_reps / library).alias("y"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 #: Folders that this driver was given and has not removed.
@@ -35,6 +35,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df written as a Parquet table under the shared folder and read back: what several steps read is computed once, and its size is known."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     remove(spark, path)
     _SCRATCH.discard(path)

@@ -1,6 +1,7 @@
 """Golden values of sequences, wells, costs and records."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -157,3 +158,13 @@ def test_resynthesis_does_not_broadcast_the_pool(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert len(ys) == 10 and ys == sorted(ys) and abs(ys[-1] - 10 / 30_000) < 1 / 30_000
+
+
+def test_ranks_of_the_unseen_are_no_broadcast(spark, tmp_path):
+    """A pool that Spark takes for small is repeated for the replicates: what is left of it may not go to the driver whole."""
+    spark.range(300).select(F.col("id").alias("variant"), F.lit(1.0).alias("weight")).write.parquet(f"{tmp_path}/pool")
+    found = simulate.recovery_with_resynthesis(spark.read.parquet(f"{tmp_path}/pool"), 300, 200, True, 4)
+    plan = re.sub(r"#\d+L?", "", found._jdf.queryExecution().sparkPlan().toString())
+    assert "SortMergeJoin [rep, r], [rep, r]" in plan and "BroadcastHashJoin [rep, r]" not in plan
+    ys = [r.y for r in found.orderBy("x").collect()]
+    assert len(ys) == 500 and ys == sorted(ys) and ys[299] < 0.7 < ys[-1] <= 1
