@@ -10,6 +10,8 @@ from ..functions.stats import once
 from .barcodes import demultiplex
 
 EMPTY = "empty"
+#: Bytes of references up to which they are sent to all tasks; larger ones are joined by a shuffle of the reads.
+REFERENCE_BYTES = 32 << 20
 
 
 def assemble_reads(fbc: DataFrame, rbc: DataFrame, refs: DataFrame) -> DataFrame:
@@ -51,7 +53,9 @@ def alignment_stats(total: DataFrame, overlap: DataFrame) -> DataFrame:
 def format_reads(reads: DataFrame, fbc: DataFrame | None = None, rbc: DataFrame | None = None, references: DataFrame | None = None) -> DataFrame:
     """Barcode names and well positions of complete reads, sorted by plate, row and column; references adds ref_id, ref_seq, ref_len.
 
-    The barcode tables (96 and 32 rows of idx, name) are broadcast; references join as their size allows.
+    The barcode tables (96 and 32 rows of idx, name) are broadcast, and so are references of REFERENCE_BYTES in all,
+    measured at the call: reads name few of them, so a shuffle by reference would give
+    most reads to a few tasks. Beyond that, adaptive execution splits such tasks.
     """
     for table, side in ((fbc, "fbc"), (rbc, "rbc")):
         if table is not None:
@@ -62,7 +66,11 @@ def format_reads(reads: DataFrame, fbc: DataFrame | None = None, rbc: DataFrame
     columns = [c for c in ("read_name", "fbc_name", "rbc_name", "well_pos", "ref_name", "read_seq", "read_qual", "avg_qual") if c in reads.columns]
     reads = reads.select(*columns)
     if references is not None:
-        reads = reads.withColumn("ref_id", seq.strip_direction("ref_name")).join(references.select("ref_id", "ref_seq"), "ref_id", "left").withColumn("ref_len", F.length("ref_seq"))
+        references = references.select("ref_id", "ref_seq")
+        letters = F.octet_length(F.concat_ws("", "ref_id", "ref_seq"))
+        if (references.agg(F.sum(64 + letters)).first()[0] or 0) <= REFERENCE_BYTES:  # 64 for a row itself
+            references = F.broadcast(references)
+        reads = reads.withColumn("ref_id", seq.strip_direction("ref_name")).join(references, "ref_id", "left").withColumn("ref_len", F.length("ref_seq"))
         reads = reads.select(*columns, "ref_id", "ref_seq", "ref_len")
     return reads.withColumn("_w", seq.parse_well("well_pos")).orderBy(*(F.col(f"_w.{k}").asc_nulls_last() for k in ("plate", "row", "col"))).drop("_w")
 

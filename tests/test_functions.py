@@ -168,3 +168,18 @@ def test_ranks_of_the_unseen_are_no_broadcast(spark, tmp_path):
     assert "SortMergeJoin [rep, r], [rep, r]" in plan and "BroadcastHashJoin [rep, r]" not in plan
     ys = [r.y for r in found.orderBy("x").collect()]
     assert len(ys) == 500 and ys == sorted(ys) and ys[299] < 0.7 < ys[-1] <= 1
+
+
+def test_reads_are_not_dealt_by_reference(spark, monkeypatch):
+    """Two references of all reads are no two tasks: they go to the reads. Larger tables are joined by a shuffle, with the same rows."""
+    reads = spark.range(1000).select(F.col("id").cast("string").alias("read_name"), F.lit("FB01").alias("fbc_name"), F.lit("RB01").alias("rbc_name"), F.concat(F.lit("fwd:g"), (F.col("id") % 3).cast("string")).alias("ref_name"))
+    references = spark.createDataFrame([("g0", "ACGT"), ("g1", "AC"), (None, "A"), ("g9", None)], "ref_id string, ref_seq string")
+
+    def run():
+        found = demux.format_reads(reads, references=references)
+        return "SortMergeJoin" in found._jdf.queryExecution().sparkPlan().toString(), sorted((r.read_name, r.ref_id, r.ref_seq or "", r.ref_len or 0) for r in found.collect())
+
+    merged, rows = run()
+    assert not merged and len(rows) == 1000 and {r[1:] for r in rows} == {("g0", "ACGT", 4), ("g1", "AC", 2), ("g2", "", 0)}
+    monkeypatch.setattr(demux, "REFERENCE_BYTES", 100)
+    assert run() == (True, rows)
