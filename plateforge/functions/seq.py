@@ -19,7 +19,9 @@ def _c(x: Column | str) -> Column:
 def normalize_id(read_id: Column | str) -> Column:
     """First white-space token without |ref=..., mate or pool suffixes; empty becomes null."""
     token = F.split(F.trim(_c(read_id)), r"\s+")[0]
-    return F.nullif(F.regexp_replace(token, r"\|ref=.*|/[12]$|_pool_plates.*", ""), F.lit(""))
+    name = F.regexp_replace(token, r"\|ref=.*|/[12]$|_pool_plates.*", "")
+    # As an element the name is made once; nullif() repeats the expression that it tests.
+    return F.transform(F.array(name), lambda x: F.nullif(x, F.lit("")))[0]
 
 
 def barcode_index(path: Column | str) -> Column:
@@ -28,7 +30,8 @@ def barcode_index(path: Column | str) -> Column:
 
 
 def ref_tag(read_id: Column | str) -> Column:
-    return F.nullif(F.regexp_extract(_c(read_id), r"\|ref=([^\s|]+)", 1), F.lit(""))
+    text = _c(read_id)
+    return F.when(text.contains("|ref="), F.nullif(F.regexp_extract(text, r"\|ref=([^\s|]+)", 1), F.lit("")))
 
 
 def with_direction(direction: Column | str, ref: Column | str) -> Column:
@@ -56,8 +59,8 @@ def phred_decode(qual: Column | str) -> Column:
 def mean_quality(qual: Column | str) -> Column:
     """Arithmetic mean of the phred values; null for empty strings."""
     q = _c(qual)
-    total = F.aggregate(phred_decode(q), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return F.when(F.length(q) > 0, total / F.length(q))
+    total = F.aggregate(F.split(q, ""), F.lit(0).cast("long"), lambda acc, x: acc + F.ascii(x))
+    return F.when(F.length(q) > 0, (total - 33 * F.length(q)) / F.length(q))
 
 
 def fill_quality(qual: Column | str, seq: Column | str) -> Column:

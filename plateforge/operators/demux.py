@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,10 @@ def assemble_reads(fbc: DataFrame, rbc: DataFrame, refs: DataFrame) -> DataFrame
     fbc and rbc have read_name, ord, idx; refs has read_name, ord, ref_name, read_seq, read_qual.
     The three sides are tagged, united and reduced by key, so a key is dealt once.
     """
-    none = lambda t: F.lit(None).cast(t)
-    rows = (
-        fbc.select("read_name", F.struct("ord", "idx").alias("f"), none("struct<ord:string,idx:int>").alias("r"), none("struct<ord:string,ref_name:string,read_seq:string,read_qual:string>").alias("m"))
-        .unionByName(rbc.select("read_name", none("struct<ord:string,idx:int>").alias("f"), F.struct("ord", "idx").alias("r"), none("struct<ord:string,ref_name:string,read_seq:string,read_qual:string>").alias("m")))
-        .unionByName(refs.select("read_name", none("struct<ord:string,idx:int>").alias("f"), none("struct<ord:string,idx:int>").alias("r"), F.struct("ord", "ref_name", "read_seq", "read_qual").alias("m")))
-        .where("read_name is not null")
-    )
+    parts = (fbc.select("read_name", F.struct("ord", "idx").alias("f")), rbc.select("read_name", F.struct("ord", "idx").alias("r")), refs.select("read_name", F.struct("ord", "ref_name", "read_seq", "read_qual").alias("m")))
+    rows = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts).where("read_name is not null")
+    # Dealt before they are reduced: names are rare within a task, so reducing there would sort all rows for nothing.
+    rows = rows.repartition("read_name")
     last = rows.groupBy("read_name").agg(*(F.max_by(c, F.col(f"{c}.ord")).alias(c) for c in "frm"))
     return last.select("read_name", F.col("f.idx").alias("fbc"), F.col("r.idx").alias("rbc"), "m.ref_name", "m.read_seq", "m.read_qual", seq.mean_quality("m.read_qual").alias("avg_qual"))
 

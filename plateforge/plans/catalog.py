@@ -7,6 +7,8 @@ stand-ins.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -377,8 +379,8 @@ def fastq_scan(spark, sf_dir):
     rows.where("o_orderkey % 2 = 0").select("value").write.text(f"{root}/plain")
     rows.where("o_orderkey % 2 = 1").select("value").write.option("compression", "gzip").text(f"{root}/packed")
     reads = records.read_fastq(spark, root, "*.txt*", range_bytes=10_007)
-    name = seq.normalize_id("read_id")
-    return reads.groupBy((F.crc32(name) % 100).alias("lot")).agg(F.count("*").alias("n"), F.countDistinct(name).alias("names"), F.count_if("malformed").alias("malformed"), F.count(seq.ref_tag("read_id")).alias("tagged"), F.sum(F.length("seq")).alias("bases"), F.max(F.when(~F.col("malformed"), F.round(seq.mean_quality("qual"), 6))).alias("best"), F.min("seq").alias("least"))
+    reads = reads.withColumn("name", stats.once(seq.normalize_id("read_id")))
+    return reads.groupBy((F.crc32("name") % 100).alias("lot")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.count_if("malformed").alias("malformed"), F.count(seq.ref_tag("read_id")).alias("tagged"), F.sum(F.length("seq")).alias("bases"), F.max(F.when(~F.col("malformed"), F.round(seq.mean_quality("qual"), 6))).alias("best"), F.min("seq").alias("least"))
 
 
 FASTQ_SCAN = """WITH r AS (SELECT o_orderkey AS k, 'r' || o_orderkey AS name, translate(substr(md5(o_orderkey::VARCHAR), 1, CAST(o_orderkey % 20 + 1 AS INT)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s, translate(substr(md5(o_orderkey::VARCHAR), 1, CAST(o_orderkey % 20 + CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END AS INT)), '0123456789abcdef', '!#%''@+-/13579;=I') AS q FROM orders),
@@ -407,20 +409,30 @@ SELECT k % 12 AS lot, count(*) AS n, CAST(sum(n) AS BIGINT) AS bases, count(*) F
 def _tree_of_orders(spark, sf_dir):
     """A demultiplexed tree whose file ends are broken: fbc and rbc by barcode, refs by direction; two orders share a name. The path and the first order that may break."""
     k = F.col("o_orderkey")
-    rows = _table(spark, sf_dir, "orders").select(k, F.concat(F.lit("r"), F.floor(k / 2).cast("string")).alias("name"))
+    made = _table(spark, sf_dir, "orders").select(k, F.concat(F.lit("r"), F.floor(k / 2).cast("string")).alias("name"), _letters(k.cast("string"), (k % 15 + 1).cast("int")).alias("bases"))
+    # The parts of an order's record are made once, for all four sides.
+    rows = storage.keep(made.withColumn("qual", F.translate("bases", "ACGT", "I?5+")))
     late = rows.agg(F.max("o_orderkey")).first()[0] // 10 * 9
-    bases = _letters(k.cast("string"), (k % 15 + 1).cast("int"))
     root = storage.scratch(spark)
 
-    def write(side, lot, name, breaks):
-        short = F.when((k > late) & breaks, F.lit("")).otherwise(F.translate(bases, "ACGT", "I?5+"))
-        text = F.concat_ws("\n", F.concat(F.lit("@"), name), bases, F.lit("+"), short)
-        rows.select(lot.alias("lot"), k, text.alias("value")).repartition(8, "lot").sortWithinPartitions("lot", "o_orderkey").select("lot", "value").write.partitionBy("lot").text(f"{root}/{side}")
-
-    write("fbc", F.when(k % 10 == 9, "unclassified").otherwise(F.format_string("barcode%02d", k % 10 + 1)), F.concat("name", F.lit("/1")), (k % 100 == 7) | (k % 100 == 33))
-    write("rbc", F.format_string("barcode%02d", k % 6 + 1), F.col("name"), k % 600 == 55)
-    write("refs/fwd", F.concat(F.lit("part"), (k % 3).cast("string")), F.when(k % 4 == 0, F.concat("name", F.lit("|ref=g"), (k % 7).cast("string"))).otherwise(F.col("name")), k % 300 == 100)
-    write("refs/rev", F.concat(F.lit("part"), (k % 2).cast("string")), F.when(k % 5 == 0, F.concat("name", F.lit("|ref=h"), (k % 3).cast("string"))).otherwise(F.col("name")), F.lit(False))
+    def write(side, lots, lot, name, breaks):
+        # A file is a lot, the orders of one remainder, and is written by a task of its own.
+        short = F.when((k > late) & breaks, F.lit("")).otherwise(F.col("qual"))
+        text = F.concat_ws("\n", F.concat(F.lit("@"), name), "bases", F.lit("+"), short)
+        dealt = rows.select(lot.alias("lot"), k, text.alias("value")).repartitionById(lots, (k % lots).cast("int"))
+        dealt.sortWithinPartitions("lot", "o_orderkey").select("lot", "value").write.partitionBy("lot").text(f"{root}/{side}")
+
+    part = lambda lots: F.concat(F.lit("part"), (k % lots).cast("string"))
+    code = lambda lots: F.concat(F.lit("barcode0"), (k % lots + 1).cast("string"))
+    sides = (
+        ("fbc", 10, F.when(k % 10 == 9, "unclassified").otherwise(code(10)), F.concat("name", F.lit("/1")), (k % 100 == 7) | (k % 100 == 33)),
+        ("rbc", 6, code(6), F.col("name"), k % 600 == 55),
+        ("refs/fwd", 3, part(3), F.when(k % 4 == 0, F.concat("name", F.lit("|ref=g"), (k % 7).cast("string"))).otherwise(F.col("name")), k % 300 == 100),
+        ("refs/rev", 2, part(2), F.when(k % 5 == 0, F.concat("name", F.lit("|ref=h"), (k % 3).cast("string"))).otherwise(F.col("name")), F.lit(False)),
+    )
+    # The sides are written beside each other: each has few files.
+    with ThreadPoolExecutor(len(sides)) as pool:
+        list(pool.map(lambda x: write(*x), sides))
     return root
 
 
@@ -444,7 +456,8 @@ def tree_failures(spark, sf_dir):
     """Files of each kind that end at a broken record, and the names and malformed records of the whole files of each side."""
     root = _tree_of_orders(spark, sf_dir)
     _, failures = records.create_read_df(spark, root, "*.txt", 30_011)
-    whole = [records.read_names(records.read_fastq(spark, f"{root}/{side}", "*.txt", 30_011), skip_failing=True).select(F.lit(kind).alias("kind"), "names") for kind, side in (("fbc", "fbc"), ("rbc", "rbc"), ("ref", "refs"))]
+    read = lambda side, odd: records.read_fastq(spark, f"{root}/{side}", "*.txt", 30_011, odd=odd)
+    whole = [records.read_names(read(side, False), skip_failing=True, odd=read(side, True)).select(F.lit(kind).alias("kind"), "names") for kind, side in (("fbc", "fbc"), ("rbc", "rbc"), ("ref", "refs"))]
     return failures.join(whole[0].union(whole[1]).union(whole[2]), "kind")
 
 

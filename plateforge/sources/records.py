@@ -11,14 +11,18 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import uuid
+from functools import reduce
 from urllib.parse import unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq
+from ..functions.stats import once
 
 RANGE_BYTES = 64 << 20
 BATCH_RECORDS = 5000
@@ -86,19 +90,74 @@ def _count_lines(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["path", "start", "end", "alone", "lines"])
 
 
-_RECORD = "path string, rec long, header string, seq string, qual string, malformed boolean, broken boolean"
-
-
-def _frame(max_reads: int | None):
-    """Ranges (path, start, end, alone, first line) to the records whose first line begins in them."""
-    names = [c.split(" ")[0] for c in _RECORD.split(", ")]
-    types = (pa.string(), pa.int64(), *[pa.string()] * 3, pa.bool_(), pa.bool_())
-
-    def rows(out):
-        return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(out, types, strict=True)], names=names)
+_RECORD = "path string, rec long, read_id string, header string, seq string, qual string, malformed boolean, broken boolean"
+
+
+_NAMES = [c.split(" ")[0] for c in _RECORD.split(", ")]
+_TYPES = (pa.string(), pa.int64(), *[pa.string()] * 4, pa.bool_(), pa.bool_())
+#: What str.strip() takes from ASCII text.
+_BLANK = np.isin(np.arange(128), [*range(9, 14), *range(28, 33)])
+#: What ends a read's id in its header.
+_SPACE = " \t\n\x0b\f\r"
+_ENDS_ID = np.isin(np.arange(128), [ord(c) for c in _SPACE])
+
+
+def _texts(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings that lie one after the other in data."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths, out=offsets[1:])
+    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _plain_records(path: str, rec: int, part: bytes, odd: bool) -> pa.RecordBatch | None:
+    """Whole ASCII records without carriage returns, the first with number rec, cut at their line ends as arrays; with odd, as _frame says."""
+    data = np.frombuffer(part, np.uint8)
+    ends = np.flatnonzero(data == 10)
+    if data[-1] != 10:
+        ends = np.append(ends, len(data))
+    starts = np.append(0, ends[:-1] + 1)
+    size = (ends - starts).reshape(-1, 4)
+    head, plus = starts[0::4], starts[2::4]
+    broken = (data[head] != ord("@")) | (data[plus] != ord("+")) | (size[:, 1] != size[:, 3])
+    if odd and not (broken | (size[:, 1] == 0)).any():
+        return None
+    names = np.maximum(size[:, 0] - 1, 0)
+    blank = names == 0
+    for i in np.flatnonzero(~blank & _BLANK[data[np.minimum(head + 1, len(data) - 1)]]):
+        blank[i] = _BLANK[data[head[i] + 1 : ends[4 * i]]].all()
+    # What each byte is part of: 1 a name, 2 letters, 3 qualities, 0 marks and line ends.
+    pieces = np.stack([size[:, 0] - names, names, np.ones_like(names), size[:, 1], size[:, 2] + 2, size[:, 3], np.ones_like(names)], axis=1).ravel()
+    pieces[-1] = len(data) - ends[-1]
+    kind = np.repeat(np.tile(np.array([0, 1, 0, 2, 0, 3, 0], np.uint8), len(names)), pieces)
+    n, headers = len(names), data[kind == 1]
+    first = np.cumsum(names) - names
+    spaces = np.append(np.flatnonzero(_ENDS_ID[headers]), len(headers))
+    ids = np.minimum(spaces[np.searchsorted(spaces, first)] - first, names)
+    of_id = np.repeat(np.tile([True, False], n), np.stack([ids, names - ids], axis=1).ravel())
+    columns = [pa.repeat(path, n), pa.array(np.arange(rec, rec + n)), _texts(headers[of_id], ids), _texts(headers, names), _texts(data[kind == 2], size[:, 1]), _texts(data[kind == 3], size[:, 3]), pa.array(broken | blank), pa.array(broken)]
+    rows = pa.RecordBatch.from_arrays(columns, names=_NAMES)
+    return rows.filter(pa.array(broken | (size[:, 1] == 0))) if odd else rows
+
+
+def _any_records(path: str, rec: int, part: bytes, n: int, odd: bool) -> pa.RecordBatch:
+    """n lines of any text as records, the last of which may be cut short."""
+    lines = [x.rstrip("\r") for x in part.decode("utf-8", "ignore").split("\n")][:n]
+    lines += [None] * (-len(lines) % 4)
+    heads, bases, plus, quals = (lines[i::4] for i in range(4))
+    broken = [q is None or not h.startswith("@") or not p.startswith("+") or len(b) != len(q) for h, b, p, q in zip(heads, bases, plus, quals, strict=True)]
+    heads = [h[1:] for h in heads]
+    malformed = [b or not h.strip() for h, b in zip(heads, broken, strict=True)]
+    ids = [re.split(f"[{_SPACE}]", h, maxsplit=1)[0] for h in heads]
+    columns = ([path] * len(heads), range(rec, rec + len(heads)), ids, heads, bases, quals, malformed, broken)
+    rows = pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+    return rows.filter(pa.array([b or not s for b, s in zip(broken, bases, strict=True)])) if odd else rows
+
+
+def _frame(max_reads: int | None, odd: bool = False):
+    """Ranges (path, start, end, alone, first line) to the records whose first line begins in them; odd: only to those that are broken or have no letters."""
 
     def run(batches):
-        files, out = _LastFile(), [[] for _ in names]
+        files, out, held = _LastFile(), [], 0
         for batch in batches:
             for path, start, end, _, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 packed, raw = path.endswith(".gz"), files.open(path)
@@ -114,44 +173,47 @@ def _frame(max_reads: int | None):
                     at, line = at + len(skipped), line + 1
                 while (packed or at < end) and (max_reads is None or line < 4 * max_reads):
                     # Whole lines, the last of which begins before the end, and what its record lacks.
-                    hint = (CHUNK if packed else min(CHUNK, end - at)) - 1  # lines are read until they exceed it
-                    part = text.readlines(hint) if hint else list(filter(None, [text.readline()]))
-                    while len(part) % 4 and (more := text.readline()):
-                        part.append(more)
+                    part = text.read(CHUNK if packed else min(CHUNK, end - at))
                     if not part:
                         break
-                    at += sum(map(len, part))
-                    if max_reads is not None:
-                        del part[4 * max_reads - line :]
-                    lines = [x.rstrip("\r") for x in b"".join(part).decode("utf-8", "ignore").split("\n")][: len(part)]
-                    lines += [None] * (-len(lines) % 4)
-                    heads, bases, plus, quals = (lines[i::4] for i in range(4))
-                    broken = [q is None or not h.startswith("@") or not p.startswith("+") or len(b) != len(q) for h, b, p, q in zip(heads, bases, plus, quals, strict=True)]
-                    heads = [h[1:] for h in heads]
-                    n = len(heads)
-                    malformed = [b or not h.strip() for h, b in zip(heads, broken, strict=True)]
-                    for column, found in zip(out, ([path] * n, range(line // 4, line // 4 + n), heads, bases, quals, malformed, broken), strict=True):
-                        column += found
-                    line += 4 * n
-                    if len(out[0]) >= BATCH_RECORDS:
-                        yield rows(out)
-                        out = [[] for _ in names]
+                    if not part.endswith(b"\n"):
+                        part += text.readline()
+                    n = part.count(b"\n") + (not part.endswith(b"\n"))
+                    while n % 4 and (more := text.readline()):
+                        part, n = part + more, n + 1
+                    at += len(part)
+                    if max_reads is not None and n > (most := 4 * max_reads - line):
+                        part, n = b"".join(io.BytesIO(part).readlines()[:most]), most
+                    plain = n % 4 == 0 and part.isascii() and b"\r" not in part
+                    rows = _plain_records(path, line // 4, part, odd) if plain else _any_records(path, line // 4, part, n, odd)
+                    line += n + -n % 4
+                    if rows is not None and rows.num_rows:
+                        out.append(rows)
+                        held += rows.num_rows
+                    if held >= BATCH_RECORDS:
+                        yield pa.concat_batches(out)
+                        out, held = [], 0
                 if not packed:
                     text.detach()  # the file stays open for its next range
-        if out[0]:
-            yield rows(out)
+        if out:
+            yield pa.concat_batches(out)
 
     return run
 
 
-def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", range_bytes: int = RANGE_BYTES, max_reads: int | None = None) -> DataFrame:
+def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
+
+
+def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", range_bytes: int = RANGE_BYTES, max_reads: int | None = None, odd: bool = False) -> DataFrame:
     """(path, rec, read_id, header, seq, qual, malformed, broken) of every record of a file, or of the files under a folder, .gz included.
 
     A record that is cut short, lacks its marks or has unequal lengths is broken; that
     or an empty name makes it malformed. Both are flags: nothing is dropped. max_reads takes the first records of each file; ranges that begin after
-    them are not framed.
+    them are not framed. odd gives only those records that are broken or have no letters: what
+    ends a file is among them, and the others never leave the tasks that look for it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", F.col("length"))
+    files = _files(spark, root, glob)
     whole = F.col("path").endswith(".gz") | (F.col("length") <= range_bytes)
     starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
     ranges = files.select("path", "length", whole.alias("alone"), F.explode(starts).alias("start")).select("path", "start", F.when(F.col("alone"), F.col("length")).otherwise(F.least(F.col("start") + range_bytes, "length")).alias("end"), "alone")
@@ -162,8 +224,7 @@ def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", rang
     framed = counted.select("path", "start", "end", "alone", F.coalesce(before, F.lit(0)).cast("long").alias("line"))
     if max_reads is not None:
         framed = framed.where(F.col("line") < 4 * max_reads)
-    rows = dealt(framed).mapInArrow(_frame(max_reads), _RECORD)
-    return rows.select("path", "rec", F.split("header", r"\s+", 2)[0].alias("read_id"), "header", "seq", "qual", "malformed", "broken")
+    return dealt(framed).mapInArrow(_frame(max_reads, odd), _RECORD)
 
 
 def first_failures(fastq: DataFrame, fails: Column | None = None) -> DataFrame:
@@ -190,9 +251,12 @@ def count_reads(fastq: DataFrame) -> DataFrame:
     return fastq.agg(F.count("*").alias("n"))
 
 
-def read_names(fastq: DataFrame, skip_failing: bool = False) -> DataFrame:
-    """One row: distinct names, and malformed records. With skip_failing, a file with a broken record counts for neither; nameless records still count as malformed."""
-    rows = fastq.join(F.broadcast(first_failures(fastq)), "path", "left_anti") if skip_failing else fastq
+def read_names(fastq: DataFrame, skip_failing: bool = False, odd: DataFrame | None = None) -> DataFrame:
+    """One row: distinct names, and malformed records. With skip_failing, a file with a broken record counts for neither; nameless records still count as malformed.
+
+    odd: the same files read with odd=True, so that failures are found without passing over all records twice.
+    """
+    rows = fastq.join(F.broadcast(first_failures(fastq if odd is None else odd)), "path", "left_anti") if skip_failing else fastq
     return rows.agg(F.countDistinct(F.when(~F.col("malformed"), F.col("read_id"))).alias("names"), F.count_if("malformed").alias("malformed"))
 
 
@@ -291,23 +355,28 @@ def demux_tree(spark: SparkSession, root: str, glob: str = "*.fastq*", range_byt
 
 
 def _tree(spark: SparkSession, root: str, glob: str, range_bytes: int):
-    def place(first):
-        return F.concat_ws(":", first, F.lpad(F.col("rec").cast("string"), 12, "0"))
+    def kept(names: tuple[str, ...], files, fails: Column):
+        """Records before the failures of their files, with (file, rec) as their place, and these failures; files takes a listing (side, path), adds to it and leaves out what is passed over."""
+        read = lambda odd: reduce(DataFrame.union, (read_fastq(spark, f"{root}/{n}", glob, range_bytes, odd=odd) for n in names))
+        listed = reduce(DataFrame.union, (_files(spark, f"{root}/{n}", glob).select(F.lit(n).alias("side"), "path") for n in names))
+        # One row a file, of files that the driver has listed: numbered once in their order, so that a record's place is two numbers.
+        numbered = files(listed).withColumn("file", F.row_number().over(Window.orderBy("side", "path")))
+        bad = first_failures(read(True).join(F.broadcast(numbered.select("path")), "path", "left_semi"), fails)
+        rows = read(False).join(F.broadcast(numbered.join(F.broadcast(bad), "path", "left")), "path")
+        return rows.where("first_bad is null or rec < first_bad").withColumn("ord", F.struct("file", "rec")), bad
 
     def side(name: str):
-        rows = read_fastq(spark, f"{root}/{name}", glob, range_bytes).withColumn("idx", seq.barcode_index("path")).where(~F.col("path").contains("unclassified") & F.col("idx").isNotNull())
-        return until_failure(rows).select(seq.normalize_id("read_id").alias("read_name"), place(F.col("path")).alias("ord"), "idx").where("read_name is not null"), first_failures(rows)
-
-    parts, bad = [], []
-    for direction in ("fwd", "rev"):
-        rows = read_fastq(spark, f"{root}/refs/{direction}", glob, range_bytes)
-        # A tagged record without letters has no mean quality and ends its file like a broken one.
-        fails = F.col("broken") | (F.length("seq") == 0) & seq.ref_tag("read_id").isNotNull() & seq.normalize_id("read_id").isNotNull()
-        kept = until_failure(rows, fails).withColumn("tag", seq.ref_tag("read_id")).where("tag is not null")
-        parts.append(kept.select(seq.normalize_id("read_id").alias("read_name"), place(F.concat_ws(":", F.lit(direction), "path")).alias("ord"), seq.with_direction(F.lit(direction), "tag").alias("ref_name"), F.col("seq").alias("read_seq"), F.col("qual").alias("read_qual")))
-        bad.append(first_failures(rows, fails))
+        files = lambda rows: rows.withColumn("idx", seq.barcode_index("path")).where(~F.col("path").contains("unclassified") & F.col("idx").isNotNull())
+        rows, bad = kept((name,), files, F.col("broken"))
+        return rows.select(once(seq.normalize_id("read_id")).alias("read_name"), "ord", "idx").where("read_name is not null"), bad
+
+    # A tagged record without letters has no mean quality and ends its file like a broken one.
+    fails = F.col("broken") | (F.length("seq") == 0) & seq.ref_tag("read_id").isNotNull() & seq.normalize_id("read_id").isNotNull()
+    rows, bad = kept(("refs/fwd", "refs/rev"), lambda listed: listed, fails)
+    tagged = rows.withColumn("tag", once(seq.ref_tag("read_id"))).where("tag is not null").withColumn("read_name", once(seq.normalize_id("read_id"))).where("read_name is not null")
+    refs = tagged.select("read_name", "ord", seq.with_direction(F.substring_index("side", "/", -1), "tag").alias("ref_name"), F.col("seq").alias("read_seq"), F.col("qual").alias("read_qual"))
     (fbc, bad_fbc), (rbc, bad_rbc) = side("fbc"), side("rbc")
-    return fbc, rbc, parts[0].unionByName(parts[1]).where("read_name is not null"), {"fbc": bad_fbc, "rbc": bad_rbc, "ref": bad[0].union(bad[1])}
+    return fbc, rbc, refs, {"fbc": bad_fbc, "rbc": bad_rbc, "ref": bad}
 
 
 def create_read_df(spark: SparkSession, root: str, glob: str = "*.fastq*", range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -338,5 +407,4 @@ def stream_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", ma
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(root)
     whole = files.select("path", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(True).alias("alone"), F.lit(0).cast("long").alias("line"))
-    rows = whole.mapInArrow(_frame(None), _RECORD)
-    return rows.select("path", "rec", F.split("header", r"\s+", 2)[0].alias("read_id"), "header", "seq", "qual", "malformed", "broken")
+    return whole.mapInArrow(_frame(None), _RECORD)

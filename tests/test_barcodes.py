@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 
 import numpy as np
 import pytest
@@ -207,3 +208,32 @@ def test_summary_passes_over_the_reads_once(spark):
         (1, "B0", 2, 0.667, 3.0, 4), (1, "B1", 0, 0.0, None, 0), (1, "unclassified", 1, 0.333, None, 0), (2, "B0", 0, 0.0, None, 0), (2, "B1", 1, 1.0, 1.0, 2), (2, "unclassified", 0, 0.0, None, 0)
     }
     assert sorted((r.barcode, r.reads) for r in barcodes.barcode_summary(rows.limit(0), kit).collect()) == [("B0", 0), ("B1", 0), ("unclassified", 0)]
+
+
+def test_records_are_cut_like_their_text(spark, tmp_path):
+    """Blocks of plain records are cut as arrays, others as text: either way these records, in any ranges; odd ones alone on demand; ids cut in the tasks."""
+    heads = ["r0|ref=g1 x", "r1\tb", " r2", "", " ", "r5/1", "\x1c", "r7\x0bq"]
+    text = "".join(record(h, "ACG"[: i % 4], "I" * (i % 4 + (i == 5))) for i, h in enumerate(heads))
+    expected = [(i, re.split(r"[ \t\x0b]", h)[0], h, "ACG"[: i % 4], "I" * (i % 4 + (i == 5)), i == 5 or not h.strip(), i == 5) for i, h in enumerate(heads)]
+    for name, body in {"plain": text, "returns": text.replace("\n", "\r\n"), "wide": text.replace("q\n", "é\n")}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.fastq").write_bytes(body.encode())
+        wanted = [tuple(x.replace("q", "é") if name == "wide" and isinstance(x, str) else x for x in r) for r in expected]
+        for size in (7, 10_000):
+            rows = records.read_fastq(spark, str(tmp_path / name), range_bytes=size)
+            assert sorted(tuple(r)[1:] for r in rows.collect()) == wanted
+            odd = records.read_fastq(spark, str(tmp_path / name), range_bytes=size, odd=True)
+            assert sorted(tuple(r)[1:] for r in odd.collect()) == [r for r in wanted if r[-1] or not r[3]]
+    assert "split(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_files_are_taken_in_the_order_of_their_paths(spark, tmp_path):
+    """f.fastq0 comes after f.fastq; an end that is no broken record is found too, and failures are those of the odd records."""
+    for path, text in {"fbc/barcode02/f.fastq": record("r0", "A", "I"), "rbc/barcode03/f.fastq": record("r0", "A", "I") + record("r1", "A", ""), "refs/fwd/f.fastq": record("r0|ref=g1", "A", "I"), "refs/fwd/f.fastq0": record("r0|ref=g2", "C", "I") + record("r1|ref=g2", "", "") + record("r2|ref=g2", "C", "I"), "refs/rev/none.fastq": ""}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    reads, failures = records.create_read_df(spark, str(tmp_path))
+    assert [(r.read_name, r.fbc, r.rbc, r.ref_name, r.read_seq) for r in reads.collect()] == [("r0", 1, 2, "fwd:g2", "C")]
+    assert {(r.kind, r.files) for r in failures.collect()} == {("fbc", 0), ("rbc", 1), ("ref", 1)}
+    read = lambda odd: records.read_fastq(spark, f"{tmp_path}/rbc", odd=odd)
+    assert records.read_names(read(False), True, read(True)).first() == records.read_names(read(False), True).first() == (0, 0)
