@@ -454,11 +454,8 @@ SELECT name AS read_name, fbc, rbc, ref_name, read_seq, translate(read_seq, 'ACG
 
 def tree_failures(spark, sf_dir):
     """Files of each kind that end at a broken record, and the names and malformed records of the whole files of each side."""
-    root = _tree_of_orders(spark, sf_dir)
-    _, failures = records.create_read_df(spark, root, "*.txt", 30_011)
-    read = lambda side, odd: records.read_fastq(spark, f"{root}/{side}", "*.txt", 30_011, odd=odd)
-    whole = [records.read_names(read(side, False), skip_failing=True, odd=read(side, True)).select(F.lit(kind).alias("kind"), "names") for kind, side in (("fbc", "fbc"), ("rbc", "rbc"), ("ref", "refs"))]
-    return failures.join(whole[0].union(whole[1]).union(whole[2]), "kind")
+    tree = records.scan_tree(spark, _tree_of_orders(spark, sf_dir), "*.txt", 30_011)
+    return records.tree_failures(tree).join(records.tree_names(tree).select("kind", "names"), "kind")
 
 
 TREE_FAILURES = f"""WITH {_TREE_SQL}, z AS (SELECT *, min(CASE WHEN late AND k % 100 IN (7, 33) THEN k END) OVER (PARTITION BY k % 10) AS bad FROM o)

@@ -1,8 +1,9 @@
 """FASTQ, FASTA, SAM and barcode tables as DataFrames, and their sinks.
 
 FASTQ files are found by Spark's own listing and read in byte ranges, so a file of
-any size is many tasks and a worker holds one batch of records. Framing is by four
-lines, exactly: a first pass counts the line ends of each range of a file that has
+any size is many tasks and a worker holds one batch of records. A task has
+neighbouring ranges of about as many bytes as any other. Framing is by four lines,
+exactly: a first pass counts the line ends of each range of a file that has
 several, so every range knows the number of its first line. Compressed files are
 one range each, read as a stream.
 """
@@ -13,6 +14,7 @@ import gzip
 import io
 import re
 import uuid
+from dataclasses import dataclass, replace
 from functools import reduce
 from urllib.parse import unquote
 
@@ -20,7 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import storage
 from ..functions import seq
 from ..functions.stats import once
 
@@ -61,23 +65,32 @@ class _LastFile:
         return self.file
 
 
+def _weight() -> Column:
+    return F.when(F.col("path").endswith(".gz"), PACKED).otherwise(1)
+
+
+def _load(ranges: DataFrame) -> tuple[int, int]:
+    """Tasks for ranges, and the bytes that these share."""
+    n, size = ranges.agg(F.count("*"), F.sum((F.col("end") - F.col("start")) * _weight())).first()
+    size = size or 0
+    return max(1, min(n, 100_000, max(ranges.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))), size
+
+
 def task_count(ranges: DataFrame) -> int:
     """Tasks for ranges (path, start, end): by their bytes, and by the cores where these are few; never more than ranges.
 
     A range is where a file may be cut, however short; a task takes as many as fill it,
     so that tasks grow with the bytes and not with the cuts.
     """
-    weight = F.when(F.col("path").endswith(".gz"), PACKED).otherwise(1)
-    n, size = ranges.agg(F.count("*"), F.sum((F.col("end") - F.col("start")) * weight)).first()
-    return max(1, min(n, 100_000, max(ranges.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))))
+    return _load(ranges)[0]
 
 
 def _count_lines(batches):
-    """Ranges (path, start, end, alone) with their line ends; a range that is alone needs none."""
+    """Ranges (path, start, end, alone, ...) with their line ends; a range that is alone needs none."""
     files = _LastFile()
     for batch in batches:
         found = []
-        for path, start, end, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for path, start, end, alone in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end", "alone")), strict=True):
             n = 0
             if not alone:
                 f = files.open(path)
@@ -87,14 +100,15 @@ def _count_lines(batches):
                     n += part.count(b"\n")
                     left -= len(part)
             found.append(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["path", "start", "end", "alone", "lines"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*batch.schema.names, "lines"])
 
 
 _RECORD = "path string, rec long, read_id string, header string, seq string, qual string, malformed boolean, broken boolean"
 
 
-_NAMES = [c.split(" ")[0] for c in _RECORD.split(", ")]
-_TYPES = (pa.string(), pa.int64(), *[pa.string()] * 4, pa.bool_(), pa.bool_())
+_FIELDS = dict(c.split(" ") for c in _RECORD.split(", "))
+_NAMES = tuple(_FIELDS)
+_TYPES = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 #: What str.strip() takes from ASCII text.
 _BLANK = np.isin(np.arange(128), [*range(9, 14), *range(28, 33)])
 #: What ends a read's id in its header.
@@ -102,14 +116,16 @@ _SPACE = " \t\n\x0b\f\r"
 _ENDS_ID = np.isin(np.arange(128), [ord(c) for c in _SPACE])
 
 
-def _texts(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Strings that lie one after the other in data."""
+def _texts(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Strings that lie in data at starts."""
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    places = np.repeat((starts - offsets[:-1]).astype(np.int32), lengths)
+    places += np.arange(offsets[-1], dtype=np.int32)
+    return pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data[places])])
 
 
-def _plain_records(path: str, rec: int, part: bytes, odd: bool) -> pa.RecordBatch | None:
+def _plain_records(path: str, rec: int, part: bytes, odd: bool, names: tuple[str, ...]) -> pa.RecordBatch | None:
     """Whole ASCII records without carriage returns, the first with number rec, cut at their line ends as arrays; with odd, as _frame says."""
     data = np.frombuffer(part, np.uint8)
     ends = np.flatnonzero(data == 10)
@@ -119,27 +135,31 @@ def _plain_records(path: str, rec: int, part: bytes, odd: bool) -> pa.RecordBatc
     size = (ends - starts).reshape(-1, 4)
     head, plus = starts[0::4], starts[2::4]
     broken = (data[head] != ord("@")) | (data[plus] != ord("+")) | (size[:, 1] != size[:, 3])
-    if odd and not (broken | (size[:, 1] == 0)).any():
+    kept = broken | (size[:, 1] == 0) if odd else None
+    if odd and not kept.any():
         return None
-    names = np.maximum(size[:, 0] - 1, 0)
-    blank = names == 0
-    for i in np.flatnonzero(~blank & _BLANK[data[np.minimum(head + 1, len(data) - 1)]]):
-        blank[i] = _BLANK[data[head[i] + 1 : ends[4 * i]]].all()
-    # What each byte is part of: 1 a name, 2 letters, 3 qualities, 0 marks and line ends.
-    pieces = np.stack([size[:, 0] - names, names, np.ones_like(names), size[:, 1], size[:, 2] + 2, size[:, 3], np.ones_like(names)], axis=1).ravel()
-    pieces[-1] = len(data) - ends[-1]
-    kind = np.repeat(np.tile(np.array([0, 1, 0, 2, 0, 3, 0], np.uint8), len(names)), pieces)
-    n, headers = len(names), data[kind == 1]
-    first = np.cumsum(names) - names
-    spaces = np.append(np.flatnonzero(_ENDS_ID[headers]), len(headers))
-    ids = np.minimum(spaces[np.searchsorted(spaces, first)] - first, names)
-    of_id = np.repeat(np.tile([True, False], n), np.stack([ids, names - ids], axis=1).ravel())
-    columns = [pa.repeat(path, n), pa.array(np.arange(rec, rec + n)), _texts(headers[of_id], ids), _texts(headers, names), _texts(data[kind == 2], size[:, 1]), _texts(data[kind == 3], size[:, 3]), pa.array(broken | blank), pa.array(broken)]
-    rows = pa.RecordBatch.from_arrays(columns, names=_NAMES)
-    return rows.filter(pa.array(broken | (size[:, 1] == 0))) if odd else rows
-
-
-def _any_records(path: str, rec: int, part: bytes, n: int, odd: bool) -> pa.RecordBatch:
+    long = np.maximum(size[:, 0] - 1, 0)
+    n = len(long)
+
+    def ids():
+        spaces = np.append(np.flatnonzero(_ENDS_ID[data]), len(data))
+        return np.minimum(spaces[np.searchsorted(spaces, head + 1)] - head - 1, long)
+
+    def malformed():
+        blank = long == 0
+        for i in np.flatnonzero(~blank & _BLANK[data[np.minimum(head + 1, len(data) - 1)]]):
+            blank[i] = _BLANK[data[head[i] + 1 : ends[4 * i]]].all()
+        return pa.array(broken | blank)
+
+    columns = {
+        "path": lambda: pa.repeat(path, n), "rec": lambda: pa.array(np.arange(rec, rec + n)), "read_id": lambda: _texts(data, head + 1, ids()), "header": lambda: _texts(data, head + 1, long),
+        "seq": lambda: _texts(data, starts[1::4], size[:, 1]), "qual": lambda: _texts(data, starts[3::4], size[:, 3]), "malformed": malformed, "broken": lambda: pa.array(broken),
+    }
+    rows = pa.RecordBatch.from_arrays([columns[c]() for c in names], names=list(names))
+    return rows.filter(pa.array(kept)) if odd else rows
+
+
+def _any_records(path: str, rec: int, part: bytes, n: int, odd: bool, names: tuple[str, ...]) -> pa.RecordBatch:
     """n lines of any text as records, the last of which may be cut short."""
     lines = [x.rstrip("\r") for x in part.decode("utf-8", "ignore").split("\n")][:n]
     lines += [None] * (-len(lines) % 4)
@@ -148,18 +168,22 @@ def _any_records(path: str, rec: int, part: bytes, n: int, odd: bool) -> pa.Reco
     heads = [h[1:] for h in heads]
     malformed = [b or not h.strip() for h, b in zip(heads, broken, strict=True)]
     ids = [re.split(f"[{_SPACE}]", h, maxsplit=1)[0] for h in heads]
-    columns = ([path] * len(heads), range(rec, rec + len(heads)), ids, heads, bases, quals, malformed, broken)
-    rows = pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+    columns = dict(zip(_NAMES, ([path] * len(heads), range(rec, rec + len(heads)), ids, heads, bases, quals, malformed, broken), strict=True))
+    rows = pa.RecordBatch.from_arrays([pa.array(columns[c], _TYPES[_FIELDS[c]]) for c in names], names=list(names))
     return rows.filter(pa.array([b or not s for b, s in zip(broken, bases, strict=True)])) if odd else rows
 
 
-def _frame(max_reads: int | None, odd: bool = False):
-    """Ranges (path, start, end, alone, first line) to the records whose first line begins in them; odd: only to those that are broken or have no letters."""
+def _frame(odd: bool = False, names: tuple[str, ...] = _NAMES, keys: tuple[str, ...] = ()):
+    """Ranges (path, start, end, line: that of their start, most: records of the file, or null for all) to the records whose first line begins in them.
+
+    odd: only to those that are broken or have no letters. names are the records' columns, keys those of the ranges that they get.
+    """
 
     def run(batches):
         files, out, held = _LastFile(), [], 0
         for batch in batches:
-            for path, start, end, _, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            places = zip(*(batch.column(c).to_pylist() for c in ("path", "start", "end", "line", "most")), strict=True)
+            for i, (path, start, end, line, most) in enumerate(places):
                 packed, raw = path.endswith(".gz"), files.open(path)
                 raw.seek(max(start - 1, 0))
                 # No more is read ahead than a short range has.
@@ -171,7 +195,7 @@ def _frame(max_reads: int | None, odd: bool = False):
                     line += skipped != b"\n"
                 while line % 4 and (skipped := text.readline()):
                     at, line = at + len(skipped), line + 1
-                while (packed or at < end) and (max_reads is None or line < 4 * max_reads):
+                while (packed or at < end) and (most is None or line < 4 * most):
                     # Whole lines, the last of which begins before the end, and what its record lacks.
                     part = text.read(CHUNK if packed else min(CHUNK, end - at))
                     if not part:
@@ -182,13 +206,14 @@ def _frame(max_reads: int | None, odd: bool = False):
                     while n % 4 and (more := text.readline()):
                         part, n = part + more, n + 1
                     at += len(part)
-                    if max_reads is not None and n > (most := 4 * max_reads - line):
-                        part, n = b"".join(io.BytesIO(part).readlines()[:most]), most
+                    if most is not None and n > (left := 4 * most - line):
+                        part, n = b"".join(io.BytesIO(part).readlines()[:left]), left
                     plain = n % 4 == 0 and part.isascii() and b"\r" not in part
-                    rows = _plain_records(path, line // 4, part, odd) if plain else _any_records(path, line // 4, part, n, odd)
+                    rows = _plain_records(path, line // 4, part, odd, names) if plain else _any_records(path, line // 4, part, n, odd, names)
                     line += n + -n % 4
                     if rows is not None and rows.num_rows:
-                        out.append(rows)
+                        given = [pa.repeat(batch.column(c)[i], rows.num_rows) for c in keys]
+                        out.append(pa.RecordBatch.from_arrays([*rows.columns, *given], names=[*names, *keys]))
                         held += rows.num_rows
                     if held >= BATCH_RECORDS:
                         yield pa.concat_batches(out)
@@ -205,26 +230,56 @@ def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "length")
 
 
-def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", range_bytes: int = RANGE_BYTES, max_reads: int | None = None, odd: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class Ranges:
+    """Byte ranges (path, start, end, line, most, task, ...) of files and the number of tasks that they are dealt to; rows may lose ranges and get columns."""
+
+    rows: DataFrame
+    tasks: int
+
+
+def _dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    return rows.repartitionById(tasks, F.col("task")).sortWithinPartitions("path", "start")
+
+
+def cut_files(files: DataFrame, range_bytes: int = RANGE_BYTES, max_reads: int | None = None) -> Ranges:
+    """Ranges of files (path, length, ...) with the numbers of their first lines. A task has neighbouring ranges, and about as many bytes as any other."""
+    keys = [c for c in files.columns if c not in ("path", "length")]
+    whole = F.col("path").endswith(".gz") | (F.col("length") <= range_bytes)
+    starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
+    # The bytes before each file: one row a file, of files that the driver has listed.
+    before = F.coalesce(F.sum(F.col("length") * _weight()).over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = lambda rows: rows.select("*", whole.alias("alone"), F.explode(starts).alias("start")).withColumn("end", F.when(F.col("alone"), F.col("length")).otherwise(F.least(F.col("start") + range_bytes, "length")))
+    tasks, size = _load(cut(files))
+    task = F.least(F.floor((F.col("before") + F.col("start") * _weight()) / max(size, 1) * tasks), F.lit(tasks - 1)).cast("int")
+    ranges = cut(files.withColumn("before", before)).select("path", "start", "end", "alone", task.alias("task"), *keys)
+    counted = _dealt(ranges, tasks).mapInArrow(_count_lines, StructType([*ranges.schema.fields]).add("lines", "long"))
+    line = F.coalesce(F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    framed = counted.select("path", "start", "end", line.alias("line"), F.lit(max_reads).cast("long").alias("most"), "task", *keys)
+    return Ranges(framed if max_reads is None else framed.where("line < 4 * most"), tasks)
+
+
+def read_ranges(ranges: Ranges, odd: bool = False, columns: tuple[str, ...] = _NAMES, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The records of ranges, with these of read_fastq()'s columns and of the ranges' own: those left out are never made."""
+    rows = ranges.rows.select("path", "start", "end", "line", "most", "task", *keys)
+    schema = StructType()
+    for c in columns:
+        schema.add(c, _FIELDS[c])
+    for c in keys:
+        schema.add(rows.schema[c])
+    return _dealt(rows, ranges.tasks).mapInArrow(_frame(odd, tuple(columns), tuple(keys)), schema)
+
+
+def read_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", range_bytes: int = RANGE_BYTES, max_reads: int | None = None, odd: bool = False, columns: tuple[str, ...] = _NAMES) -> DataFrame:
     """(path, rec, read_id, header, seq, qual, malformed, broken) of every record of a file, or of the files under a folder, .gz included.
 
     A record that is cut short, lacks its marks or has unequal lengths is broken; that
     or an empty name makes it malformed. Both are flags: nothing is dropped. max_reads takes the first records of each file; ranges that begin after
     them are not framed. odd gives only those records that are broken or have no letters: what
     ends a file is among them, and the others never leave the tasks that look for it.
+    columns: those that are wanted; the others are not cut out of the text.
     """
-    files = _files(spark, root, glob)
-    whole = F.col("path").endswith(".gz") | (F.col("length") <= range_bytes)
-    starts = F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
-    ranges = files.select("path", "length", whole.alias("alone"), F.explode(starts).alias("start")).select("path", "start", F.when(F.col("alone"), F.col("length")).otherwise(F.least(F.col("start") + range_bytes, "length")).alias("end"), "alone")
-    n = task_count(ranges)
-    dealt = lambda rows: rows.repartition(n).sortWithinPartitions("path", "start")
-    counted = dealt(ranges).mapInArrow(_count_lines, "path string, start long, end long, alone boolean, lines long")
-    before = F.sum("lines").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    framed = counted.select("path", "start", "end", "alone", F.coalesce(before, F.lit(0)).cast("long").alias("line"))
-    if max_reads is not None:
-        framed = framed.where(F.col("line") < 4 * max_reads)
-    return dealt(framed).mapInArrow(_frame(max_reads, odd), _RECORD)
+    return read_ranges(cut_files(_files(spark, root, glob), range_bytes, max_reads), odd, columns)
 
 
 def first_failures(fastq: DataFrame, fails: Column | None = None) -> DataFrame:
@@ -349,34 +404,71 @@ def write_named(df: DataFrame, path: str, suffix: str = "", header: str | None =
     return sorted(found)
 
 
+SIDES = ("fbc", "rbc", "refs/fwd", "refs/rev")
+_KIND = "if(side like 'refs/%', 'ref', side)"
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A demultiplexed tree: the ranges of all its files with their side, and its odd records (path, side, rec, read_id, seq, broken). Both are kept, so each pass over the files is made once."""
+
+    ranges: Ranges
+    odd: DataFrame
+
+
+def scan_tree(spark: SparkSession, root: str, glob: str = "*.fastq*", range_bytes: int = RANGE_BYTES) -> Tree:
+    """The files of fbc/, rbc/ and refs/{fwd,rev}/ under root, their lines counted and their odd records found, at the call."""
+    found = cut_files(reduce(DataFrame.union, (_files(spark, f"{root}/{n}", glob).withColumn("side", F.lit(n)) for n in SIDES)), range_bytes)
+    found = replace(found, rows=storage.keep(found.rows))
+    return Tree(found, storage.keep(read_ranges(found, True, ("path", "rec", "read_id", "seq", "broken"), ("side",))))
+
+
+def _ends(tree: Tree) -> DataFrame:
+    """(path, side, first_bad): the files of read assembly that end at a record, and its number. A tagged record without letters has no mean quality and ends its file like a broken one."""
+    tagged = (F.length("seq") == 0) & seq.ref_tag("read_id").isNotNull() & seq.normalize_id("read_id").isNotNull()
+    return tree.odd.where(_assembled()).where(F.col("broken") | F.col("side").startswith("refs/") & tagged).groupBy("path", "side").agg(F.min("rec").alias("first_bad"))
+
+
+def _assembled() -> Column:
+    return F.col("side").startswith("refs/") | ~F.col("path").contains("unclassified") & seq.barcode_index("path").isNotNull()
+
+
+def _kinds(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, ("fbc", "rbc", "ref")))).alias("kind"))
+
+
+def tree_names(tree: Tree) -> DataFrame:
+    """(kind, names, malformed): read_names() with skip_failing of all the files of each side, in one pass; files with a broken record are not read."""
+    whole = tree.ranges.rows.join(F.broadcast(first_failures(tree.odd)), "path", "left_anti").withColumn("kind", F.expr(_KIND))
+    rows = read_ranges(replace(tree.ranges, rows=whole), columns=("read_id", "malformed"), keys=("kind",))
+    found = rows.groupBy("kind").agg(F.countDistinct(F.when(~F.col("malformed"), F.col("read_id"))).alias("names"), F.count_if("malformed").alias("malformed"))
+    return _kinds(tree.odd.sparkSession).join(found, "kind", "left").select("kind", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("names", "malformed")))
+
+
+def tree_failures(tree: Tree) -> DataFrame:
+    """(kind, files): the files of fbc, rbc and ref that end at a broken record."""
+    found = _ends(tree).groupBy(F.expr(_KIND).alias("kind")).agg(F.count("*").alias("files"))
+    return _kinds(tree.odd.sparkSession).join(found, "kind", "left").select("kind", F.coalesce("files", F.lit(0)).alias("files"))
+
+
 def demux_tree(spark: SparkSession, root: str, glob: str = "*.fastq*", range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three sides of read assembly from fbc/, rbc/ and refs/{fwd,rev}/ under root, each file up to its first broken record."""
-    return _tree(spark, root, glob, range_bytes)[:3]
-
-
-def _tree(spark: SparkSession, root: str, glob: str, range_bytes: int):
-    def kept(names: tuple[str, ...], files, fails: Column):
-        """Records before the failures of their files, with (file, rec) as their place, and these failures; files takes a listing (side, path), adds to it and leaves out what is passed over."""
-        read = lambda odd: reduce(DataFrame.union, (read_fastq(spark, f"{root}/{n}", glob, range_bytes, odd=odd) for n in names))
-        listed = reduce(DataFrame.union, (_files(spark, f"{root}/{n}", glob).select(F.lit(n).alias("side"), "path") for n in names))
-        # One row a file, of files that the driver has listed: numbered once in their order, so that a record's place is two numbers.
-        numbered = files(listed).withColumn("file", F.row_number().over(Window.orderBy("side", "path")))
-        bad = first_failures(read(True).join(F.broadcast(numbered.select("path")), "path", "left_semi"), fails)
-        rows = read(False).join(F.broadcast(numbered.join(F.broadcast(bad), "path", "left")), "path")
-        return rows.where("first_bad is null or rec < first_bad").withColumn("ord", F.struct("file", "rec")), bad
-
-    def side(name: str):
-        files = lambda rows: rows.withColumn("idx", seq.barcode_index("path")).where(~F.col("path").contains("unclassified") & F.col("idx").isNotNull())
-        rows, bad = kept((name,), files, F.col("broken"))
-        return rows.select(once(seq.normalize_id("read_id")).alias("read_name"), "ord", "idx").where("read_name is not null"), bad
-
-    # A tagged record without letters has no mean quality and ends its file like a broken one.
-    fails = F.col("broken") | (F.length("seq") == 0) & seq.ref_tag("read_id").isNotNull() & seq.normalize_id("read_id").isNotNull()
-    rows, bad = kept(("refs/fwd", "refs/rev"), lambda listed: listed, fails)
-    tagged = rows.withColumn("tag", once(seq.ref_tag("read_id"))).where("tag is not null").withColumn("read_name", once(seq.normalize_id("read_id"))).where("read_name is not null")
+    return _sides(scan_tree(spark, root, glob, range_bytes))
+
+
+def _sides(tree: Tree) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ranges = tree.ranges.rows.where(_assembled())
+    # One row a file, of files that the driver has listed: numbered once in their order, so that a record's place is two numbers.
+    files = ranges.select("side", "path").distinct().withColumn("file", F.row_number().over(Window.orderBy("side", "path")))
+    ends = files.join(F.broadcast(_ends(tree)), ["side", "path"], "left").select("path", "file", "first_bad")
+    # What comes after a file's failure is not framed.
+    known = ranges.drop("most").join(F.broadcast(ends), "path").withColumnRenamed("first_bad", "most").where("most is null or line < 4 * most").withColumn("idx", seq.barcode_index("path"))
+    read = lambda which, columns, keys: read_ranges(replace(tree.ranges, rows=known.where(which)), columns=("rec", "read_id", *columns), keys=("file", *keys)).withColumn("ord", F.struct("file", "rec"))
+    name = once(seq.normalize_id("read_id"))
+    side = lambda which: read(F.col("side") == which, (), ("idx",)).select(name.alias("read_name"), "ord", "idx").where("read_name is not null")
+    tagged = read(F.col("side").startswith("refs/"), ("seq", "qual"), ("side",)).withColumn("tag", once(seq.ref_tag("read_id"))).where("tag is not null").withColumn("read_name", name).where("read_name is not null")
     refs = tagged.select("read_name", "ord", seq.with_direction(F.substring_index("side", "/", -1), "tag").alias("ref_name"), F.col("seq").alias("read_seq"), F.col("qual").alias("read_qual"))
-    (fbc, bad_fbc), (rbc, bad_rbc) = side("fbc"), side("rbc")
-    return fbc, rbc, refs, {"fbc": bad_fbc, "rbc": bad_rbc, "ref": bad}
+    return side("fbc"), side("rbc"), refs
 
 
 def create_read_df(spark: SparkSession, root: str, glob: str = "*.fastq*", range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -389,13 +481,8 @@ def create_read_df(spark: SparkSession, root: str, glob: str = "*.fastq*", range
     """
     from ..operators.demux import assemble_reads
 
-    fbc, rbc, refs, bad = _tree(spark, root, glob, range_bytes)
-    kinds = spark.createDataFrame([(k,) for k in bad], "kind string")
-    counts = None
-    for kind, rows in bad.items():
-        one = rows.agg(F.count("*").alias("files")).select(F.lit(kind).alias("kind"), "files")
-        counts = one if counts is None else counts.unionByName(one)
-    return assemble_reads(fbc, rbc, refs), kinds.join(counts, "kind")
+    tree = scan_tree(spark, root, glob, range_bytes)
+    return assemble_reads(*_sides(tree)), tree_failures(tree)
 
 
 def stream_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", max_files: int = 1000) -> DataFrame:
@@ -406,5 +493,5 @@ def stream_fastq(spark: SparkSession, root: str, glob: str = "*.{fastq,fq}*", ma
     elsewhere, then moved) and in the sizes of a sequencer's chunks.
     """
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("maxFilesPerTrigger", max_files).load(root)
-    whole = files.select("path", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(True).alias("alone"), F.lit(0).cast("long").alias("line"))
-    return whole.mapInArrow(_frame(None), _RECORD)
+    whole = files.select("path", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.lit(0).cast("long").alias("line"), F.lit(None).cast("long").alias("most"))
+    return whole.mapInArrow(_frame(), _RECORD)

@@ -237,3 +237,26 @@ def test_files_are_taken_in_the_order_of_their_paths(spark, tmp_path):
     assert {(r.kind, r.files) for r in failures.collect()} == {("fbc", 0), ("rbc", 1), ("ref", 1)}
     read = lambda odd: records.read_fastq(spark, f"{tmp_path}/rbc", odd=odd)
     assert records.read_names(read(False), True, read(True)).first() == records.read_names(read(False), True).first() == (0, 0)
+
+
+@pytest.mark.parametrize("size", [9, 10_000])
+def test_tree_is_passed_over_once(spark, tmp_path, size):
+    """Names and malformed records of whole files and the ends of all kinds, from one scan: records are framed once more, without their texts, and files that end early not at all."""
+    good, bad = record("r0/1 x", "A", "I") + record(" ", "A", "I") + record("r1", "", ""), record("r2", "AC", "I")
+    for path, text in {"fbc/barcode01/a.fastq": good, "fbc/unclassified/a.fastq": good.replace("r0", "r7"), "fbc/unclassified/b.fastq": bad, "fbc/barcode02/a.fastq": record("r3", "A", "I") + bad + good, "refs/fwd/a.fastq": good + record("r1|ref=g", "", ""), "rbc/x/a.fastq": bad, "refs/rev/b.fastq": ""}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    tree = records.scan_tree(spark, str(tmp_path), range_bytes=size)
+    names = records.tree_names(tree)
+    assert names._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert {tuple(r) for r in names.collect()} == {("fbc", 3, 2), ("rbc", 0, 0), ("ref", 3, 1)}
+    for kind, side in (("fbc", "fbc"), ("rbc", "rbc"), ("ref", "refs")):
+        assert records.read_names(records.read_fastq(spark, f"{tmp_path}/{side}", range_bytes=size), skip_failing=True).first() == names.where(F.col("kind") == kind).drop("kind").first()
+    assert {tuple(r) for r in records.tree_failures(tree).collect()} == {("fbc", 1), ("rbc", 0), ("ref", 1)}
+
+
+def test_tree_failures_frames_its_files_once(spark):
+    from plateforge.plans import catalog
+
+    found = catalog.queries()["tree_failures"](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
