@@ -22,6 +22,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task makes texts of.
+SPREAD_ROWS = 200_000
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks to deal rows to, so that these grow with the rows: a file is read by a task a row group, and may be one group whatever its size."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SPREAD_ROWS))
+
+
 _KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -374,13 +383,22 @@ def fastq_scan(spark, sf_dir):
     bases = F.translate(F.substring(F.md5(k.cast("string")), 1, (k % 20 + 1).cast("int")), "0123456789abcdef", "ACGTACGTACGTACGT")
     qual = F.translate(F.substring(F.md5(k.cast("string")), 1, (k % 20 + F.when(k % 50 == 0, 2).otherwise(1)).cast("int")), "0123456789abcdef", "!#%'@+-/13579;=I")
     name = F.concat(F.lit("r"), k.cast("string"), F.when(k % 3 == 0, F.concat(F.lit("|ref=g"), (k % 7).cast("string"))).otherwise(F.lit("/1 lane")))
-    rows = _table(spark, sf_dir, "orders").select(k, F.concat_ws("\n", F.concat(F.lit("@"), name), bases, F.lit("+"), qual).alias("value"))
-    root = storage.scratch(spark)
-    rows.where("o_orderkey % 2 = 0").select("value").write.text(f"{root}/plain")
-    rows.where("o_orderkey % 2 = 1").select("value").write.option("compression", "gzip").text(f"{root}/packed")
-    reads = records.read_fastq(spark, root, "*.txt*", range_bytes=10_007)
-    reads = reads.withColumn("name", stats.once(seq.normalize_id("read_id")))
-    return reads.groupBy((F.crc32("name") % 100).alias("lot")).agg(F.count("*").alias("n"), F.countDistinct("name").alias("names"), F.count_if("malformed").alias("malformed"), F.count(seq.ref_tag("read_id")).alias("tagged"), F.sum(F.length("seq")).alias("bases"), F.max(F.when(~F.col("malformed"), F.round(seq.mean_quality("qual"), 6))).alias("best"), F.min("seq").alias("least"))
+    orders = _table(spark, sf_dir, "orders").select(k)
+    root, n = storage.scratch(spark), _tasks(orders)
+
+    def write(left, to, **options):
+        # A compressed file is read by one task, so files are many.
+        orders.where(k % 2 == left).repartition(n, k).select(F.concat_ws("\n", F.concat(F.lit("@"), name), bases, F.lit("+"), qual).alias("value")).write.options(**options).text(f"{root}/{to}")
+
+    write(0, "plain")
+    write(1, "packed", compression="gzip")
+    reads = records.read_fastq(spark, root, "*.txt*", range_bytes=10_007, columns=("read_id", "seq", "qual", "malformed"))
+    quality = F.when(~F.col("malformed"), F.round(seq.mean_quality("qual"), 6))
+    reads = reads.select(stats.once(seq.normalize_id("read_id")).alias("name"), "malformed", seq.ref_tag("read_id").isNotNull().alias("tagged"), "seq", quality.alias("quality"))
+    # Dealt before they are reduced: names are rare within a task, so reducing there would sort all rows for nothing.
+    named = reads.repartition("name").groupBy("name").agg(F.count("*").alias("n"), F.count_if("malformed").alias("malformed"), F.count_if("tagged").alias("tagged"), F.sum(F.length("seq")).alias("bases"), F.max("quality").alias("best"), F.min("seq").alias("least"))
+    sums = [F.sum(c).alias(c) for c in ("malformed", "tagged", "bases")]
+    return named.groupBy((F.crc32("name") % 100).alias("lot")).agg(F.sum("n").alias("n"), F.count("name").alias("names"), *sums, F.max("best").alias("best"), F.min("least").alias("least"))
 
 
 FASTQ_SCAN = """WITH r AS (SELECT o_orderkey AS k, 'r' || o_orderkey AS name, translate(substr(md5(o_orderkey::VARCHAR), 1, CAST(o_orderkey % 20 + 1 AS INT)), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s, translate(substr(md5(o_orderkey::VARCHAR), 1, CAST(o_orderkey % 20 + CASE WHEN o_orderkey % 50 = 0 THEN 2 ELSE 1 END AS INT)), '0123456789abcdef', '!#%''@+-/13579;=I') AS q FROM orders),
@@ -409,7 +427,9 @@ SELECT k % 12 AS lot, count(*) AS n, CAST(sum(n) AS BIGINT) AS bases, count(*) F
 def _tree_of_orders(spark, sf_dir):
     """A demultiplexed tree whose file ends are broken: fbc and rbc by barcode, refs by direction; two orders share a name. The path and the first order that may break."""
     k = F.col("o_orderkey")
-    made = _table(spark, sf_dir, "orders").select(k, F.concat(F.lit("r"), F.floor(k / 2).cast("string")).alias("name"), _letters(k.cast("string"), (k % 15 + 1).cast("int")).alias("bases"))
+    orders = _table(spark, sf_dir, "orders").select(k)
+    # In the order of their numbers, as the files have them.
+    made = orders.repartitionByRange(_tasks(orders), k).select(k, F.concat(F.lit("r"), F.floor(k / 2).cast("string")).alias("name"), _letters(k.cast("string"), (k % 15 + 1).cast("int")).alias("bases"))
     # The parts of an order's record are made once, for all four sides.
     rows = storage.keep(made.withColumn("qual", F.translate("bases", "ACGT", "I?5+")))
     late = rows.agg(F.max("o_orderkey")).first()[0] // 10 * 9

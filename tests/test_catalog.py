@@ -51,3 +51,16 @@ def test_simulations_have_the_reference_volumes(spark, monkeypatch):
     volumes = [(a["n_sims"], a["lib_size"], a["scale"], a["semantics"]) for a in asked]
     assert volumes == [(10_000, 1000, 50, "coded")] + [(10_000, 328, 30, "coded")] * 25
     assert asked[0]["fold"] == 10 and [round(a["fold"] * 328, 6) for a in asked[1::24]] == [1, 5000]
+
+
+def test_one_row_group_is_many_tasks(spark, monkeypatch, tmp_path):
+    """Orders in one row group are written by tasks that grow with the rows: no compressed file, which one task reads, has more than its share; results are the same."""
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(catalog, "SPREAD_ROWS", 20)
+    roots, real = [], catalog.records.read_fastq
+    monkeypatch.setattr(catalog.records, "read_fastq", lambda session, root, *args, **options: roots.append(root) or real(session, root, *args, **options))
+    found = catalog.queries()["fastq_scan"](spark, str(tmp_path))
+    assert sum(r.n for r in found.collect()) == orders.count()
+    packed = real(spark, roots[0], "*.gz").groupBy("path").count().collect()
+    assert sum(r["count"] for r in packed) == orders.where("o_orderkey % 2 = 1").count() and max(r["count"] for r in packed) <= 45
